@@ -67,7 +67,7 @@ class WordEncoder:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
             pass
-        unseen = set(words) - memo.keys()
+        unseen = {w for w in words if w not in memo}
         if len(memo) + len(unseen) > MEMO:
             memo.clear()
             unseen = set(words)
