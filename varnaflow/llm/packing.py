@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, stored, texts, utf8
+from .common import batches_by_bytes, stored, texts
 from .encoding import encoder
 
 #: Pieces in a group, about.
@@ -37,12 +37,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     end = struct.pack("<I", end_id)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         for whole in rows:
-            for batch in batches_by_bytes(whole, "text"):
+            for batch in batches_by_bytes(whole, "text", 4 << 20):
                 out: list[tuple] = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                    ids = encode(text) + end
+                for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                    ids = encoded + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

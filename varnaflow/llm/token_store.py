@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, new_path, stored, texts, utf8
+from .common import batches_by_bytes, new_path, stored, texts
 from .encoding import encoder
 
 FRAME_IDS = 1 << 16
@@ -145,16 +145,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
         from pyspark import TaskContext
 
         shard, writer, name = TaskContext.get().partitionId(), None, ""
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         for whole in rows:
-            for batch in batches_by_bytes(whole, "text"):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            for batch in batches_by_bytes(whole, "text", 4 << 20):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                     if writer is None:
                         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
                         system, base = pafs.FileSystem.from_uri(path)
                         system.create_dir(base, recursive=True)
                         writer = ShardWriter(system.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None), frame_ids)
-                    writer.add(doc_id, encode(text) + end)
+                    writer.add(doc_id, ids + end)
         if writer:
             writer.close()
             row = (shard, name, len(writer.docs), writer.n_tokens, len(writer.seek) - 1, writer.written)
