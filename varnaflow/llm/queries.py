@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, packing, pii, simhash, token_store
+from . import decontaminate, packing, pii, simhash, suffix_dedup, token_store, window_dedup
 from .encoding import tokenizer_path
 
 
@@ -26,6 +26,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(hits)
 
 
+def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = window_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -34,6 +39,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     counts = [f"n_{kind}" for kind in pii.KINDS]
@@ -41,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op6_token_store, op7_best_fit_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_window_dedup, op6_token_store, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
