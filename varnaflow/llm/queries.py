@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, packing, pii, simhash, suffix_dedup, token_store, window_dedup
+from . import decontaminate, embeddings, packing, pii, simhash, suffix_dedup, token_store, window_dedup
 from .encoding import tokenizer_path
 
 
@@ -31,6 +31,10 @@ def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -51,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_window_dedup, op6_token_store, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_window_dedup, op5_embedding_forest, op6_token_store, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
