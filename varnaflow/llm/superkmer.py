@@ -39,8 +39,10 @@ CHUNK_BYTES = 8 << 20
 #: Packed bytes meant for one bucket, and the most buckets; beyond that buckets grow.
 BUCKET_BYTES = 48 << 20
 MAX_BUCKETS = 1 << 15
+#: Text bytes that are hashed together.
+BLOCK_BYTES = 512 << 10
 #: Units in one segment of a very long text; segments overlap by a window less one.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 #: Windows in one packed string at most.
 MAX_RUN = 1024
 #: Stands for a null doc_id: no smaller document than any other.
@@ -123,39 +125,67 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))  # noqa: S301  our own rows
 
 
-def _chunk_rows(kind: Kind, docs: list[tuple[int, int, int, bytes]], buckets: int, chunk: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """docs: (doc_id, row, first unit, segment).  Rows of one chunk: bucket, step, chunk, blob."""
-    data, low, high, segment, place, n, value, times = kind.runs([d[3] for d in docs])
-    if not len(low):
-        return
-    number: dict[bytes, int] = {}
-    string = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.int64, len(low))
-    strings = list(number)
-    ids = np.array([d[0] for d in docs], np.int64)
-    rows = np.array([d[1] for d in docs], np.int64)
-    place += np.array([d[2] for d in docs], np.int64)[segment]
-    count = np.bincount(string)
-    smallest = np.full(len(strings), NO_ID)
-    np.minimum.at(smallest, string, ids[segment])
-    own, own_times, own_n = np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
-    own[string], own_times[string], own_n[string] = value, times, n
-    bucket = (mix(own) % np.uint64(buckets)).astype(np.int64)
-    zstd = zstandard.ZstdCompressor(level=3)
-    by = np.argsort(bucket, kind="stable")
-    local = np.empty(len(strings), np.int64)
-    by_occurrence = np.argsort(bucket[string], kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-    occurrence_edges = np.searchsorted(bucket[string][by_occurrence], bucket[by][edges])
-    for i, (a, o) in enumerate(zip(edges.tolist(), occurrence_edges.tolist(), strict=True)):
-        mine = by[a : edges[i + 1] if i + 1 < len(edges) else None]
-        seen = by_occurrence[o : occurrence_edges[i + 1] if i + 1 < len(edges) else None]
-        b = int(bucket[mine[0]])
-        local[mine] = np.arange(len(mine))
-        yield b, 0, chunk, _pack(zstd, own[mine].astype(np.uint32), (count[mine] > 1) | (own_times[mine] > 1))
-        packed = [strings[j] for j in mine.tolist()]
-        yield b, 1, chunk, _pack(zstd, np.array([len(x) for x in packed], np.uint32), own_n[mine].astype(np.uint16), smallest[mine], count[mine].astype(np.uint32), own_times[mine] > 1, b"".join(packed))
-        used, which = np.unique(segment[seen], return_inverse=True)
-        yield b, 2, chunk, _pack(zstd, local[string[seen]].astype(np.uint32), which.astype(np.uint32), place[seen], ids[used], rows[used])
+class Chunk:
+    """Packed strings of a bounded amount of text, each different one once."""
+
+    def __init__(self, kind: Kind, buckets: int, number: int) -> None:
+        self.kind, self.buckets, self.number = kind, buckets, number
+        self.strings: dict[bytes, int] = {}
+        self.docs: list[tuple[int, int, int]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = self.waits = 0
+        self.waiting: list[bytes] = []
+
+    def add(self, doc_id: int, row: int, first: int, part: bytes) -> None:
+        self.docs.append((doc_id, row, first))
+        self.waiting.append(part)
+        self.size += len(part)
+        self.waits += len(part)
+        if self.waits >= BLOCK_BYTES:
+            self._run()
+
+    def _run(self) -> None:
+        data, low, high, segment, place, n, value, times = self.kind.runs(self.waiting)
+        number = self.strings
+        string = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.int32, len(low))
+        segment = segment + len(self.docs) - len(self.waiting)
+        place = place + np.array([d[2] for d in self.docs[len(self.docs) - len(self.waiting) :]], np.int64)[segment - len(self.docs) + len(self.waiting)]
+        self.parts.append((string, segment.astype(np.int32), place, n.astype(np.uint16), value, times > 1))
+        self.waiting, self.waits = [], 0
+
+    def rows(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """bucket, step, chunk, blob."""
+        if self.waiting:
+            self._run()
+        if not self.strings:
+            return
+        string, segment, place, n, value, periodic = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts = []
+        strings = list(self.strings)
+        self.strings = {}
+        ids = np.array([d[0] for d in self.docs], np.int64)
+        rows = np.array([d[1] for d in self.docs], np.int64)
+        count = np.bincount(string)
+        smallest = np.full(len(strings), NO_ID)
+        np.minimum.at(smallest, string, ids[segment])
+        own, own_periodic, own_n = np.zeros(len(strings), np.uint64), np.zeros(len(strings), bool), np.zeros(len(strings), np.uint16)
+        own[string], own_periodic[string], own_n[string] = value, periodic, n
+        bucket = (mix(own) % np.uint64(self.buckets)).astype(np.int32)
+        zstd = zstandard.ZstdCompressor(level=3)
+        by = np.argsort(bucket, kind="stable")
+        by_occurrence = np.argsort(bucket[string], kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        occurrence_edges = np.searchsorted(bucket[string[by_occurrence]], bucket[by[edges]])
+        local = np.empty(len(strings), np.uint32)
+        for a, z, o, y in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], occurrence_edges.tolist(), [*occurrence_edges[1:].tolist(), len(by_occurrence)], strict=True):
+            mine, seen = by[a:z], by_occurrence[o:y]
+            b = int(bucket[mine[0]])
+            local[mine] = np.arange(len(mine))
+            yield b, 0, self.number, _pack(zstd, own[mine].astype(np.uint32), (count[mine] > 1) | own_periodic[mine])
+            packed = [strings[j] for j in mine.tolist()]
+            yield b, 1, self.number, _pack(zstd, np.array([len(x) for x in packed], np.uint32), own_n[mine], smallest[mine], count[mine].astype(np.uint32), own_periodic[mine], b"".join(packed))
+            used, which = np.unique(segment[seen], return_inverse=True)
+            yield b, 2, self.number, _pack(zstd, local[string[seen]], which.astype(np.uint32), place[seen], ids[used], rows[used])
 
 
 _EXCHANGE = pa.schema([("bucket", pa.int32()), ("step", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
@@ -237,24 +267,15 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, int, int, bytes]] = []
-        total = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for row in _chunk_rows(kind, held, buckets, chunk):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _EXCHANGE, strict=True)], schema=_EXCHANGE)
-
+        chunk = Chunk(kind, buckets, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), utf8(batch.column("text")), strict=True):
                 for first, part in kind.segments(text):
-                    held.append((doc_id, row, first, part))
-                    total += len(part)
-                    if total >= chunk_bytes:
-                        yield from flush()
-                        held.clear()
-                        total, chunk = 0, chunk + 1
-        yield from flush()
+                    chunk.add(doc_id, row, first, part)
+                    if chunk.size >= chunk_bytes:
+                        yield from _batches(chunk)
+                        chunk = Chunk(kind, buckets, chunk.number + 1)
+        yield from _batches(chunk)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, state = None, Bucket(kind, solve)
@@ -278,6 +299,11 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
     return sent.repartition("bucket").sortWithinPartitions("bucket", "step", "chunk").mapInArrow(receive, SPANS)
 
 
+def _batches(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    for row in chunk.rows():
+        yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _EXCHANGE, strict=True)], schema=_EXCHANGE)
+
+
 def _span_batch(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     columns = np.array(out, np.int64).reshape(-1, 4).T
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=_SPANS)
