@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, embeddings, packing, pii, simhash, suffix_dedup, token_store, window_dedup
+from . import decontaminate, embeddings, licences, packing, pii, quality, simhash, suffix_dedup, token_store, window_dedup
 from .encoding import tokenizer_path
 
 
@@ -21,6 +21,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.size("licences").cast("long").alias("n_licences"), F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("unexplained", ",").alias("unexplained"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.report(hits)
@@ -43,6 +48,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,7 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_window_dedup, op5_embedding_forest, op6_token_store, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_simhash, op2_licence_scan, op3_decontamination, op4_window_dedup, op5_embedding_forest, op6_token_store, op7_best_fit_packing, op8_quality, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
