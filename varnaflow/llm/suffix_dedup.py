@@ -23,9 +23,9 @@ from .superkmer import Answer, Kind, Strings, covered, groups, united, with_span
 
 WINDOW = 200
 #: Bytes in a minimiser.
-K = 48
+K = 32
 #: Bytes sorted at once; groups of one minimiser stay together, so a larger group is a larger shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 512 << 10
 #: Smaller than every doc_id: the window repeats for all.
 ALWAYS = -(1 << 63)
 KEPT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"

@@ -37,7 +37,7 @@ from .wordhash import mix, powers, run_hashes, sliding_min, word_hashes, word_sp
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
 #: Packed bytes meant for one bucket, and the most buckets; beyond that buckets grow.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 32 << 20
 MAX_BUCKETS = 1 << 15
 #: Text bytes that are hashed together.
 BLOCK_BYTES = 512 << 10
@@ -171,7 +171,7 @@ class Chunk:
         own, own_periodic, own_n = np.zeros(len(strings), np.uint64), np.zeros(len(strings), bool), np.zeros(len(strings), np.uint16)
         own[string], own_periodic[string], own_n[string] = value, periodic, n
         bucket = (mix(own) % np.uint64(self.buckets)).astype(np.int32)
-        zstd = zstandard.ZstdCompressor(level=3)
+        zstd = zstandard.ZstdCompressor(level=6)
         by = np.argsort(bucket, kind="stable")
         by_occurrence = np.argsort(bucket[string], kind="stable")
         edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
@@ -281,7 +281,9 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
         bucket, state = None, Bucket(kind, solve)
         out: list[tuple[int, int, int, int]] = []
         for batch in batches:
-            for b, step, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "step", "chunk", "blob")), strict=True):
+            blobs = batch.column("blob")
+            for i, (b, step, chunk) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "step", "chunk")), strict=True)):
+                blob = blobs[i].as_py()
                 if b != bucket:
                     bucket, state = b, Bucket(kind, solve)
                 if step == 0:

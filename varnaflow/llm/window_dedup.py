@@ -20,7 +20,7 @@ from .superkmer import Answer, Kind, Strings, covered, groups, united, with_span
 
 WINDOW = 13
 #: Words in a minimiser.
-K = 4
+K = 3
 KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
 
 
