@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 
 from .common import batches_by_bytes, texts, utf8
 from .suffix import permuted_lcp, suffix_array
-from .superkmer import Answer, Kind, Strings, covered, groups, united, with_spans
+from .superkmer import Answer, Kind, Strings, covered, groups, refined, united, with_spans
 
 WINDOW = 200
 #: Bytes in a minimiser.
 K = 32
-#: Bytes sorted at once; groups of one minimiser stay together, so a larger group is a larger shard.
+#: Bytes sorted at once; a larger group of one minimiser is cut again by longer minimisers.
 SHARD_BYTES = 512 << 10
 #: Smaller than every doc_id: the window repeats for all.
 ALWAYS = -(1 << 63)
@@ -48,37 +48,75 @@ def repeats_in(strings: list[bytes], window: int) -> list[np.ndarray]:
     return [flags[e - n : e - window + 1] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
+class _Shards:
+    """Sorts groups in shards and notes the repeated windows of their strings."""
+
+    def __init__(self, kind: Kind) -> None:
+        self.kind, self.held = kind, 0
+        self.flags: dict[int, np.ndarray] = {}
+        self.shard: list[tuple[bytes, int, int]] = []
+
+    def note(self, owner: int, first: int, flags: np.ndarray) -> None:
+        mine = self.flags[owner]
+        mine[first : first + len(flags)] |= flags
+
+    def group(self, entries: list[tuple[bytes, int, int]], k: int) -> None:
+        """entries: (string, owner, first window); a negative owner is a witness only."""
+        size = sum(len(e[0]) for e in entries)
+        if size > SHARD_BYTES and k < self.kind.window:
+            k = min(self.kind.window, k + 56)
+            for finer in refined(self.kind, k, [e[0] for e in entries]):
+                places: dict[bytes, list[tuple[int, int]]] = {}
+                for s, i, first, _, _ in finer:
+                    places.setdefault(s, []).append((entries[i][1], entries[i][2] + first))
+                for s, where in places.items():
+                    if len(where) > 1:
+                        for owner, first in where:
+                            if owner >= 0:
+                                self.note(owner, first, np.ones(len(s) - self.kind.window + 1, bool))
+                if len(places) > 1 or len(finer) == 1 and finer[0][4]:
+                    self.group([(s, where[0][0] if len(where) == 1 else -1, where[0][1]) for s, where in places.items()], k)
+            return
+        if self.held and self.held + size > SHARD_BYTES:
+            self.solve()
+        self.shard += entries
+        self.held += size
+
+    def solve(self) -> None:
+        if self.shard:
+            for (_, owner, first), flags in zip(self.shard, repeats_in([e[0] for e in self.shard], self.kind.window), strict=True):
+                if owner >= 0:
+                    self.note(owner, first, flags)
+        self.shard, self.held = [], 0
+
+
 def repeated_windows(strings: Strings, kind: Kind) -> Answer:
     """For each string, runs of windows that start elsewhere too."""
     out: Answer = [[]] * len(strings.data)
-    shard: list[tuple[bytes, list[int]]] = []
-    held = 0
-
-    def solve() -> None:
-        nonlocal shard, held
-        for (_, members), flags in zip(shard, repeats_in([s for s, _ in shard], kind.window), strict=True):
-            edge = np.flatnonzero(np.diff(flags, prepend=False, append=False)).tolist()
-            runs = [(a, b, ALWAYS) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            for i in members:
-                out[i] = runs
-        shard, held = [], 0
-
+    shards = _Shards(kind)
+    owned: dict[int, list[int]] = {}
     for group in groups(strings.mins):
         different: dict[bytes, list[int]] = {}
         for i in group.tolist():
             different.setdefault(strings.data[i], []).append(i)
         whole = {s for s, members in different.items() if sum(int(strings.count[i]) for i in members) > 1}
-        if len(different) > 1 or not whole and strings.periodic[group[0]]:
-            size = sum(map(len, different))
-            if held and held + size > SHARD_BYTES:
-                solve()
-            shard += [(s, [] if s in whole else members) for s, members in different.items()]
-            held += size
         for s in whole:
             for i in different[s]:
                 out[i] = [(0, int(strings.n[i]), ALWAYS)]
-    if shard:
-        solve()
+        if len(different) > 1 or not whole and strings.periodic[group[0]]:
+            entries = []
+            for s, members in different.items():
+                entries.append((s, -1 if s in whole else members[0], 0))
+                if s not in whole:
+                    owned[members[0]] = members
+                    shards.flags[members[0]] = np.zeros(int(strings.n[members[0]]), bool)
+            shards.group(entries, kind.k)
+    shards.solve()
+    for owner, members in owned.items():
+        edge = np.flatnonzero(np.diff(shards.flags[owner], prepend=False, append=False)).tolist()
+        runs = [(a, b, ALWAYS) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        for i in members:
+            out[i] = runs
     return out
 
 

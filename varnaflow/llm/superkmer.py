@@ -335,3 +335,25 @@ def groups(mins: np.ndarray) -> list[np.ndarray]:
     return np.split(by, np.flatnonzero(np.diff(mins[by])) + 1) if len(by) else []
 
 
+def refined(kind: Kind, k: int, strings: list[bytes]) -> Iterator[list[tuple[bytes, int, int, int, bool]]]:
+    """Packed strings cut again by longer minimisers, one list for each minimiser.
+
+    A minimiser that very many strings share, such as a common phrase, makes a
+    group too large to sort at once; equal windows stay together under any
+    minimiser.  Entries: (string, its number, first window, windows, whether the
+    minimiser comes again in it).  A list of one entry that isn't periodic can
+    hold no repeat and is left out.
+    """
+    finer = Kind(kind.words, kind.window, k)
+    found, blocks, at, size = [], [], 0, 0
+    for i, s in enumerate(strings):
+        size += len(s)
+        if size >= BLOCK_BYTES or i + 1 == len(strings):
+            data, low, high, segment, place, n, value, times = finer.runs(strings[at : i + 1])
+            found.append((value, np.full(len(low), len(blocks)), low, high, segment + at, place, n, times))
+            blocks.append(data)
+            at, size = i + 1, 0
+    value, block, low, high, owner, place, n, times = (np.concatenate(c) for c in zip(*found, strict=True))
+    for group in groups(value):
+        if len(group) > 1 or times[group[0]] > 1:
+            yield [(blocks[block[e]][low[e] : high[e]], int(owner[e]), int(place[e]), int(n[e]), bool(times[e] > 1)) for e in group.tolist()]

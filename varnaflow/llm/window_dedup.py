@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batches_by_bytes, texts, utf8
-from .superkmer import Answer, Kind, Strings, covered, groups, united, with_spans
+from .superkmer import Answer, Kind, Strings, covered, groups, refined, united, with_spans
 
 WINDOW = 13
 #: Words in a minimiser.
@@ -24,37 +24,60 @@ K = 3
 KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
 
 
+#: Strings of one minimiser whose windows are sorted at once; more are cut again by longer minimisers.
+AT_ONCE = 2000
+
+
+def _windows(s: bytes, n: int, window: int) -> list[bytes]:
+    stops = np.flatnonzero(np.frombuffer(s, np.uint8) == 32).tolist()
+    begins, ends = [0, *(x + 1 for x in stops)], [*stops, len(s)]
+    return [s[begins[j] : ends[j + window - 1]] for j in range(n)]
+
+
+def _sorted_least(entries: list[tuple[bytes, int, int, int]], smallest: list[int], least_of: list[list[int]], window: int) -> None:
+    """entries: (string, owner, first window, windows).  Sorts all windows; equal ones get the smallest document of any."""
+    rows = [(w, smallest[owner], owner, first + j) for s, owner, first, n in entries for j, w in enumerate(_windows(s, n, window))]
+    rows.sort()
+    run, least = None, 0
+    for w, doc, owner, j in rows:
+        if w != run:
+            run, least = w, doc  # sorted: the first of equal windows has the smallest document
+        least_of[owner][j] = least
+
+
 def smallest_documents(strings: Strings, kind: Kind) -> Answer:
     """For each string, runs of windows with the smallest document that has them."""
     out: Answer = [[]] * len(strings.data)
     for group in groups(strings.mins):
         members = group.tolist()
-        first = strings.data[members[0]]
-        if all(strings.data[i] == first for i in members):
-            least = int(strings.smallest[group].min())
+        different: dict[bytes, list[int]] = {}
+        for i in members:
+            different.setdefault(strings.data[i], []).append(i)
+        least = [min(int(strings.smallest[i]) for i in same) for same in different.values()]
+        n = [int(strings.n[same[0]]) for same in different.values()]
+        if len(different) == 1:
             for i in members:
-                out[i] = [(0, int(strings.n[i]), least)]
+                out[i] = [(0, n[0], least[0])]
             continue
-        windows: list[tuple[bytes, int, int, int]] = []
-        for i in members:
-            s, least = strings.data[i], int(strings.smallest[i])
-            stops = np.flatnonzero(np.frombuffer(s, np.uint8) == 32).tolist()
-            begins, ends = [0, *(x + 1 for x in stops)], [*stops, len(s)]
-            windows += [(s[begins[j] : ends[j + kind.window - 1]], least, i, j) for j in range(int(strings.n[i]))]
-        windows.sort()
-        least_of = {i: [0] * int(strings.n[i]) for i in members}
-        run, least = None, 0
-        for window, doc, i, j in windows:
-            if window != run:
-                run, least = window, doc  # sorted: the first of equal windows has the smallest document
-            least_of[i][j] = least
-        for i, values in least_of.items():
+        least_of = [[doc] * windows for doc, windows in zip(least, n, strict=True)]
+        data = list(different)
+        todo: list[tuple[int, list[tuple[bytes, int, int, int]]]] = [(kind.k, [(s, owner, 0, n[owner]) for owner, s in enumerate(data)])]
+        while todo:
+            k, entries = todo.pop()
+            if len(entries) <= AT_ONCE or k == kind.window:
+                _sorted_least(entries, least, least_of, kind.window)
+            else:
+                k = min(kind.window, k + 3)
+                for finer in refined(kind, k, [e[0] for e in entries]):
+                    todo.append((k, [(s, entries[i][1], entries[i][2] + first, windows) for s, i, first, windows, _ in finer]))
+        for values, same in zip(least_of, different.values(), strict=True):
             runs, at = [], 0
             for j in range(1, len(values) + 1):
                 if j == len(values) or values[j] != values[at]:
                     runs.append((at, j, values[at]))
                     at = j
-            out[i] = runs
+            for i in same:
+                out[i] = runs
     return out
 
 
