@@ -27,8 +27,8 @@ from .common import batches_by_bytes, utf8
 from .wordhash import word_hashes, word_spans
 
 #: Labelled rows that the classifiers are fitted on, at most, and unlabelled rows for pseudo-labels.
-LABELLED = 16_000
-POOL = 6_000
+LABELLED = 8_000
+POOL = 3_000
 ROUNDS = 3
 #: Pseudo-labels need this probability, and a view gives at most this many of each class in a round.
 SURE = 0.97
@@ -106,7 +106,7 @@ class View:
 
     def logit(self, x: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.concatenate([*words, np.zeros(0, np.int64)])
+        flat = np.concatenate([*words, np.zeros(0, np.int32)])
         sums = np.concatenate([[0], np.cumsum(self.words[flat])])
         ends = np.cumsum(sizes)
         return (x - self.mean) / self.scale @ self.numbers + sums[ends] - sums[ends - sizes] + self.bias
@@ -117,7 +117,7 @@ def fit_view(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, steps: int =
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / scale
     sizes = np.array([len(w) for w in words], np.int64)
-    flat, row = np.concatenate([*words, np.zeros(0, np.int64)]), np.repeat(np.arange(len(words)), sizes)
+    flat, row = np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     seen = np.bincount(flat, minlength=BUCKETS)
     high = np.bincount(flat[y[row] > 0.5], minlength=BUCKETS)
     n1, n = max(1.0, y.sum()), len(y)
@@ -125,8 +125,8 @@ def fit_view(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, steps: int =
     share = seen / max(1, n)
     z_score = np.abs(high / n1 - (seen - high) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     used = np.flatnonzero((seen >= least) & (z_score >= LEAST_Z))
-    number = np.full(BUCKETS, -1)
-    number[used] = np.arange(len(used))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
     keep = number[flat] >= 0
     flat, row = number[flat[keep]], row[keep]
     positive = max(1.0, y.sum())
@@ -218,7 +218,8 @@ class Model:
     toxic: Target | None
 
 
-_FEATURES = "doc_id long, shape array<float>, words array<long>, numbers array<float>, pages array<long>"
+#: Numbers as 32-bit floats, buckets as 32-bit integers.
+_FEATURES = "doc_id long, shape binary, words binary, numbers binary, pages binary"
 _INPUT = ("text", "lang", "source", "n_chars")
 
 
@@ -237,10 +238,8 @@ def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in rows:
         for batch in batches_by_bytes(whole, "text", 2 << 20):
             (shape, words), (numbers, pages) = _views(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(shape.tolist(), pa.list_(pa.float32())), pa.array([w.tolist() for w in words], pa.list_(pa.int64())), pa.array(numbers.tolist(), pa.list_(pa.float32())), pa.array([w.tolist() for w in pages], pa.list_(pa.int64()))],
-                ["doc_id", "shape", "words", "numbers", "pages"],
-            )
+            blobs = ([x.astype(kind).tobytes() for x in column] for column, kind in ((shape, "<f4"), (words, "<i4"), (numbers, "<f4"), (pages, "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(b, pa.binary()) for b in blobs)], ["doc_id", "shape", "words", "numbers", "pages"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
@@ -259,9 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     at = rows["doc_id"].to_numpy()
     order = np.argsort(at, kind="stable")
     at = at[order]
-    columns = [rows[c].take(pa.array(order)) for c in ("shape", "words", "numbers", "pages")]
-    shape, numbers = (np.array(columns[k].to_pylist(), np.float32).reshape(len(at), width) for k, width in ((0, N_SHAPE), (2, 2)))
-    words, pages = ([np.array(x, np.int64) for x in columns[k].to_pylist()] for k in (1, 3))
+    shape, words, numbers, pages = (rows[c].take(pa.array(order)).to_pylist() for c in ("shape", "words", "numbers", "pages"))
+    shape, numbers = (np.frombuffer(b"".join(blobs), "<f4").reshape(len(at), width) for blobs, width in ((shape, N_SHAPE), (numbers, 2)))
+    words, pages = ([np.frombuffer(b, "<i4") for b in blobs] for blobs in (words, pages))
+    del rows
     views = [(shape, words), (numbers, pages)]
     is_labelled = np.array([int(i) in label for i in at], bool)
     unlabelled = [_take(v, np.flatnonzero(~is_labelled)) for v in views]
