@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -69,3 +71,18 @@ def batches_by_bytes(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+    release()
+
+
+@lru_cache(maxsize=1)
+def _trim():  # noqa: ANN202
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: None
+
+
+def release() -> None:
+    """Give memory that this worker has freed back, so that it doesn't stay the size of its largest batch."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, utf8
+from .common import release, row_key, utf8
 from .wordhash import mix, powers, run_hashes, sliding_min, word_hashes, word_spans
 
 #: Text bytes of a chunk.
@@ -275,6 +275,7 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
                     if chunk.size >= chunk_bytes:
                         yield from _batches(chunk)
                         chunk = Chunk(kind, buckets, chunk.number + 1)
+                        release()
         yield from _batches(chunk)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +297,7 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
                         yield _span_batch(out)
                         out = []
         yield _span_batch(out)
+        release()
 
     sent = source.mapInArrow(send, "bucket int, step int, chunk long, blob binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket", "step", "chunk").mapInArrow(receive, SPANS)
