@@ -32,7 +32,7 @@ SENTENCES = {
     "MitLicensed": r"(this (work|file|software|project) is )?(licensed|released|distributed|available) under the( terms of the)? (mit|expat|mit expat) licen[sc]e",
     "MitPermission": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .* subject to the following conditions",
     "MitNotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "MitAsIs": r"the software is provided as is without warranty of any kind express or implied .*",
+    "MitAsIs": r"the software is provided as is without warranty of any kind express or implied( .*)?",
     "IscPermission": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*",
     "BsdLicensed": r"(this (work|file|software|project) is )?(licensed|released|distributed|available) under the( terms of the)?( new| simplified| modified| revised)? (bsd|2 clause bsd|3 clause bsd|bsd [23] clause)( style)? licen[sc]e",
     "BsdRedistribution": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, utf8
-from .wordhash import word_hashes, word_spans
+from .wordhash import mix, word_hashes, word_spans
 
 #: Labelled rows that the classifiers are fitted on, at most, and unlabelled rows for pseudo-labels.
 LABELLED = 8_000
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     for k in range(2):
         mine = np.array([i for i in np.flatnonzero(is_labelled).tolist() if label[int(at[i])][k] is not None], np.int64)
         y = np.array([float(label[int(at[i])][k]) for i in mine.tolist()])
-        held = np.arange(len(mine)) % 5 == 0
+        held = mix(at[mine].astype(np.uint64)) % np.uint64(5) == 0  # a fifth, by hash
         enough = all(len(np.unique(y[part])) == 2 for part in (held, ~held))
         out.append(co_train([_take(v, mine) for v in views], y, held, unlabelled) if enough else None)
     return Model(*out)
