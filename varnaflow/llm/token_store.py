@@ -181,7 +181,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     total = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     placed = manifest.select("shard", "file", F.coalesce(total, F.lit(0)).alias("start"))
-    return placed.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each shard: their rows are tiny, and left alone would be coalesced into one task
+    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
