@@ -67,5 +67,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_licence_scan, op3_decontamination, op4_window_dedup, op5_embedding_forest, op6_token_store, op7_best_fit_packing, op8_quality, op9_suffix_dedup, op10_pii)}
 
 
+_ITEM_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_DECONTAMINATION = f"""
+WITH item AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  win AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS s FROM (
+    SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM item WHERE len(w) > 0)),
+  sizes AS (SELECT DISTINCT size FROM win),
+  doc AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+  hit AS (SELECT doc_id, k, size, item_id FROM (
+    SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS s FROM (
+      SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM doc, sizes WHERE len(w) >= size)) JOIN win USING (size, s)),
+  words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY doc_id),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_WINDOW_DEDUP = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  win AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM doc WHERE len(w) >= 13)),
+  first AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s HAVING count(*) > 1),
+  gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(k, k + 13)) AS p FROM win JOIN first USING (s) WHERE d < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id)
+"""
+
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+  least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+  n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of those that it can express over whole tables in reasonable time.
+
+    The others need XXH64 (op1), pattern rules (op2), a tokenizer (op6, op7), a fitted
+    model (op8), every byte window (op9) or transducers (op10); tests hold them
+    against brute force.
+    """
+    return {"op3_decontamination": _DECONTAMINATION, "op4_window_dedup": _WINDOW_DEDUP, "op5_embedding_forest": _EMBEDDINGS}
