@@ -145,10 +145,11 @@ def test_repair_places():
     assert list(repair._places(3, 5, 8)) == []
 
 
-def test_repair_column(spark):
-    rows = spark.createDataFrame([("2 jana", "दुई जना"), (None, None)], "a string, b string").select(repair.repair(F.col("a"), F.col("b"), ["job"]).alias("r")).collect()
-    assert rows[0]["r"]["text"] == "२ जना"
-    assert rows[1]["r"]["text"] == ""
+def test_repair_rows(spark):
+    pairs = spark.createDataFrame([("2 jana", "दुई जना", [1]), (None, None, None)], "a string, b string, other array<int>")
+    rows = repair.repair(pairs, "a", "b", ["job"]).collect()
+    assert (rows[0]["text"], rows[0]["replacements"][0]["kind"], rows[0]["other"]) == ("२ जना", "number", [1])
+    assert (rows[1]["text"], rows[1]["replacements"]) == ("", [])
 
 
 def test_earlier_matchers():

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text, words
+from .text import let, text, words
 
 
 def char_errors(pred: Column, truth: Column) -> Column:
@@ -23,12 +23,15 @@ def cer(pred: Column, truth: Column) -> Column:
 
 def word_errors(pred: Column, truth: Column) -> Column:
     """Edit distance in words: each different word of the pair becomes one character."""
+
+    def distance(both: Column) -> Column:
+        # numbered from the private plane U+F0000
+        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both["k"], w) + F.lit(0xF0000)), 8, "0")), "UTF-32")
+        code = lambda ws: F.array_join(F.transform(ws, letter), "")
+        return F.levenshtein(code(both["p"]), code(both["t"]))
+
     p, t = words(pred), words(truth)
-    known = F.array_distinct(F.concat(p, t))
-    # numbered from the private plane U+F0000
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + F.lit(0xF0000)), 8, "0")), "UTF-32")
-    code = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.levenshtein(code(p), code(t))
+    return let(F.struct(p.alias("p"), t.alias("t"), F.array_distinct(F.concat(p, t)).alias("k")), distance)
 
 
 def wer(pred: Column, truth: Column) -> Column:
@@ -55,23 +58,27 @@ def char_bleu(pred: Column, truth: Column, method: int = 1) -> Column:
     p, t = text(pred), text(truth)
 
     def order(n: int) -> Column:
-        mine, theirs = char_ngrams(p, n), char_ngrams(t, n)
-        clipped = lambda g: F.least(F.size(F.filter(mine, lambda x: x == g)), F.size(F.filter(theirs, lambda x: x == g)))
-        matched = F.aggregate(F.array_distinct(mine), F.lit(0), lambda a, g: a + clipped(g))
-        return F.struct(matched.cast("double").alias("m"), F.greatest(F.size(mine), F.lit(1)).cast("double").alias("n"))
+        def matched(b: Column) -> Column:
+            times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+            hits = F.aggregate(F.array_distinct(b["m"]), F.lit(0), lambda a, g: a + F.least(times(b["m"], g), times(b["t"], g)))
+            return F.struct(hits.cast("double").alias("m"), F.greatest(F.size(b["m"]), F.lit(1)).cast("double").alias("n"))
+
+        return let(F.struct(char_ngrams(p, n).alias("m"), char_ngrams(t, n).alias("t")), matched)
 
     orders = [order(n) for n in range(1, 5)]
-    logs = F.array(*orders)
-    if method == 1:
-        terms = F.transform(logs, lambda o: F.log(F.when(o["m"] == 0, 0.1).otherwise(o["m"]) / o["n"]))
-    else:
-        empty = lambda i: F.size(F.filter(F.slice(logs, F.lit(1), i + 1), lambda o: o["m"] == 0))
-        scale = F.lit(5.0) / F.log(F.length(p).cast("double"))
-        terms = F.transform(logs, lambda o, i: F.when((o["m"] == 0) & (F.length(p) > 1), F.log(F.lit(1.0) / (F.pow(F.lit(2.0), empty(i).cast("double")) * scale * o["n"]))).when(o["m"] == 0, F.lit(None).cast("double")).otherwise(F.log(o["m"] / o["n"])))
-    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    short = F.when(F.length(p) > F.length(t), F.lit(1.0)).otherwise(F.exp(1 - F.length(t) / F.length(p)))
-    none = (p == "") | (t == "") | (logs[0]["m"] == 0)
-    return F.when(none, 0.0).otherwise(F.coalesce(short * F.exp(total / 4), F.lit(0.0)))
+
+    def combined(logs: Column) -> Column:
+        if method == 1:
+            terms = F.transform(logs, lambda o: F.log(F.when(o["m"] == 0, 0.1).otherwise(o["m"]) / o["n"]))
+        else:
+            empty = lambda i: F.size(F.filter(F.slice(logs, F.lit(1), i + 1), lambda o: o["m"] == 0))
+            scale = F.lit(5.0) / F.log(F.length(p).cast("double"))
+            terms = F.transform(logs, lambda o, i: F.when((o["m"] == 0) & (F.length(p) > 1), F.log(F.lit(1.0) / (F.pow(F.lit(2.0), empty(i).cast("double")) * scale * o["n"]))).when(o["m"] == 0, F.lit(None).cast("double")).otherwise(F.log(o["m"] / o["n"])))
+        total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+        short = F.when(F.length(p) > F.length(t), F.lit(1.0)).otherwise(F.exp(1 - F.length(t) / F.length(p)))
+        return F.when(logs[0]["m"] == 0, 0.0).otherwise(F.coalesce(short * F.exp(total / 4), F.lit(0.0)))
+
+    return F.when((p == "") | (t == ""), 0.0).otherwise(let(F.array(*orders), combined))
 
 
 @lru_cache(maxsize=1 << 16)

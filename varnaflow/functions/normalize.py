@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze, text, words
+from .text import let, squeeze, text, words
 
 INLINE = 20_000
 #: Latin letters with marks, and what they fold to; letters that fold to several follow (fixed values).
@@ -64,10 +64,9 @@ def ruled_words(c: Column, english: Test) -> Column:
     """array<struct<prefix, first, x, w, suffix>> of a sentence: each core before and after both rules."""
 
     def parts(w: Column) -> Column:
-        p = word_parts(w)
-        core = F.lower(p["core"])
-        x = x_rule(core, english)
-        return F.struct(p["prefix"].alias("prefix"), core.alias("first"), x.alias("x"), w_rule(x, english).alias("w"), p["suffix"].alias("suffix"))
+        core = lambda p: F.lower(p["core"])
+        first = let(word_parts(w), lambda p: F.struct(p["prefix"].alias("prefix"), core(p).alias("first"), x_rule(core(p), english).alias("x"), p["suffix"].alias("suffix")))
+        return let(first, lambda p: F.struct(p["prefix"].alias("prefix"), p["first"].alias("first"), p["x"].alias("x"), w_rule(p["x"], english).alias("w"), p["suffix"].alias("suffix")))
 
     return F.transform(words(rule_text(c)), parts)
 

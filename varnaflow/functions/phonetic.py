@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import let, strip, text
 
 #: Symbol of each sound (fixed values); ``X`` alone differs in the alternate code.
 SYMBOLS = {
@@ -39,20 +39,24 @@ def _code(sounds: Column, symbols: dict[str, str]) -> Column:
     vowel = lambda s: s.rlike("^[aeiou]$")
     symbol = lambda s: F.coalesce(table[s], F.when(F.length(s) == 1, F.coalesce(table[F.lower(s)], F.upper(s))))
     heard = F.transform(F.filter(sounds, lambda s, i: (i == 0) | ~vowel(s)), lambda s: F.when(vowel(s), F.upper(s)).otherwise(symbol(s)))
-    different = F.slice(F.filter(heard, lambda s, i: (i == 0) | (s != F.get(heard, i - 1))), 1, LENGTH)
+    different = let(heard, lambda h: F.slice(F.filter(h, lambda s, i: (i == 0) | (s != F.get(h, i - 1))), 1, LENGTH))
     last = F.try_element_at(sounds, F.lit(-1))
-    closing = (F.size(sounds) > 0) & vowel(last) & (F.size(different) < LENGTH) & (F.upper(last) != F.try_element_at(different, F.lit(-1)))
-    return F.concat(F.array_join(different, ""), F.when(F.coalesce(closing, F.lit(False)), F.upper(last)).otherwise(""))
+
+    def closed(code: Column) -> Column:
+        more = (F.size(sounds) > 0) & vowel(last) & (F.size(code) < LENGTH) & (F.upper(last) != F.try_element_at(code, F.lit(-1)))
+        return F.concat(F.array_join(code, ""), F.when(F.coalesce(more, F.lit(False)), F.upper(last)).otherwise(""))
+
+    return let(different, closed)
 
 
 def phonetic_codes(word: Column) -> Column:
     """struct<primary, alternate>; alternate is empty where it equals primary."""
     sounds = F.regexp_extract_all(spelling(word), F.lit(f"(?s)({'|'.join(DIGRAPHS)}|.)"), 1)
-    primary, alternate = _code(sounds, SYMBOLS), _code(sounds, SYMBOLS | {"X": "X"})
-    return F.struct(primary.alias("primary"), F.when(primary == alternate, "").otherwise(alternate).alias("alternate"))
+    both = let(sounds, lambda s: F.struct(_code(s, SYMBOLS).alias("p"), _code(s, SYMBOLS | {"X": "X"}).alias("a")))
+    return let(both, lambda b: F.struct(b["p"].alias("primary"), F.when(b["p"] == b["a"], "").otherwise(b["a"]).alias("alternate")))
 
 
 def phonetic_key(word: Column) -> Column:
     """The primary code, else the alternate, else the first six characters."""
-    codes = phonetic_codes(word)
-    return F.coalesce(F.nullif(codes["primary"], F.lit("")), F.nullif(codes["alternate"], F.lit("")), F.substring(text(word), 1, LENGTH))
+    known = let(phonetic_codes(word), lambda c: F.coalesce(F.nullif(c["primary"], F.lit("")), F.nullif(c["alternate"], F.lit(""))))
+    return F.coalesce(known, F.substring(text(word), 1, LENGTH))

@@ -9,16 +9,16 @@ places follow from the difference in length alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .metrics import ratio
-from .text import text
 from .wordmodel import clean, devanagari, key
 
 #: Postpositions and their Devanagari form (fixed values).
@@ -235,20 +235,26 @@ def repaired(roman: str, deva: str, vocabulary: frozenset[str], least: float = L
     return place_numbers(roman, out, log) if second_pass else (out, log)
 
 
-def repair(roman: Column, deva: Column, vocabulary: Iterable[str], least: float = LEAST_SCORE, second_pass: bool = True) -> Column:
-    """struct<text, replacements> of each pair; null counts as empty.
+_FIELDS = [("roman_word", pa.string()), ("target_word", pa.string()), ("score", pa.float64()), ("target_index", pa.int32()), ("kind", pa.string()), ("context_score", pa.float64())]
 
-    ``vocabulary`` is a bounded list of English words, sent to the workers once a task.
+
+def repair(frame: DataFrame, roman: str, deva: str, vocabulary: Iterable[str], least: float = LEAST_SCORE, second_pass: bool = True) -> DataFrame:
+    """``frame`` with ``text`` and ``replacements`` of each pair; null counts as empty.
+
+    ``vocabulary`` is a bounded list of English words, sent to the workers once a
+    task.  Batches pass through Arrow with their other columns untouched.
     """
     known = frozenset(vocabulary)
+    kind = pa.list_(pa.struct(_FIELDS))
 
-    @F.pandas_udf(RESULT)
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        names = ("roman_word", "target_word", "score", "target_index", "kind", "context_score")
-        rows = [repaired(x, y, known, least, second_pass) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame({"text": [t for t, _ in rows], "replacements": [[dict(zip(names, r, strict=True)) for r in log] for _, log in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [repaired(a or "", b or "", known, least, second_pass) for a, b in zip(batch.column(roman).to_pylist(), batch.column(deva).to_pylist(), strict=True)]
+            logs = [[dict(zip((n for n, _ in _FIELDS), r, strict=True)) for r in log] for _, log in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in rows], pa.string()), pa.array(logs, kind)], [*batch.schema.names, "text", "replacements"])
 
-    return run(text(roman), text(deva))
+    added = T._parse_datatype_string(RESULT)
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *added.fields]))
 
 
 def replacement_lines(replacements: Column) -> Column:

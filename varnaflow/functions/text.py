@@ -7,6 +7,8 @@ differ between regex engines outside ASCII.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ DEVANAGARI = "\\u0900-\\u097F"
 EMOJI = "[\\u2500-\\u2BEF\\x{24C2}-\\x{1F251}\\u2640-\\u2642\\u2600-\\u2B55\\u200d\\u23cf\\u23e9\\u231a\\ufe0f\\u3030\\x{10000}-\\x{10FFFF}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; inside a lambda an expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     """The column as a string; null is empty."""
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
@@ -107,7 +114,7 @@ def digit_run_positions(c: Column) -> Column:
     """array<struct<pos, digits>>: each digit run with its first code point's place."""
     chars = F.split(text(c), "")
     numbered = F.transform(chars, lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike("^\\p{Nd}$").alias("d")))
-    starts = F.filter(numbered, lambda s: s["d"] & ((s["i"] == 0) | ~F.get(numbered, s["i"] - 1)["d"]))
+    starts = let(numbered, lambda ns: F.filter(ns, lambda s: s["d"] & ((s["i"] == 0) | ~F.get(ns, s["i"] - 1)["d"])))
     runs = digit_runs(c)
     return F.zip_with(starts, runs, lambda s, r: F.struct(s["i"].cast("long").alias("pos"), r.alias("digits")))
 
@@ -137,13 +144,17 @@ def mask_english(c: Column, is_english) -> Column:  # noqa: ANN001
 
 def restore_english(sentence: Column, english: Column) -> Column:
     """Each ``#`` takes the next word; words left over go to the end."""
-    tokens = words(sentence)
-    english = F.coalesce(english, F.array().cast("array<string>"))
-    rank = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), lambda t: t == "#"))
-    filled = F.transform(tokens, lambda t, i: F.when((t == "#") & (rank(i) <= F.size(english)), F.get(english, rank(i) - 1)).otherwise(t))
-    used = F.least(F.size(F.filter(tokens, lambda t: t == "#")), F.size(english))
-    rest = F.when(used < F.size(english), F.slice(english, used + 1, F.size(english) - used)).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(filled, rest), " ")
+    none = F.array().cast("array<string>")
+
+    def fill(both: Column) -> Column:
+        tokens, given = both["t"], both["w"]
+        rank = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), lambda t: t == "#"))
+        filled = F.transform(tokens, lambda t, i: F.when((t == "#") & (rank(i) <= F.size(given)), F.get(given, rank(i) - 1)).otherwise(t))
+        used = F.least(F.size(F.filter(tokens, lambda t: t == "#")), F.size(given))
+        rest = F.when(used < F.size(given), F.slice(given, used + 1, F.size(given) - used)).otherwise(none)
+        return F.array_join(F.concat(filled, rest), " ")
+
+    return let(F.struct(words(sentence).alias("t"), F.coalesce(english, none).alias("w")), fill)
 
 
 def log_curve(c: Column) -> Column:

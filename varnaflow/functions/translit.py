@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import let, strip, text
 
 #: Consonants in matching order (fixed values).
 CONSONANTS = {
@@ -60,8 +60,8 @@ def written(tokens: Column) -> Column:
     """Devanagari of typed units; each unit's form depends on its neighbours' types only."""
     consonant, own, sign, mark = _table(CONSONANTS), _table({k: v[0] for k, v in VOWELS.items()}), _table({k: v[1] for k, v in VOWELS.items()}), _table(MARKS)
 
-    def form(u: Column, i: Column) -> Column:
-        before, after = F.get(tokens, i - 1)["t"], F.get(tokens, i + 1)["t"]
+    def form(all_: Column, u: Column, i: Column) -> Column:
+        before, after = F.get(all_, i - 1)["t"], F.get(all_, i + 1)["t"]
         return (
             F.when(u["t"] == "C", F.concat(consonant[u["v"]], F.when(after == "C", VIRAMA).otherwise("")))
             .when(u["t"] == "V", F.when((i > 0) & (before == "C"), sign[u["v"]]).otherwise(own[u["v"]]))
@@ -69,7 +69,7 @@ def written(tokens: Column) -> Column:
             .otherwise(mark[u["v"]])
         )
 
-    return F.array_join(F.transform(tokens, form), "")
+    return let(tokens, lambda all_: F.array_join(F.transform(all_, lambda u, i: form(all_, u, i)), ""))
 
 
 def transliterate(c: Column) -> Column:

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def frames(tokens: Column, width: int = 3) -> Column:
     """All runs of ``width`` neighbouring elements; none of a shorter array."""
-    n = F.size(tokens)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.slice(tokens, i, F.lit(width)))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(ts: Column) -> Column:
+        n = F.size(ts)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.slice(ts, i, F.lit(width)))
+        return F.when(n >= width, runs).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(tokens, cut)
 
 
 def without_runs(values: Column) -> Column:
     """Neighbouring equal elements once."""
-    return F.filter(values, lambda x, i: (i == 0) | (x != F.get(values, i - 1)))
+    return let(values, lambda vs: F.filter(vs, lambda x, i: (i == 0) | (x != F.get(vs, i - 1))))
 
 
 def first_best(frame: DataFrame, score: str, order: str, *keys: str) -> DataFrame:

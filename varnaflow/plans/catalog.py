@@ -384,7 +384,9 @@ def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *_long("line_no"), F.md5(numbered_line(F.col("numbered")).cast("binary")).alias("answer"))
 
 
-@_query(f"WITH {_WORDS} SELECT word AS romanized, {_deva('word')} AS devanagari FROM words")
+@_query(f"""WITH {_WORDS}, l AS (SELECT word || ' , ' || {_deva("word")} || ',' AS line FROM words),
+  c AS (SELECT trim(regexp_extract(line, '^([^\\x{{0900}}-\\x{{097F}}]*)', 1), ' ,') AS romanized, trim(regexp_extract(line, '^[^\\x{{0900}}-\\x{{097F}}]*(.*)$', 1), ' ,') AS devanagari FROM l)
+  SELECT romanized, devanagari FROM c WHERE romanized <> '' AND devanagari <> ''""")
 def parsed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC22 FLT14 SRC20: generated lines cut into pairs."""
     line = F.concat(F.col("word"), F.lit(" , "), transliterate(F.col("word")), F.lit(","))
@@ -744,8 +746,8 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repaired_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC20 SC29 SC32 SC33 SC34 SC35 SC36 D9 D11: benchmark items transliterated and repaired."""
     items = _table(spark, sf_dir, "benchmark")
-    r = repair(F.col("text"), transliterate(F.lower("text")), VOCABULARY)
-    return items.select("item_id", r.alias("r")).select("item_id", "r.text", F.size("r.replacements").cast("long").alias("replacements"))
+    pairs = items.select("item_id", F.col("text").alias("roman"), transliterate(F.lower("text")).alias("deva"))
+    return repair(pairs, "roman", "deva", VOCABULARY).select("item_id", "text", F.size("replacements").cast("long").alias("replacements"))
 
 
 def queries() -> dict[str, Query]:

@@ -83,5 +83,4 @@ def serve(frame: DataFrame, column: str, english: Iterable[str], pvd: DataFrame,
     known = list(english)
     ready = normalize_with_changes(frame, column, vocabulary_test(known), pvd, *ids)
     spoken = ready.withColumn("transliterated", (model or transliterate)(F.col("normalized")))
-    fixed = spoken.withColumn("_r", repair(F.col("normalized"), F.col("transliterated"), known))
-    return fixed.select(*ids, "normalized", "changes", "transliterated", "_r.text", "_r.replacements")
+    return repair(spoken, "normalized", "transliterated", known).select(*ids, "normalized", "changes", "transliterated", "text", "replacements")

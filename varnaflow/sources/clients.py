@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import numbered_line, roman_devanagari_pair
@@ -39,7 +40,7 @@ def call_with_retry(call: Callable[[], object], retries: int = 3, wait: Callable
 
 def infer(frame: DataFrame, column: str, model: Callable[[list[str]], list[str]], batch: int = 32, output: str = "output") -> DataFrame:
     """``frame`` with the model's output; a row whose batch fails has an empty string."""
-    schema = frame.schema.add(output, "string")
+    schema = T.StructType([*frame.schema.fields, T.StructField(output, T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
