@@ -39,7 +39,7 @@ from ..functions.text import (
 from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_spelling, english_to_devanagari, transliterate
 from ..operators import aggregates, filters, joins, samples, sets, windows
 from ..session import ship
-from ..sources.readers import table_lines
+from ..sources.readers import spread, table_lines
 from . import dictionary, evaluation, normalization, romanized
 
 VOCABULARY = "the of and to in a is that it for with was on as be by this are at or from an not have new job market price school".split()
@@ -49,7 +49,7 @@ _ASCII_WORD = "^[a-z]+$"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ def variant_groups(lines: DataFrame, column: str, vocabulary: DataFrame, pattern
     found = distinct_words(lines, corpus_text(F.col(column)))
     if pattern:
         found = found.where(F.col("word").rlike(pattern))
-    coded = not_in(found, "word", vocabulary).withColumn("code", phonetic_codes(F.col("word"))["primary"]).where("code <> ''")
+    # Only words with a letter have a code; asked of the word, so that codes are computed once.
+    coded = not_in(found, "word", vocabulary).where((F.length("word") == 2) | F.translate(F.lower("word"), "āīūṁṃñṙ", "aiummnr").rlike("[a-z]")).withColumn("code", phonetic_codes(F.col("word"))["primary"])
     groups = coded.groupBy("code").agg(F.min_by("word", F.struct((-F.col("n")).alias("s"), "word")).alias("base_word"), F.array_sort(F.collect_set("word")).alias("variants"), F.count("*").alias("n"))
     return groups.where(F.col("n") >= least)
 

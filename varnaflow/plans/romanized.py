@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import Test
-from ..functions.text import output_name, plain_lower, ratio_words, remove_emojis, repair_separators
+from ..functions.text import let, output_name, plain_lower, ratio_words, remove_emojis, repair_separators
 from ..operators.aggregates import corpus_statistics
 from ..operators.filters import romanized_only
 from ..operators.joins import membership
@@ -14,12 +14,27 @@ from ..operators.joins import membership
 
 def analysed(lines: DataFrame, english: Test, column: str = "value") -> DataFrame:
     """``lines`` with clean, english_ratio, english_words, total_words, genuine_words and what cleaning changed.  Row-local."""
-    no_emoji = remove_emojis(F.col(column))
-    rows = lines.withColumn("_e", no_emoji).withColumn("clean", repair_separators(F.col("_e")))
-    rows = rows.withColumns({"emoji_fixed": F.col("_e") != F.col(column), "separators_fixed": F.col("clean") != F.col("_e"), "blank": F.col("clean") == "", "_w": ratio_words(F.col("clean"))})
-    rows = rows.withColumns({"english_words": F.size(F.filter("_w", english)).cast("long"), "total_words": F.size("_w").cast("long")})
-    ratio = F.when(F.col("total_words") == 0, 0.0).otherwise(F.col("english_words") / F.col("total_words"))
-    return rows.withColumns({"genuine_words": F.col("total_words") - F.col("english_words"), "english_ratio": ratio}).drop("_e", "_w")
+
+
+    def counted(x: Column) -> Column:
+        ratio = F.when(x["n"] == 0, 0.0).otherwise(x["k"] / x["n"])
+        return F.struct(
+            x["clean"].alias("clean"),
+            (x["e"] != F.col(column)).alias("emoji_fixed"),
+            (x["clean"] != x["e"]).alias("separators_fixed"),
+            (x["clean"] == "").alias("blank"),
+            x["k"].alias("english_words"),
+            x["n"].alias("total_words"),
+            (x["n"] - x["k"]).alias("genuine_words"),
+            ratio.alias("english_ratio"),
+        )
+
+    def worded(x: Column) -> Column:
+        numbers = lambda ws: F.struct(x["e"].alias("e"), x["clean"].alias("clean"), F.size(F.filter(ws, english)).cast("long").alias("k"), F.size(ws).cast("long").alias("n"))
+        return let(ratio_words(x["clean"]), numbers)
+
+    cleaned = let(remove_emojis(F.col(column)), lambda e: F.struct(e.alias("e"), repair_separators(e).alias("clean")))
+    return lines.withColumn("_a", let(let(cleaned, worded), counted)).select(*lines.columns, "_a.*")
 
 
 def analysed_by_join(lines: DataFrame, vocabulary: DataFrame, column: str, *ids: str) -> DataFrame:

@@ -16,6 +16,15 @@ LABELLED = "id bigint, romanized string, devanagari string"
 PVD_JSON = "map<string, struct<base_word: string, variants: array<string>>>"
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt out; one of many files is left as it lies.
+
+    A small table is often one file with one row group, which would be one task.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, value): stripped lines that aren't blank."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("value"))
