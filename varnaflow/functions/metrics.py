@@ -59,8 +59,9 @@ def char_bleu(pred: Column, truth: Column, method: int = 1) -> Column:
 
     def order(n: int) -> Column:
         def matched(b: Column) -> Column:
-            times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-            hits = F.aggregate(F.array_distinct(b["m"]), F.lit(0), lambda a, g: a + F.least(times(b["m"], g), times(b["t"], g)))
+            # the n-th time a text has an n-gram matches the n-th time of the other
+            nth = lambda grams: let(F.array_sort(grams), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g)).cast("string"))))
+            hits = F.size(F.array_intersect(nth(b["m"]), nth(b["t"])))
             return F.struct(hits.cast("double").alias("m"), F.greatest(F.size(b["m"]), F.lit(1)).cast("double").alias("n"))
 
         return let(F.struct(char_ngrams(p, n).alias("m"), char_ngrams(t, n).alias("t")), matched)

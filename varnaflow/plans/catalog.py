@@ -8,6 +8,7 @@ themselves, and transliterated text is the Devanagari side.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,9 +188,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
+def _query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
+    """Register a query; with ``whole`` also ``whole_`` and its name, which leaves no row or character out and has no SQL."""
+
     def keep(f: Query) -> Query:
         _FOUND[f.__name__] = (f, sql)
+        if whole:
+            _FOUND[f"whole_{f.__name__}"] = (partial(f, whole=True), None)
         return f
 
     return keep
@@ -521,37 +526,40 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Metrics ---------------------------------------------------------------------
 
 
-def _eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(role, n, ref, hyp): ASCII turns against their rule-based form."""
-    rows = _ascii_turns(spark, sf_dir).withColumn("n", F.col("conv_id") * 1000 + F.col("turn"))
-    return rows.select("role", "n", F.substring("text", 1, 300).alias("ref"), F.substring(rule_text(F.col("text")), 1, 300).alias("hyp"))
+def _eval_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(role, n, ref, hyp): turns against their rule-based form; unless ``whole``, ASCII ones and 300 characters as in the SQL."""
+    turns = _turns(spark, sf_dir) if whole else _ascii_turns(spark, sf_dir)
+    rows = turns.select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.col("text").alias("ref"), rule_text(F.col("text")).alias("hyp"))
+    return rows if whole else rows.select("role", "n", *[F.substring(c, 1, 300).alias(c) for c in ("ref", "hyp")])
 
 
 _PAIRS = f"pairs AS (SELECT role, c.conv_id * 1000 + c.turn AS n, substr(c.text, 1, 300) AS ref, substr(a.t, 1, 300) AS hyp FROM conversations c JOIN ascii_turns a USING (conv_id, turn))"
 
 
-@_query(f"WITH {_ASCII_TURNS}, {_PAIRS} SELECT n, levenshtein(hyp, ref) AS errors, round(levenshtein(hyp, ref)::DOUBLE / greatest(length(ref), 1), 9) AS cer FROM pairs")
-def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_ASCII_TURNS}, {_PAIRS} SELECT n, levenshtein(hyp, ref) AS errors, round(levenshtein(hyp, ref)::DOUBLE / greatest(length(ref), 1), 9) AS cer FROM pairs", whole=True)
+def character_errors(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC17: character errors of each pair."""
-    p = _eval_pairs(spark, sf_dir)
+    p = _eval_pairs(spark, sf_dir, whole)
     return p.select("n", char_errors(F.col("hyp"), F.col("ref")).cast("long").alias("errors"), F.round(cer(F.col("hyp"), F.col("ref")), 9).alias("cer"))
 
 
 @_query(f"""WITH {_ASCII_TURNS}, {_PAIRS}, w AS (SELECT n, {_split("hyp")} AS h, {_split("ref")} AS r FROM pairs),
   k AS (SELECT *, list_distinct(list_concat(h, r)) AS known FROM w)
   SELECT n, levenshtein(array_to_string(list_transform(h, lambda x: chr((32 + list_position(known, x))::INT)), ''), array_to_string(list_transform(r, lambda x: chr((32 + list_position(known, x))::INT)), '')) AS errors,
-    len(list_filter(list_zip(h, r), lambda z: z[1] = z[2])) AS in_place FROM k WHERE len(known) <= 94""")
-def word_errors_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC18 AGG10: word errors and words in place, of pairs that the other engine can number in ASCII."""
-    p = _eval_pairs(spark, sf_dir).where(F.size(F.array_distinct(F.concat(words(F.col("hyp")), words(F.col("ref"))))) <= 94)
+    len(list_filter(list_zip(h, r), lambda z: z[1] = z[2])) AS in_place FROM k WHERE len(known) <= 94""", whole=True)
+def word_errors_of_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """SC18 AGG10: word errors and words in place, unless ``whole`` of pairs that the other engine can number in ASCII."""
+    p = _eval_pairs(spark, sf_dir, whole)
+    if not whole:
+        p = p.where(F.size(F.array_distinct(F.concat(words(F.col("hyp")), words(F.col("ref"))))) <= 94)
     return p.select("n", word_errors(F.col("hyp"), F.col("ref")).cast("long").alias("errors"), words_in_place(F.col("hyp"), F.col("ref")).cast("long").alias("in_place"))
 
 
 @_query(f"""WITH {_ASCII_TURNS}, {_PAIRS} SELECT role, round(sum(levenshtein(hyp, ref))::DOUBLE / sum(greatest(length(ref), 1)), 9) AS cer, round(avg(levenshtein(hyp, ref)), 9) AS mean_edit_distance,
-  round(sum(len(list_filter(list_zip({_split("hyp")}, {_split("ref")}), lambda z: z[1] = z[2])))::DOUBLE / sum(len({_split("ref")})), 9) AS word_accuracy FROM pairs GROUP BY role""")
-def micro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+  round(sum(len(list_filter(list_zip({_split("hyp")}, {_split("ref")}), lambda z: z[1] = z[2])))::DOUBLE / sum(len({_split("ref")})), 9) AS word_accuracy FROM pairs GROUP BY role""", whole=True)
+def micro_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """AGG9 AGG10 AGG11: errors over lengths, summed by role."""
-    m = aggregates.micro_scores(_eval_pairs(spark, sf_dir), "role")
+    m = aggregates.micro_scores(_eval_pairs(spark, sf_dir, whole), "role")
     return m.select("role", *[F.round(c, 9).alias(c) for c in ("cer", "mean_edit_distance", "word_accuracy")])
 
 
@@ -566,9 +574,9 @@ def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC19: character BLEU with both smoothings."""
-    p = _eval_pairs(spark, sf_dir)
-    return p.select("n", *[F.round(char_bleu(F.substring("hyp", 1, 80), F.substring("ref", 1, 80), m), 9).alias(f"bleu{m}") for m in (1, 4)])
+    """SC19: character BLEU of whole turns with both smoothings."""
+    p = _eval_pairs(spark, sf_dir, whole=True)
+    return p.select("n", *[F.round(char_bleu(F.col("hyp"), F.col("ref"), m), 9).alias(f"bleu{m}") for m in (1, 4)])
 
 
 @_query()
