@@ -36,7 +36,7 @@ def _bleu1(p, t):
 def turns(spark, tmp_path_factory):
     """Turns with their differences past 300 characters, with over 94 different words, and with accents."""
     long = " ".join(f"word{i}" for i in range(120)) + " KATHMANDU Xoro {{{"
-    rows = [(1, 0, "user", long), (1, 1, "bot", "Tyo café ramro cha"), (2, 0, "user", "Straße " * 60 + "[END]"), (2, 1, "bot", "aaaa bb")]
+    rows = [(1, 0, "user", long), (1, 1, "bot", "Tyo café ramro cha kaffé"), (2, 0, "user", "Straße " * 60 + "[END]"), (2, 1, "bot", "aaaa bb")]
     path = str(tmp_path_factory.mktemp("turns"))
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
@@ -64,3 +64,32 @@ def test_scores_of_whole_texts(spark, turns):
     for r in got["whole_micro_scores"](spark, turns).collect():
         assert r["cer"] == pytest.approx(errors[r["role"]] / sizes[r["role"]], abs=1e-8)
         assert r["mean_edit_distance"] == pytest.approx(errors[r["role"]] / roles[r["role"]], abs=1e-8)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, turns):
+    text = "caffé caffe kaffé über uber\nराम राम\nthird line\nfourth line. It is\nfifth"
+    spark.createDataFrame([(1, text, "fr", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{turns}/documents.parquet")
+    return turns
+
+
+def test_no_word_turn_or_line_is_left_out(spark, documents):
+    run = lambda name: catalog.queries()[name](spark, documents).collect()
+    every = {"caffé", "caffe", "kaffé", "über", "uber", "राम", "third", "line", "fourth", "fifth"}
+    assert {r["word"]: r["n"] for r in run("whole_unknown_words")} == {w: 2 if w in ("राम", "line") else 1 for w in every}
+    assert {r["word"] for r in run("whole_phonetic_code")} == every | {"it", "is"}
+    code = {r["word"]: r["code"] for r in run("whole_phonetic_code")}
+    blocks = {}
+    for w in every:
+        if code[w]:
+            blocks.setdefault(code[w], set()).add(w)
+    blocks = {c: ws for c, ws in blocks.items() if len(ws) > 1}
+    assert any(not w.isascii() for ws in blocks.values() for w in ws)
+    assert {r["code"]: set(r["variants"].split()) for r in run("whole_variant_dictionary")} == blocks
+    assert {r["head"] for r in run("similar_codes")} | {r["head"] for r in run("whole_block_pairs")} <= {min(ws) for ws in blocks.values()}
+    assert {(r["doc_id"], r["line_no"]) for r in run("whole_numbered_answers")} == {(1, i) for i in range(5)}
+    ruled = {(r["conv_id"], r["turn"]): r["normalized"] for r in run("whole_rule_based_turns")}
+    assert len(ruled) == 4 and ruled[(1, 1)].startswith("tyo cafe ")
+    assert {(r["conv_id"], r["turn"]) for r in run("whole_normalized_turns")} == set(ruled)
+    served = {(r["conv_id"], r["turn"]) for r in run("served_turns")}
+    assert served == set(ruled)

@@ -65,13 +65,14 @@ def _vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, n): different lower-case ASCII words of the documents."""
-    return aggregates.distinct_words(_table(spark, sf_dir, "documents"), corpus_text(F.col("text"))).where(F.col("word").rlike(_ASCII_WORD))
+def _words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(word, n): different words of the documents; unless ``whole``, lower-case ASCII ones as in the SQL."""
+    found = aggregates.distinct_words(_table(spark, sf_dir, "documents"), corpus_text(F.col("text")))
+    return found if whole else found.where(F.col("word").rlike(_ASCII_WORD))
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.variant_groups(_table(spark, sf_dir, "documents"), "text", _vocabulary(spark), _ASCII_WORD)
+def _groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dictionary.variant_groups(_table(spark, sf_dir, "documents"), "text", _vocabulary(spark), None if whole else _ASCII_WORD)
 
 
 def _long(*names: str) -> list:
@@ -180,8 +181,10 @@ def _ruled(x: str) -> str:
 _ASCII_TURNS = f"ascii_turns AS (SELECT conv_id, turn, {_ruled('text')} AS t FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
 
 
-def _ascii_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).where(F.col("text").rlike("^[\\x00-\\x7F]*$"))
+def _ascii_turns(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Turns; unless ``whole``, ASCII ones as in the SQL."""
+    turns = _turns(spark, sf_dir)
+    return turns if whole else turns.where(F.col("text").rlike("^[\\x00-\\x7F]*$"))
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,43 +206,43 @@ def _query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Que
 # Dictionary build ------------------------------------------------------------
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, base_word, array_to_string(variants, ' ') AS variants, n FROM groups")
-def variant_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, base_word, array_to_string(variants, ' ') AS variants, n FROM groups", whole=True)
+def variant_dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SRC1 SC6 SC7 AGG3 FLT3 SET4 SC23 AGG5 JN6 D15: unknown words grouped by phonetic code."""
-    return _groups(spark, sf_dir).select("code", "base_word", F.array_join("variants", " ").alias("variants"), "n")
+    return _groups(spark, sf_dir, whole).select("code", "base_word", F.array_join("variants", " ").alias("variants"), "n")
 
 
-@_query(f"WITH {_WORDS} SELECT word, n FROM words WHERE NOT list_contains({_VOCAB}, word)")
-def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word, n FROM words WHERE NOT list_contains({_VOCAB}, word)", whole=True)
+def unknown_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """FLT3 SET4 AGG3: distinct words that aren't English."""
-    return filters.not_in(_words(spark, sf_dir), "word", _vocabulary(spark)).select("word", "n")
+    return filters.not_in(_words(spark, sf_dir, whole), "word", _vocabulary(spark)).select("word", "n")
 
 
-@_query(f"WITH {_WORDS} SELECT word, code FROM {_coded('words')}")
-def phonetic_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word, code FROM {_coded('words')}", whole=True)
+def phonetic_code(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC23 WIN4: the primary code of each word."""
-    return _words(spark, sf_dir).select("word", phonetic_codes(F.col("word"))["primary"].alias("code"))
+    return _words(spark, sf_dir, whole).select("word", phonetic_codes(F.col("word"))["primary"].alias("code"))
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS}, {_PVD} SELECT count(DISTINCT base) AS bases, count(*) AS variants FROM pvd")
-def dictionary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS}, {_PVD} SELECT count(DISTINCT base) AS bases, count(*) AS variants FROM pvd", whole=True)
+def dictionary_size(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SRC10 AGG17: how many bases and variants the lookup has."""
-    return aggregates.base_words(dictionary.pvd_of(_groups(spark, sf_dir)))
+    return aggregates.base_words(dictionary.pvd_of(_groups(spark, sf_dir, whole)))
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, variants[1] AS head, unnest(variants[2:]) AS other FROM groups")
-def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, variants[1] AS head, unnest(variants[2:]) AS other FROM groups", whole=True)
+def block_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """JN6: each word of a phonetic block with the block's first."""
-    coded = filters.not_in(_words(spark, sf_dir), "word", _vocabulary(spark)).withColumn("code", phonetic_codes(F.col("word"))["primary"]).where("code <> ''")
+    coded = filters.not_in(_words(spark, sf_dir, whole), "word", _vocabulary(spark)).withColumn("code", phonetic_codes(F.col("word"))["primary"]).where("code <> ''")
     return joins.block_pairs(joins.phonetic_blocks(coded))
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS} SELECT to_json(MAP {{code: {{'base_word': base_word, 'variants': variants}}}})::VARCHAR AS value FROM groups")
-def dictionary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS} SELECT to_json(MAP {{code: {{'base_word': base_word, 'variants': variants}}}})::VARCHAR AS value FROM groups", whole=True)
+def dictionary_json(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SNK5 D4: the dictionary as JSON entries."""
     from ..sources.writers import pvd_document
 
-    return pvd_document(_groups(spark, sf_dir))
+    return pvd_document(_groups(spark, sf_dir, whole))
 
 
 # Romanized filter ------------------------------------------------------------
@@ -327,10 +330,10 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", *_long("line_no"), md5(clean_token(line), "token"), md5(remove_emojis(line), "emoji"), md5(repair_separators(line), "separators"), md5(plain_lower(line), "plain"), md5(corpus_text(line), "corpus"), F.size(words(line)).cast("long").alias("words"))
 
 
-@_query(f"WITH {_WORDS} SELECT word, {_deva('word')} AS devanagari FROM words")
-def transliterated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word, {_deva('word')} AS devanagari FROM words", whole=True)
+def transliterated_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC24 WIN7 D10: Devanagari of every word."""
-    return _words(spark, sf_dir).select("word", transliterate(F.col("word")).alias("devanagari"))
+    return _words(spark, sf_dir, whole).select("word", transliterate(F.col("word")).alias("devanagari"))
 
 
 def _english_sound(w: str) -> str:
@@ -343,21 +346,21 @@ def _english_sound(w: str) -> str:
 
 
 @_query(f"""WITH {_WORDS} SELECT word, sound, coalesce(MAP {{'school': 'स्कुल'}}[word], deva) AS devanagari FROM (
-  SELECT word, sound, {_deva("sound")} AS deva FROM (SELECT word, {_english_sound("word")} AS sound FROM words))""")
-def english_words_in_devanagari(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT word, sound, {_deva("sound")} AS deva FROM (SELECT word, {_english_sound("word")} AS sound FROM words))""", whole=True)
+def english_words_in_devanagari(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC25 SC26 SC27: English spellings made sounds, then Devanagari."""
     w = F.col("word")
-    return _words(spark, sf_dir).select("word", english_spelling(w).alias("sound"), english_to_devanagari(w).alias("devanagari"))
+    return _words(spark, sf_dir, whole).select("word", english_spelling(w).alias("sound"), english_to_devanagari(w).alias("devanagari"))
 
 
 @_query(f"""WITH {_WORDS}, d AS (SELECT word, n, {_deva("word")} || ' १२ ' || word AS mixed FROM words)
   SELECT word, regexp_matches(mixed, '[ऀ-ॿ]') AS has_devanagari, array_to_string(regexp_extract_all(mixed, '[\\x{{0900}}-\\x{{097F}}]+'), '|') AS runs, {_strip("regexp_replace(mixed, '[^\\x{0900}-\\x{097F}\\s]', '', 'g')")} AS kept,
-    translate(n::VARCHAR, '0123456789', '०१२३४५६७८९') AS digits FROM d""")
-def devanagari_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    translate(n::VARCHAR, '0123456789', '०१२३४५६७८९') AS digits FROM d""", whole=True)
+def devanagari_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """FLT1 FLT11 SC30 SC42 SC43: Devanagari predicates, runs and digits."""
     w = F.col("word")
     mixed = F.concat(transliterate(w), F.lit(" १२ "), w)
-    return _words(spark, sf_dir).select("word", contains_devanagari(mixed).alias("has_devanagari"), F.array_join(devanagari_runs(mixed), "|").alias("runs"), keep_devanagari(mixed).alias("kept"), devanagari_digits(F.col("n")).alias("digits"))
+    return _words(spark, sf_dir, whole).select("word", contains_devanagari(mixed).alias("has_devanagari"), F.array_join(devanagari_runs(mixed), "|").alias("runs"), keep_devanagari(mixed).alias("kept"), devanagari_digits(F.col("n")).alias("digits"))
 
 
 @_query(f"""WITH {_LINES} SELECT doc_id, line_no, array_to_string(regexp_extract_all(line, '[0-9]+'), '|') AS digits FROM lines WHERE regexp_matches(line, '[0-9]')""")
@@ -382,20 +385,21 @@ def masked_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "line_no", digest(F.col("m.masked")).alias("masked"), F.array_join("m.words", " ").alias("words"), digest(restore_english(F.col("m.masked"), F.col("m.words"))).alias("restored"))
 
 
-@_query(f"""WITH {_LINES} SELECT doc_id, line_no, md5(line) AS answer FROM lines WHERE line_no < 3""")
-def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"""WITH {_LINES} SELECT doc_id, line_no, md5(line) AS answer FROM lines WHERE line_no < 3""", whole=True)
+def numbered_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC22: answers of numbered lines."""
-    rows = _lines(spark, sf_dir).where("line_no < 3").withColumn("numbered", F.concat(F.col("line_no") + 1, F.lit(". "), "line"))
+    lines = _lines(spark, sf_dir)
+    rows = (lines if whole else lines.where("line_no < 3")).withColumn("numbered", F.concat(F.col("line_no") + 1, F.lit(". "), "line"))
     return rows.select("doc_id", *_long("line_no"), F.md5(numbered_line(F.col("numbered")).cast("binary")).alias("answer"))
 
 
 @_query(f"""WITH {_WORDS}, l AS (SELECT word || ' , ' || {_deva("word")} || ',' AS line FROM words),
   c AS (SELECT trim(regexp_extract(line, '^([^\\x{{0900}}-\\x{{097F}}]*)', 1), ' ,') AS romanized, trim(regexp_extract(line, '^[^\\x{{0900}}-\\x{{097F}}]*(.*)$', 1), ' ,') AS devanagari FROM l)
-  SELECT romanized, devanagari FROM c WHERE romanized <> '' AND devanagari <> ''""")
-def parsed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT romanized, devanagari FROM c WHERE romanized <> '' AND devanagari <> ''""", whole=True)
+def parsed_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC22 FLT14 SRC20: generated lines cut into pairs."""
     line = F.concat(F.col("word"), F.lit(" , "), transliterate(F.col("word")), F.lit(","))
-    return _words(spark, sf_dir).select(roman_devanagari_pair(line).alias("p")).where("p is not null").select("p.*")
+    return _words(spark, sf_dir, whole).select(roman_devanagari_pair(line).alias("p")).where("p is not null").select("p.*")
 
 
 @_query("SELECT item_id::INT AS epoch, round(item_id / 10.0, 4) AS train_loss, round(item_id / 20.0, 4) AS val_loss FROM benchmark")
@@ -409,10 +413,10 @@ def training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_ASCII_TURNS}, r AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, core) THEN replace(core, 'x', 'chh') ELSE core END AS x FROM {_RULED})
-  SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized FROM ascii_turns t0 LEFT JOIN (SELECT conv_id, turn, string_agg(prefix || CASE WHEN NOT list_contains({_VOCAB}, x) AND x LIKE '%w' THEN x[:-2] || 'a' ELSE x END || suffix, ' ' ORDER BY pos) AS n FROM r GROUP BY conv_id, turn) USING (conv_id, turn)""")
-def rule_based_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized FROM ascii_turns t0 LEFT JOIN (SELECT conv_id, turn, string_agg(prefix || CASE WHEN NOT list_contains({_VOCAB}, x) AND x LIKE '%w' THEN x[:-2] || 'a' ELSE x END || suffix, ' ' ORDER BY pos) AS n FROM r GROUP BY conv_id, turn) USING (conv_id, turn)""", whole=True)
+def rule_based_turns(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC8 SC9 SC10 SC11 SC14: the rule-based arm."""
-    return _ascii_turns(spark, sf_dir).select("conv_id", "turn", rule_based(F.col("text"), _ENGLISH).alias("normalized"))
+    return _ascii_turns(spark, sf_dir, whole).select("conv_id", "turn", rule_based(F.col("text"), _ENGLISH).alias("normalized"))
 
 
 _CHANGED = f"""{_WORDS}, {_GROUPS}, {_PVD}, {_ASCII_TURNS}, r AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, core) THEN replace(core, 'x', 'chh') ELSE core END AS x FROM {_RULED}),
@@ -421,19 +425,19 @@ _CHANGED = f"""{_WORDS}, {_GROUPS}, {_PVD}, {_ASCII_TURNS}, r AS (SELECT *, CASE
 
 
 @_query(f"""WITH {_CHANGED} SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized, coalesce(c, 0) AS changes FROM ascii_turns t0 LEFT JOIN (
-  SELECT conv_id, turn, string_agg(prefix || coalesce(base, y) || suffix, ' ' ORDER BY pos) AS n, sum((x <> core)::BIGINT + (y <> x)::BIGINT + (base IS NOT NULL)::BIGINT)::BIGINT AS c FROM f GROUP BY conv_id, turn) USING (conv_id, turn)""")
-def normalized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT conv_id, turn, string_agg(prefix || coalesce(base, y) || suffix, ' ' ORDER BY pos) AS n, sum((x <> core)::BIGINT + (y <> x)::BIGINT + (base IS NOT NULL)::BIGINT)::BIGINT AS c FROM f GROUP BY conv_id, turn) USING (conv_id, turn)""", whole=True)
+def normalized_turns(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC12 SC13 SC14 JN1 D5 D12: rules and dictionary with their changes."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
-    out = normalization.normalize_with_changes(_ascii_turns(spark, sf_dir), "text", _ENGLISH, pvd, "conv_id", "turn")
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole))
+    out = normalization.normalize_with_changes(_ascii_turns(spark, sf_dir, whole), "text", _ENGLISH, pvd, "conv_id", "turn")
     return out.select("conv_id", "turn", "normalized", F.size("changes").cast("long").alias("changes"))
 
 
-@_query(f"""WITH {_CHANGED} SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN x <> core THEN 'x → chh' END, CASE WHEN y <> x THEN 'w → a' END, CASE WHEN base IS NOT NULL THEN 'dictionary mapping' END], lambda r: r IS NOT NULL)) AS rule FROM f) GROUP BY rule""")
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"""WITH {_CHANGED} SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN x <> core THEN 'x → chh' END, CASE WHEN y <> x THEN 'w → a' END, CASE WHEN base IS NOT NULL THEN 'dictionary mapping' END], lambda r: r IS NOT NULL)) AS rule FROM f) GROUP BY rule""", whole=True)
+def change_log(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC10 SC11 SC12 D12: how often each rule fired."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
-    out = normalization.normalize_with_changes(_ascii_turns(spark, sf_dir), "text", _ENGLISH, pvd, "conv_id", "turn")
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole))
+    out = normalization.normalize_with_changes(_ascii_turns(spark, sf_dir, whole), "text", _ENGLISH, pvd, "conv_id", "turn")
     return out.select(F.explode("changes").alias("c")).groupBy(F.col("c.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
@@ -447,7 +451,7 @@ def config_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def ablation_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC14 SC15 JN8 SRC3: every arm of every turn through two models."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole=True))
     return normalization.ablation(_turns(spark, sf_dir), "text", _ENGLISH, pvd, [("chunked", 125), ("whole", 0)], None, "conv_id", "turn")
 
 
@@ -462,7 +466,7 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def served_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC36 SC37 SC38 JN7 WIN2 WIN3 SNK10: normalize, transliterate, repair."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole=True))
     out = normalization.serve(_turns(spark, sf_dir), "text", VOCABULARY, pvd, "conv_id", "turn")
     return out.select("conv_id", "turn", "text", F.array_join(replacement_lines(F.col("replacements")), "\n").alias("log"))
 
@@ -528,8 +532,7 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _eval_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """(role, n, ref, hyp): turns against their rule-based form; unless ``whole``, ASCII ones and 300 characters as in the SQL."""
-    turns = _turns(spark, sf_dir) if whole else _ascii_turns(spark, sf_dir)
-    rows = turns.select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.col("text").alias("ref"), rule_text(F.col("text")).alias("hyp"))
+    rows = _ascii_turns(spark, sf_dir, whole).select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.col("text").alias("ref"), rule_text(F.col("text")).alias("hyp"))
     return rows if whole else rows.select("role", "n", *[F.substring(c, 1, 300).alias(c) for c in ("ref", "hyp")])
 
 
@@ -582,7 +585,7 @@ def bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def similar_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC16 SC28 FLT7 FLT10: matching ratio of each block's words to its first."""
-    pairs = block_pairs(spark, sf_dir)
+    pairs = block_pairs(spark, sf_dir, whole=True)
     return filters.unlike(pairs, "head", "other", 0.5).select("code", "head", "other", F.round("ratio", 9).alias("ratio"))
 
 
@@ -659,16 +662,16 @@ def first_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.first_of_key(both.select("id", "turn", "src", "text"), "id", "src", "turn").select("id", "text").orderBy("id")
 
 
-@_query(f"WITH {_WORDS} SELECT word FROM words WHERE length(word) > 1 ORDER BY word")
-def sorted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word FROM words WHERE length(word) > 1 ORDER BY word", whole=True)
+def sorted_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """ORD2 FLT6: distinct words in code-point order."""
-    return filters.longer_than(_words(spark, sf_dir), "word", 1).select("word").orderBy("word")
+    return filters.longer_than(_words(spark, sf_dir, whole), "word", 1).select("word").orderBy("word")
 
 
-@_query(f"WITH {_WORDS}, d AS (SELECT DISTINCT unnest(regexp_extract_all({_deva('word')}, '[\\x{{0900}}-\\x{{097F}}]+')) AS word FROM words) SELECT word FROM d WHERE length(word) > 1 ORDER BY word")
-def devanagari_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_WORDS}, d AS (SELECT DISTINCT unnest(regexp_extract_all({_deva('word')}, '[\\x{{0900}}-\\x{{097F}}]+')) AS word FROM words) SELECT word FROM d WHERE length(word) > 1 ORDER BY word", whole=True)
+def devanagari_word_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC42 FLT6 AGG3 SNK9: the different Devanagari words."""
-    return dictionary.devanagari_words(_words(spark, sf_dir).select(transliterate(F.col("word")).alias("line")), "line")
+    return dictionary.devanagari_words(_words(spark, sf_dir, whole).select(transliterate(F.col("word")).alias("line")), "line")
 
 
 def _dice(*parts: str) -> str:
@@ -679,10 +682,10 @@ def _dice(*parts: str) -> str:
   t AS (SELECT item_id AS id, unnest({_split("text")}) AS token, generate_subscripts({_split("text")}, 1) - 1 AS pos FROM benchmark),
   e AS (SELECT t.*, cluster, v FROM t LEFT JOIN cl ON lower(token) = word, (SELECT unnest([1, 2, 3]) AS v)),
   s AS (SELECT *, CASE WHEN cluster IS NOT NULL AND {_dice("id::VARCHAR", "v::VARCHAR", "pos::VARCHAR", "'swap'")} < {int(0.7 * 2**32)} THEN cluster[{_dice("id::VARCHAR", "v::VARCHAR", "pos::VARCHAR", "'pick'")} % len(cluster) + 1] ELSE token END AS w FROM e)
-  SELECT item_id AS id, 0 AS variation, text AS sentence FROM benchmark UNION ALL SELECT id, v AS variation, string_agg(w, ' ' ORDER BY pos) AS sentence FROM s GROUP BY id, v""")
-def augmented_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT item_id AS id, 0 AS variation, text AS sentence FROM benchmark UNION ALL SELECT id, v AS variation, string_agg(w, ' ' ORDER BY pos) AS sentence FROM s GROUP BY id, v""", whole=True)
+def augmented_sentences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SC41 JN5 D6 SRC11: each sentence and three variations from the clusters."""
-    clusters = _groups(spark, sf_dir).select(F.explode("variants").alias("word"), F.col("variants").alias("cluster"))
+    clusters = _groups(spark, sf_dir, whole).select(F.explode("variants").alias("word"), F.col("variants").alias("cluster"))
     rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return dictionary.augmented(rows, "text", clusters)
 
