@@ -395,3 +395,33 @@ def test_similar_documents(spark):
     assert twice.count() == 2
     assert twice.columns == _docs(spark, []).columns
     assert similar.keep_one(_docs(spark, [])).count() == 0
+
+
+def test_similar_documents_are_those_of_the_exact_similarity(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    rows = []
+    for i in range(150):
+        a = [rnd.choice(words) for _ in range(94 if i % 2 else 274)]
+        n = len(a) - 4
+        b, lost = list(a), round(n * rnd.uniform(0.08, 0.16))  # similarities about 0.8
+        b[-lost:] = [rnd.choice(words) for _ in range(lost)]
+        rows += [" ".join(a), " ".join(b)]
+    for _ in range(40):  # one shingle shared 60 times, few others
+        same = "a " * 64
+        rows += [same + " ".join(rnd.choice(words) for _ in range(8)) for _ in range(2)]
+
+    def of(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    pairs = [(of(a), of(b)) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    alike = [5 * len(a & b) >= 4 * len(a | b) for a, b in pairs]
+    assert 40 < sum(alike[:150]) < 110
+    kept = {r["doc_id"] for r in similar.keep_one(_docs(spark, rows)).collect()}
+    for i in range(150):
+        assert (2 * i in kept) and (2 * i + 1 in kept) != alike[i]
+    # blocks give the same links as one block
+    texts = spark.createDataFrame([(i, 0, t) for i, t in enumerate(rows[:60])], "rep long, component long, text string")
+    links = {frozenset((r["u"], r["v"])) for r in similar.confirmed(texts, 5, 0.8, block=7).collect()}
+    assert links == {frozenset((2 * i, 2 * i + 1)) for i in range(30) if alike[i]}

@@ -2,11 +2,12 @@
 
 Where near copies differ by a fifth of their shingles, 64 bits are too few to tell
 them apart from strangers.  Here a fingerprint has ``BITS`` bits, whose share of
-differing bits estimates the cosine of the shingle counts and so the similarity.
+differing bits estimates the cosine of the shingle sets and so the similarity.
 Pairs are sought where documents agree on a key of ``WIDTH`` least shingle hashes
 (of ``KEYS`` such keys); there a table of Hamming distances to ``PIVOTS`` reference
-fingerprints discards pairs by the largest difference of a coordinate, and the
-survivors are compared bit by bit.
+fingerprints discards pairs by the largest difference of a coordinate, the rest are
+compared bit by bit, and survivors by their shingle sets: a link is a pair of the
+similarity.
 
 Equal texts are one row from the start.  A key that very many documents have is
 compared block against block, each pair of blocks in a task of its own, and a task
@@ -34,20 +35,28 @@ KEYS = 10
 WIDTH = 3
 PIVOTS = 24
 BLOCK = 1024
+#: Standard deviations that the filter by bits allows.
+DEVIATIONS = 4
+#: Shingles that a block may hold where sets are compared.
+BLOCK_SHINGLES = 1 << 20
 
 
 def radius(similarity: float, bits: int = BITS) -> int:
-    """Differing bits expected at this similarity, and a standard deviation beyond."""
+    """Differing bits expected at this similarity, and ``DEVIATIONS`` standard deviations beyond."""
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
-def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
-    """The long fingerprint and the keys of one text; a text of fewer words is one shingle."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the different shingles, in order; a text of fewer words is one shingle."""
     data = text.translate(_LOWER)
     h = word_hashes(data, *word_spans(data))
-    h = run_hashes(h, min(shingle, len(h))) if len(h) else h
+    return np.unique(run_hashes(h, min(shingle, len(h)))) if len(h) else h
+
+
+def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The long fingerprint and the keys of one text's ``shingles``."""
     if not len(h):
         return bytes(BITS // 8), []
     total = np.zeros(BITS, np.int32)
@@ -69,7 +78,7 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for batch in batches_by_bytes(whole, "text"):
-                both = [sketch(t, shingle) for t in utf8(batch.column("text"))]
+                both = [sketch(shingles(t, shingle)) for t in utf8(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([p for p, _ in both], pa.binary()), pa.array([k for _, k in both], pa.list_(pa.int64()))], ["rep", "print", "keys"])
 
     return texts.select("rep", "text").mapInArrow(run, "rep long, print binary, keys array<long>")
@@ -79,10 +88,24 @@ def _pivots() -> np.ndarray:
     return np.stack([np.frombuffer(b"".join(xxhash.xxh64_digest(f"pivot {i}", k) for k in range(BITS // 64)), np.uint64) for i in range(PIVOTS)])
 
 
-def _compare(table: pa.Table, most: int) -> pa.Table:
-    """Spanning links of one pair of blocks."""
+def _like(sets: list[np.ndarray], i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of ``others`` whose shingle sets have this similarity to that of ``i``."""
+    mine, sizes = sets[i], np.array([len(sets[j]) for j in others.tolist()], np.int64)
+    near = np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)) - 1e-9
+    others, sizes = others[near], sizes[near]
+    if not len(others):
+        return others
+    flat = np.concatenate([sets[j] for j in others.tolist()])
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    shared = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return others[shared * (1 + similarity) >= similarity * (sizes + len(mine)) - 1e-9]
+
+
+def _compare(table: pa.Table, most: int, similarity: float | None = None) -> pa.Table:
+    """Spanning links of one pair of blocks; with ``similarity`` each is a pair of that shingle similarity."""
     rep = table["rep"].to_numpy()
     x = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(len(rep), BITS // 64)
+    sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()] if similarity is not None else []
     distance = np.stack([np.bitwise_count(x ^ p).sum(axis=1, dtype=np.int16) for p in _pivots()], axis=1)
     cross = table["low"][0].as_py() != table["high"][0].as_py()
     side = table["block"].to_numpy() == table["low"][0].as_py()
@@ -102,6 +125,9 @@ def _compare(table: pa.Table, most: int) -> pa.Table:
             others = others[side[others] != side[i]]
         others = others[np.abs(distance[others] - distance[i]).max(axis=1, initial=0) <= most]
         others = others[np.bitwise_count(x[others] ^ x[i]).sum(axis=1, dtype=np.int64) <= most]
+        if sets:
+            mine = root(i)
+            others = _like(sets, i, others[[root(j) != mine for j in others.tolist()]] if len(others) else others, similarity)
         for j in others.tolist():
             a, b = root(i), root(j)
             if a != b:
@@ -121,6 +147,25 @@ def links(prints: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     return pairs.groupBy("n", "key", "low", "high").applyInArrow(lambda t: _compare(t, most), "u long, v long")
 
 
+def confirmed(candidates: DataFrame, shingle: int, similarity: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(u, v): links that connect all pairs of the similarity, of rows (rep, component, text), within a component."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for batch in batches_by_bytes(whole, "text"):
+                sets = [shingles(t, shingle) for t in utf8(batch.column("text"))]
+                columns = [batch.column("rep"), batch.column("component"), pa.array([sketch(h)[0] for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "component", "print", "shingles"])
+
+    member = stored(candidates.select("rep", "component", "text").mapInArrow(run, "rep long, component long, print binary, shingles binary"), "shingles")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(F.octet_length("shingles")) / (8 * block_shingles)))
+    sizes = member.groupBy("component").agg(blocks.alias("blocks"))
+    member = member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return pairs.groupBy("component", "low", "high").applyInArrow(lambda t: _compare(t, radius(similarity), similarity), "u long, v long")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of similar ones: the smallest id, ties by row.
 
@@ -139,7 +184,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     classes = stored(first.select("a", "b", F.col("best.row").alias("rep"), "best"), "texts")
     unique = marked.withColumnRenamed(row, "vf_own").join(classes.select(F.col("rep").alias("vf_own")), "vf_own", "left_semi").select(F.col("vf_own").alias("rep"), text.alias("text"))
     prints = sketches(unique, shingle)
-    found = components(links(prints, radius(similarity))).withColumnRenamed("node", "rep")
+    near = stored(components(links(prints, radius(similarity))).withColumnRenamed("node", "rep"), "near")
+    found = components(confirmed(unique.join(near, "rep"), shingle, similarity)).withColumnRenamed("node", "rep")
     grouped = classes.join(found, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
     winners = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return marked.join(winners, row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
