@@ -425,3 +425,27 @@ def test_similar_documents_are_those_of_the_exact_similarity(spark):
     texts = spark.createDataFrame([(i, 0, t) for i, t in enumerate(rows[:60])], "rep long, component long, text string")
     links = {frozenset((r["u"], r["v"])) for r in similar.confirmed(texts, 5, 0.8, block=7).collect()}
     assert links == {frozenset((2 * i, 2 * i + 1)) for i in range(30) if alike[i]}
+
+
+def test_quality_uses_labels_of_documents_and_all_documents(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(4)) for _ in range(200)]
+    rows = [" ".join(rnd.choice(words) + ("%%%" if i % 3 == 0 else "") for _ in range(20)) for i in range(4000)]
+    docs = _docs(spark, rows)
+    # nearly all labels are of other documents
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)] + [(10**6 + i, 1, 0) for i in range(20000)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, labelled=300)
+    assert model.quality is not None and model.toxic is None
+    features = docs.select("doc_id", quality.row_key().alias("row"), *quality._input(docs)).mapInArrow(quality._features, quality._FEATURES)
+    got = features.where("doc_id < 500").toArrow()
+    views, y = quality._read(got), np.array([float(i % 3 != 0) for i in got["doc_id"].to_pylist()])
+    learner = quality.Learner(views, y, np.arange(500) % 5 == 0)
+    logits = quality.view_logits(features, [learner])
+    assert logits.count() == 4000
+    by = sorted(((r["logits"][0], r["doc_id"]) for r in logits.collect()), reverse=True)
+    best = quality.surest(logits, 0, set(), True, given=30)
+    assert {i for i, _ in best} <= {i for x, i in by if x >= by[29][0]} and len(best) == 30
+    again = quality.surest(logits, 0, set(best), True, given=30)
+    assert len(again) == 30 and not set(again) & set(best)
+    for buckets in ([], [0, 65535, 65536, quality.BUCKETS - 1]):
+        assert quality._unpacked(quality._packed(np.array(buckets, np.int64))).tolist() == buckets

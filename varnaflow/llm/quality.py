@@ -7,9 +7,11 @@ training rows.  Each view is then calibrated on held-out labelled rows, the
 calibrated log-odds are combined, and all documents are scored in one pass.
 It is done for two labels: quality, and toxicity.
 
-Fitting uses at most ``labelled`` labelled and ``pool`` unlabelled documents, the
-first by a hash of doc_id, whatever the size of the tables; their features come to
-the driver, texts never do.  Scoring is row-local and reads every document whole.
+Fitting uses at most ``labelled`` labelled documents, the first by a hash of
+doc_id.  Every unlabelled document is scored in each round, in one pass over stored
+features, and the surest of all of them are given; features of labelled and given
+documents come to the driver, texts never do.  Scoring is row-local and reads every
+document whole.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, utf8
+from .common import batches_by_bytes, row_key, stored, utf8
 from .wordhash import mix, word_hashes, word_spans
 
-#: Labelled rows that the classifiers are fitted on, at most, and unlabelled rows for pseudo-labels.
+#: Labelled rows that the classifiers are fitted on, at most.
 LABELLED = 8_000
-POOL = 3_000
 ROUNDS = 3
 #: Pseudo-labels need this probability, and a view gives at most this many of each class in a round.
 SURE = 0.97
@@ -181,33 +182,32 @@ def _take(view: tuple[np.ndarray, list[np.ndarray]], rows: np.ndarray) -> tuple[
     return view[0][rows], [view[1][i] for i in rows.tolist()]
 
 
-def co_train(labelled: list[tuple], y: np.ndarray, held: np.ndarray, pool: list[tuple], rounds: int = ROUNDS, sure: float = SURE, given: int = GIVEN) -> Target:
-    """``labelled`` and ``pool`` are (text view, meta view) features; ``held`` marks rows for calibration."""
-    train, hold = np.flatnonzero(~held), np.flatnonzero(held)
-    rows = [[_take(v, train), y[train]] for v in labelled]
-    free = [np.ones(len(pool[0][0]), bool) for _ in pool]
-    views: list[View] = []
-    for step in range(rounds + 1):
-        views = [fit_view(x, words, target) for (x, words), target in rows]
-        if step == rounds or not len(pool[0][0]):
-            break
-        gifts = []
-        for k, view in enumerate(views):
-            single = calibrated(view.logit(*_take(labelled[k], hold))[:, None], y[hold])
-            p = 1 / (1 + np.exp(-np.clip(view.logit(*pool[k]) * single[0] + single[1], -30, 30)))
-            new = free[1 - k]
-            high = np.flatnonzero(new & (p >= sure))
-            low = np.flatnonzero(new & (p <= 1 - sure))
-            gifts.append((high[np.argsort(-p[high], kind="stable")][:given], low[np.argsort(p[low], kind="stable")][:given]))
-        for k, (high, low) in enumerate(gifts):
-            other = 1 - k
-            some = np.concatenate([high, low])
-            free[other][some] = False
-            (x, words), target = rows[other]
-            more = _take(pool[other], some)
-            rows[other] = [(np.concatenate([x, more[0]]), words + more[1]), np.concatenate([target, np.ones(len(high)), np.zeros(len(low))])]
-    logits = np.stack([v.logit(*_take(labelled[k], hold)) for k, v in enumerate(views)], axis=1)
-    return Target(views[0], views[1], calibrated(logits, y[hold]))
+class Learner:
+    """Co-training of one label; ``labelled`` is (text view, meta view) features, ``held`` marks rows for calibration."""
+
+    def __init__(self, labelled: list[tuple], y: np.ndarray, held: np.ndarray) -> None:
+        train, hold = np.flatnonzero(~held), np.flatnonzero(held)
+        self.rows = [[_take(v, train), y[train]] for v in labelled]
+        self.held, self.truth = [_take(v, hold) for v in labelled], y[hold]
+        self.taken: list[set[tuple[int, int]]] = [set(), set()]
+        self.refit()
+
+    def refit(self) -> None:
+        self.views = [fit_view(x, words, target) for (x, words), target in self.rows]
+        self.single = [calibrated(v.logit(*h)[:, None], self.truth) for v, h in zip(self.views, self.held, strict=True)]
+
+    def give(self, k: int, high: list[tuple], low: list[tuple], features: dict[tuple, tuple]) -> None:
+        """View ``k`` learns documents that the other is sure of."""
+        some = [*high, *low]
+        self.taken[k].update(some)
+        if some:
+            (x, words), target = self.rows[k]
+            more = [features[i][k] for i in some]
+            self.rows[k] = [(np.concatenate([x, np.stack([a for a, _ in more])]), words + [b for _, b in more]), np.concatenate([target, np.ones(len(high)), np.zeros(len(low))])]
+
+    def target(self) -> Target:
+        logits = np.stack([v.logit(*h) for v, h in zip(self.views, self.held, strict=True)], axis=1)
+        return Target(self.views[0], self.views[1], calibrated(logits, self.truth))
 
 
 @dataclass
@@ -218,8 +218,9 @@ class Model:
     toxic: Target | None
 
 
-#: Numbers as 32-bit floats, buckets as 32-bit integers.
-_FEATURES = "doc_id long, shape binary, words binary, numbers binary, pages binary"
+#: Numbers as 32-bit floats, buckets packed.
+_FEATURES = "doc_id long, row long, shape binary, words binary, numbers binary, pages binary"
+_PARTS = BUCKETS >> 16
 _INPUT = ("text", "lang", "source", "n_chars")
 
 
@@ -234,45 +235,91 @@ def _views(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
     return text_features(raw), meta_features(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("n_chars").to_pylist(), [len(t) for t in raw])
 
 
+def _packed(buckets: np.ndarray) -> bytes:
+    """Sorted buckets as how many have each high part, and low parts of 16 bits."""
+    return np.bincount(buckets >> 16, minlength=_PARTS).astype("<u4").tobytes() + (buckets & 0xFFFF).astype("<u2").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    counts = np.frombuffer(blob, "<u4", _PARTS)
+    return np.frombuffer(blob, "<u2", offset=4 * _PARTS).astype(np.int32) + np.repeat(np.arange(_PARTS, dtype=np.int32) << 16, counts)
+
+
 def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in rows:
         for batch in batches_by_bytes(whole, "text", 2 << 20):
             (shape, words), (numbers, pages) = _views(batch)
-            blobs = ([x.astype(kind).tobytes() for x in column] for column, kind in ((shape, "<f4"), (words, "<i4"), (numbers, "<f4"), (pages, "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(b, pa.binary()) for b in blobs)], ["doc_id", "shape", "words", "numbers", "pages"])
+            blobs = ([x.astype("<f4").tobytes() for x in shape], [_packed(x) for x in words], [x.astype("<f4").tobytes() for x in numbers], [_packed(x) for x in pages])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(b, pa.binary()) for b in blobs)], ["doc_id", "row", "shape", "words", "numbers", "pages"])
+
 
+def _read(rows: pa.RecordBatch | pa.Table) -> list[tuple]:
+    """(text view, meta view) of rows of features."""
+    column = lambda name: rows.column(name).to_pylist()
+    shape, numbers = (np.frombuffer(b"".join(column(c)), "<f4").reshape(rows.num_rows, width) for c, width in (("shape", N_SHAPE), ("numbers", 2)))
+    return [(shape, [_unpacked(b) for b in column("words")]), (numbers, [_unpacked(b) for b in column("pages")])]
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on the bounded samples; labels that are null, or of unknown documents, are not used."""
+
+def view_logits(features: DataFrame, learners: list[Learner]) -> DataFrame:
+    """(doc_id, row, logits) of every row: the calibrated log-odds of each learner's two views."""
+    shared = features.sparkSession.sparkContext.broadcast([(x.views, x.single) for x in learners])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for batch in batches_by_bytes(whole, "words", 2 << 20):
+                both = _read(batch)
+                out = [v.logit(*both[k]) * single[k][0] + single[k][1] for views, single in shared.value for k, v in enumerate(views)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.stack(out, axis=1).tolist(), pa.list_(pa.float64()))], ["doc_id", "row", "logits"])
+
+    return features.mapInArrow(run, "doc_id long, row long, logits array<double>")
+
+
+def surest(logits: DataFrame, place: int, taken: set[tuple[int, int]], high: bool, sure: float = SURE, given: int = GIVEN) -> list[tuple[int, int]]:
+    """(doc_id, row) of the ``given`` most certain documents of one class that the other view hasn't been given."""
+    x = F.element_at("logits", place + 1) * (1 if high else -1)
+    found = logits.where(x >= math.log(sure / (1 - sure))).groupBy("doc_id", "row").agg(F.max(x).alias("x")).orderBy(F.desc("x"), "doc_id", "row").limit(given + len(taken)).collect()
+    return [i for r in found if (i := (r["doc_id"], r["row"])) not in taken][:given]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit on a bounded sample of labelled documents and on the surest of all others; labels that are null, or of unknown documents, are not used."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and (quality is not null or toxic is not null)")
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "quality", "toxic").limit(labelled).collect()
-    label = {r["doc_id"]: (r["quality"], r["toxic"]) for r in chosen}
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    others = ids.join(known.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(2))).limit(pool).collect()
-    wanted = list(label) + [r[0] for r in others]
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(1)), "quality", "toxic").limit(labelled).collect()
+    label = {r["doc_id"]: (r["quality"], r["toxic"]) for r in chosen}
     if not label:
         return Model(None, None)
     session = docs.sparkSession
-    few = F.broadcast(session.createDataFrame([(i,) for i in wanted], "doc_id long").distinct())  # at most labelled + pool ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_input(docs)).join(few, "doc_id", "left_semi").mapInArrow(_features, _FEATURES).toArrow().combine_chunks()
-    at = rows["doc_id"].to_numpy()
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    shape, words, numbers, pages = (rows[c].take(pa.array(order)).to_pylist() for c in ("shape", "words", "numbers", "pages"))
-    shape, numbers = (np.frombuffer(b"".join(blobs), "<f4").reshape(len(at), width) for blobs, width in ((shape, N_SHAPE), (numbers, 2)))
-    words, pages = ([np.frombuffer(b, "<i4") for b in blobs] for blobs in (words, pages))
+    features = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), *_input(docs)).where("doc_id is not null").mapInArrow(_features, _FEATURES), "features")
+    few = F.broadcast(session.createDataFrame([(i,) for i in label], "doc_id long"))  # at most labelled ids
+    rows = features.join(few, "doc_id", "left_semi").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    at, views = rows["doc_id"].to_numpy(), _read(rows)
     del rows
-    views = [(shape, words), (numbers, pages)]
-    is_labelled = np.array([int(i) in label for i in at], bool)
-    unlabelled = [_take(v, np.flatnonzero(~is_labelled)) for v in views]
-    out: list[Target | None] = []
+    learners: list[Learner | None] = []
     for k in range(2):
-        mine = np.array([i for i in np.flatnonzero(is_labelled).tolist() if label[int(at[i])][k] is not None], np.int64)
+        mine = np.array([i for i in range(len(at)) if label[int(at[i])][k] is not None], np.int64)
         y = np.array([float(label[int(at[i])][k]) for i in mine.tolist()])
         held = mix(at[mine].astype(np.uint64)) % np.uint64(5) == 0  # a fifth, by hash
         enough = all(len(np.unique(y[part])) == 2 for part in (held, ~held))
-        out.append(co_train([_take(v, mine) for v in views], y, held, unlabelled) if enough else None)
-    return Model(*out)
+        learners.append(Learner([_take(v, mine) for v in views], y, held) if enough else None)
+    able = [x for x in learners if x]
+    for _ in range(rounds if able else 0):
+        free = stored(view_logits(features, able).join(known.select("doc_id").distinct(), "doc_id", "left_anti"), "logits")
+        # what view k is sure of goes to the other view
+        gifts = [(x, 1 - k, *(surest(free, 2 * n + k, x.taken[1 - k], high) for high in (True, False))) for n, x in enumerate(able) for k in range(2)]
+        wanted = sorted({i for _, _, high, low in gifts for i in [*high, *low]})
+        if not wanted:
+            break
+        some = F.broadcast(session.createDataFrame(wanted, "doc_id long, row long"))
+        rows = features.join(some, ["doc_id", "row"], "left_semi").toArrow().combine_chunks()
+        (shape, words), (numbers, pages) = _read(rows)
+        found = {(i, r): ((shape[n], words[n]), (numbers[n], pages[n])) for n, (i, r) in enumerate(zip(rows["doc_id"].to_pylist(), rows["row"].to_pylist(), strict=True))}
+        del rows
+        for x, k, high, low in gifts:
+            x.give(k, high, low, found)
+        for x in able:
+            x.refit()
+    return Model(*[x and x.target() for x in learners])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
