@@ -449,3 +449,55 @@ def test_quality_uses_labels_of_documents_and_all_documents(spark):
     assert len(again) == 30 and not set(again) & set(best)
     for buckets in ([], [0, 65535, 65536, quality.BUCKETS - 1]):
         assert quality._unpacked(quality._packed(np.array(buckets, np.int64))).tolist() == buckets
+
+
+#: A sentence of each kind that a word list could miss.
+LICENCE_EXAMPLES = {
+    "Released under CC BY 4.0.": "CC-BY",
+    "Available under CC BY-SA 4.0": "CC-BY-SA",
+    "Released under Creative Commons Attribution 4.0": "CC-BY",
+    "Available under CC BY-NC-SA 4.0": "CC-BY-NC-SA",
+    "CC0 1.0 Universal": "CC0-1.0",
+    "This is free and unencumbered software released into the public\ndomain.": "Unlicense",
+    "# SPDX-License-Identifier: MIT\nimport os": "MIT",
+    "x\n// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0",
+}
+
+
+@pytest.mark.parametrize("text", LICENCE_EXAMPLES)
+def test_licence_filter_is_necessary(text):
+    assert licences.Rules.of().scan(text)[1:] == ([LICENCE_EXAMPLES[text]], [])
+
+
+def test_licence_filter_passes_every_pattern():
+    sre = pytest.importorskip("re._parser")
+
+    def write(parsed, rnd):
+        out = ""
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "IN":
+                kind, first = value[0]
+                out += chr(first[0] if str(kind) == "RANGE" else first)
+            elif name == "ANY":
+                out += "q"
+            elif name == "BRANCH":
+                out += write(rnd.choice(value[1]), rnd)
+            elif name == "SUBPATTERN":
+                out += write(value[-1], rnd)
+            else:
+                low, _, inner = value
+                for _ in range(low or rnd.randint(0, 1)):
+                    out += write(inner, rnd)
+        return out
+
+    rnd = random.Random(5)
+    for name, pattern in licences.SENTENCES.items():
+        for _ in range(200):
+            plain = write(sre.parse(pattern), rnd)
+            assert re.fullmatch(pattern, plain)
+            for text in (plain, plain.upper().replace(" ", "\n "), plain.replace(" ", " - ")):
+                assert licences._NEEDED.search(text), (name, text)

@@ -56,6 +56,11 @@ SENTENCES = {
     "Cc0Licensed": r".*(cc0 1 0 universal|dedicated to the public domain).*",
     "Unlicense": r"this is free and unencumbered software released into the public domain",
     "Copyright": r"(copyright|c) (c )?[0-9]{4}.*|copyright .*all rights reserved",
+    **{f"Spdx{name}": rf"spdx license identifier {tag}" for name, tag in (
+        ("Apache2", "apache 2 0"), ("Mit", "mit"), ("Isc", "isc"), ("Bsd3", "bsd 3 clause"), ("Bsd2", "bsd 2 clause"),
+        ("Gpl3Later", "gpl 3 0 or later"), ("Gpl2Later", "gpl 2 0 or later"), ("Gpl3", "gpl 3 0( only)?"), ("Gpl2", "gpl 2 0( only)?"), ("Lgpl", "lgpl [0-9] [0-9]( only| or later)?"),
+        ("Mpl2", "mpl 2 0"), ("CcBy", "cc by [1-4] 0"), ("CcBySa", "cc by sa [1-4] 0"), ("CcByNc", "cc by nc [1-4] 0"), ("CcByNcSa", "cc by nc sa [1-4] 0"), ("Cc0", "cc0 1 0"), ("Unlicense", "unlicense"),
+    )},
     "SpdxTag": r"spdx license identifier [a-z0-9 ]+",
 }
 #: licence: sentence identifiers in order; of rules that match at a place the one that explains most wins
@@ -84,20 +89,38 @@ RULES = [
     ("CC-BY-NC-SA", ("CcByNcSaLicensed",)),
     ("CC0-1.0", ("Cc0Licensed",)),
     ("Unlicense", ("Unlicense",)),
+    *((licence, (f"Spdx{name}",)) for licence, name in (
+        ("Apache-2.0", "Apache2"), ("MIT", "Mit"), ("ISC", "Isc"), ("BSD-3-Clause", "Bsd3"), ("BSD-2-Clause", "Bsd2"),
+        ("GPL-3.0-or-later", "Gpl3Later"), ("GPL-2.0-or-later", "Gpl2Later"), ("GPL-3.0", "Gpl3"), ("GPL-2.0", "Gpl2"), ("LGPL", "Lgpl"),
+        ("MPL-2.0", "Mpl2"), ("CC-BY", "CcBy"), ("CC-BY-SA", "CcBySa"), ("CC-BY-NC", "CcByNc"), ("CC-BY-NC-SA", "CcByNcSa"), ("CC0-1.0", "Cc0"), ("Unlicense", "Unlicense"),
+    )),
 ]
-#: A sentence without any of these is no licence sentence.
-_NEEDED = re.compile("licen|copyright|permission|warrant|redistribution|public domain|gnu general|free software|endorse|version [23] of|spdx|\\(c\\)|as is", re.I)
-_BREAK = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=[ \t]*(?:[*#/-]+[ \t]*)?(?:Licen[sc]ed|Released|Distributed|Available|Copyright|Permission|Redistribution|This|The|THE SOFTWARE|THIS|You|Unless|See|Neither|SPDX|\(c\)|[0-9]+[.)] ))")
+#: A sentence without any of these is no licence sentence: each pattern needs one, whatever stands between words.
+_NEEDED = re.compile("licen|copyright|permission|warrant|redistribution|public[^a-z0-9]+domain|under|endorse|version[^a-z0-9]+[23][^a-z0-9]+of|spdx|free[^a-z0-9]+software|as[^a-z0-9]+is|cc0|c[^a-z0-9]+(?:c[^a-z0-9]+)?[0-9]{4}", re.I)
+_BREAK = re.compile(r"(?<=[.!?;])\s+|(?<!Identifier:)(?<!identifier:)(?<=:)\s+|\n\s*\n|\n(?=[ \t]*(?:[*#/-]+[ \t]*)?(?:Licen[sc]ed|Released|Distributed|Available|Copyright|Permission|Redistribution|This|The|THE SOFTWARE|THIS|You|Unless|See|Neither|SPDX|\(c\)|[0-9]+[.)] ))")
+#: A tag ends with its line.
+_TAG = re.compile(r"SPDX-License-Identifier:[^\n]*", re.I)
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
 def sentences(text: str) -> Iterator[tuple[int, str]]:
-    """(start, sentence); a blank line, and a line break before a word that opens licence sentences, end one too."""
+    """(start, sentence); a blank line, a line break before a word that opens licence sentences, and the line of an SPDX tag end one too."""
     at = 0
     for m in _BREAK.finditer(text):
-        yield at, text[at : m.start()]
+        yield from _parts(at, text[at : m.start()])
         at = m.end()
-    yield at, text[at:]
+    yield from _parts(at, text[at:])
+
+
+def _parts(at: int, sentence: str) -> Iterator[tuple[int, str]]:
+    done = 0
+    for m in _TAG.finditer(sentence):
+        if done < m.start():
+            yield at + done, sentence[done : m.start()]
+        yield at + m.start(), m[0]
+        done = m.end()
+    if done < len(sentence) or not done:
+        yield at + done, sentence[done:]
 
 
 def normalised(sentence: str) -> str:
