@@ -501,3 +501,12 @@ def test_licence_filter_passes_every_pattern():
             assert re.fullmatch(pattern, plain)
             for text in (plain, plain.upper().replace(" ", "\n "), plain.replace(" ", " - ")):
                 assert licences._NEEDED.search(text), (name, text)
+
+
+def test_decontamination_keeps_repeated_rows_with_blocks(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = _docs(spark, [passage, passage, passage, passage, "clean", "clean"], [1, 1, None, None, 2, 2])
+    items = spark.createDataFrame([(1, passage), (2, " ".join(f"v{i}" for i in range(12))), (3, passage + " more")], "item_id long, text string")
+    plain = lambda size: sorted((repr(tuple(r)) for r in decontaminate.decontaminate(docs, items, block_bytes=size).collect()))
+    assert len(plain(20)) == 6
+    assert plain(20) == plain(1 << 24)

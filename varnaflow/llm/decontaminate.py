@@ -170,12 +170,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         found.append(docs.mapInArrow(lambda rows, shared=ready, first=not block: _scan(rows, shared.value, first), HITS))
     if n_blocks == 1:
         return found[0]
-    both = found[0]
-    for more in found[1:]:
+    # block 0 has every row, also those that repeat an id and text, which the hits of all blocks are joined back to
+    both = found[0].withColumn("every", F.lit(True))
+    for more in (x.withColumn("every", F.lit(False)) for x in found[1:]):
         both = both.unionByName(more)
     united = F.udf(lambda spans: _union([(s["start"], s["end"]) for s in spans]), "array<struct<start:long,end:long>>")
-    merged = stored(both, "hits").groupBy("doc_id", "row", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return merged.withColumn("spans", united("spans"))
+    both = stored(both, "hits")
+    merged = both.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    merged = merged.withColumn("spans", united("spans"))
+    rows = both.where("every").select("doc_id", "row", "n_words")
+    found_in = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row")), "left")
+    return found_in.select("doc_id", "row", "n_words", *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("items", "spans")])
 
 
 def report(hits: DataFrame) -> DataFrame:
