@@ -24,7 +24,7 @@ def test_phonetic_codes(spark):
     assert {k: tuple(v) for k, v in _values(spark, phonetic.phonetic_codes, PHONETIC).items()} == PHONETIC
 
 
-def test_transliteration(spark):
+def test_devanagari_of_romanized_words(spark):
     assert _values(spark, translit.transliterate, DEVANAGARI) == DEVANAGARI
     assert _values(spark, translit.english_to_devanagari, ENGLISH) == ENGLISH
 

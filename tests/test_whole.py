@@ -43,11 +43,11 @@ def turns(spark, tmp_path_factory):
 
 
 def test_scores_of_whole_texts(spark, turns):
-    pairs = {r["n"]: r for r in catalog._eval_pairs(spark, turns, whole=True).collect()}
+    pairs = {r["n"]: r for r in catalog._eval_pairs(spark, turns).collect()}
     assert sorted(pairs) == [1000, 1001, 2000, 2001] and len(pairs[1000]["ref"]) > 800
     got = catalog.queries()
-    chars = {r["n"]: r for r in got["whole_character_errors"](spark, turns).collect()}
-    ws = {r["n"]: r for r in got["whole_word_errors_of_pairs"](spark, turns).collect()}
+    chars = {r["n"]: r for r in got["character_errors"](spark, turns).collect()}
+    ws = {r["n"]: r for r in got["word_errors_of_pairs"](spark, turns).collect()}
     bleu = {r["n"]: r for r in got["bleu_scores"](spark, turns).collect()}
     assert set(chars) == set(ws) == set(bleu) == set(pairs)
     errors, sizes, roles = Counter(), Counter(), Counter()
@@ -61,7 +61,7 @@ def test_scores_of_whole_texts(spark, turns):
         errors[r["role"]] += _distance(h, t)
         sizes[r["role"]] += len(t)
         roles[r["role"]] += 1
-    for r in got["whole_micro_scores"](spark, turns).collect():
+    for r in got["micro_scores"](spark, turns).collect():
         assert r["cer"] == pytest.approx(errors[r["role"]] / sizes[r["role"]], abs=1e-8)
         assert r["mean_edit_distance"] == pytest.approx(errors[r["role"]] / roles[r["role"]], abs=1e-8)
 
@@ -76,20 +76,20 @@ def documents(spark, turns):
 def test_no_word_turn_or_line_is_left_out(spark, documents):
     run = lambda name: catalog.queries()[name](spark, documents).collect()
     every = {"caffé", "caffe", "kaffé", "über", "uber", "राम", "third", "line", "fourth", "fifth"}
-    assert {r["word"]: r["n"] for r in run("whole_unknown_words")} == {w: 2 if w in ("राम", "line") else 1 for w in every}
-    assert {r["word"] for r in run("whole_phonetic_code")} == every | {"it", "is"}
-    code = {r["word"]: r["code"] for r in run("whole_phonetic_code")}
+    assert {r["word"]: r["n"] for r in run("unknown_words")} == {w: 2 if w in ("राम", "line") else 1 for w in every}
+    assert {r["word"] for r in run("phonetic_code")} == every | {"it", "is"}
+    code = {r["word"]: r["code"] for r in run("phonetic_code")}
     blocks = {}
     for w in every:
         if code[w]:
             blocks.setdefault(code[w], set()).add(w)
     blocks = {c: ws for c, ws in blocks.items() if len(ws) > 1}
     assert any(not w.isascii() for ws in blocks.values() for w in ws)
-    assert {r["code"]: set(r["variants"].split()) for r in run("whole_variant_dictionary")} == blocks
-    assert {r["head"] for r in run("similar_codes")} | {r["head"] for r in run("whole_block_pairs")} <= {min(ws) for ws in blocks.values()}
-    assert {(r["doc_id"], r["line_no"]) for r in run("whole_numbered_answers")} == {(1, i) for i in range(5)}
-    ruled = {(r["conv_id"], r["turn"]): r["normalized"] for r in run("whole_rule_based_turns")}
+    assert {r["code"]: set(r["variants"].split()) for r in run("variant_dictionary")} == blocks
+    assert {r["head"] for r in run("similar_codes")} | {r["head"] for r in run("block_pairs")} <= {min(ws) for ws in blocks.values()}
+    assert {(r["doc_id"], r["line_no"]) for r in run("numbered_answers")} == {(1, i) for i in range(5)}
+    ruled = {(r["conv_id"], r["turn"]): r["normalized"] for r in run("rule_based_turns")}
     assert len(ruled) == 4 and ruled[(1, 1)].startswith("tyo cafe ")
-    assert {(r["conv_id"], r["turn"]) for r in run("whole_normalized_turns")} == set(ruled)
+    assert {(r["conv_id"], r["turn"]) for r in run("normalized_turns")} == set(ruled)
     served = {(r["conv_id"], r["turn"]) for r in run("served_turns")}
     assert served == set(ruled)

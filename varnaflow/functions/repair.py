@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -317,3 +318,31 @@ def target_match(word: str, targets: list[str], roman: list[str], i: int) -> tup
                 if score >= least and score > found[1]:
                     found = (token, score, raw)
     return found
+
+
+_MATCH = ("place int", "word string", "by_offset string", "offset_score double", "by_target string", "target_score double", "own_score double", "around double", "marker string")
+
+
+def earlier_matches(roman: str, deva: str, vocabulary: frozenset[str]) -> list[tuple]:
+    """One row for each English word of a sentence: the choices of the earlier matchers, and the marker of the chosen token."""
+    s, out = Sentence.of(roman, deva), []
+    for i, word in enumerate(s.roman):
+        if word in vocabulary and s.deva:
+            token, score = offset_match(word, s.roman, s.deva, i)
+            other, mean, own = target_match(word, s.deva, s.roman, i)
+            around = neighbours_score(s.roman, s.deva, i, min(i, len(s.deva) - 1))
+            out.append((i, word, token, score, other, mean, own, around, attached_marker(token or "")))
+    return out
+
+
+def matched_words(frame: DataFrame, roman: str, deva: str, vocabulary: Iterable[str]) -> DataFrame:
+    """``frame`` with one row for each English word and its ``m``, a struct of ``earlier_matches``; null counts as empty."""
+    known = frozenset(vocabulary)
+
+    names = [field.split(" ")[0] for field in _MATCH]
+
+    @F.pandas_udf(f"array<struct<{', '.join(field.replace(' ', ': ') for field in _MATCH)}>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in earlier_matches(x or "", y or "", known)] for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return frame.select("*", F.explode(run(F.col(roman), F.col(deva))).alias("m"))

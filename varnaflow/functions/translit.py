@@ -1,4 +1,4 @@
-"""Rule-based transliteration to Devanagari, as native Column expressions."""
+"""Romanized words to Devanagari by rule, as native Column expressions."""
 
 from __future__ import annotations
 

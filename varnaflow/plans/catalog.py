@@ -8,16 +8,15 @@ themselves, and transliterated text is the Devanagari side.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunk_text
-from ..functions.metrics import cer, char_bleu, char_errors, length_score, position_score, word_errors, words_in_place
+from ..functions.metrics import cer, char_bleu, char_errors, length_score, position_score, window_bounds, word_errors, words_in_place
 from ..functions.normalize import rule_based, rule_text, vocabulary_test
 from ..functions.phonetic import SYMBOLS, phonetic_codes
-from ..functions.repair import repair, replacement_lines
+from ..functions.repair import matched_words, repair, replacement_lines
 from ..functions.text import (
     clean_token,
     contains_devanagari,
@@ -41,12 +40,10 @@ from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_spell
 from ..operators import aggregates, filters, joins, samples, sets, windows
 from ..session import ship
 from ..sources.readers import spread, table_lines
-from . import dictionary, evaluation, normalization, romanized
+from . import dictionary, evaluation, files, normalization, romanized
 
 VOCABULARY = "the of and to in a is that it for with was on as be by this are at or from an not have new job market price school".split()
 _ENGLISH = vocabulary_test(VOCABULARY)
-#: A pattern of words that both engines case, fold and split alike.
-_ASCII_WORD = "^[a-z]+$"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,14 +62,13 @@ def _vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
 
 
-def _words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(word, n): different words of the documents; unless ``whole``, lower-case ASCII ones as in the SQL."""
-    found = aggregates.distinct_words(_table(spark, sf_dir, "documents"), corpus_text(F.col("text")))
-    return found if whole else found.where(F.col("word").rlike(_ASCII_WORD))
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n): the different words of all documents."""
+    return aggregates.distinct_words(_table(spark, sf_dir, "documents"), corpus_text(F.col("text")))
 
 
-def _groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dictionary.variant_groups(_table(spark, sf_dir, "documents"), "text", _vocabulary(spark), None if whole else _ASCII_WORD)
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.variant_groups(_table(spark, sf_dir, "documents"), "text", _vocabulary(spark))
 
 
 def _long(*names: str) -> list:
@@ -82,6 +78,8 @@ def _long(*names: str) -> list:
 # SQL pieces ------------------------------------------------------------------
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space as the functions take it, whatever the engine's own class is.
+_WS = "\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
 def _q(x: str) -> str:
@@ -89,15 +87,15 @@ def _q(x: str) -> str:
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
 
 
 def _squeeze(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[{_WS}]+', ' ', 'g'))"
 
 
 def _split(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '[{_WS}]+'), lambda w: w <> '')"
 
 
 _VOCAB = "[" + ", ".join(map(_q, VOCABULARY)) + "]"
@@ -119,20 +117,26 @@ def _separators(x: str) -> str:
 
 
 def _corpus(x: str) -> str:
-    x = f"regexp_replace(lower({x}), 'http\\S+|www\\S+|https\\S+', '', 'g')"
-    return _squeeze(f"translate(regexp_replace({x}, '\\d+', ' ', 'g'), '{_PUNCT}', '')")
+    x = f"regexp_replace({x}, '[\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{2B50}}\\x{{2B55}}\\x{{231A}}\\x{{231B}}\\x{{23E9}}-\\x{{23F3}}\\x{{fe0f}}\\x{{200d}}]', '', 'g')"
+    x = f"regexp_replace(lower({x}), 'http[^{_WS}]+|www[^{_WS}]+|https[^{_WS}]+', '', 'g')"
+    return _squeeze(f"translate(regexp_replace({x}, '\\p{{Nd}}+', ' ', 'g'), '{_PUNCT}', '')")
 
 
 _WORDS = f"""words AS (
   SELECT word, count(*) AS n FROM (SELECT unnest({_split(_corpus("text"))}) AS word FROM documents)
-  WHERE regexp_matches(word, '{_ASCII_WORD}') GROUP BY word)"""
+  GROUP BY word)"""
 
 
 def _spelled(w: str) -> str:
-    x = w
+    x = f"translate(lower({w}), 'āīūṁṃñṙ', 'aiummnr')"
     for pattern, new in (("[^a-z]", ""), ("xo", "cho"), ("xh", "ch"), *((f"{v}{{2,}}", v) for v in "aeiou"), ("ae", "ai"), ("chh", "CH"), *((d, d.upper()) for d in "ch kh gh ph bh jh th dh sh ng".split()), ("f", "PH"), ("x", "X")):
         x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
-    return f"CASE WHEN length({w}) = 2 THEN upper({w}) ELSE {x} END"
+    return f"CASE WHEN length({w}) = 2 THEN replace(upper({w}), 'ẞ', 'SS') ELSE {_at_most_twice(x)} END"
+
+
+def _at_most_twice(x: str) -> str:
+    """No character more than twice in a row."""
+    return f"list_aggregate(list_filter(string_split({x}, ''), lambda c, i: i < 3 OR c <> string_split({x}, '')[i - 1] OR c <> string_split({x}, '')[i - 2]), 'string_agg', '')"
 
 
 def _map(pairs: dict[str, str]) -> str:
@@ -140,7 +144,7 @@ def _map(pairs: dict[str, str]) -> str:
 
 
 def _coded(table: str, word: str = "word") -> str:
-    """A query that adds the primary code of each word; letters are at most twice in a row in these data after spelling."""
+    """A query that adds the primary code of each word."""
     return f"""(SELECT *, heard || CASE WHEN n_heard < 6 AND last_sound IN ('a','e','i','o','u') AND upper(last_sound) <> heard[-1] THEN upper(last_sound) ELSE '' END AS code FROM (
       SELECT *, array_to_string(list_slice(diff, 1, 6), '') AS heard, least(len(diff), 6) AS n_heard FROM (
         SELECT *, list_filter(syms, lambda s, i: i = 1 OR s <> syms[i - 1]) AS diff FROM (
@@ -156,48 +160,47 @@ _PVD = "pvd AS (SELECT unnest(variants) AS variant, base_word AS base FROM group
 
 
 def _deva(x: str) -> str:
-    """Devanagari of a lower-case ASCII expression."""
+    """Devanagari of a lower-case expression."""
     c, v, s, m = _map(CONSONANTS), _map({k: a for k, (a, _) in VOWELS.items()}), _map({k: b for k, (_, b) in VOWELS.items()}), _map(MARKS)
     return f"""(SELECT array_to_string(list_transform(u, lambda x, i: CASE
         WHEN {c}[x] IS NOT NULL THEN {c}[x] || CASE WHEN i < len(u) AND {c}[u[i + 1]] IS NOT NULL THEN '्' ELSE '' END
         WHEN {v}[x] IS NOT NULL THEN CASE WHEN i > 1 AND {c}[u[i - 1]] IS NOT NULL THEN {s}[x] ELSE {v}[x] END
-        ELSE coalesce({m}[x], x) END), '') FROM (SELECT regexp_extract_all({x}, '(?:{"|".join(UNITS)}|.)') AS u))"""
+        ELSE coalesce({m}[x], x) END), '') FROM (SELECT regexp_extract_all({x}, '(?s:{"|".join(UNITS)}|.)') AS u))"""
 
 
-_RULED = f"""(SELECT *, regexp_extract(w0, '^([^a-z0-9]*)', 1) AS prefix, regexp_extract(w0, '^[^a-z0-9]*(.*?)[^a-z0-9]*$', 1) AS core,
-  CASE WHEN regexp_matches(w0, '[a-z0-9]') THEN regexp_extract(w0, '([^a-z0-9]*)$', 1) ELSE '' END AS suffix FROM (
-  SELECT conv_id, turn, unnest({_split("t")}) AS w0, generate_subscripts({_split("t")}, 1) AS pos FROM ascii_turns))"""
+_RULED = f"""(SELECT *, regexp_extract(w0, '^([^\\pL\\pN]*)', 1) AS prefix, lower(regexp_extract(w0, '^[^\\pL\\pN]*(.*?)[^\\pL\\pN]*$', 1)) AS core,
+  CASE WHEN regexp_matches(w0, '[\\pL\\pN]') THEN regexp_extract(w0, '([^\\pL\\pN]*)$', 1) ELSE '' END AS suffix FROM (
+  SELECT conv_id, turn, unnest({_split("t")}) AS w0, generate_subscripts({_split("t")}, 1) AS pos FROM ruled_turns))"""
+#: Letters with marks and what they fold to, written out again for the other engine (fixed values).
+_MARKED = {
+    "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħḥ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľŀłḷ", "m": "ṁṃ", "n": "ñńņňṅṇ", "o": "òóôõöøōŏő",
+    "r": "ŕŗřṙṛ", "s": "śŝşšṣ", "t": "ţťŧṭ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž", "''": "’‘", '"': "“”", "-": "–—", "ss": "ß", "ae": "æ", "oe": "œ", "th": "þ", "ij": "ĳ", ".": "…",
+}
 
 
-def _ruled(x: str) -> str:
-    x = _squeeze(f"lower({x})")
-    for c in "abcdefghijklmnopqrstuvwxyz0123456789.,!?;:|%$&*# \"''()/_+=<>@~^-":
-        if c not in " ":
-            lit = c if c.isalnum() else f"[{c}]" if c not in "^[]\\-" else "\\" + c
-            x = f"regexp_replace({x}, '{lit}{{3,}}', '{c}{c}', 'g')" if c != "'" else x
-    return f"regexp_replace({x}, '[^a-z0-9_\\s.,!?;:''\"-]', '', 'g')"
+def _folded(x: str) -> str:
+    for to, marked in _MARKED.items():
+        x = f"regexp_replace({x}, '[{marked}]', '{to}', 'g')"
+    return f"replace(replace({x}, 'ḍ', 'd'), 'ð', 'd')"
 
 
-_ASCII_TURNS = f"ascii_turns AS (SELECT conv_id, turn, {_ruled('text')} AS t FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
+def _ruled_of(x: str) -> str:
+    """The sentence rules of an expression."""
+    return f"(SELECT regexp_replace({_at_most_twice('s')}, '[^\\pL\\pN_\\s.,!?;:''\"-]', '', 'g') FROM (SELECT {_squeeze(_folded(f'lower({x})'))} AS s))"
 
 
-def _ascii_turns(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Turns; unless ``whole``, ASCII ones as in the SQL."""
-    turns = _turns(spark, sf_dir)
-    return turns if whole else turns.where(F.col("text").rlike("^[\\x00-\\x7F]*$"))
+_RULED_TURNS = f"ruled_turns AS (SELECT conv_id, turn, role, text, {_ruled_of('text')} AS t FROM conversations)"
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
-def _query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
-    """Register a query; with ``whole`` also ``whole_`` and its name, which leaves no row or character out and has no SQL."""
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and its SQL."""
 
     def keep(f: Query) -> Query:
         _FOUND[f.__name__] = (f, sql)
-        if whole:
-            _FOUND[f"whole_{f.__name__}"] = (partial(f, whole=True), None)
         return f
 
     return keep
@@ -206,43 +209,43 @@ def _query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Que
 # Dictionary build ------------------------------------------------------------
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, base_word, array_to_string(variants, ' ') AS variants, n FROM groups", whole=True)
-def variant_dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, base_word, array_to_string(variants, ' ') AS variants, n FROM groups")
+def variant_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1 SC6 SC7 AGG3 FLT3 SET4 SC23 AGG5 JN6 D15: unknown words grouped by phonetic code."""
-    return _groups(spark, sf_dir, whole).select("code", "base_word", F.array_join("variants", " ").alias("variants"), "n")
+    return _groups(spark, sf_dir).select("code", "base_word", F.array_join("variants", " ").alias("variants"), "n")
 
 
-@_query(f"WITH {_WORDS} SELECT word, n FROM words WHERE NOT list_contains({_VOCAB}, word)", whole=True)
-def unknown_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word, n FROM words WHERE NOT list_contains({_VOCAB}, word)")
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT3 SET4 AGG3: distinct words that aren't English."""
-    return filters.not_in(_words(spark, sf_dir, whole), "word", _vocabulary(spark)).select("word", "n")
+    return filters.not_in(_words(spark, sf_dir), "word", _vocabulary(spark)).select("word", "n")
 
 
-@_query(f"WITH {_WORDS} SELECT word, code FROM {_coded('words')}", whole=True)
-def phonetic_code(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word, code FROM {_coded('words')}")
+def phonetic_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC23 WIN4: the primary code of each word."""
-    return _words(spark, sf_dir, whole).select("word", phonetic_codes(F.col("word"))["primary"].alias("code"))
+    return _words(spark, sf_dir).select("word", phonetic_codes(F.col("word"))["primary"].alias("code"))
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS}, {_PVD} SELECT count(DISTINCT base) AS bases, count(*) AS variants FROM pvd", whole=True)
-def dictionary_size(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS}, {_PVD} SELECT count(DISTINCT base) AS bases, count(*) AS variants FROM pvd")
+def dictionary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC10 AGG17: how many bases and variants the lookup has."""
-    return aggregates.base_words(dictionary.pvd_of(_groups(spark, sf_dir, whole)))
+    return aggregates.base_words(dictionary.pvd_of(_groups(spark, sf_dir)))
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, variants[1] AS head, unnest(variants[2:]) AS other FROM groups", whole=True)
-def block_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, variants[1] AS head, unnest(variants[2:]) AS other FROM groups")
+def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN6: each word of a phonetic block with the block's first."""
-    coded = filters.not_in(_words(spark, sf_dir, whole), "word", _vocabulary(spark)).withColumn("code", phonetic_codes(F.col("word"))["primary"]).where("code <> ''")
+    coded = filters.not_in(_words(spark, sf_dir), "word", _vocabulary(spark)).withColumn("code", phonetic_codes(F.col("word"))["primary"]).where("code <> ''")
     return joins.block_pairs(joins.phonetic_blocks(coded))
 
 
-@_query(f"WITH {_WORDS}, {_GROUPS} SELECT to_json(MAP {{code: {{'base_word': base_word, 'variants': variants}}}})::VARCHAR AS value FROM groups", whole=True)
-def dictionary_json(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS}, {_GROUPS} SELECT to_json(MAP {{code: {{'base_word': base_word, 'variants': variants}}}})::VARCHAR AS value FROM groups")
+def dictionary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5 D4: the dictionary as JSON entries."""
     from ..sources.writers import pvd_document
 
-    return pvd_document(_groups(spark, sf_dir, whole))
+    return pvd_document(_groups(spark, sf_dir))
 
 
 # Romanized filter ------------------------------------------------------------
@@ -330,37 +333,37 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", *_long("line_no"), md5(clean_token(line), "token"), md5(remove_emojis(line), "emoji"), md5(repair_separators(line), "separators"), md5(plain_lower(line), "plain"), md5(corpus_text(line), "corpus"), F.size(words(line)).cast("long").alias("words"))
 
 
-@_query(f"WITH {_WORDS} SELECT word, {_deva('word')} AS devanagari FROM words", whole=True)
-def transliterated_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word, {_deva('word')} AS devanagari FROM words")
+def transliterated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC24 WIN7 D10: Devanagari of every word."""
-    return _words(spark, sf_dir, whole).select("word", transliterate(F.col("word")).alias("devanagari"))
+    return _words(spark, sf_dir).select("word", transliterate(F.col("word")).alias("devanagari"))
 
 
 def _english_sound(w: str) -> str:
     from ..functions.translit import ENGLISH_SOUNDS, ENGLISH_SPELLINGS
 
-    x = w
+    x = plain = f"regexp_replace({w}, '[^a-z'']+', '', 'g')"
     for old, new in ENGLISH_SOUNDS:
         x = f"replace({x}, '{old}', '{new}')"
-    return f"coalesce({_map(ENGLISH_SPELLINGS)}[{w}], {x})"
+    return f"coalesce({_map(ENGLISH_SPELLINGS)}[{plain}], {x})"
 
 
 @_query(f"""WITH {_WORDS} SELECT word, sound, coalesce(MAP {{'school': 'स्कुल'}}[word], deva) AS devanagari FROM (
-  SELECT word, sound, {_deva("sound")} AS deva FROM (SELECT word, {_english_sound("word")} AS sound FROM words))""", whole=True)
-def english_words_in_devanagari(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+  SELECT word, sound, {_deva("sound")} AS deva FROM (SELECT word, {_english_sound("word")} AS sound FROM words))""")
+def english_words_in_devanagari(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC25 SC26 SC27: English spellings made sounds, then Devanagari."""
     w = F.col("word")
-    return _words(spark, sf_dir, whole).select("word", english_spelling(w).alias("sound"), english_to_devanagari(w).alias("devanagari"))
+    return _words(spark, sf_dir).select("word", english_spelling(w).alias("sound"), english_to_devanagari(w).alias("devanagari"))
 
 
 @_query(f"""WITH {_WORDS}, d AS (SELECT word, n, {_deva("word")} || ' १२ ' || word AS mixed FROM words)
   SELECT word, regexp_matches(mixed, '[ऀ-ॿ]') AS has_devanagari, array_to_string(regexp_extract_all(mixed, '[\\x{{0900}}-\\x{{097F}}]+'), '|') AS runs, {_strip("regexp_replace(mixed, '[^\\x{0900}-\\x{097F}\\s]', '', 'g')")} AS kept,
-    translate(n::VARCHAR, '0123456789', '०१२३४५६७८९') AS digits FROM d""", whole=True)
-def devanagari_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    translate(n::VARCHAR, '0123456789', '०१२३४५६७८९') AS digits FROM d""")
+def devanagari_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT1 FLT11 SC30 SC42 SC43: Devanagari predicates, runs and digits."""
     w = F.col("word")
     mixed = F.concat(transliterate(w), F.lit(" १२ "), w)
-    return _words(spark, sf_dir, whole).select("word", contains_devanagari(mixed).alias("has_devanagari"), F.array_join(devanagari_runs(mixed), "|").alias("runs"), keep_devanagari(mixed).alias("kept"), devanagari_digits(F.col("n")).alias("digits"))
+    return _words(spark, sf_dir).select("word", contains_devanagari(mixed).alias("has_devanagari"), F.array_join(devanagari_runs(mixed), "|").alias("runs"), keep_devanagari(mixed).alias("kept"), devanagari_digits(F.col("n")).alias("digits"))
 
 
 @_query(f"""WITH {_LINES} SELECT doc_id, line_no, array_to_string(regexp_extract_all(line, '[0-9]+'), '|') AS digits FROM lines WHERE regexp_matches(line, '[0-9]')""")
@@ -369,7 +372,9 @@ def digit_runs_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).where(F.col("line").rlike("[0-9]")).select("doc_id", *_long("line_no"), F.array_join(digit_runs(F.col("line")), "|").alias("digits"))
 
 
-@_query()
+@_query(f"""WITH {_LINES}, c AS (SELECT doc_id, line_no, line, string_split(line, '') AS cs FROM lines WHERE regexp_matches(line, '[0-9]')),
+  p AS (SELECT doc_id, line_no, list_filter(range(0, len(cs)), lambda i: regexp_matches(cs[i + 1], '\\p{{Nd}}') AND (i = 0 OR NOT regexp_matches(cs[i], '\\p{{Nd}}'))) AS starts, regexp_extract_all(line, '\\p{{Nd}}+') AS runs FROM c)
+  SELECT doc_id, line_no, unnest(starts) AS pos, unnest(runs) AS digits FROM p""")
 def digit_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC31: digit runs with their places."""
     rows = _lines(spark, sf_dir).where(F.col("line").rlike("[0-9]")).select("doc_id", *_long("line_no"), F.explode(digit_run_positions(F.col("line"))).alias("r"))
@@ -385,21 +390,20 @@ def masked_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "line_no", digest(F.col("m.masked")).alias("masked"), F.array_join("m.words", " ").alias("words"), digest(restore_english(F.col("m.masked"), F.col("m.words"))).alias("restored"))
 
 
-@_query(f"""WITH {_LINES} SELECT doc_id, line_no, md5(line) AS answer FROM lines WHERE line_no < 3""", whole=True)
-def numbered_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"""WITH {_LINES} SELECT doc_id, line_no, md5(line) AS answer FROM lines""")
+def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC22: answers of numbered lines."""
-    lines = _lines(spark, sf_dir)
-    rows = (lines if whole else lines.where("line_no < 3")).withColumn("numbered", F.concat(F.col("line_no") + 1, F.lit(". "), "line"))
+    rows = _lines(spark, sf_dir).withColumn("numbered", F.concat(F.col("line_no") + 1, F.lit(". "), "line"))
     return rows.select("doc_id", *_long("line_no"), F.md5(numbered_line(F.col("numbered")).cast("binary")).alias("answer"))
 
 
 @_query(f"""WITH {_WORDS}, l AS (SELECT word || ' , ' || {_deva("word")} || ',' AS line FROM words),
   c AS (SELECT trim(regexp_extract(line, '^([^\\x{{0900}}-\\x{{097F}}]*)', 1), ' ,') AS romanized, trim(regexp_extract(line, '^[^\\x{{0900}}-\\x{{097F}}]*(.*)$', 1), ' ,') AS devanagari FROM l)
-  SELECT romanized, devanagari FROM c WHERE romanized <> '' AND devanagari <> ''""", whole=True)
-def parsed_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+  SELECT romanized, devanagari FROM c WHERE romanized <> '' AND devanagari <> ''""")
+def parsed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC22 FLT14 SRC20: generated lines cut into pairs."""
     line = F.concat(F.col("word"), F.lit(" , "), transliterate(F.col("word")), F.lit(","))
-    return _words(spark, sf_dir, whole).select(roman_devanagari_pair(line).alias("p")).where("p is not null").select("p.*")
+    return _words(spark, sf_dir).select(roman_devanagari_pair(line).alias("p")).where("p is not null").select("p.*")
 
 
 @_query("SELECT item_id::INT AS epoch, round(item_id / 10.0, 4) AS train_loss, round(item_id / 20.0, 4) AS val_loss FROM benchmark")
@@ -412,32 +416,32 @@ def training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Normalization ---------------------------------------------------------------
 
 
-@_query(f"""WITH {_ASCII_TURNS}, r AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, core) THEN replace(core, 'x', 'chh') ELSE core END AS x FROM {_RULED})
-  SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized FROM ascii_turns t0 LEFT JOIN (SELECT conv_id, turn, string_agg(prefix || CASE WHEN NOT list_contains({_VOCAB}, x) AND x LIKE '%w' THEN x[:-2] || 'a' ELSE x END || suffix, ' ' ORDER BY pos) AS n FROM r GROUP BY conv_id, turn) USING (conv_id, turn)""", whole=True)
-def rule_based_turns(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"""WITH {_RULED_TURNS}, r AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, core) THEN replace(core, 'x', 'chh') ELSE core END AS x FROM {_RULED})
+  SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized FROM ruled_turns t0 LEFT JOIN (SELECT conv_id, turn, string_agg(prefix || CASE WHEN NOT list_contains({_VOCAB}, x) AND x LIKE '%w' THEN x[:-2] || 'a' ELSE x END || suffix, ' ' ORDER BY pos) AS n FROM r GROUP BY conv_id, turn) USING (conv_id, turn)""")
+def rule_based_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC8 SC9 SC10 SC11 SC14: the rule-based arm."""
-    return _ascii_turns(spark, sf_dir, whole).select("conv_id", "turn", rule_based(F.col("text"), _ENGLISH).alias("normalized"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", rule_based(F.col("text"), _ENGLISH).alias("normalized"))
 
 
-_CHANGED = f"""{_WORDS}, {_GROUPS}, {_PVD}, {_ASCII_TURNS}, r AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, core) THEN replace(core, 'x', 'chh') ELSE core END AS x FROM {_RULED}),
+_CHANGED = f"""{_WORDS}, {_GROUPS}, {_PVD}, {_RULED_TURNS}, r AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, core) THEN replace(core, 'x', 'chh') ELSE core END AS x FROM {_RULED}),
   w AS (SELECT *, CASE WHEN NOT list_contains({_VOCAB}, x) AND x LIKE '%w' THEN x[:-2] || 'a' ELSE x END AS y FROM r),
   f AS (SELECT w.*, base FROM w LEFT JOIN pvd ON y = variant)"""
 
 
-@_query(f"""WITH {_CHANGED} SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized, coalesce(c, 0) AS changes FROM ascii_turns t0 LEFT JOIN (
-  SELECT conv_id, turn, string_agg(prefix || coalesce(base, y) || suffix, ' ' ORDER BY pos) AS n, sum((x <> core)::BIGINT + (y <> x)::BIGINT + (base IS NOT NULL)::BIGINT)::BIGINT AS c FROM f GROUP BY conv_id, turn) USING (conv_id, turn)""", whole=True)
-def normalized_turns(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"""WITH {_CHANGED} SELECT t0.conv_id, t0.turn, coalesce(n, '') AS normalized, coalesce(c, 0) AS changes FROM ruled_turns t0 LEFT JOIN (
+  SELECT conv_id, turn, string_agg(prefix || coalesce(base, y) || suffix, ' ' ORDER BY pos) AS n, sum((x <> core)::BIGINT + (y <> x)::BIGINT + (base IS NOT NULL)::BIGINT)::BIGINT AS c FROM f GROUP BY conv_id, turn) USING (conv_id, turn)""")
+def normalized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC12 SC13 SC14 JN1 D5 D12: rules and dictionary with their changes."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole))
-    out = normalization.normalize_with_changes(_ascii_turns(spark, sf_dir, whole), "text", _ENGLISH, pvd, "conv_id", "turn")
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
+    out = normalization.normalize_with_changes(_turns(spark, sf_dir), "text", _ENGLISH, pvd, "conv_id", "turn")
     return out.select("conv_id", "turn", "normalized", F.size("changes").cast("long").alias("changes"))
 
 
-@_query(f"""WITH {_CHANGED} SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN x <> core THEN 'x → chh' END, CASE WHEN y <> x THEN 'w → a' END, CASE WHEN base IS NOT NULL THEN 'dictionary mapping' END], lambda r: r IS NOT NULL)) AS rule FROM f) GROUP BY rule""", whole=True)
-def change_log(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"""WITH {_CHANGED} SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN x <> core THEN 'x → chh' END, CASE WHEN y <> x THEN 'w → a' END, CASE WHEN base IS NOT NULL THEN 'dictionary mapping' END], lambda r: r IS NOT NULL)) AS rule FROM f) GROUP BY rule""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC10 SC11 SC12 D12: how often each rule fired."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole))
-    out = normalization.normalize_with_changes(_ascii_turns(spark, sf_dir, whole), "text", _ENGLISH, pvd, "conv_id", "turn")
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
+    out = normalization.normalize_with_changes(_turns(spark, sf_dir), "text", _ENGLISH, pvd, "conv_id", "turn")
     return out.select(F.explode("changes").alias("c")).groupBy(F.col("c.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
@@ -448,25 +452,43 @@ def config_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_configs(_turns(spark, sf_dir).select("conv_id", "turn", "text"), configs, "config", "model")
 
 
-@_query()
+def _spoken(x: str) -> str:
+    """Devanagari of any text: ``T D N H`` and ``Sh`` keep their case."""
+    return _deva(f"translate(lower(translate(replace({x}, 'Sh', chr(57344) || 'h'), 'TDNH', chr(57345) || chr(57346) || chr(57347) || chr(57348))), chr(57344) || chr(57345) || chr(57346) || chr(57347) || chr(57348), 'STDNH')")
+
+
+def _in_chunks(x: str) -> str:
+    """Chunks joined again by one space; words over a chunk's length are cut."""
+    cut = "array_to_string(list_transform(range(0, (length(w) + 124) // 125), lambda i: substr(w, i * 125 + 1, 125)), ' ')"
+    return f"CASE WHEN length({x}) <= 125 THEN {x} ELSE array_to_string(list_transform({_split(x)}, lambda w: CASE WHEN length(w) <= 125 THEN w ELSE {cut} END), ' ') END"
+
+
+@_query(f"""WITH {_CHANGED}, parts AS (SELECT conv_id, turn, pos, regexp_extract(w0, '^([^\\pL\\pN]*)', 1) AS prefix, regexp_extract(w0, '^[^\\pL\\pN]*(.*?)[^\\pL\\pN]*$', 1) AS core, CASE WHEN regexp_matches(w0, '[\\pL\\pN]') THEN regexp_extract(w0, '([^\\pL\\pN]*)$', 1) ELSE '' END AS suffix
+    FROM (SELECT conv_id, turn, unnest({_split("text")}) AS w0, generate_subscripts({_split("text")}, 1) AS pos FROM conversations)),
+  made AS (SELECT conv_id, turn, 'raw' AS config, text AS x FROM conversations
+    UNION ALL SELECT conv_id, turn, 'rule_based', string_agg(prefix || y || suffix, ' ' ORDER BY pos) FROM w GROUP BY conv_id, turn
+    UNION ALL SELECT conv_id, turn, 'combined', string_agg(prefix || coalesce(base, y) || suffix, ' ' ORDER BY pos) FROM f GROUP BY conv_id, turn
+    UNION ALL SELECT conv_id, turn, 'pvd_only', string_agg(prefix || coalesce(base, core) || suffix, ' ' ORDER BY pos) FROM parts LEFT JOIN pvd ON core = variant GROUP BY conv_id, turn),
+  arms AS (SELECT c.conv_id, c.turn, config, coalesce(x, '') AS x FROM (FROM conversations, (SELECT unnest(['raw', 'rule_based', 'combined', 'pvd_only']) AS config)) c LEFT JOIN made USING (conv_id, turn, config)),
+  fed AS (SELECT conv_id, turn, config, 'whole' AS model, x FROM arms UNION ALL SELECT conv_id, turn, config, 'chunked', {_in_chunks("x")} FROM arms)
+  SELECT conv_id, turn, config, model, {_spoken("x")} AS output FROM fed""")
 def ablation_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC14 SC15 JN8 SRC3: every arm of every turn through two models."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole=True))
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
     return normalization.ablation(_turns(spark, sf_dir), "text", _ENGLISH, pvd, [("chunked", 125), ("whole", 0)], None, "conv_id", "turn")
 
 
-@_query(f"""WITH {_LINES} SELECT doc_id, line_no, len(list_reduce(list_prepend('', list_transform({_split("line")}, lambda w: w)), lambda a, w: CASE
-    WHEN a = '' THEN w WHEN length(split_part(a, chr(1), len(string_split(a, chr(1))))) + 1 + length(w) <= 125 THEN a || ' ' || w ELSE a || chr(1) || w END).string_split(chr(1))) AS chunks FROM lines WHERE length(line) > 125""")
+@_query(f"""WITH {_LINES} SELECT doc_id, line_no, CASE WHEN length(line) <= 125 THEN 1 ELSE len(list_reduce(list_prepend('', list_transform({_split("line")}, lambda w: w)), lambda a, w: CASE
+    WHEN a = '' THEN w WHEN length(split_part(a, chr(1), len(string_split(a, chr(1))))) + 1 + length(w) <= 125 THEN a || ' ' || w ELSE a || chr(1) || w END).string_split(chr(1))) END AS chunks FROM lines""")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC15: greedy chunks of long lines."""
-    rows = _lines(spark, sf_dir).where("length(line) > 125")
-    return rows.select("doc_id", *_long("line_no"), F.size(chunk_text(F.col("line"), 125)).cast("long").alias("chunks"))
+    """SC15: greedy chunks of every line."""
+    return _lines(spark, sf_dir).select("doc_id", *_long("line_no"), F.size(chunk_text(F.col("line"), 125)).cast("long").alias("chunks"))
 
 
 @_query()
 def served_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC36 SC37 SC38 JN7 WIN2 WIN3 SNK10: normalize, transliterate, repair."""
-    pvd = dictionary.pvd_of(_groups(spark, sf_dir, whole=True))
+    pvd = dictionary.pvd_of(_groups(spark, sf_dir))
     out = normalization.serve(_turns(spark, sf_dir), "text", VOCABULARY, pvd, "conv_id", "turn")
     return out.select("conv_id", "turn", "text", F.array_join(replacement_lines(F.col("replacements")), "\n").alias("log"))
 
@@ -530,62 +552,87 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Metrics ---------------------------------------------------------------------
 
 
-def _eval_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(role, n, ref, hyp): turns against their rule-based form; unless ``whole``, ASCII ones and 300 characters as in the SQL."""
-    rows = _ascii_turns(spark, sf_dir, whole).select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.col("text").alias("ref"), rule_text(F.col("text")).alias("hyp"))
-    return rows if whole else rows.select("role", "n", *[F.substring(c, 1, 300).alias(c) for c in ("ref", "hyp")])
+def _eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(role, n, ref, hyp): whole turns against their rule-based form."""
+    return _turns(spark, sf_dir).select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.col("text").alias("ref"), rule_text(F.col("text")).alias("hyp"))
+
+
+_PAIRS = f"{_RULED_TURNS}, pairs AS (SELECT role, conv_id * 1000 + turn AS n, text AS ref, t AS hyp FROM ruled_turns)"
+
 
+def _distance(a: str, b: str) -> str:
+    """Edit distance in characters; the other engine counts bytes, so a pair's other characters become unused control characters."""
+    other = f"array_to_string(list_sort(list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7F]'))), '')"
+    low = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32)])
+    return f"levenshtein(translate({a}, {other}, {low}), translate({b}, {other}, {low}))"
 
-_PAIRS = f"pairs AS (SELECT role, c.conv_id * 1000 + c.turn AS n, substr(c.text, 1, 300) AS ref, substr(a.t, 1, 300) AS hyp FROM conversations c JOIN ascii_turns a USING (conv_id, turn))"
 
+def _word_distances(pairs: str) -> str:
+    """CTEs that end in worded (n, h, r) and word_errors (n, errors), row by row of the distance table."""
+    return f"""worded AS (SELECT n, {_split("hyp")} AS h, {_split("ref")} AS r FROM {pairs}),
+  dp(n, i, row) AS (SELECT n, 0, range(0, len(r) + 1) FROM worded UNION ALL
+    SELECT n, i + 1, list(least_so_far + j ORDER BY j) FROM (
+      SELECT n, i, j, min(t - j) OVER (PARTITION BY n ORDER BY j) AS least_so_far FROM (
+        SELECT dp.n, i, j, CASE WHEN j = 0 THEN i + 1 ELSE least(row[j + 1] + 1, row[j] + (h[i + 1] <> r[j])::INT) END AS t FROM dp JOIN worded USING (n), LATERAL (SELECT unnest(range(0, len(r) + 1)) AS j) WHERE i < len(h)))
+    GROUP BY n, i),
+  word_errors AS (SELECT n, row[-1] AS errors FROM dp JOIN worded USING (n) WHERE i = len(h))"""
 
-@_query(f"WITH {_ASCII_TURNS}, {_PAIRS} SELECT n, levenshtein(hyp, ref) AS errors, round(levenshtein(hyp, ref)::DOUBLE / greatest(length(ref), 1), 9) AS cer FROM pairs", whole=True)
-def character_errors(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+
+_BLEU = """grams AS (SELECT n, k, side, substr(x, p, k) AS gram, count(*) AS c FROM (
+    SELECT n, k, side, x, unnest(range(1, length(x) - k + 2)) AS p FROM (SELECT n, 'h' AS side, hyp AS x FROM pairs UNION ALL SELECT n, 'r', ref FROM pairs), (SELECT unnest([1, 2, 3, 4]) AS k) WHERE length(x) >= k) GROUP BY ALL),
+  hits AS (SELECT n, k, sum(least(a.c, b.c)) AS m FROM (FROM grams WHERE side = 'h') a JOIN (FROM grams WHERE side = 'r') b USING (n, k, gram) GROUP BY n, k),
+  orders AS (SELECT n, k, coalesce(m, 0)::DOUBLE AS m, greatest(length(hyp) - k + 1, 1)::DOUBLE AS d, length(hyp) AS lp, length(ref) AS lt, sum((coalesce(m, 0) = 0)::INT) OVER (PARTITION BY n ORDER BY k) AS empty FROM pairs CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) LEFT JOIN hits USING (n, k)),
+  terms AS (SELECT *, ln(CASE WHEN m = 0 THEN 0.1 ELSE m END / d) AS t1, CASE WHEN m > 0 THEN ln(m / d) WHEN lp > 1 THEN ln(1 / (2.0 ** empty * 5.0 / ln(lp) * d)) ELSE -1e300 END AS t4 FROM orders),
+  bleu AS (SELECT n, CASE WHEN bool_or(k = 1 AND m = 0) THEN 0.0 ELSE min(CASE WHEN lp > lt THEN 1.0 ELSE exp(1 - lt / lp) END) * exp(sum(t1) / 4) END AS bleu1,
+    CASE WHEN bool_or(k = 1 AND m = 0) THEN 0.0 ELSE min(CASE WHEN lp > lt THEN 1.0 ELSE exp(1 - lt / lp) END) * exp(sum(t4) / 4) END AS bleu4 FROM terms GROUP BY n)"""
+
+
+@_query(f"WITH {_PAIRS}, e AS (SELECT n, ref, {_distance('hyp', 'ref')} AS errors FROM pairs) SELECT n, errors, round(errors::DOUBLE / greatest(length(ref), 1), 9) AS cer FROM e")
+def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC17: character errors of each pair."""
-    p = _eval_pairs(spark, sf_dir, whole)
+    p = _eval_pairs(spark, sf_dir)
     return p.select("n", char_errors(F.col("hyp"), F.col("ref")).cast("long").alias("errors"), F.round(cer(F.col("hyp"), F.col("ref")), 9).alias("cer"))
 
 
-@_query(f"""WITH {_ASCII_TURNS}, {_PAIRS}, w AS (SELECT n, {_split("hyp")} AS h, {_split("ref")} AS r FROM pairs),
-  k AS (SELECT *, list_distinct(list_concat(h, r)) AS known FROM w)
-  SELECT n, levenshtein(array_to_string(list_transform(h, lambda x: chr((32 + list_position(known, x))::INT)), ''), array_to_string(list_transform(r, lambda x: chr((32 + list_position(known, x))::INT)), '')) AS errors,
-    len(list_filter(list_zip(h, r), lambda z: z[1] = z[2])) AS in_place FROM k WHERE len(known) <= 94""", whole=True)
-def word_errors_of_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """SC18 AGG10: word errors and words in place, unless ``whole`` of pairs that the other engine can number in ASCII."""
-    p = _eval_pairs(spark, sf_dir, whole)
-    if not whole:
-        p = p.where(F.size(F.array_distinct(F.concat(words(F.col("hyp")), words(F.col("ref"))))) <= 94)
+@_query(f"WITH RECURSIVE {_PAIRS}, {_word_distances('pairs')} SELECT n, errors, len(list_filter(list_zip(h, r), lambda z: z[1] = z[2])) AS in_place FROM worded JOIN word_errors USING (n)")
+def word_errors_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC18 AGG10: word errors and words in place."""
+    p = _eval_pairs(spark, sf_dir)
     return p.select("n", word_errors(F.col("hyp"), F.col("ref")).cast("long").alias("errors"), words_in_place(F.col("hyp"), F.col("ref")).cast("long").alias("in_place"))
 
 
-@_query(f"""WITH {_ASCII_TURNS}, {_PAIRS} SELECT role, round(sum(levenshtein(hyp, ref))::DOUBLE / sum(greatest(length(ref), 1)), 9) AS cer, round(avg(levenshtein(hyp, ref)), 9) AS mean_edit_distance,
-  round(sum(len(list_filter(list_zip({_split("hyp")}, {_split("ref")}), lambda z: z[1] = z[2])))::DOUBLE / sum(len({_split("ref")})), 9) AS word_accuracy FROM pairs GROUP BY role""", whole=True)
-def micro_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"""WITH {_PAIRS}, e AS (SELECT *, {_distance('hyp', 'ref')} AS errors FROM pairs) SELECT role, round(sum(errors)::DOUBLE / sum(greatest(length(ref), 1)), 9) AS cer, round(avg(errors), 9) AS mean_edit_distance,
+  round(sum(len(list_filter(list_zip({_split("hyp")}, {_split("ref")}), lambda z: z[1] = z[2])))::DOUBLE / sum(len({_split("ref")})), 9) AS word_accuracy FROM e GROUP BY role""")
+def micro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG9 AGG10 AGG11: errors over lengths, summed by role."""
-    m = aggregates.micro_scores(_eval_pairs(spark, sf_dir, whole), "role")
+    m = aggregates.micro_scores(_eval_pairs(spark, sf_dir), "role")
     return m.select("role", *[F.round(c, 9).alias(c) for c in ("cer", "mean_edit_distance", "word_accuracy")])
 
 
-@_query()
+@_query(f"""WITH RECURSIVE lines AS (SELECT item_id * 2 + k AS n, k, item_id, text AS ref, CASE WHEN k = 0 THEN {_ruled_of("text")} ELSE {_strip(f"lower(translate(text, '{_PUNCT}', ''))")} END AS hyp FROM benchmark, (SELECT unnest([0, 1]) AS k)),
+  bleu_of AS (WITH pairs AS (SELECT n, ref, hyp FROM lines), {_BLEU} SELECT n % 2 AS k, avg(bleu4) AS bleu FROM bleu GROUP BY 1),
+  joined AS (SELECT k AS n, string_agg(ref, ' ' ORDER BY item_id) AS ref, string_agg(hyp, ' ' ORDER BY item_id) AS hyp FROM lines GROUP BY k), {_word_distances('joined')}
+  SELECT CASE j.n WHEN 0 THEN 'rules' ELSE 'plain' END AS config, round({_distance('hyp', 'ref')}::DOUBLE / length(ref), 9) AS cer, round(errors::DOUBLE / len(r), 9) AS wer, round(bleu, 9) AS bleu
+  FROM joined j JOIN worded w ON j.n = w.n JOIN word_errors e ON j.n = e.n JOIN bleu_of b ON b.k = j.n""")
 def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG8 AGG12 JN3 D16: joined CER and WER and mean BLEU of the benchmark against its rule-based form."""
     items = _table(spark, sf_dir, "benchmark")
     ref = items.select(F.col("item_id").alias("n"), F.col("text").alias("value"))
     out = joins.with_configs(items, [("rules",), ("plain",)], "config").select("config", F.col("item_id").alias("n"), F.when(F.col("config") == "rules", rule_text(F.col("text"))).otherwise(plain_lower(F.col("text"))).alias("value"))
-    return evaluation.evaluate(ref, out, "config")
+    return evaluation.evaluate(ref, out, "config").select("config", *[F.round(c, 9).alias(c) for c in ("cer", "wer", "bleu")])
 
 
-@_query()
+@_query(f"WITH {_PAIRS}, {_BLEU} SELECT n, round(bleu1, 9) AS bleu1, round(bleu4, 9) AS bleu4 FROM bleu UNION ALL SELECT n, 0.0, 0.0 FROM pairs ANTI JOIN bleu USING (n)")
 def bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC19: character BLEU of whole turns with both smoothings."""
-    p = _eval_pairs(spark, sf_dir, whole=True)
+    p = _eval_pairs(spark, sf_dir)
     return p.select("n", *[F.round(char_bleu(F.col("hyp"), F.col("ref"), m), 9).alias(f"bleu{m}") for m in (1, 4)])
 
 
 @_query()
 def similar_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC16 SC28 FLT7 FLT10: matching ratio of each block's words to its first."""
-    pairs = block_pairs(spark, sf_dir, whole=True)
+    pairs = block_pairs(spark, sf_dir)
     return filters.unlike(pairs, "head", "other", 0.5).select("code", "head", "other", F.round("ratio", 9).alias("ratio"))
 
 
@@ -609,12 +656,17 @@ def best_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.best_config_then_model(_metrics(spark, sf_dir)).select("model", "config", F.round("cer", 9).alias("cer"), "wer", "bleu")
 
 
-@_query("""SELECT item_id, round(CASE WHEN r BETWEEN 0.5 AND 2.25 THEN greatest(0.0, 1 - abs(r - 1) / 1.25) ELSE 0.0 END, 9) AS score, r BETWEEN 0.5 AND 2.25 AS fits, round(exp(-abs(item_id % 7 - item_id % 3)::DOUBLE / 3), 9) AS place FROM (
-  SELECT item_id, greatest(length(regexp_replace(text, '[^A-Za-z0-9'']+', '', 'g')), 1)::DOUBLE / greatest(length(regexp_replace(substr(text, 1, 150), '[^A-Za-z0-9'']+', '', 'g')), 1) AS r FROM benchmark)""")
+@_query("""SELECT item_id, round(CASE WHEN r BETWEEN 0.5 AND 2.25 THEN greatest(0.0, 1 - abs(r - 1) / 1.25) ELSE 0.0 END, 9) AS score, r BETWEEN 0.5 AND 2.25 AS fits, round(exp(-abs(item_id % 7 - item_id % 3)::DOUBLE / 3), 9) AS place,
+  CASE kind WHEN 'backward' THEN greatest(0, item_id % 5 - 2) WHEN 'both' THEN greatest(0, item_id % 5 - 2) ELSE item_id % 5 END::INT AS low, CASE kind WHEN 'same' THEN item_id % 5 ELSE least(6, item_id % 5 + 2) END::INT AS high FROM (
+  SELECT a.item_id, ['same', 'forward', 'both'][a.item_id % 3 + 1] AS kind, greatest(length(regexp_replace(b.text, '[^A-Za-z0-9\\x{0900}-\\x{097F}'']+', '', 'g')), 1)::DOUBLE / greatest(length(regexp_replace(a.text, '[^A-Za-z0-9\\x{0900}-\\x{097F}'']+', '', 'g')), 1) AS r FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)""")
 def length_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC21 FLT8 SC46: length and place scores."""
-    t, s, i = F.col("text"), F.substring("text", 1, 150), F.col("item_id")
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.round(length_score(s, t), 9).alias("score"), filters.length_fits(s, t).alias("fits"), F.round(position_score(i % 3, i % 7, F.lit(5), F.lit(7)), 9).alias("place"))
+    """SC21 FLT8 SC46: length scores of each item and the next, place scores and window bounds."""
+    items = _table(spark, sf_dir, "benchmark")
+    rows = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next")), "item_id")
+    s, t, i = F.col("text"), F.col("next"), F.col("item_id")
+    bounds = F.when(i % 3 == 0, window_bounds("same", i % 5, F.lit(7), F.lit(2))).when(i % 3 == 1, window_bounds("forward", i % 5, F.lit(7), F.lit(2))).otherwise(window_bounds("both", i % 5, F.lit(7), F.lit(2)))
+    scored = rows.select("item_id", F.round(length_score(s, t), 9).alias("score"), filters.length_fits(s, t).alias("fits"), F.round(position_score(i % 3, i % 7, F.lit(5), F.lit(7)), 9).alias("place"), bounds.alias("b"))
+    return scored.select("item_id", "score", "fits", "place", "b.low", "b.high")
 
 
 # Samples, splits and sets ----------------------------------------------------
@@ -662,16 +714,16 @@ def first_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.first_of_key(both.select("id", "turn", "src", "text"), "id", "src", "turn").select("id", "text").orderBy("id")
 
 
-@_query(f"WITH {_WORDS} SELECT word FROM words WHERE length(word) > 1 ORDER BY word", whole=True)
-def sorted_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS} SELECT word FROM words WHERE length(word) > 1 ORDER BY word")
+def sorted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ORD2 FLT6: distinct words in code-point order."""
-    return filters.longer_than(_words(spark, sf_dir, whole), "word", 1).select("word").orderBy("word")
+    return filters.longer_than(_words(spark, sf_dir), "word", 1).select("word").orderBy("word")
 
 
-@_query(f"WITH {_WORDS}, d AS (SELECT DISTINCT unnest(regexp_extract_all({_deva('word')}, '[\\x{{0900}}-\\x{{097F}}]+')) AS word FROM words) SELECT word FROM d WHERE length(word) > 1 ORDER BY word", whole=True)
-def devanagari_word_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@_query(f"WITH {_WORDS}, d AS (SELECT DISTINCT unnest(regexp_extract_all({_deva('word')}, '[\\x{{0900}}-\\x{{097F}}]+')) AS word FROM words) SELECT word FROM d WHERE length(word) > 1 ORDER BY word")
+def devanagari_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC42 FLT6 AGG3 SNK9: the different Devanagari words."""
-    return dictionary.devanagari_words(_words(spark, sf_dir, whole).select(transliterate(F.col("word")).alias("line")), "line")
+    return dictionary.devanagari_words(_words(spark, sf_dir).select(transliterate(F.col("word")).alias("line")), "line")
 
 
 def _dice(*parts: str) -> str:
@@ -682,10 +734,10 @@ def _dice(*parts: str) -> str:
   t AS (SELECT item_id AS id, unnest({_split("text")}) AS token, generate_subscripts({_split("text")}, 1) - 1 AS pos FROM benchmark),
   e AS (SELECT t.*, cluster, v FROM t LEFT JOIN cl ON lower(token) = word, (SELECT unnest([1, 2, 3]) AS v)),
   s AS (SELECT *, CASE WHEN cluster IS NOT NULL AND {_dice("id::VARCHAR", "v::VARCHAR", "pos::VARCHAR", "'swap'")} < {int(0.7 * 2**32)} THEN cluster[{_dice("id::VARCHAR", "v::VARCHAR", "pos::VARCHAR", "'pick'")} % len(cluster) + 1] ELSE token END AS w FROM e)
-  SELECT item_id AS id, 0 AS variation, text AS sentence FROM benchmark UNION ALL SELECT id, v AS variation, string_agg(w, ' ' ORDER BY pos) AS sentence FROM s GROUP BY id, v""", whole=True)
-def augmented_sentences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+  SELECT item_id AS id, 0 AS variation, text AS sentence FROM benchmark UNION ALL SELECT id, v AS variation, string_agg(w, ' ' ORDER BY pos) AS sentence FROM s GROUP BY id, v""")
+def augmented_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC41 JN5 D6 SRC11: each sentence and three variations from the clusters."""
-    clusters = _groups(spark, sf_dir, whole).select(F.explode("variants").alias("word"), F.col("variants").alias("cluster"))
+    clusters = _groups(spark, sf_dir).select(F.explode("variants").alias("word"), F.col("variants").alias("cluster"))
     rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return dictionary.augmented(rows, "text", clusters)
 
@@ -761,9 +813,17 @@ def repaired_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(pairs, "roman", "deva", VOCABULARY).select("item_id", "text", F.size("replacements").cast("long").alias("replacements"))
 
 
+@_query()
+def earlier_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC46 AGG18 ORD6: what the earlier matchers choose for each English word of the benchmark items."""
+    items = _table(spark, sf_dir, "benchmark")
+    pairs = items.select("item_id", F.col("text").alias("roman"), transliterate(F.lower("text")).alias("deva"))
+    return matched_words(pairs, "roman", "deva", VOCABULARY).select("item_id", "m.*")
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _FOUND.items()}
+    return {name: f for name, (f, _) in _FOUND.items()} | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql} | files.oracle_sql()

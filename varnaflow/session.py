@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,3 +25,25 @@ def ship(spark: SparkSession) -> SparkSession:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the application serves the file until then
         context.addPyFile(shutil.make_archive(os.path.join(folder, package.name), "zip", package.parent, package.name))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a session that runs in this process alone (a test) gets a
+    temporary folder; on a cluster it is an error, since executors would each write
+    to a disk of their own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="varnaflow-")
+        spark.sparkContext.setCheckpointDir(found)
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -92,7 +92,9 @@ class CommentSource(DataSource):
 
     Options: ``videos`` (comma-separated ids), ``client`` as ``module:function``; the
     function is called with (video, page token, key number) and returns
-    (comments, next token).  On 403 for quota the next of ``keys`` (a count) is used.
+    (comments, next token).  On 403 for quota the next of ``keys`` (a count) is used;
+    any other refusal, or the last key's, fails the read, unless ``partial`` is
+    ``true``: then a video keeps the comments that came before it.
     """
 
     @classmethod
@@ -110,6 +112,7 @@ class CommentReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.videos = [v for v in options.get("videos", "").split(",") if v]
         self.client, self.keys = options["client"], int(options.get("keys", "1"))
+        self.partial = options.get("partial", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(v) for v in self.videos]
@@ -127,6 +130,8 @@ class CommentReader(DataSourceReader):
                 if e.status == 403 and "quota" in e.reason and key + 1 < self.keys:
                     key += 1
                     continue
+                if not self.partial:
+                    raise
                 return
             for c in comments:
                 yield partition.value, n, c
@@ -136,6 +141,12 @@ class CommentReader(DataSourceReader):
 
 
 def channel_videos(listing: Callable[[str], list[str]], channels: list[str], spark: SparkSession) -> DataFrame:
-    """(channel, video) by a caller's listing function."""
-    rows = [(c, v) for c in channels for v in listing(c)]
-    return spark.createDataFrame(rows, "channel string, video string")
+    """(channel, video) by a caller's listing function, called once for each channel on the executors."""
+    named = spark.createDataFrame([(c,) for c in channels], "channel string").repartition(max(1, min(len(channels), spark.sparkContext.defaultParallelism)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for channel in part["channel"]:
+                yield pd.DataFrame({"channel": channel, "video": list(listing(channel))}, columns=["channel", "video"])
+
+    return named.mapInPandas(run, "channel string, video string")

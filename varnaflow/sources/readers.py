@@ -80,10 +80,15 @@ def text_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
     return reader.text(folder).select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("value")).where("value <> ''")
 
 
-def pvd_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, code, base_word, variants) of a dictionary JSON, in file order."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", PVD_JSON).alias("m"))
-    return whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select("ord", F.col("e.key").alias("code"), F.col("e.value.base_word").alias("base_word"), F.col("e.value.variants").alias("variants"))
+def pvd_entries(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(ord, code, base_word, variants) of a dictionary JSON, in file order.
+
+    ``by_line`` reads a dictionary of one entry a line, however large; its entries
+    are in code order.
+    """
+    whole = spark.read.text(path, wholetext=not by_line).select(F.from_json("value", PVD_JSON).alias("m"))
+    order = F.col("e.key") if by_line else F.col("ord")
+    return whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select(order.alias("ord"), F.col("e.key").alias("code"), F.col("e.value.base_word").alias("base_word"), F.col("e.value.variants").alias("variants"))
 
 
 def pvd_lookup(entries: DataFrame) -> DataFrame:

@@ -20,9 +20,11 @@ def write_lines(frame: DataFrame, path: str, column: str = "value", single: bool
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "overwrite", bom: bool = False, single: bool = False) -> None:
-    """CSV with header; ``bom`` marks the first column's name for programs that need it."""
-    out = frame.withColumnRenamed(frame.columns[0], "﻿" + frame.columns[0]) if bom else frame
-    (out.coalesce(1) if single or bom else out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with header, values as they are; ``bom`` starts each file with a byte-order mark for programs that need it."""
+    # a file's first characters are its header's, so the mark goes before the first name
+    out = frame.withColumnRenamed(frame.columns[0], "\ufeff" + frame.columns[0]) if bom else frame
+    writer = (out.coalesce(1) if single else out).write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_rows(frame: DataFrame, path: str) -> None:
