@@ -3,37 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_path, shared_dir  # noqa: F401
+
 #: Words of the contracts that split on ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset
-    (a local test session) a temporary folder of this machine is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="varnaflow-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -50,6 +32,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        found = next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 def row_key() -> Column:
     """Tells rows apart that repeat a doc_id with another text."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

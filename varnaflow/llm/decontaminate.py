@@ -147,10 +147,12 @@ def _scan(rows: Iterator[pa.RecordBatch], index: Index, all_rows: bool) -> Itera
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, row, n_words, items (ids as strings, sorted) and hit word ranges.
 
-    Null texts have no words; items without words or with a null id are never
-    found (null ids) or match nothing; rows that repeat a doc_id are documents of
-    their own (``row`` tells them apart); items that repeat an id are one item.
-    Empty tables give no rows, or rows without hits.
+    Null and empty texts have no words; items without words or with a null id are
+    never found (null ids) or match nothing; rows with a null or repeated doc_id are
+    documents of their own (``row`` tells different texts apart); items that repeat
+    an id are one item.  Long texts are read whole; of equally rare shingles a window
+    joins on its first.  Other columns are not read.  Empty tables give no rows, or
+    rows without hits.
     """
     docs = texts(docs).withColumn("row", row_key())
     wanted = texts(items, "item_id").where(F.col("doc_id").isNotNull())
@@ -174,7 +176,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     both = found[0].withColumn("every", F.lit(True))
     for more in (x.withColumn("every", F.lit(False)) for x in found[1:]):
         both = both.unionByName(more)
-    united = F.udf(lambda spans: _union([(s["start"], s["end"]) for s in spans]), "array<struct<start:long,end:long>>")
+
+    @F.pandas_udf("array<struct<start:long,end:long>>")
+    def united(spans):  # noqa: ANN001, ANN202
+        return spans.map(lambda found: [{"start": s, "end": e} for s, e in _union([(x["start"], x["end"]) for x in found])])
+
     both = stored(both, "hits")
     merged = both.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     merged = merged.withColumn("spans", united("spans"))

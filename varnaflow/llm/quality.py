@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, row_key, stored, utf8
+from .common import batches_by_bytes, free_names, row_key, stored, utf8
 from .wordhash import mix, word_hashes, word_spans
 
 #: Labelled rows that the classifiers are fitted on, at most.
 LABELLED = 8_000
+#: Bytes of their features, at most: a very long document has half a megabyte.
+LABELLED_BYTES = 256 << 20
 ROUNDS = 3
 #: Pseudo-labels need this probability, and a view gives at most this many of each class in a round.
 SURE = 0.97
@@ -282,17 +284,32 @@ def surest(logits: DataFrame, place: int, taken: set[tuple[int, int]], high: boo
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
-    """Fit on a bounded sample of labelled documents and on the surest of all others; labels that are null, or of unknown documents, are not used."""
+    """Fit on a bounded sample of labelled documents and on the surest of all others.
+
+    Labels that are null, or of unknown documents, are not used.  A document that is
+    labelled more than once has the least quality and the most toxicity of its
+    labels; of rows that repeat a labelled doc_id one is learnt, the least by hash
+    of its text.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and (quality is not null or toxic is not null)")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(1)), "quality", "toxic").limit(labelled).collect()
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(labelled).collect()
     label = {r["doc_id"]: (r["quality"], r["toxic"]) for r in chosen}
     if not label:
         return Model(None, None)
     session = docs.sparkSession
     features = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), *_input(docs)).where("doc_id is not null").mapInArrow(_features, _FEATURES), "features")
     few = F.broadcast(session.createDataFrame([(i,) for i in label], "doc_id long"))  # at most labelled ids
-    rows = features.join(few, "doc_id", "left_semi").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    first = features.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"), F.max(F.octet_length("words")).alias("bytes")).collect()
+    place = {i: n for n, i in enumerate(label)}
+    learnt, size = [], 0
+    for r in sorted(first, key=lambda r: place[r["doc_id"]]):
+        size += r["bytes"]
+        if size <= LABELLED_BYTES:
+            learnt.append((r["doc_id"], r["row"]))
+    few = F.broadcast(session.createDataFrame(learnt, "doc_id long, row long"))
+    rows = features.join(few, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("row", "ascending")])
     at, views = rows["doc_id"].to_numpy(), _read(rows)
     del rows
     learners: list[Learner | None] = []
@@ -311,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
         if not wanted:
             break
         some = F.broadcast(session.createDataFrame(wanted, "doc_id long, row long"))
-        rows = features.join(some, ["doc_id", "row"], "left_semi").toArrow().combine_chunks()
+        rows = features.join(some, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).toArrow().combine_chunks()
         (shape, words), (numbers, pages) = _read(rows)
         found = {(i, r): ((shape[n], words[n]), (numbers[n], pages[n])) for n, (i, r) in enumerate(zip(rows["doc_id"].to_pylist(), rows["row"].to_pylist(), strict=True))}
         del rows
@@ -322,11 +339,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     return Model(*[x and x.target() for x in learners])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with p_quality, p_toxic and keep as a struct column ``cotrained``.
+def score(docs: DataFrame, model: Model, name: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and a struct column of p_quality, p_toxic and keep.
 
-    A null text is empty; a label without a classifier has a null probability and
-    rejects nothing.  An empty table gives no rows.
+    The new column is the last; it is called ``name``, or else ``cotrained`` or the
+    next such name that is free.  A null text is empty and is scored as such, as are
+    texts without words; long texts are read whole.  A label without a classifier
+    has a null probability and rejects nothing.  Rows with a null or repeated doc_id
+    are scored each by itself.  An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -342,20 +362,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         p = np.concatenate([*out, np.zeros((0, 2))])
         return pd.DataFrame({"p_quality": p[:, 0], "p_toxic": p[:, 1]})
 
-    p = run(*_input(docs))
-    low = F.coalesce(1 - F.col("cotrained.p_quality") > REJECT_LOW, F.lit(False))
-    toxic = F.coalesce(F.col("cotrained.p_toxic") > REJECT_TOXIC, F.lit(False))
-    return docs.withColumn("cotrained", p).withColumn("cotrained", F.struct(F.nullif(F.col("cotrained.p_quality"), F.lit(float("nan"))).alias("p_quality"), F.nullif(F.col("cotrained.p_toxic"), F.lit(float("nan"))).alias("p_toxic"))).withColumn("cotrained", F.struct("cotrained.p_quality", "cotrained.p_toxic", (~low & ~toxic).alias("keep")))
+    (free,) = free_names(docs.columns, name or "cotrained")
+    own = F.col(f"`{free}`")
+    scored = docs.withColumn(free, run(*_input(docs)))
+    known = [F.nullif(own[c], F.lit(float("nan"))).alias(c) for c in ("p_quality", "p_toxic")]
+    low = F.coalesce(1 - own["p_quality"] > REJECT_LOW, F.lit(False))
+    toxic = F.coalesce(own["p_toxic"] > REJECT_TOXIC, F.lit(False))
+    scored = scored.withColumn(free, F.struct(*known))
+    return scored.withColumn(free, F.struct(own["p_quality"].alias("p_quality"), own["p_toxic"].alias("p_toxic"), (~low & ~toxic).alias("keep")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_quality, p_toxic, keep for every row of ``docs``."""
+    """doc_id, p_quality, p_toxic, keep for every row of ``docs``; rows are treated as ``score`` and labels as ``fit`` say."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_input(docs))
     return score(slim, fit(docs, labels)).select("doc_id", "cotrained.p_quality", "cotrained.p_toxic", "cotrained.keep")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns."""
-    name = "cotrained"
-    model = fit(docs, labels)
-    return score(docs, model).where(f"{name}.keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are not rejected, with their columns; rows are treated as ``score`` and labels as ``fit`` say."""
+    scored = score(docs, fit(docs, labels))
+    return scored.where(F.col(f"`{scored.columns[-1]}`")["keep"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,8 +13,8 @@ on every choice of two blocks.  A bucket of more than ``DENSE`` fingerprints (a
 family of near copies) would still make quadratically many pairs; its members
 instead meet at the fingerprints between them: two fingerprints within two bits
 have a common neighbour within one bit, and two that share one are within two
-bits.  That is exact for d = 2 and grows linearly; for other d dense buckets take
-the pivot join in blocks of rows.
+bits.  That is exact for d = 2 and grows linearly; for other d dense buckets are
+joined like the rest, and their pairs grow with the square of their size.
 """
 
 from __future__ import annotations

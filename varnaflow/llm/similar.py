@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, stored, utf8
+from .common import batches_by_bytes, free_names, stored, utf8
 from .graph import components
 from .simhash import _LOWER
 from .wordhash import mix, run_hashes, word_hashes, word_spans
@@ -169,20 +169,21 @@ def confirmed(candidates: DataFrame, shingle: int, similarity: float, block: int
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of similar ones: the smallest id, ties by row.
 
-    A null text is empty, and empty texts are one group.  A row with a null id stays
-    only where its group has no id.  Repeated rows are one group.  An empty table
-    gives no rows.  All columns stay as they are.
+    A null text is empty, and texts without words, empty or of white space, are one
+    group.  A row with a null id stays only where its group has no id.  Repeated rows
+    are one group.  Long texts are read whole.  An empty table gives no rows.  All
+    columns stay as they are, whatever their names.
     """
     names = docs.columns
-    own = {"own_rep", "own_row"} | {c.lower() for c in names}
-    rep, row = (next(n for n in (f"{base}_{k}" for k in range(len(names) + 2)) if n not in own) for base in ("vf_rep", "vf_row"))
+    rep, row, own = free_names(names, "vf_rep", "vf_row", "vf_own")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = F.when(F.btrim(text, F.lit(" \t\n\v\f\r")) == "", F.lit("")).otherwise(text)
     # two hashes name a text: 128 bits would have to agree for two texts to be taken for one
     marked = stored(docs.withColumns({row: F.monotonically_increasing_id(), rep: F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.reverse(text), F.lit(1)).alias("b"))}), "marked")
     slim = marked.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(row).alias("row"), F.col(f"{rep}.a").alias("a"), F.col(f"{rep}.b").alias("b"))
     first = slim.groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
     classes = stored(first.select("a", "b", F.col("best.row").alias("rep"), "best"), "texts")
-    unique = marked.withColumnRenamed(row, "vf_own").join(classes.select(F.col("rep").alias("vf_own")), "vf_own", "left_semi").select(F.col("vf_own").alias("rep"), text.alias("text"))
+    unique = marked.withColumnRenamed(row, own).join(classes.select(F.col("rep").alias(own)), own, "left_semi").select(F.col(own).alias("rep"), text.alias("text"))
     prints = sketches(unique, shingle)
     near = stored(components(links(prints, radius(similarity))).withColumnRenamed("node", "rep"), "near")
     found = components(confirmed(unique.join(near, "rep"), shingle, similarity)).withColumnRenamed("node", "rep")

@@ -136,7 +136,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
     """Encode all of ``docs`` to shard files in ``path``; returns the stored manifest.
 
     A null text is empty, a null doc_id comes first, rows that repeat a doc_id are
-    documents of their own, and an empty table gives an empty manifest.  ``path``
+    documents of their own (in order of a hash of their texts), a long text has
+    frames of its own, and an empty table gives an empty manifest.  ``path``
     is a URI or absolute path that every executor can write through pyarrow.fs.
     """
     end = struct.pack("<I", end_id)
@@ -190,6 +191,10 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write ``docs`` to a new folder of the shared store and report from the files."""
+    """Write ``docs`` to a new folder of the shared store and report from the files.
+
+    Nulls, repeated rows, long texts and empty tables are treated as ``write_shards``
+    says; other columns of ``docs`` are not read.
+    """
     manifest = write_shards(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id)
     return read_shards(manifest)
