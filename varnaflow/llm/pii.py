@@ -97,13 +97,19 @@ _SPELLED = {
 }
 _AT_WORDS = "at|arroba|arobase"
 _DOT_WORDS = "dot|punkt|punto"
-#: Last labels that a fully spelled address ("x at y dot z") must end in, so that prose is left alone (fixed values).
+#: Last labels that a fully spelled address ("x at y dot z") may end in whatever stands before (fixed values).
 _LAST_LABELS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv de fr es uk us eu it nl ch at be ca au in jp cn br ru pl se no dk fi ie pt mx ar np example test".split())
+#: Words that open a phrase of prose after "at", and words that go on after "dot" (fixed values).
+_ARTICLES = frozenset("the a an this that these those each every my your our his her its their one no some any der die das den dem des ein eine einen einem le la les un une el los las una".split())
+_PROSE = frozenset("on in of to and or is was are were for with from by as at the a an that which where when but not it he she they we you und oder ist auf im von zu et ou est sur dans y o en por para".split())
 _AT = re.compile(rf"@|[ \t]*[\[({{<][ \t]*(?:{_AT_WORDS}|@)[ \t]*[\])}}>][ \t]*|[ \t\n]+(?:{_AT_WORDS})[ \t\n]+", re.I)
 _DOT = rf"(?:\.|[ \t]*[\[({{<][ \t]*(?:{_DOT_WORDS}|point|\.)[ \t]*[\])}}>][ \t]*|[ \t\n]+(?:{_DOT_WORDS})[ \t\n]+)"
 _DOT_AT = re.compile(_DOT, re.I)
 _HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I)
-_USER = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})*[A-Za-z0-9._%+-]+$", re.I)
+_BRACKETED_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORDS}|point|\.)[ \t]*[\])}}>][ \t]*"
+#: Four numbers with a bracketed dot between some of them.
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\.|{_BRACKETED_DOT})[0-9]++){{3}}", re.I)
+_DOT_BETWEEN = re.compile(_BRACKETED_DOT, re.I)
 _TOKEN = re.compile(r"[^\W_]+|\+")
 _GAP = re.compile(r"[ \t\n,.()-]{0,3}")
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -163,23 +169,46 @@ def _homoglyphs(text: str) -> Mapped | None:
 
 def _at_dot(text: str) -> list[tuple[int, int, str]]:
     """Replacements inside e-mail addresses that have a disguised at or dot."""
-    out, done = [], 0
+    out: list[tuple[int, int, str]] = []
+    done, dot_before = 0, None
     for m in _AT.finditer(text):
         host = _HOST.match(text, m.end()) if m.start() >= done else None
-        user = _USER.search(text, max(done, m.start() - 256), m.start()) if host else None
-        if not user:
+        if not host:
+            continue
+        if dot_before is None:  # where each disguised dot begins, by its end
+            dot_before = {d.end(): d.start() for d in _DOT_AT.finditer(text) if d[0] != "."}
+        start, dots = m.start(), []
+        while start > done:  # the local part, read backwards over disguised dots
+            if text[start - 1] in _LOCAL:
+                start -= 1
+            elif start < m.start() and (at := dot_before.get(start, -1)) > done and text[at - 1] in _LOCAL:
+                dots.append((at, start))
+                start = at
+            else:
+                break
+        if start == m.start():
             continue
-        dots = [d for d in _DOT_AT.finditer(text, user.start(), user.end()) if d[0] != "."]
         host_dots = [d for d in _DOT_AT.finditer(text, host.start(), host.end()) if d[0] != "."]
         bracketed = m[0].strip()[0] in "[({<"
-        if not bracketed and m[0] != "@" and re.split(r"[^A-Za-z0-9-]+", host[0])[-1].lower() not in _LAST_LABELS:
+        if not bracketed and m[0] != "@" and not _spelled_host(re.split(r"[^A-Za-z0-9-]+", host[0]), host_dots):
             continue
         if bracketed or host_dots or m[0] == "@" and dots:
-            out += [(*d.span(), ".") for d in dots] + [(*m.span(), "@")] * (m[0] != "@") + [(*d.span(), ".") for d in host_dots]
+            out += [(*d, ".") for d in dots] + [(*m.span(), "@")] * (m[0] != "@") + [(*d.span(), ".") for d in host_dots]
             done = host.end()
     return out
 
 
+def _spelled_host(labels: list[str], dots: list[re.Match]) -> bool:
+    """Whether a host with spelled dots after a spelled at is one: by its last label, or unless it reads as prose."""
+    first, last = labels[0].lower(), labels[-1].lower()
+    return last in _LAST_LABELS and first not in _ARTICLES or len(dots) > 1 and last.isalpha() or len(last) > 1 and last.isalpha() and first not in _ARTICLES and last not in _PROSE
+
+
+def _dotted_numbers(text: str) -> list[tuple[int, int, str]]:
+    """Replacements of bracketed dots between four numbers."""
+    return [(*d.span(), ".") for m in _DOTTED.finditer(text) for d in _DOT_BETWEEN.finditer(text, m.start(), m.end())]
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Replacements for runs of spelled digits, with plus and dot words and numbers between."""
     out: list[tuple[int, int, str]] = []
@@ -234,6 +263,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         plain = folded.text
     words = plain.encode("utf-8", "replace").translate(_WORD_TABLE).split()
     changes = _at_dot(plain)
+    if any(c in plain for c in "[({<"):
+        changes = [*changes, *_dotted_numbers(plain)]
     if sum(map(_SPELLED_UTF8.__contains__, words)) >= SPELLED_RUN or sum(map(_DOTS_UTF8.__contains__, words)) >= 3:
         changes = [*changes, *_spelled(plain)]
     if changes:
@@ -260,8 +291,10 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_<kind> over all spans, base and all spans as text.
 
-    A null text is empty and has no spans.  Rows with a null or repeated doc_id
-    are documents of their own; other columns of ``docs`` are not read.
+    A null or empty text has no spans; long texts are read whole.  Rows with a null
+    or repeated doc_id are documents of their own; other columns of ``docs`` are not
+    read.  Where rewriting shows one identifier inside another of its kind, the
+    longer counts.  An empty table gives no rows.
     """
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +312,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: Column) -> Column:
-    """The text with each identifier replaced by its kind in angle brackets; null stays null."""
+    """The text with each identifier replaced by its kind in angle brackets; null stays null, empty stays empty.
+
+    Where identifiers overlap, the first, of equally early ones the longest, names
+    the whole stretch.
+    """
 
     @F.pandas_udf("string")
     def mask(series):  # noqa: ANN001, ANN202
