@@ -7,8 +7,9 @@ sequence of sentence identifiers in text order; ordered licence rules are matche
 against it, longest rule first, each identifier explained by one rule only.
 Identifiers that no rule explains are reported as they are, never dropped.
 
-Row-local and linear in the text; only sentences with a word that every known
-sentence needs are normalised.  Rules and sentences are parameters.
+Row-local and linear in the text.  With the sentences given here, only those that
+have one of the words that each of them needs are normalised; with a caller's own,
+all are.  Rules and sentences are parameters.
 """
 
 from __future__ import annotations
@@ -47,8 +48,17 @@ SENTENCES = {
     "GplVersion2": r".*either version 2 of the license or at your option any later version",
     "GplHope": r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "GplSee": r"see the gnu general public license for more details",
+    "Agpl3Licensed": r"(this (work|file|software|project|program) is )?(licensed|released|distributed|available) under the( terms of the)? gnu affero general public licen[sc]e (version 3|v3)( 0)?",
+    "Lgpl21Licensed": r"(this (work|file|software|project|library) is )?(licensed|released|distributed|available) under the( terms of the)? gnu lesser general public licen[sc]e (version |v)2 1",
+    "Lgpl3Licensed": r"(this (work|file|software|project|library) is )?(licensed|released|distributed|available) under the( terms of the)? gnu lesser general public licen[sc]e (version |v)3( 0)?",
     "LgplLicensed": r"(this (work|file|software|project|library) is )?(licensed|released|distributed|available) under the( terms of the)? gnu (lesser|library) general public licen[sc]e.*",
     "Mpl2Licensed": r"this source code form is subject to the terms of the mozilla public license v 2 0|(licensed|released) under the mozilla public license (version|v) ?2( 0)?",
+    "Epl2Licensed": r"(this program and the accompanying materials are )?(made )?available under the terms of the eclipse public license (version |v )?2 0.*",
+    "ZlibPermission": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "ZlibAsIs": r"this software is provided as is without any express or implied warranty",
+    "BoostLicensed": r"(licensed|released|distributed) under the( terms of the)? boost software license version 1 0.*",
+    "WtfplLicensed": r"(licensed|released|distributed) under the( terms of the)? do what the fuck you want to public license( version 2)?",
+    "Artistic2Licensed": r"(this (work|file|software|project|program) is )?(licensed|released|distributed|available) under the( terms of the)? artistic license (version )?2 0",
     "CcByLicensed": r"(this (work|text|page) is )?(licensed|released|available) under( a| the)? (cc by|creative commons attribution)( license)?( [1-4] 0)?( international)?( license)?",
     "CcByScLicensed": r"(this (work|text|page) is )?(licensed|released|available) under( a| the)? (cc by sa|creative commons attribution share ?alike)( license)?( [1-4] 0)?( international)?( license)?",
     "CcByNcLicensed": r"(this (work|text|page) is )?(licensed|released|available) under( a| the)? (cc by nc|creative commons attribution non ?commercial)( license)?( [1-4] 0)?( international)?( license)?",
@@ -58,7 +68,8 @@ SENTENCES = {
     "Copyright": r"(copyright|c) (c )?[0-9]{4}.*|copyright .*all rights reserved",
     **{f"Spdx{name}": rf"spdx license identifier {tag}" for name, tag in (
         ("Apache2", "apache 2 0"), ("Mit", "mit"), ("Isc", "isc"), ("Bsd3", "bsd 3 clause"), ("Bsd2", "bsd 2 clause"),
-        ("Gpl3Later", "gpl 3 0 or later"), ("Gpl2Later", "gpl 2 0 or later"), ("Gpl3", "gpl 3 0( only)?"), ("Gpl2", "gpl 2 0( only)?"), ("Lgpl", "lgpl [0-9] [0-9]( only| or later)?"),
+        ("Gpl3Later", "gpl 3 0 or later"), ("Gpl2Later", "gpl 2 0 or later"), ("Gpl3", "gpl 3 0( only)?"), ("Gpl2", "gpl 2 0( only)?"), ("Agpl3", "agpl 3 0( only| or later)?"), ("Lgpl21", "lgpl 2 1( only| or later)?"), ("Lgpl3", "lgpl 3 0( only| or later)?"), ("Lgpl", "lgpl [0-9] [0-9]( only| or later)?"),
+        ("Epl2", "epl 2 0"), ("Zlib", "zlib"), ("Bsl1", "bsl 1 0"), ("Wtfpl", "wtfpl"), ("Artistic2", "artistic 2 0"),
         ("Mpl2", "mpl 2 0"), ("CcBy", "cc by [1-4] 0"), ("CcBySa", "cc by sa [1-4] 0"), ("CcByNc", "cc by nc [1-4] 0"), ("CcByNcSa", "cc by nc sa [1-4] 0"), ("Cc0", "cc0 1 0"), ("Unlicense", "unlicense"),
     )},
     "SpdxTag": r"spdx license identifier [a-z0-9 ]+",
@@ -81,7 +92,16 @@ RULES = [
     ("GPL-2.0-or-later", ("GplVersion2", "GplHope", "GplSee")),
     ("GPL-3.0", ("Gpl3Licensed",)),
     ("GPL-2.0", ("Gpl2Licensed",)),
+    ("AGPL-3.0", ("Agpl3Licensed",)),
+    ("LGPL-2.1", ("Lgpl21Licensed",)),
+    ("LGPL-3.0", ("Lgpl3Licensed",)),
     ("LGPL", ("LgplLicensed",)),
+    ("EPL-2.0", ("Epl2Licensed",)),
+    ("Zlib", ("ZlibAsIs", "ZlibPermission")),
+    ("Zlib", ("ZlibPermission",)),
+    ("BSL-1.0", ("BoostLicensed",)),
+    ("WTFPL", ("WtfplLicensed",)),
+    ("Artistic-2.0", ("Artistic2Licensed",)),
     ("MPL-2.0", ("Mpl2Licensed",)),
     ("CC-BY", ("CcByLicensed",)),
     ("CC-BY-SA", ("CcByScLicensed",)),
@@ -91,11 +111,12 @@ RULES = [
     ("Unlicense", ("Unlicense",)),
     *((licence, (f"Spdx{name}",)) for licence, name in (
         ("Apache-2.0", "Apache2"), ("MIT", "Mit"), ("ISC", "Isc"), ("BSD-3-Clause", "Bsd3"), ("BSD-2-Clause", "Bsd2"),
-        ("GPL-3.0-or-later", "Gpl3Later"), ("GPL-2.0-or-later", "Gpl2Later"), ("GPL-3.0", "Gpl3"), ("GPL-2.0", "Gpl2"), ("LGPL", "Lgpl"),
+        ("GPL-3.0-or-later", "Gpl3Later"), ("GPL-2.0-or-later", "Gpl2Later"), ("GPL-3.0", "Gpl3"), ("GPL-2.0", "Gpl2"), ("AGPL-3.0", "Agpl3"), ("LGPL-2.1", "Lgpl21"), ("LGPL-3.0", "Lgpl3"), ("LGPL", "Lgpl"),
+        ("EPL-2.0", "Epl2"), ("Zlib", "Zlib"), ("BSL-1.0", "Bsl1"), ("WTFPL", "Wtfpl"), ("Artistic-2.0", "Artistic2"),
         ("MPL-2.0", "Mpl2"), ("CC-BY", "CcBy"), ("CC-BY-SA", "CcBySa"), ("CC-BY-NC", "CcByNc"), ("CC-BY-NC-SA", "CcByNcSa"), ("CC0-1.0", "Cc0"), ("Unlicense", "Unlicense"),
     )),
 ]
-#: A sentence without any of these is no licence sentence: each pattern needs one, whatever stands between words.
+#: A sentence without any of these is none of ``SENTENCES``: each of their patterns needs one, whatever stands between words.  Other patterns are tried on every sentence.
 _NEEDED = re.compile("licen|copyright|permission|warrant|redistribution|public[^a-z0-9]+domain|under|endorse|version[^a-z0-9]+[23][^a-z0-9]+of|spdx|free[^a-z0-9]+software|as[^a-z0-9]+is|cc0|c[^a-z0-9]+(?:c[^a-z0-9]+)?[0-9]{4}", re.I)
 _BREAK = re.compile(r"(?<=[.!?;])\s+|(?<!Identifier:)(?<!identifier:)(?<=:)\s+|\n\s*\n|\n(?=[ \t]*(?:[*#/-]+[ \t]*)?(?:Licen[sc]ed|Released|Distributed|Available|Copyright|Permission|Redistribution|This|The|THE SOFTWARE|THIS|You|Unless|See|Neither|SPDX|\(c\)|[0-9]+[.)] ))")
 #: A tag ends with its line.
@@ -134,11 +155,12 @@ class Rules:
 
     known: tuple[tuple[str, re.Pattern], ...]
     rules: tuple[tuple[str, tuple[str, ...]], ...]
+    needed: re.Pattern | None = None
 
     @classmethod
     def of(cls, known: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> Rules:
         """Patterns are tried in order; longer rules go first, equal ones in order."""
-        return cls(tuple((k, re.compile(p)) for k, p in known.items()), tuple(sorted(rules, key=lambda r: -len(r[1]))))
+        return cls(tuple((k, re.compile(p)) for k, p in known.items()), tuple(sorted(rules, key=lambda r: -len(r[1]))), _NEEDED if known is SENTENCES else None)
 
     def identify(self, sentence: str) -> str | None:
         plain = normalised(sentence)
@@ -146,7 +168,8 @@ class Rules:
 
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[str], list[str]]:
         """(identifier, start, end) of known sentences, licences in order, and identifiers left unexplained."""
-        found = [(k, s, s + len(x)) for s, x in sentences(text) if _NEEDED.search(x) and (k := self.identify(x))] if _NEEDED.search(text) else []
+        may = self.needed.search if self.needed else bool
+        found = [(k, s, s + len(x)) for s, x in sentences(text) if may(x) and (k := self.identify(x))] if may(text) else []
         ids = [k for k, _, _ in found]
         licences: list[str] = []
         left: list[str] = []
@@ -167,8 +190,11 @@ class Rules:
 def scan_licences(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """One row per document: doc_id, licences, sentence_ids, unexplained (arrays, in text order), spans.
 
-    A null text has no sentences; rows with a null or repeated doc_id are documents
-    of their own; an empty table gives no rows.
+    A null or empty text has no sentences, and a long one is read whole; rows with a
+    null or repeated doc_id are documents of their own; a sentence that several
+    patterns match is the first of them, and of rules that match at a place the
+    longest wins, then the earlier.  An empty table gives no rows; other columns
+    of ``docs`` are not read.
     """
     use = rules or Rules.of()
     names = pa.list_(pa.string())
