@@ -5,15 +5,17 @@ all suffixes whose order is known can induce their left neighbours together: a
 round takes the known part of a bucket, moves its predecessors to the ends of
 their buckets in order, and goes on with those that fell into the same bucket.
 So each scan takes a few array operations for each symbol instead of one step for
-each suffix, and the work stays linear.
+each suffix, and the work stays linear.  Reduced strings, whose symbols are names
+of substrings, may have nearly as many symbols as places; there suffixes are
+induced one by one, in the same order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A reduced string with more symbols than this is sorted by doubling ranks.
-MOST_SYMBOLS = 2048
+#: With fewer places for each symbol than this, a bucket is too small for array operations and suffixes are induced one by one.
+PLACES = 100
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -44,6 +46,8 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array that sorted leftmost-smaller suffixes induce."""
     n = len(t)
     counts = np.bincount(t)
+    if np.count_nonzero(counts) * PLACES > n:
+        return _induce_each(t, small, lms)
     ends = np.cumsum(counts)
     starts = ends - counts
     sa = np.full(n, -1, np.int64)
@@ -85,20 +89,33 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """A suffix array by doubling ranks."""
+def _induce_each(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """``_induce`` for strings of many symbols, one suffix at a time."""
     n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:]
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        if rank[order[-1]] == n or width >= n:
-            return order
-        width *= 2
+    counts = np.bincount(t)
+    ends = np.cumsum(counts)
+    symbols, lower = t.tolist(), small.tolist()
+    sa, tail = [-1] * n, (ends - 1).tolist()
+    for i in lms[::-1].tolist():
+        c = symbols[i]
+        sa[tail[c]] = i
+        tail[c] -= 1
+    head = (ends - counts).tolist()
+    for k in range(n):  # larger suffixes, left to right
+        i = sa[k] - 1
+        if i >= 0 and not lower[i]:
+            c = symbols[i]
+            sa[head[c]] = i
+            head[c] += 1
+    tail = (ends - 1).tolist()
+    for k in range(n - 1, -1, -1):  # smaller suffixes, right to left; they overwrite the leftmost ones
+        i = sa[k] - 1
+        if i >= 0 and lower[i]:
+            c = symbols[i]
+            sa[tail[c]] = i
+            tail[c] -= 1
+    sa[0] = n - 1  # the last symbol is the least and comes once
+    return np.array(sa, np.int64)
 
 
 def _same_pieces(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -139,8 +156,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n_names = int(reduced.max()) + 1
     if n_names == len(lms):
         return _induce(t, small, order)
-    inner = suffix_array(reduced) if n_names <= MOST_SYMBOLS else _doubled(reduced)
-    return _induce(t, small, lms[inner])
+    return _induce(t, small, lms[suffix_array(reduced)])
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, stop: np.ndarray) -> np.ndarray:
