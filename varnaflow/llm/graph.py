@@ -1,9 +1,10 @@
 """Connected components of large graphs, by alternating large-star and small-star steps.
 
 Nodes are longs; a component is named by its smallest node.  Every step is an
-aggregation of minima (combined before the shuffle) and one equi-join, so a node
-with very many neighbours is never gathered into one task.  Each round's edges are
-written to the shared folder, which cuts the lineage.
+aggregation of minima, combined before the shuffle, and an equi-join of the edges
+with them.  Both sides of the join are shuffled for the join alone, so that Spark
+can deal the edges of a node with very many neighbours out over several tasks.
+Each round's edges are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from .common import stored
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v) with u > v.  Connects neighbours of each node to the smallest of them."""
+    around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    # not the aggregation's own key: its partitioning would be reused and could not be split
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), (F.least("u", "m") if large else F.col("m")).alias("m"))
+    met = (around.where("v > u") if large else around).join(least, F.col("u") == F.col("w"))
     if large:
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        new = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        new = edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        new = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
     return new.where("u > v").distinct()
 
 
