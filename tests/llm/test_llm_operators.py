@@ -191,7 +191,9 @@ def test_large_groups_are_cut_again(monkeypatch, shard, at_once):
             assert spans == list(zip(edge[::2], edge[1::2], strict=True))
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("places", [0.5, 100])
+def test_suffix_arrays(monkeypatch, places):
+    monkeypatch.setattr(suffix, "PLACES", places)
     rng = np.random.default_rng(1)
     for trial in range(150):
         t = np.append(rng.integers(1, rng.choice([2, 3, 9, 200]), rng.integers(1, 60)), 0)
@@ -207,6 +209,26 @@ def test_suffix_arrays():
             assert common[b] == n
 
 
+def test_large_shards_are_sorted_by_induction_alone(monkeypatch):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rnd.choice(words) for _ in range(40_000)).encode()[: 200 << 10]
+    t, levels = np.append(np.frombuffer(text, np.uint8).astype(np.int64), 0), []
+    plain = suffix.suffix_array
+
+    def seen(t):
+        levels.append(len(t))
+        return plain(t)
+
+    monkeypatch.setattr(suffix, "suffix_array", seen)
+    sa = suffix.suffix_array(t)
+    assert len(levels) >= 3 and all(2 * b <= a + 1 for a, b in zip(levels[:-1], levels[1:], strict=True))  # reduced strings, again and again
+    order = sa.tolist()
+    assert sorted(order) == list(range(len(t)))
+    data = text + b"\0"
+    assert all(data[a : a + 400] <= data[b : b + 400] for a, b in zip(order[:-1], order[1:], strict=True))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 16))
@@ -296,23 +318,40 @@ def test_packing(spark, texts, tokenizer):
     assert packing.pack(_docs(spark, []), encoding.tokenizer_path()).count() == 0
 
 
-def test_local_search_empties_bins():
-    # best fit decreasing needs one bin more than the optimum here: 2 * (44 + 24 + 24 + 22 + 21 + 17 ...) style instance
-    lengths = [6, 6, 5, 5, 5, 4, 4, 4, 4, 2, 2, 2, 2, 3, 3, 7, 7, 1, 1]
-    plain = packing.Bins(lengths, 10)
-    plain.best_fit()
-    before = sum(map(bool, plain.items))
-    plain.local_search(10_000)
-    filled = [sum(lengths[i] for i in b) for b in plain.items if b]
-    assert len(filled) <= before
-    assert max(filled) <= 10
-    assert sorted(i for b in plain.items for i in b) == list(range(len(lengths)))
+def _squared_fill(bins, lengths):
+    return sum(sum(lengths[i] for i in b) ** 2 for b in bins.items)
+
+
+def test_local_search_empties_bins(monkeypatch):
+    rnd = random.Random(8)
+    for low, high, capacity, n in ((600, 1100, 2048, 1500), (300, 800, 2048, 3000), (3, 30, 40, 200), (1, 3, 100, 50)):
+        lengths = [rnd.randint(low, high) for _ in range(n)]
+        bins = packing.Bins(lengths, capacity)
+        bins.best_fit()
+        before, squared = sum(map(bool, bins.items)), _squared_fill(bins, lengths)
+        steps = bins.local_search()
+        filled = [sum(lengths[i] for i in b) for b in bins.items if b]
+        assert max(filled) <= capacity and len(filled) >= -(-sum(lengths) // capacity)
+        assert sorted(i for b in bins.items for i in b) == list(range(n))
+        assert [sum(lengths[i] for i in b) + f for b, f in zip(bins.items, bins.free, strict=True) if b] == [capacity] * len(filled)
+        assert _squared_fill(bins, lengths) >= squared + 2 * steps  # every step raises it
+        if n >= 1500:  # lengths of which few fill a sequence: best fit leaves room
+            assert steps > 0 and len(filled) < before
+        assert bins.fewest() or bins._pass() == 0  # no move is left
     bins = packing.Bins([6, 4, 5, 3, 5], 10)
     bins.items, bins.free = [[0], [1, 2], [3], [4]], [4, 1, 7, 5]
-    bins.local_search(1000)
+    bins.local_search()
     assert sum(map(bool, bins.items)) == 3
 
 
+def test_equal_rows_spread_over_groups(spark):
+    docs = _docs(spark, ["one two three"] * 600, [7] * 300 + [None] * 300)
+    rows = packing.pack(docs, encoding.tokenizer_path(), capacity=64, group=100).collect()
+    assert len(rows) == 600
+    by_group = collections.Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(by_group) == 6 and max(by_group.values()) < 200
+
+
 def test_pii(spark):
     base = "a@b.co, 1.2.3.4, 999.1.1.1, 4111 1111 1111 1111, +1 (555) 555-1234, 4111 1111 1111 1112"
     disguised = {
@@ -324,6 +363,16 @@ def test_pii(spark):
         "four one one one 1111 one one one one 1111": ["card"],
         "４１１１ １１１１ １１１１ １１１１": ["card"],
         "look at the dot on the map at noon": [],
+        "write to john at example dot xyz please": ["email"],
+        "john at mail dot example dot kr": ["email"],
+        "meet us at a dot that is red": [],
+        "we met at noon dot and left": [],
+        "host 192[.]168[.]1[.]1 is up": ["ip"],
+        "host 192[dot]168 (dot) 1.1 is up": ["ip"],
+        "see [1] 2 (3) 4": [],
+        "x" * 500 + " at example dot com": ["email"],
+        "a1 (dot) b2 {dot} c3 [at] d4 . e5": [],
+        "q.a1 (dot) b2 {dot} c3 [at] d4 (dot) e5": ["email"],
         "un deux trois quatre cinq six sept huit neuf": [],
     }
     rows = [base, None, "", *disguised, "1" * 30_000, "a" * 30_000 + "@", "+1" + " " * 30_000]
@@ -335,6 +384,9 @@ def test_pii(spark):
         assert got[i]["base"] in ("", got[i]["base"])
     kind, start, end = got[3]["spans"].split(":")
     assert rows[3][int(start) : int(end)] == "john [at] example [dot] com"
+    for text, whole in (("x" * 500 + " at example dot com", "x" * 500 + " at example dot com"), ("q.a1 (dot) b2 {dot} c3 [at] d4 (dot) e5", "q.a1 (dot) b2 {dot} c3 [at] d4 (dot) e5"), ("host 192[dot]168 (dot) 1.1 is up", "192[dot]168 (dot) 1.1")):
+        kind, start, end = got[rows.index(text)]["spans"].split(":")
+        assert text[int(start) : int(end)] == whole
     masked = spark.createDataFrame([(base,), (None,)], "t string").select(pii.masked(F.col("t")).alias("m")).collect()
     assert masked[0]["m"].startswith("<email>, <ip>, 999.1.1.1, <card>, <phone>, 4")
     assert masked[1]["m"] is None
@@ -465,6 +517,17 @@ LICENCE_EXAMPLES = {
 }
 
 
+def test_licence_scan_identifies_every_sentence():
+    own = licences.Rules.of({"House": "all of this is ours", "Joke": "share and enjoy .*"}, [("House-1", ("House", "Joke")), ("Joke", ("Joke",))])
+    text = "Nothing. All of this is ours.\nShare and enjoy it, friend. Share and enjoy? Released under the MIT License."
+    assert own.scan(text)[1:] == (["House-1"], [])
+    assert own.scan("Share and enjoy all day.")[1] == ["Joke"]
+    use = licences.Rules.of()
+    page = "\n\n".join([*LICENCE_EXAMPLES, "Just prose, of no licence.", text, "Licensed under the GNU Affero General Public License v3.0.", "Released under the GNU Lesser General Public License version 2.1."])
+    want = [k for _, x in licences.sentences(page) if (k := use.identify(x))]
+    assert [k for k, _, _ in use.scan(page)[0]] == want and {"Agpl3Licensed", "Lgpl21Licensed", "MitLicensed"} <= set(want)
+
+
 @pytest.mark.parametrize("text", LICENCE_EXAMPLES)
 def test_licence_filter_is_necessary(text):
     assert licences.Rules.of().scan(text)[1:] == ([LICENCE_EXAMPLES[text]], [])
