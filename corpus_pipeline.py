@@ -6,7 +6,8 @@
 4. personal data is masked in the texts,
 5. what is left is packed into sequences of 2048 tokens.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, and further ones as
+they are, whatever their names.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -17,30 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varnaflow.llm import decontaminate, packing, pii, quality, similar
-from varnaflow.llm.common import row_key, stored
+from varnaflow.llm.common import free_names, row_key, stored
 from varnaflow.llm.encoding import tokenizer_path
 from varnaflow.session import ship
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; null texts are judged as empty ones, repeated rows alike."""
     return quality.kept(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word-shingle similarity of 0.8 or more."""
+    """One document of each group with five-word-shingle similarity of 0.8 or more: the smallest doc_id, a null one last."""
     return similar.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; null texts have none, and rows that repeat a doc_id are judged each by its text."""
     hits = decontaminate.decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = hits.where(F.size("spans") > 0).select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (row_key() == F.col("bad_row")), "left_anti")
+    bad_id, bad_row = free_names(docs.columns, "bad_id", "bad_row")
+    bad = hits.where(F.size("spans") > 0).select(F.col("doc_id").alias(bad_id), F.col("row").alias(bad_row)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (row_key() == F.col(bad_row)), "left_anti")
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data masked; n_chars follows the text."""
+    """The same documents with personal data masked; n_chars follows the text, and what is null stays null."""
     ship(spark)
     masked = docs.withColumn("text", pii.masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
@@ -49,7 +51,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
+    """Pieces of all documents with their sequence and offset; a null text has only the end id."""
     ship(spark)
     return packing.pack(docs, tokenizer_path(), capacity=2048, end_id=0)
 
