@@ -16,14 +16,22 @@ rows, and a bucket reads them in this order:
 2. the occurrences (document, place), answered and dropped one row at a time.
 
 Rows are sorted by Spark within a partition, with spilling; a bucket's memory
-holds the strings with repeated minimisers only.
+holds the strings with repeated minimisers only.  Each bucket is a task of its own
+while there are fewer than ``MOST_TASKS``.
+
+A run of units that very many windows have, such as a common phrase, would bring
+them all to one bucket.  So common runs, counted over a sample of the documents,
+come last in the order of minimisers: a window has one of them only where it has
+no other run, and windows of nothing but common runs are mostly equal strings,
+which travel once for a chunk.  The sample decides where windows meet, never what
+is found.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +39,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, row_key, utf8
+from .common import batches_by_bytes, release, row_key, utf8
 from .wordhash import mix, powers, run_hashes, sliding_min, word_hashes, word_spans
 
-#: Text bytes of a chunk.
+#: Text bytes of a chunk; with very many buckets, chunks grow so that rows keep some ``ROW_BYTES``, up to eight times.
 CHUNK_BYTES = 8 << 20
-#: Packed bytes meant for one bucket, and the most buckets; beyond that buckets grow.
+ROW_BYTES = 1 << 10
+#: Packed bytes meant for one bucket, and the most tasks that buckets are dealt to.
 BUCKET_BYTES = 32 << 20
-MAX_BUCKETS = 1 << 15
+MOST_TASKS = 1 << 14
+#: Text bytes sampled for common runs, at least, or a share of the whole; runs are taken for common from so many times, and so many of them.
+SAMPLE_BYTES, SAMPLE_SHARE = 16 << 20, 1024
+COMMON_TIMES, COMMON = 64, 1 << 14
+#: Bits of a run's hash by which common ones are marked; others that share them are marked too, which does no harm.
+MARK_BITS = 20
 #: Text bytes that are hashed together.
 BLOCK_BYTES = 512 << 10
 #: Units in one segment of a very long text; segments overlap by a window less one.
@@ -58,6 +72,16 @@ class Kind:
     words: bool
     window: int
     k: int
+    #: Marks of common runs.
+    common: np.ndarray | None = field(default=None, compare=False, repr=False)
+
+    def grams(self, data: bytes) -> np.ndarray:
+        """A hash of each run of ``k`` units of ``data``."""
+        return run_hashes(word_hashes(data, *word_spans(data)), self.k) if self.words else _gram_hashes(data, self.k)
+
+    def ordered(self, g: np.ndarray) -> np.ndarray:
+        """Hashes in the order of minimisers: common runs last."""
+        return g if self.common is None else g >> np.uint64(1) | self.common[g >> np.uint64(64 - MARK_BITS)].astype(np.uint64) << np.uint64(63)
 
     def segments(self, text: bytes) -> Iterator[tuple[int, bytes]]:
         """(first unit, bytes) of each segment that holds a window."""
@@ -81,6 +105,7 @@ class Kind:
         else:
             g = _gram_hashes(data, self.k)
             bounds = np.cumsum([0, *map(len, parts)])
+        g = self.ordered(g)
         least = sliding_min(g, self.window - self.k + 1)
         valid = np.ones(len(least), bool)
         for b in bounds[1:-1].tolist():
@@ -255,6 +280,31 @@ class Bucket:
                     yield ids[d], rows[d], p + first, p + last + more
 
 
+def common_runs(source: DataFrame, kind: Kind, size: int) -> np.ndarray | None:
+    """Marks of the runs that a sample of the texts has most often; None if there are none.
+
+    A text is sampled by its hash, whole, about ``SAMPLE_BYTES`` in all.
+    """
+    parts = max(1, size // max(SAMPLE_BYTES, size // SAMPLE_SHARE))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_by_bytes(whole, "text", 2 << 20):
+                data = b"\n".join(utf8(batch.column("text")))
+                for at in range(0, max(1, len(data)), 2 << 20):
+                    runs, times = np.unique(kind.grams(data[at : at + (2 << 20)]), return_counts=True)
+                    some = times > 1
+                    yield pa.RecordBatch.from_arrays([pa.array(runs[some].view(np.int64)), pa.array(times[some])], ["run", "times"])
+
+    sample = source.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").mapInArrow(count, "run long, times long")
+    often = sample.groupBy("run").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_TIMES).orderBy(F.desc("times"), "run").limit(COMMON).collect()
+    if not often:
+        return None
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[np.array([r["run"] for r in often], np.int64).view(np.uint64) >> np.uint64(64 - MARK_BITS)] = True
+    return marks
+
+
 def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer], chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Unit ranges of ``docs`` that answered windows cover: doc_id (NO_ID for null), row, start, end.
 
@@ -262,7 +312,9 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
     """
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), row_key().alias("row"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(min(MAX_BUCKETS, max(8, -(-3 * size // bucket_bytes))))
+    buckets = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-3 * size // bucket_bytes)))
+    chunk_bytes = max(chunk_bytes, min(8 * chunk_bytes, buckets * ROW_BYTES))
+    kind = replace(kind, common=common_runs(source, kind, size))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -300,7 +352,8 @@ def covered(docs: DataFrame, kind: Kind, solve: Callable[[Strings, Kind], Answer
         release()
 
     sent = source.mapInArrow(send, "bucket int, step int, chunk long, blob binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "step", "chunk").mapInArrow(receive, SPANS)
+    tasks = min(buckets, MOST_TASKS)
+    return sent.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket", "step", "chunk").mapInArrow(receive, SPANS)
 
 
 def _batches(chunk: Chunk) -> Iterator[pa.RecordBatch]:
@@ -314,8 +367,11 @@ def _span_batch(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): each row of ``docs`` with its ranges, gathered by document."""
-    gathered = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "span_id", "row": "span_row"})
+    """(doc_id, text, spans): each row of ``docs`` with its ranges, gathered by document.
+
+    Rows that repeat a doc_id and text have the same ranges, which count once.
+    """
+    gathered = spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "span_id", "row": "span_row"})
     keyed = docs.withColumns({"row": row_key(), "key": F.coalesce("doc_id", F.lit(NO_ID))})
     return keyed.join(gathered, (F.col("key") == F.col("span_id")) & (F.col("row") == F.col("span_row")), "left").select("doc_id", "text", "spans")
 
