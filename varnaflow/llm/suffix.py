@@ -94,26 +94,26 @@ def _induce_each(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarra
     n = len(t)
     counts = np.bincount(t)
     ends = np.cumsum(counts)
-    symbols, lower = t.tolist(), small.tolist()
-    sa, tail = [-1] * n, (ends - 1).tolist()
-    for i in lms[::-1].tolist():
-        c = symbols[i]
-        sa[tail[c]] = i
-        tail[c] -= 1
-    head = (ends - counts).tolist()
-    for k in range(n):  # larger suffixes, left to right
-        i = sa[k] - 1
-        if i >= 0 and not lower[i]:
-            c = symbols[i]
-            sa[head[c]] = i
-            head[c] += 1
-    tail = (ends - 1).tolist()
-    for k in range(n - 1, -1, -1):  # smaller suffixes, right to left; they overwrite the leftmost ones
-        i = sa[k] - 1
-        if i >= 0 and lower[i]:
-            c = symbols[i]
-            sa[tail[c]] = i
-            tail[c] -= 1
+    # symbol of the suffix to the left if it is larger, or smaller, than this one; the last entry stands for an empty place
+    larger, smaller = np.full((2, n + 1), -1, np.int64)
+    larger[1:n] = np.where(small[:-1], -1, t[:-1])
+    smaller[1:n] = np.where(small[:-1], t[:-1], -1)
+    start = np.full(n, n, np.int64)
+    _push(t, start, ends - 1, lms[::-1], -1)
+    sa, left, head = start.tolist(), larger.tolist(), (ends - counts).tolist()
+    for i in sa:  # left to right; the list grows ahead of its reader
+        c = left[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    left, tail = smaller.tolist(), (ends - 1).tolist()
+    for i in reversed(sa):  # right to left; leftmost smaller suffixes are overwritten
+        c = left[i]
+        if c >= 0:
+            at = tail[c]
+            sa[at] = i - 1
+            tail[c] = at - 1
     sa[0] = n - 1  # the last symbol is the least and comes once
     return np.array(sa, np.int64)
 
@@ -159,6 +159,29 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, small, lms[suffix_array(reduced)])
 
 
+def _common(t: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The common prefix of t[p:] and t[q:] within ``most``, for arrays of places: several symbols in a word at once."""
+    size = 2 if t.max(initial=0) < 1 << 16 else 4
+    step, round_ = 8 // size, 0
+    padded = np.concatenate([t, np.zeros(step, t.dtype)]).astype(f"<u{size}")
+    words = np.ndarray(len(t) + 1, "<u8", padded, strides=(size,))  # one from each place on
+    value, live, k = np.zeros(len(p), np.int64), np.flatnonzero(most > 0), 0
+    while len(live):
+        grid = k + step * np.arange(min(64, 4 ** min(3, round_ // 2)))
+        a, b = p[live][:, None] + grid, q[live][:, None] + grid
+        x = words[np.minimum(a, len(t))] ^ words[np.minimum(b, len(t))]
+        differ = x != 0
+        hit = differ.any(axis=1)
+        at = differ[hit].argmax(axis=1)
+        first = x[hit][np.arange(len(at)), at]
+        value[live[hit]] = grid[at] + np.bitwise_count((first & -first) - np.uint64(1)).astype(np.int64) // (8 * size)
+        k = int(grid[-1]) + step
+        value[live[~hit]] = k
+        live = live[~hit & (most[live] > k)]
+        round_ += 1
+    return np.minimum(value, most)
+
+
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """For each place, the common prefix with the suffix before it in ``sa``, within ``stop``.
 
@@ -178,17 +201,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, stop: np.ndarray) -> np.ndarray:
     other = before[places]
     some = np.flatnonzero(other >= 0)
     p, q = places[some], other[some]
-    most = np.minimum(stop[p] - p, stop[q] - q)
-    value, live, k = np.zeros(len(p), np.int64), np.flatnonzero(most > 0), 0
-    step = 16
-    while len(live):
-        grid = np.arange(k, k + step)
-        a = np.minimum(p[live][:, None] + grid, n - 1)
-        b = np.minimum(q[live][:, None] + grid, n - 1)
-        differ = (t[a] != t[b]) | (grid >= most[live][:, None])
-        hit = differ.any(axis=1)
-        value[live[hit]] = k + differ[hit].argmax(axis=1)
-        live, k = live[~hit], k + step
+    value = _common(t, p, q, np.minimum(stop[p] - p, stop[q] - q))
     out = np.zeros(len(places), np.int64)
     out[some] = value
     nearest = np.maximum.accumulate(np.where(own, np.arange(n), 0))
