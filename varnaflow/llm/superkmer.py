@@ -54,11 +54,14 @@ COMMON_TIMES, COMMON = 64, 1 << 14
 #: Bits of a run's hash by which common ones are marked; others that share them are marked too, which does no harm.
 MARK_BITS = 20
 #: Text bytes that are hashed together.
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 128 << 10
 #: Units in one segment of a very long text; segments overlap by a window less one.
 SEGMENT = 1 << 17
 #: Windows in one packed string at most.
 MAX_RUN = 1024
+#: Low bits of a hash that give way to its place among those hashed together, which are fewer.
+PLACE_BITS = np.uint64(24)
+_LAST_PLACE = np.uint64((1 << 24) - 1)
 #: Stands for a null doc_id: no smaller document than any other.
 NO_ID = (1 << 63) - 1
 
@@ -95,7 +98,7 @@ class Kind:
 
         Returns all bytes, and for each string its first and past-last byte, its
         segment, its first unit there, its number of windows, its minimiser, and
-        how often the minimiser comes in it.
+        whether the minimiser comes again in it.
         """
         data = (b"\n" if self.words else b"").join(parts)
         if self.words:
@@ -105,16 +108,18 @@ class Kind:
         else:
             g = _gram_hashes(data, self.k)
             bounds = np.cumsum([0, *map(len, parts)])
-        g = self.ordered(g)
-        least = sliding_min(g, self.window - self.k + 1)
+        # 40 bits of each hash over its place, so that a minimum tells the first place, or the last
+        g, at = self.ordered(g) >> PLACE_BITS << PLACE_BITS, np.arange(len(g), dtype=np.uint64)
+        least = sliding_min(g | at, self.window - self.k + 1)
+        last_least = sliding_min(g | _LAST_PLACE - at, self.window - self.k + 1)
         valid = np.ones(len(least), bool)
         for b in bounds[1:-1].tolist():
             valid[max(0, b - self.window + 1) : b] = False
         at = np.flatnonzero(valid)
         if not len(at):
             e = np.zeros(0, np.int64)
-            return data, e, e, e, e, e, e.astype(np.uint64), e
-        value = least[at]
+            return data, e, e, e, e, e, e.astype(np.uint64), e.astype(bool)
+        value = least[at] >> PLACE_BITS
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) != 1) | (value[1:] != value[:-1])
         first = np.flatnonzero(new)
@@ -122,14 +127,11 @@ class Kind:
         first = np.flatnonzero(place % MAX_RUN == 0)
         n = np.diff(np.append(first, len(at)))
         begin, value = at[first], value[first]
-        grams = n + self.window - self.k
-        total = np.cumsum(grams)
-        inside = np.repeat(begin - (total - grams), grams) + np.arange(total[-1])
-        times = np.add.reduceat((g[inside] == np.repeat(value, grams)).astype(np.int64), total - grams)
+        again = least[begin] & _LAST_PLACE != _LAST_PLACE - (last_least[begin + n - 1] & _LAST_PLACE)
         last = begin + n + self.window - 2
         segment = np.searchsorted(bounds, begin, "right") - 1
         low, high = (starts[begin], ends[last]) if self.words else (begin, last + 1)
-        return data, low, high, segment, begin - bounds[segment], n, value, times
+        return data, low, high, segment, begin - bounds[segment], n, value, again
 
 
 def _gram_hashes(data: bytes, k: int) -> np.ndarray:
@@ -170,12 +172,12 @@ class Chunk:
             self._run()
 
     def _run(self) -> None:
-        data, low, high, segment, place, n, value, times = self.kind.runs(self.waiting)
+        data, low, high, segment, place, n, value, again = self.kind.runs(self.waiting)
         number = self.strings
         string = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.int32, len(low))
         segment = segment + len(self.docs) - len(self.waiting)
         place = place + np.array([d[2] for d in self.docs[len(self.docs) - len(self.waiting) :]], np.int64)[segment - len(self.docs) + len(self.waiting)]
-        self.parts.append((string, segment.astype(np.int32), place, n.astype(np.uint16), value, times > 1))
+        self.parts.append((string, segment.astype(np.int32), place, n.astype(np.uint16), value, again))
         self.waiting, self.waits = [], 0
 
     def rows(self) -> Iterator[tuple[int, int, int, bytes]]:
@@ -407,11 +409,11 @@ def refined(kind: Kind, k: int, strings: list[bytes]) -> Iterator[list[tuple[byt
     for i, s in enumerate(strings):
         size += len(s)
         if size >= BLOCK_BYTES or i + 1 == len(strings):
-            data, low, high, segment, place, n, value, times = finer.runs(strings[at : i + 1])
-            found.append((value, np.full(len(low), len(blocks)), low, high, segment + at, place, n, times))
+            data, low, high, segment, place, n, value, again = finer.runs(strings[at : i + 1])
+            found.append((value, np.full(len(low), len(blocks)), low, high, segment + at, place, n, again))
             blocks.append(data)
             at, size = i + 1, 0
-    value, block, low, high, owner, place, n, times = (np.concatenate(c) for c in zip(*found, strict=True))
+    value, block, low, high, owner, place, n, again = (np.concatenate(c) for c in zip(*found, strict=True))
     for group in groups(value):
-        if len(group) > 1 or times[group[0]] > 1:
-            yield [(blocks[block[e]][low[e] : high[e]], int(owner[e]), int(place[e]), int(n[e]), bool(times[e] > 1)) for e in group.tolist()]
+        if len(group) > 1 or again[group[0]]:
+            yield [(blocks[block[e]][low[e] : high[e]], int(owner[e]), int(place[e]), int(n[e]), bool(again[e])) for e in group.tolist()]
