@@ -255,6 +255,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_leaves_stay_small_however_small_the_sample(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 12))
+    x[:300] = x[0] + rng.standard_normal((300, 12)) * 0.01  # a family that no split parts
+    near = x[1000:1400] + rng.standard_normal((400, 12)) * 0.02
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, near]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, sample=20, leaf=64, large=128).collect()}
+    unit = np.concatenate([x, near])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.95 * links.sum() and all(got[i] <= n for i, n in enumerate(links.tolist()))
+    members = spark.createDataFrame([(i, 1, 1, v, 12, k) for i, v, _ in rows for k in (0, 1)], "rep long, copies long, label int, vector array<double>, size int, key long")
+    split = embeddings.split_again(members, 0.5 * (2 - 2 * 0.98) ** 0.5, 128)
+    sizes = sorted((r["count"] for r in split.groupBy("key").count().collect()), reverse=True)
+    assert sizes[0] < 2600 and sum(n * n for n in sizes) < 2 * 6400**2 / 4
+    assert split.select("rep").distinct().count() == 6400
+    assert embeddings.split_again(members.where("rep < 60"), 0.1, 128) is None
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

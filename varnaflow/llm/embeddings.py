@@ -3,7 +3,9 @@
 Equal vectors of a label are one class.  Each tree splits the space by random
 directions at the median of a bounded sample; a vector within the spill margin of
 a split goes down both sides, so close pairs are rarely parted, and several trees
-make it rarer still.  Classes are compared within (tree, leaf, label) only, cosines
+make it rarer still.  Where the sample was too small for a leaf, the leaf is split
+again, at medians of all its own classes, until it is small or splitting it no
+longer saves comparisons (a family of near copies goes down both sides).  Classes are compared within (tree, leaf, label) only, cosines
 are computed in double precision, and links are united by connected components.
 
 A pair that meets in several leaves is counted in the first leaf the two share:
@@ -18,8 +20,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +35,9 @@ COSINE = 0.98
 TREES = 6
 LEAF = 256
 BLOCK = 1024
-#: Rows that thresholds are fitted on, at most.
+#: Leaves of more classes than this are split again, if that leaves less than this share of the comparisons.
+LARGE, WORTH = 1024, 0.75
+#: Rows that the first thresholds are fitted on, at most.
 SAMPLE = 20_000
 #: Margin at a split, in standard deviations of a linked pair's projected difference.
 SPILL = 0.5
@@ -158,6 +164,45 @@ def _compare(table: pa.Table, cosine: float) -> pa.Table:
 _LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
+_LEAF = ["key", "label", "size"]
+
+
+def _along(vectors: pd.Series, keys: pd.Series) -> pd.Series:
+    """Where each unit vector lies along its leaf's own random direction."""
+    out = np.zeros(len(keys))
+    for key, places in keys.groupby(keys).indices.items():
+        for size, some in pd.Series(places).groupby([len(vectors.iloc[i]) for i in places]):
+            x = np.array([vectors.iloc[i] for i in some], np.float64)
+            direction = np.random.default_rng([int(key) % (1 << 64), size]).standard_normal(size)
+            out[some] = x @ (direction / np.linalg.norm(direction)) / np.linalg.norm(x, axis=1)
+    return pd.Series(out)
+
+
+def split_again(members: DataFrame, margin: float, large: int = LARGE) -> DataFrame | None:
+    """(rep, copies, label, vector, size, key): ``members`` with large leaves split; None if there are none.
+
+    Each round deals with the leaves that are still large, at medians that Spark
+    aggregates; no vectors come to the driver or to one task.
+    """
+    done, live, along = [], members, F.pandas_udf(_along, "double")
+    while True:
+        big = live.groupBy(*_LEAF).agg(F.count("*").alias("n")).where(F.col("n") > large)
+        if big.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, live]) if done else None
+        rest = live.join(big, _LEAF, "left_anti")
+        placed = stored(live.join(big, _LEAF).withColumn("along", along("vector", "key")), "along")
+        cuts = placed.groupBy(*_LEAF).agg(F.percentile_approx("along", 0.5, 1000).alias("cut"))
+        reach = F.lit(margin) / F.sqrt("size")
+        sided = placed.join(cuts, _LEAF).withColumns({"low": F.col("along") <= F.col("cut") + reach, "high": F.col("along") >= F.col("cut") - reach})
+        sums = sided.groupBy(*_LEAF).agg(F.count_if("low").alias("lows"), F.count_if("high").alias("highs"))
+        sided = stored(sided.join(sums, _LEAF), "sides")
+        worth = F.col("lows") * F.col("lows") + F.col("highs") * F.col("highs") < WORTH * F.col("n") * F.col("n")
+        columns = ["rep", "copies", "label", "vector", "size", "key"]
+        done += [rest.select(*columns), sided.where(~worth).select(*columns)]
+        sides = F.filter(F.array(F.when(F.col("low"), F.xxhash64("key", F.lit(0))), F.when(F.col("high"), F.xxhash64("key", F.lit(1)))), lambda k: k.isNotNull())
+        live = stored(sided.where(worth).withColumn("key", F.explode(sides)).select(*columns), "split")
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -169,6 +214,7 @@ def near_duplicates(
     block: int = BLOCK,
     sample: int = SAMPLE,
     spill: float = SPILL,
+    large: int = LARGE,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -189,12 +235,14 @@ def near_duplicates(
 
     @F.pandas_udf("array<long>")
     def keys(series):  # noqa: ANN001, ANN202
-        import pandas as pd
-
         return pd.Series(forest.value.keys([list(v) for v in series]), dtype=object)
 
     placed = classes.select("rep", "copies", "label", "vector", keys("vector").alias("keys"))
     placed = stored(placed.withColumn("key", F.explode("keys")).withColumn("size", F.size("vector")), "leaves")
+    again = split_again(placed.drop("keys"), spill * math.sqrt(max(0.0, 2 - 2 * cosine)), large)
+    if again is not None:
+        again = stored(again, "leaves")
+        placed = again.join(again.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys")), "rep")
     sizes = placed.groupBy("key", "label", "size").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1")
     member = placed.join(sizes.drop("n"), ["key", "label", "size"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
