@@ -9,9 +9,10 @@ are verified bit by bit.
 
 To bring pairs together without trying all of them, the 64 bits are cut into d + 2
 blocks: fingerprints within d bits agree on two of these at least, so the join is
-on every choice of two blocks.  A bucket of more than ``DENSE`` fingerprints (a
-family of near copies) would still make quadratically many pairs; its members
-instead meet at the fingerprints between them: two fingerprints within two bits
+on every choice of two blocks, and there only where the fingerprints' distances to one
+of the pivots fall in the same of its overlapping ranges, which every pair within
+d bits does.  A bucket of more than ``DENSE`` fingerprints even so (a family of
+near copies) would still make quadratically many pairs; its members instead meet at the fingerprints between them: two fingerprints within two bits
 have a common neighbour within one bit, and two that share one are within two
 bits.  That is exact for d = 2 and grows linearly; for other d dense buckets are
 joined like the rest, and their pairs grow with the square of their size.
@@ -88,6 +89,12 @@ def _block_keys(fp: Column, bits: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("table"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)])
 
 
+def _ranges(distance: Column, bits: int) -> Column:
+    """The ranges of 2 * bits + 1 distances, one beginning at every bits + 1, that hold ``distance``: one or two."""
+    first, last = F.floor(distance / (bits + 1)), F.floor((distance + bits) / (bits + 1))
+    return F.when(first == last, F.array(first)).otherwise(F.array(first, last))
+
+
 def links(classes: DataFrame, bits: int = 2, n_pivots: int = PIVOTS, dense: int = DENSE) -> DataFrame:
     """(u, v) edges that connect all fingerprints within ``bits`` of each other.
 
@@ -97,16 +104,20 @@ def links(classes: DataFrame, bits: int = 2, n_pivots: int = PIVOTS, dense: int
     """
     table = classes.select("fp", "rep", *[hamming(F.col("fp"), p).cast("byte").alias(f"p{i}") for i, p in enumerate(pivots(n_pivots))])
     keyed = table.withColumn("at", F.explode(_block_keys(F.col("fp"), bits))).select("*", "at.table", "at.key").drop("at")
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # each table asks another pivot
+    distance = F.element_at(F.array(*[f"p{i}" for i in range(n_pivots)]), F.col("table") % n_pivots + 1)
+    keyed = keyed.withColumn("range", F.explode(_ranges(distance, bits)))
+    at = ["table", "key", "range"]
+    sizes = keyed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
     sparse = sizes.where(F.col("n") <= dense) if bits == 2 else sizes
-    bucket = stored(keyed.join(sparse.select("table", "key"), ["table", "key"]), "buckets")
+    bucket = stored(keyed.join(sparse.select(*at), at), "buckets")
     a, b = bucket.alias("a"), bucket.alias("b")
     near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= bits for i in range(n_pivots)])
-    same = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in at]) & (F.col("a.fp") < F.col("b.fp"))
     edges = a.join(b, same & near & (hamming(F.col("a.fp"), F.col("b.fp")) <= bits)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
     if bits != 2:
         return edges
-    crowded = keyed.join(sizes.where(F.col("n") > dense).select("table", "key"), ["table", "key"]).select("fp", "rep").distinct()
+    crowded = keyed.join(sizes.where(F.col("n") > dense).select(*at), at).select("fp", "rep").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     meets = crowded.withColumn("flip", F.explode(flips)).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"), "rep")
     hub = meets.groupBy("middle").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u < w")
