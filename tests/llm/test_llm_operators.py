@@ -499,6 +499,31 @@ def test_similar_documents_are_those_of_the_exact_similarity(spark):
     assert links == {frozenset((2 * i, 2 * i + 1)) for i in range(30) if alike[i]}
 
 
+@pytest.mark.parametrize("block", [3, 8, 1000])
+def test_families_in_blocks_lose_no_link(spark, block):
+    import pyarrow as pa
+
+    rnd = random.Random(block)
+    # two large families, some small ones, and a bridge between families of different blocks
+    value = [i // 40 * 1000 + rnd.randint(0, 60) for i in range(80)] + [5000 + 100 * k + j for k in range(6) for j in range(2)] + [9000 + 50 * k for k in range(15)]
+
+    def compare(table):
+        v, rep, side = table["value"].to_pylist(), table["rep"].to_pylist(), table["block"].to_pylist()
+        cross = table["low"][0].as_py() != table["high"][0].as_py()
+        found = [(a, b) for x, a in enumerate(rep) for y, b in enumerate(rep) if a < b and abs(v[x] - v[y]) <= 9 and (not cross or side[x] != side[y])]
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
+
+    frame = spark.createDataFrame([(i, g, v, 1 / block) for g in (0, 1) for i, v in enumerate(value)], "rep long, g long, value long, weight double")
+    got = {r["node"]: r["component"] for r in graph.components(similar.spanning(frame, ["g"], compare)).collect()}
+    parent = list(range(len(value)))
+    for i in range(len(value)):
+        for j in range(i):
+            if abs(value[i] - value[j]) <= 9:
+                a, b = _find(parent, i), _find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    assert all(got.get(i, i) == _find(parent, i) for i in range(len(value)))
+
+
 def test_quality_uses_labels_of_documents_and_all_documents(spark):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdefg") for _ in range(4)) for _ in range(200)]

@@ -10,14 +10,18 @@ compared bit by bit, and survivors by their shingle sets: a link is a pair of th
 similarity.
 
 Equal texts are one row from the start.  A key that very many documents have is
-compared block against block, each pair of blocks in a task of its own, and a task
-gives spanning links only, never pairs.
+cut in blocks.  Each block is compared within itself first; then what the links so
+far have joined is one family, and blocks are compared with each other only where
+they hold different families, each pair of blocks in a task of its own.  So a large
+group of near copies costs a time in proportion to its size; texts that share a key
+and stay apart still cost the square of their number.  A task gives spanning links
+only, never pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,14 +141,44 @@ def _compare(table: pa.Table, most: int, similarity: float | None = None) -> pa.
     return pa.table([pa.array(rep[some]), pa.array(rep[roots[some]])], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
+def spanning(member: DataFrame, at: list[str], compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """(u, v): links that connect all pairs that ``compare`` finds among rows with equal ``at``.
+
+    ``member`` has (rep, weight) and what ``compare`` reads besides; rows of a weight
+    of 1 in all make a block.
+    """
+    schema = "u long, v long"
+    sizes = member.groupBy(*at).agg(F.count("*").alias("members"), F.ceil(F.sum("weight")).alias("blocks")).where("members > 1").drop("members")
+    # within blocks
+    first = member.join(sizes, at).withColumn("block", F.pmod(F.xxhash64("rep", *at), F.col("blocks")))
+    within = stored(first.withColumns({"low": F.col("block"), "high": F.col("block")}).groupBy(*at, "block").applyInArrow(compare, schema), "links")
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return within
+    # between blocks of different families
+    joined = components(within).withColumnRenamed("node", "rep")
+    rows = stored(member.join(large.drop("blocks"), at).join(joined, "rep", "left").withColumn("family", F.coalesce("component", "rep")).drop("component"), "families")
+    own = rows.groupBy(*at, "family").agg(F.sum("weight").alias("w"))
+    rest = own.where("w <= 1").groupBy(*at).agg(F.greatest(F.ceil(F.sum("w")), F.lit(1)).alias("few"))
+    placed = rows.join(own, [*at, "family"]).join(rest, at, "left")
+    mixed = F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("family"), F.col("few")))
+    alone = F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.ceil("w")))
+    placed = stored(placed.withColumns({"big": F.when(F.col("w") > 1, F.col("family")), "block": F.when(F.col("w") > 1, alone).otherwise(mixed)}).drop("w", "few", "family"), "blocks")
+    blocks = placed.select(*at, "block", "big").distinct()
+    families = blocks.where("big is not null").select(*at, "big").distinct()
+    two = families.join(families.withColumnRenamed("big", "other"), at).where("big < other")
+    apart = two.join(blocks.where("big is not null").withColumnRenamed("block", "one"), [*at, "big"]).join(blocks.where("big is not null").select(*at, F.col("block").alias("two"), F.col("big").alias("other")), [*at, "other"])
+    ends = blocks.where("big is null").select(*at, F.col("block").alias("one")).join(blocks.select(*at, F.col("block").alias("two"), "big"), at).where("big is not null or one <= two")
+    pairs = ends.select(*at, "one", "two").unionByName(apart.select(*at, "one", "two")).select(*at, F.least("one", "two").alias("low"), F.greatest("one", "two").alias("high"))
+    sides = F.array_distinct(F.array("low", "high"))
+    between = placed.join(pairs.withColumn("block", F.explode(sides)), [*at, "block"]).groupBy(*at, "low", "high").applyInArrow(compare, schema)
+    return within.unionByName(between)
+
+
 def links(prints: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect all sketches found within ``most`` bits."""
-    placed = stored(prints.select("rep", "print", F.posexplode("keys").alias("n", "key")), "keys")
-    sizes = placed.groupBy("n", "key").agg(F.count("*").alias("members")).where("members > 1").select("n", "key", F.ceil(F.col("members") / block).alias("blocks"))
-    member = placed.join(sizes, ["n", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return pairs.groupBy("n", "key", "low", "high").applyInArrow(lambda t: _compare(t, most), "u long, v long")
+    placed = stored(prints.select("rep", "print", F.posexplode("keys").alias("n", "key"), F.lit(1 / block).alias("weight")), "keys")
+    return spanning(placed, ["n", "key"], lambda t: _compare(t, most))
 
 
 def confirmed(candidates: DataFrame, shingle: int, similarity: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -155,15 +189,11 @@ def confirmed(candidates: DataFrame, shingle: int, similarity: float, block: int
             for batch in batches_by_bytes(whole, "text"):
                 sets = [shingles(t, shingle) for t in utf8(batch.column("text"))]
                 columns = [batch.column("rep"), batch.column("component"), pa.array([sketch(h)[0] for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "component", "print", "shingles"])
-
-    member = stored(candidates.select("rep", "component", "text").mapInArrow(run, "rep long, component long, print binary, shingles binary"), "shingles")
-    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(F.octet_length("shingles")) / (8 * block_shingles)))
-    sizes = member.groupBy("component").agg(blocks.alias("blocks"))
-    member = member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return pairs.groupBy("component", "low", "high").applyInArrow(lambda t: _compare(t, radius(similarity), similarity), "u long, v long")
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "group", "print", "shingles"])
+
+    member = candidates.select("rep", "component", "text").mapInArrow(run, "rep long, group long, print binary, shingles binary")
+    weight = F.greatest(F.lit(1 / block), F.octet_length("shingles") / (8 * block_shingles))
+    return spanning(stored(member.withColumn("weight", weight), "shingles"), ["group"], lambda t: _compare(t, radius(similarity), similarity))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
