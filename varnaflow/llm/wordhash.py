@@ -49,14 +49,24 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Bytes whose words are hashed together; only a longer word takes more.
+_TOGETHER = 1 << 18
+
+
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes; ``starts`` ascend."""
+    out = np.zeros(len(starts), np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + 1, _TOGETHER)).tolist()
+    for a, z in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        if a < z:
+            first = int(starts[a])
+            part, s, e = raw[first : int(ends[a:z].max())], starts[a:z] - first, ends[a:z] - first
+            up, down = powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            out[a:z] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+    return out
 
 
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
