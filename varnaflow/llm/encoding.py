@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 300_000
+MEMO = 500_000
 #: Longer words are encoded alone and not kept.
 LONG = 200
 CLOSING = b".,;:!?"
