@@ -49,8 +49,13 @@ def clean_token(c: Column) -> Column:
     return F.regexp_replace(text(c), f"[^A-Za-z0-9{DEVANAGARI}']+", "")
 
 
+def _without(t: Column, pattern: str) -> Column:
+    """``t`` without what ``pattern`` matches, which is never ASCII: ASCII texts are not searched."""
+    return F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, pattern, ""))
+
+
 def remove_emojis(c: Column) -> Column:
-    return squeeze(F.regexp_replace(text(c), EMOJI, ""))
+    return squeeze(_without(text(c), EMOJI))
 
 
 def repair_separators(c: Column) -> Column:
@@ -82,7 +87,7 @@ def ratio_words(c: Column) -> Column:
 
 def corpus_text(c: Column) -> Column:
     """Dictionary cleaning: no emojis, lower case, no URLs, digits become spaces, no punctuation."""
-    out = F.lower(F.regexp_replace(text(c), "[\\x{1F000}-\\x{1FAFF}\\u2600-\\u27BF\\u2B50\\u2B55\\u231A\\u231B\\u23E9-\\u23F3\\ufe0f\\u200d]", ""))
+    out = F.lower(_without(text(c), "[\\x{1F000}-\\x{1FAFF}\\u2600-\\u27BF\\u2B50\\u2B55\\u231A\\u231B\\u23E9-\\u23F3\\ufe0f\\u200d]"))
     out = F.regexp_replace(out, f"http[^{WHITE}]+|www[^{WHITE}]+|https[^{WHITE}]+", "")
     out = F.regexp_replace(out, "\\p{Nd}+", " ")
     return squeeze(F.translate(out, PUNCTUATION, ""))
