@@ -2,7 +2,7 @@
 
 The word tokenizer never joins characters across ASCII white space, so the ids
 of a text are those of its words in order.  Each worker keeps the ids of words
-that it has seen (at most ``MEMO`` words; then it starts afresh), and encodes
+that it has seen (at most ``memo`` words; then it starts afresh), and encodes
 the letters of unseen words together, parted by the tokens' end-of-word mark.
 """
 
@@ -31,7 +31,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
+        self.most = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -92,9 +93,9 @@ class WordEncoder:
         tails = {tail: self._alone(tail) if tail else b"" for tail in {t for _, _, t in wait}}
         for i, core, tail in wait:
             out[i] = (unknown[core] if core in unknown else memo[core]) + tails[tail]
-        if len(memo) + len(unknown) > MEMO:
+        if len(memo) + len(unknown) > self.most:
             memo.clear()
-        if len(unknown) <= MEMO:
+        if len(unknown) <= self.most:
             memo.update(unknown)
         return out
 
@@ -114,6 +115,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memo: int = MEMO) -> WordEncoder:
     """One encoder for each tokenizer file and Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, memo)

@@ -33,6 +33,8 @@ from .common import batches_by_bytes, new_path, stored, texts
 from .encoding import encoder
 
 FRAME_IDS = 1 << 16
+#: Words whose ids a worker keeps.
+MEMO = 1_000_000
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -146,9 +148,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
         from pyspark import TaskContext
 
         shard, writer, name = TaskContext.get().partitionId(), None, ""
-        encode = encoder(tokenizer).encode_many
+        encode = encoder(tokenizer, MEMO).encode_many
         for whole in rows:
-            for batch in batches_by_bytes(whole, "text", 2 << 20):
+            for batch in batches_by_bytes(whole, "text", 4 << 20):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                     if writer is None:
                         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
