@@ -149,9 +149,9 @@ def spanning(member: DataFrame, at: list[str], compare: Callable[[pa.Table], pa.
     """
     schema = "u long, v long"
     sizes = member.groupBy(*at).agg(F.count("*").alias("members"), F.ceil(F.sum("weight")).alias("blocks")).where("members > 1").drop("members")
-    # within blocks
+    # within blocks, which the join's own partitioning would keep together
     first = member.join(sizes, at).withColumn("block", F.pmod(F.xxhash64("rep", *at), F.col("blocks")))
-    within = stored(first.withColumns({"low": F.col("block"), "high": F.col("block")}).groupBy(*at, "block").applyInArrow(compare, schema), "links")
+    within = stored(first.withColumns({"low": F.col("block"), "high": F.col("block")}).repartition(*at, "block").groupBy(*at, "block").applyInArrow(compare, schema), "links")
     large = sizes.where("blocks > 1")
     if large.isEmpty():
         return within
@@ -171,7 +171,7 @@ def spanning(member: DataFrame, at: list[str], compare: Callable[[pa.Table], pa.
     ends = blocks.where("big is null").select(*at, F.col("block").alias("one")).join(blocks.select(*at, F.col("block").alias("two"), "big"), at).where("big is not null or one <= two")
     pairs = ends.select(*at, "one", "two").unionByName(apart.select(*at, "one", "two")).select(*at, F.least("one", "two").alias("low"), F.greatest("one", "two").alias("high"))
     sides = F.array_distinct(F.array("low", "high"))
-    between = placed.join(pairs.withColumn("block", F.explode(sides)), [*at, "block"]).groupBy(*at, "low", "high").applyInArrow(compare, schema)
+    between = placed.join(pairs.withColumn("block", F.explode(sides)), [*at, "block"]).repartition(*at, "low", "high").groupBy(*at, "low", "high").applyInArrow(compare, schema)
     return within.unionByName(between)
 
 
