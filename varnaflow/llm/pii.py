@@ -318,9 +318,11 @@ def masked(text: Column) -> Column:
     the whole stretch.
     """
 
-    @F.pandas_udf("string")
-    def mask(series):  # noqa: ANN001, ANN202
-        return series.map(mask_text, na_action="ignore")
+    @F.arrow_udf("string")
+    def mask(column: pa.Array) -> pa.Array:
+        parts = batches_by_bytes(pa.RecordBatch.from_arrays([column], ["text"]), "text")
+        done = [pa.array([t if t is None else mask_text(t) for t in part.column("text").to_pylist()], pa.string()) for part in parts]
+        return pa.concat_arrays([*done, pa.array([], pa.string())])
 
     return mask(text)
 

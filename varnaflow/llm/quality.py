@@ -37,6 +37,8 @@ ROUNDS = 3
 SURE = 0.97
 GIVEN = 400
 BUCKETS = 1 << 18
+#: Bytes of text whose features a worker makes at once, one document at least.
+SLICE = 1 << 19
 #: Bytes of a word that are a feature: its beginnings, for languages that inflect, and the whole.
 PREFIXES = (4, 5, 6, 1 << 20)
 #: Features whose share differs between the classes by fewer standard errors are noise.
@@ -249,7 +251,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in rows:
-        for batch in batches_by_bytes(whole, "text", 2 << 20):
+        for batch in batches_by_bytes(whole, "text", SLICE):
             (shape, words), (numbers, pages) = _views(batch)
             blobs = ([x.astype("<f4").tobytes() for x in shape], [_packed(x) for x in words], [x.astype("<f4").tobytes() for x in numbers], [_packed(x) for x in pages])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(b, pa.binary()) for b in blobs)], ["doc_id", "row", "shape", "words", "numbers", "pages"])
@@ -350,17 +352,14 @@ def score(docs: DataFrame, model: Model, name: str | None = None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("p_quality double, p_toxic double")
-    def run(text, lang, source, n_chars):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("p_quality double, p_toxic double")
+    def run(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         out: list[np.ndarray] = []
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip((text, lang, source, n_chars), (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], list(_INPUT))
-        for part in batches_by_bytes(batch, "text", 2 << 20):
+        for part in batches_by_bytes(pa.RecordBatch.from_arrays([text, lang, source, n_chars], list(_INPUT)), "text", SLICE):
             both = _views(part)
             out.append(np.stack([t.probability(*both) if t else np.full(len(part), np.nan) for t in (shared.value.quality, shared.value.toxic)], axis=1))
         p = np.concatenate([*out, np.zeros((0, 2))])
-        return pd.DataFrame({"p_quality": p[:, 0], "p_toxic": p[:, 1]})
+        return pa.StructArray.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["p_quality", "p_toxic"])
 
     (free,) = free_names(docs.columns, name or "cotrained")
     own = F.col(f"`{free}`")
