@@ -7,8 +7,10 @@ so an identifier found in the rewritten text maps back to source characters.
 An added span counts only if rewriting changed it and no base span of its kind
 holds it; base spans always stay.
 
-All scans are linear in the text (local parts are read backwards from each ``@``,
-digit runs are matched possessively), so very long texts and words are safe.
+All scans are linear in the text, so very long texts and words are safe: local
+parts are read backwards from each ``@``, digit runs are matched possessively, the
+white space around a sign is read outward from the sign, and spans are compared in
+one sweep by start.
 Row-local: no shuffle, nothing is kept between rows.
 """
 
@@ -84,6 +86,7 @@ _CONFUSABLE = dict(
         strict=True,
     )
 )
+_OPENING = frozenset("[({<")
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
 _SPELLED = {
     word: str(value)
@@ -102,11 +105,13 @@ _LAST_LABELS = frozenset("com org net edu gov mil int info biz io co ai app dev
 #: Words that open a phrase of prose after "at", and words that go on after "dot" (fixed values).
 _ARTICLES = frozenset("the a an this that these those each every my your our his her its their one no some any der die das den dem des ein eine einen einem le la les un une el los las una".split())
 _PROSE = frozenset("on in of to and or is was are were for with from by as at the a an that which where when but not it he she they we you und oder ist auf im von zu et ou est sur dans y o en por para".split())
-_AT = re.compile(rf"@|[ \t]*[\[({{<][ \t]*(?:{_AT_WORDS}|@)[ \t]*[\])}}>][ \t]*|[ \t\n]+(?:{_AT_WORDS})[ \t\n]+", re.I)
-_DOT = rf"(?:\.|[ \t]*[\[({{<][ \t]*(?:{_DOT_WORDS}|point|\.)[ \t]*[\])}}>][ \t]*|[ \t\n]+(?:{_DOT_WORDS})[ \t\n]+)"
-_DOT_AT = re.compile(_DOT, re.I)
+#: An at or dot sign without the white space around it, which ``_signs`` reads.
+_AT = re.compile(rf"@|[\[({{<][ \t]*+(?:{_AT_WORDS}|@)[ \t]*+[\])}}>]|(?<=[ \t\n])(?:{_AT_WORDS})(?=[ \t\n])", re.I)
+_DOT_SIGN = re.compile(rf"\.|[\[({{<][ \t]*+(?:{_DOT_WORDS}|point|\.)[ \t]*+[\])}}>]|(?<=[ \t\n])(?:{_DOT_WORDS})(?=[ \t\n])", re.I)
+#: The same for a place right after a label, where white space is tried once.
+_DOT = rf"(?:\.|[ \t]*+[\[({{<][ \t]*+(?:{_DOT_WORDS}|point|\.)[ \t]*+[\])}}>][ \t]*+|[ \t\n]++(?:{_DOT_WORDS})[ \t\n]++)"
 _HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I)
-_BRACKETED_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORDS}|point|\.)[ \t]*[\])}}>][ \t]*"
+_BRACKETED_DOT = rf"[ \t]*+[\[({{<][ \t]*+(?:{_DOT_WORDS}|point|\.)[ \t]*+[\])}}>][ \t]*+"
 #: Four numbers with a bracketed dot between some of them.
 _DOTTED = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\.|{_BRACKETED_DOT})[0-9]++){{3}}", re.I)
 _DOT_BETWEEN = re.compile(_BRACKETED_DOT, re.I)
@@ -167,41 +172,64 @@ def _homoglyphs(text: str) -> Mapped | None:
     return Mapped(text, [*pieces, (at, len(text), None)])
 
 
+def _signs(sign: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, first character) of at or dot signs, white space around disguised ones included.
+
+    A spelled sign needs white space of its own on both sides: what an earlier sign
+    took is gone.
+    """
+    done = start
+    for m in sign.finditer(text, start, end):
+        a, b = m.span()
+        if a < done:
+            continue
+        first = text[a]
+        if first not in "@.":
+            white = " \t" if first in _OPENING else " \t\n"
+            while a > done and text[a - 1] in white:
+                a -= 1
+            while b < end and text[b] in white:
+                b += 1
+            if first not in _OPENING and (a == m.start() or b == m.end()):
+                continue
+        done = b
+        yield a, b, first
+
+
 def _at_dot(text: str) -> list[tuple[int, int, str]]:
     """Replacements inside e-mail addresses that have a disguised at or dot."""
     out: list[tuple[int, int, str]] = []
     done, dot_before = 0, None
-    for m in _AT.finditer(text):
-        host = _HOST.match(text, m.end()) if m.start() >= done else None
+    for at_start, at_end, first in _signs(_AT, text, 0, len(text)):
+        host = _HOST.match(text, at_end) if at_start >= done else None
         if not host:
             continue
         if dot_before is None:  # where each disguised dot begins, by its end
-            dot_before = {d.end(): d.start() for d in _DOT_AT.finditer(text) if d[0] != "."}
-        start, dots = m.start(), []
+            dot_before = {b: a for a, b, sign in _signs(_DOT_SIGN, text, 0, len(text)) if sign != "."}
+        start, dots = at_start, []
         while start > done:  # the local part, read backwards over disguised dots
             if text[start - 1] in _LOCAL:
                 start -= 1
-            elif start < m.start() and (at := dot_before.get(start, -1)) > done and text[at - 1] in _LOCAL:
+            elif start < at_start and (at := dot_before.get(start, -1)) > done and text[at - 1] in _LOCAL:
                 dots.append((at, start))
                 start = at
             else:
                 break
-        if start == m.start():
+        if start == at_start:
             continue
-        host_dots = [d for d in _DOT_AT.finditer(text, host.start(), host.end()) if d[0] != "."]
-        bracketed = m[0].strip()[0] in "[({<"
-        if not bracketed and m[0] != "@" and not _spelled_host(re.split(r"[^A-Za-z0-9-]+", host[0]), host_dots):
+        host_dots = [(a, b) for a, b, sign in _signs(_DOT_SIGN, text, host.start(), host.end()) if sign != "."]
+        if first not in _OPENING and first != "@" and not _spelled_host(re.split(r"[^A-Za-z0-9-]+", host[0]), len(host_dots)):
             continue
-        if bracketed or host_dots or m[0] == "@" and dots:
-            out += [(*d, ".") for d in dots] + [(*m.span(), "@")] * (m[0] != "@") + [(*d.span(), ".") for d in host_dots]
+        if first in _OPENING or host_dots or first == "@" and dots:
+            out += [(*d, ".") for d in dots] + [(at_start, at_end, "@")] * (first != "@") + [(*d, ".") for d in host_dots]
             done = host.end()
     return out
 
 
-def _spelled_host(labels: list[str], dots: list[re.Match]) -> bool:
+def _spelled_host(labels: list[str], dots: int) -> bool:
     """Whether a host with spelled dots after a spelled at is one: by its last label, or unless it reads as prose."""
     first, last = labels[0].lower(), labels[-1].lower()
-    return last in _LAST_LABELS and first not in _ARTICLES or len(dots) > 1 and last.isalpha() or len(last) > 1 and last.isalpha() and first not in _ARTICLES and last not in _PROSE
+    return last in _LAST_LABELS and first not in _ARTICLES or dots > 1 and last.isalpha() or len(last) > 1 and last.isalpha() and first not in _ARTICLES and last not in _PROSE
 
 
 def _dotted_numbers(text: str) -> list[tuple[int, int, str]]:
@@ -271,16 +299,37 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         steps.append(_rewritten(plain, changes))
     if not steps:
         return []
-    out = set()
+    held, out = _Held(base), set()
     for depth in range(len(steps)):  # a folded text counts by itself too
         last = steps[depth].text
         for kind, a, b in base_spans(last):
             start, end = a, b
             for step in reversed(steps[: depth + 1]):
                 start, end = step.source(start, end)
-            if text[start:end] != last[a:b] and not any(k == kind and s <= start and end <= e for k, s, e in base):
+            if text[start:end] != last[a:b] and not held.any(kind, start, end):
                 out.add((kind, start, end))
-    return sorted(x for x in out if not any(y != x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] for y in out))
+    kept, furthest = [], ("", -1)
+    for kind, start, end in sorted(out, key=lambda x: (x[0], x[1], -x[2])):  # whatever holds a span comes before it
+        if furthest[0] != kind or furthest[1] < end:
+            kept.append((kind, start, end))
+            furthest = (kind, end)
+    return kept
+
+
+class _Held:
+    """Whether a span lies within one of some given spans of its kind."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.of: dict[str, tuple[list[int], list[int]]] = {}
+        for kind, start, end in sorted(spans):
+            starts, ends = self.of.setdefault(kind, ([], []))
+            starts.append(start)
+            ends.append(max(end, ends[-1]) if ends else end)
+
+    def any(self, kind: str, start: int, end: int) -> bool:
+        starts, ends = self.of.get(kind, ((), ()))
+        i = bisect_right(starts, start)
+        return i > 0 and ends[i - 1] >= end
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
