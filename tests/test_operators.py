@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from varnaflow.functions.normalize import vocabulary_test
-from varnaflow.operators import aggregates, filters, joins, samples, sets, windows
+from varnaflow.operators import aggregates, filters, joins, samples, scans, sets, windows
 from varnaflow.plans import dictionary, evaluation, normalization, romanized
 from varnaflow.sources import clients, readers, writers
 from varnaflow.streaming import lines as streams
@@ -133,3 +134,32 @@ def test_streams_append_new_files_only(spark, tmp_path):
     (source / "2.txt").write_text("c\n", encoding="utf-8")
     streams.append_all(streams.line_stream(spark, str(source)), out, mark).awaitTermination()
     assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_prefix_scan(spark, keys):
+    """Against running values of one sorted list; nulls, ties and a key that holds most rows."""
+    rows = [(i, None if i % 7 == 0 else i * 37 % 101, "hot" if i % 5 else None if i % 2 else "cold") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "o int, v int, k string").repartition(6)
+    for exclusive in (False, True):
+        got = {r["o"]: r for r in scans.prefix_scan(frame, ["o"], keys, exclusive, total=("sum", F.col("v")), low=("min", F.col("v")), high=("max", F.col("v"))).collect()}
+        assert len(got) == len(rows)
+        seen: dict = {}
+        for o, v, k in rows:
+            before = seen.setdefault(k if keys else 0, [])
+            if not exclusive and v is not None:
+                before.append(v)
+            want = (sum(before), min(before), max(before)) if before else (None, None, None)
+            assert (got[o]["total"], got[o]["low"], got[o]["high"]) == want
+            if exclusive and v is not None:
+                before.append(v)
+    same = scans.numbered(spark.range(2000).select(F.lit(1).alias("o"), "id"), "o")
+    assert sorted(r["n"] for r in same.collect()) == list(range(1, 2001))
+    assert scans.numbered(frame.limit(0), "o").count() == 0
+
+
+def test_scan_reads_no_whole_table_in_one_task(spark):
+    """Only the states, one row a range, meet in one partition."""
+    plan = scans.prefix_scan(spark.range(100).withColumn("v", F.col("id")), ["id"], s=("sum", F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    single = plan.index("SinglePartition")
+    assert "HashAggregate" in plan[single:] and plan.count("SinglePartition") == 1

@@ -9,6 +9,7 @@ from ..functions.metrics import cer as _cer
 from ..functions.metrics import char_bleu, char_errors, word_errors, words_in_place
 from ..functions.metrics import wer as _wer
 from ..functions.text import text, words
+from .scans import prefix_scan
 
 
 def distinct_words(lines: DataFrame, column: Column) -> DataFrame:
@@ -114,9 +115,9 @@ def edit_summary(edits: DataFrame, last: int = 5) -> DataFrame:
 
 
 def running_mean(frame: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
-    """``frame`` with the mean so far, in order within each key."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return frame.withColumn("mean_so_far", F.avg(value).over(w))
+    """``frame`` with the mean so far, in order within each key; without keys of one sequence over the whole table."""
+    scanned = prefix_scan(frame, [order], list(keys), _sum=("sum", F.col(value)), _n=("sum", F.col(value).isNotNull().cast("long")))
+    return scanned.withColumn("mean_so_far", F.try_divide("_sum", "_n")).drop("_sum", "_n")
 
 
 def base_words(lookup: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from .scans import prefix_scan
 
 
 def frames(tokens: Column, width: int = 3) -> Column:
@@ -37,10 +38,13 @@ def batches(frame: DataFrame, n: str = "n", size: int = 10, start: int = 0) -> D
 
 
 def early_stop(curve: DataFrame, patience: int = 3, value: str = "val_loss", order: str = "epoch", *keys: str) -> DataFrame:
-    """Epochs with the best so far, epochs since it improved, and whether training had stopped before."""
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = curve.withColumn("improved", F.coalesce(F.col(value) < F.min(value).over(before), F.lit(True)))
-    rows = rows.withColumns({"best": F.min(value).over(so_far), "last_better": F.max(F.when(F.col("improved"), F.col(order))).over(so_far)})
-    rows = rows.withColumn("waited", F.col(order) - F.col("last_better"))
-    return rows.withColumn("stopped", F.coalesce(F.max(F.col("waited") > patience).over(before), F.lit(False))).drop("last_better")
+    """Epochs with the best so far, epochs since it improved, and whether training had stopped before.
+
+    Without keys the whole table is one curve; three scans, none of them in one task.
+    """
+    rows = prefix_scan(curve, [order], list(keys), exclusive=True, _least=("min", F.col(value)))
+    rows = rows.withColumn("improved", F.coalesce(F.col(value) < F.col("_least"), F.lit(True))).withColumn("best", F.least("_least", value)).drop("_least")
+    rows = prefix_scan(rows, [order], list(keys), _better=("max", F.when(F.col("improved"), F.col(order))))
+    rows = rows.withColumn("waited", F.col(order) - F.col("_better")).drop("_better")
+    rows = prefix_scan(rows, [order], list(keys), exclusive=True, _late=("max", F.col("waited")))
+    return rows.withColumn("stopped", F.coalesce(F.col("_late") > patience, F.lit(False))).drop("_late")

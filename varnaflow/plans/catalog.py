@@ -38,6 +38,7 @@ from ..functions.text import (
 )
 from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_spelling, english_to_devanagari, transliterate
 from ..operators import aggregates, filters, joins, samples, sets, windows
+from ..operators.scans import prefix_scan
 from ..session import ship
 from ..sources.readers import spread, table_lines
 from . import dictionary, evaluation, files, normalization, romanized
@@ -549,6 +550,24 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.running_mean(rows, "n", "turn", "conv_id").select("conv_id", "turn", F.round("mean_so_far", 6).alias("mean_so_far"))
 
 
+@_query("SELECT doc_id, round(avg(length(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far, max(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest_before FROM documents")
+def running_means_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG15: one global sequence over all documents, by a prefix scan."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    means = aggregates.running_mean(rows, "n", "doc_id")
+    both = prefix_scan(means, ["doc_id"], exclusive=True, longest_before=("max", F.col("n")))
+    return both.select("doc_id", F.round("mean_so_far", 6).alias("mean_so_far"), "longest_before")
+
+
+@_query("""WITH c AS (SELECT doc_id, length(text) AS n FROM documents), i AS (SELECT *, coalesce(n < min(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved, min(n) OVER (ORDER BY doc_id) AS best FROM c),
+  w AS (SELECT *, doc_id - max(CASE WHEN improved THEN doc_id END) OVER (ORDER BY doc_id) AS waited FROM i)
+  SELECT doc_id, improved, best, waited, coalesce(bool_or(waited > 40) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM w""")
+def early_stopping_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN6: patience over one curve that is a whole table."""
+    curve = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    return windows.early_stop(curve, 40, "n", "doc_id").select("doc_id", "improved", "best", "waited", "stopped")
+
+
 # Metrics ---------------------------------------------------------------------
 
 

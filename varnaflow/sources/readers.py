@@ -6,10 +6,11 @@ nothing depends on the order of partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_token, strip, text
+from ..operators.scans import numbered
 
 PARALLEL = "romanized string, devanagari string"
 LABELLED = "id bigint, romanized string, devanagari string"
@@ -123,9 +124,5 @@ def cased_vocabulary(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def in_order(frame: DataFrame, *order: str) -> DataFrame:
-    """``frame`` with ``n``, its row number from 1; distributed: offsets of range partitions, then numbers within them."""
-    placed = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    within = placed.withColumn("_n", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33) + 1)
-    sizes = within.groupBy("_part").agg(F.max("_n").alias("_size"))
-    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(before, F.col("_part") == F.col("_p")).withColumn("n", F.col("_n") + F.col("_before")).drop("_part", "_at", "_n", "_p", "_before")
+    """``frame`` with ``n``, its row number from 1; distributed (``operators.scans``)."""
+    return numbered(frame, *order)
