@@ -6,7 +6,6 @@ import collections
 import hashlib
 import re
 import time
-import re
 import zlib
 
 import numpy as np

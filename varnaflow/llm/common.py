@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, shared_dir  # noqa: F401
@@ -78,3 +78,9 @@ def release() -> None:
     """Give memory that this worker has freed back, so that it doesn't stay the size of its largest batch."""
     pa.default_memory_pool().release_unused()
     _trim()(0)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

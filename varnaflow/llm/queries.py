@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, embeddings, licences, packing, pii, quality, simhash, suffix_dedup, token_store, window_dedup
+from . import conversations, decontaminate, embeddings, licences, mixing, packing, pii, quality, simhash, suffix_dedup, token_store, vector_codes, window_dedup
 from .encoding import tokenizer_path
 
 
@@ -63,8 +64,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.repair(turns, F.col("present")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, scale=1024, rounds=4)
+    digest = hashlib.sha256(",".join(map(str, codes.codebooks.reshape(-1).tolist())).encode()).hexdigest()
+    found = vector_codes.label_errors(codes.table)
+    return found.select("vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(_table(spark, sf_dir, "documents"), weights=(5, 2, 1))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_licence_scan, op3_decontamination, op4_window_dedup, op5_embedding_forest, op6_token_store, op7_best_fit_packing, op8_quality, op9_suffix_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_simhash, op2_licence_scan, op3_decontamination, op4_window_dedup, op5_embedding_forest, op6_token_store, op7_best_fit_packing, op8_quality, op9_suffix_dedup, op10_pii, op11_conversation_repair, op12_vector_codes, op13_source_mix)}
 
 
 _ITEM_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -105,11 +123,44 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 """
 
 
+def _vector_codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Lloyd's rounds written out: a{k} are the assignments to the codebooks c{k}, which the sums over a{k-1} give."""
+    tables = [
+        "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, q) AS id, * FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))",
+        "p AS MATERIALIZED (SELECT id, part, q[part * len(q) // 4 + 1:(part + 1) * len(q) // 4] AS x FROM v, (SELECT unnest(range(4)) AS part))",
+        f"c0 AS MATERIALIZED (SELECT part, id - 1 AS e, x AS c FROM p WHERE id <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        tables.append(f"a{k} AS MATERIALIZED (SELECT id, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT id, part, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM p JOIN c{k} USING (part)) GROUP BY id, part)")
+        if k < rounds:
+            tables.append(f"""c{k + 1} AS MATERIALIZED (SELECT c{k}.part, c{k}.e, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN (SELECT part, e, list(y ORDER BY i) AS c FROM (
+      SELECT part, e, i, floor(sum(y) / count(*)) AS y FROM (SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM p JOIN a{k} USING (id, part)) GROUP BY ALL) GROUP BY ALL) m USING (part, e))""")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(tables)},
+  coded AS (SELECT id, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM {last} GROUP BY id),
+  books AS (SELECT sha256(coalesce(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, e, i), '')) AS codebooks_sha256 FROM (SELECT part, e, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (id), books"""
+
+
+#: What is taken of a document follows from its place in its source's shuffled stream: whole rounds of the stream, and the part of the last that covers it.
+_SOURCE_MIX = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  s AS MATERIALIZED (SELECT source, source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+  fill(k, level) AS (SELECT 0, 1.5 * sum(source_size) / sum(w) FROM s
+    UNION ALL SELECT k + 1, (SELECT (1.5 * sum(source_size) - 2 * sum(CASE WHEN w * level >= 2 * source_size THEN source_size ELSE 0 END)) / nullif(sum(CASE WHEN w * level >= 2 * source_size THEN 0 ELSE w END), 0) FROM s) FROM fill WHERE k < 60 AND level IS NOT NULL),
+  t AS MATERIALIZED (SELECT source, source_size, least(2.0 * source_size, w * (SELECT max(level) FROM fill))::DOUBLE AS target FROM s),
+  placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('27:' || coalesce(doc_id::VARCHAR, 'null')), size ROWS UNBOUNDED PRECEDING) - size AS a FROM d)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (size * (round(target)::BIGINT // source_size) + greatest(0, least(a + size, round(target)::BIGINT % source_size) - a))::BIGINT END AS taken
+FROM placed JOIN t ON placed.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that it can express over whole tables in reasonable time.
 
     The others need XXH64 (op1), pattern rules (op2), a tokenizer (op6, op7), a fitted
-    model (op8), every byte window (op9) or transducers (op10); tests hold them
-    against brute force.
+    model (op8), every byte window (op9), transducers (op10) or CRC-32 (op11); tests
+    hold them against brute force.
     """
-    return {"op3_decontamination": _DECONTAMINATION, "op4_window_dedup": _WINDOW_DEDUP, "op5_embedding_forest": _EMBEDDINGS}
+    return {"op3_decontamination": _DECONTAMINATION, "op4_window_dedup": _WINDOW_DEDUP, "op5_embedding_forest": _EMBEDDINGS, "op12_vector_codes": _vector_codes_sql(), "op13_source_mix": _SOURCE_MIX}
