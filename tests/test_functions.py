@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from varnaflow.functions import metrics, normalize, phonetic, repair, text, translit, wordmodel
+from varnaflow.functions import folding, metrics, normalize, phonetic, repair, text, translit, wordmodel
 from varnaflow.functions.chunks import chunk_text
 
 PHONETIC = {"namaste": ("NMSTE", ""), "chha": ("CA", ""), "ma": ("MA", ""), "mama": ("MA", ""), "aama": ("AMA", ""), "kathmandu": ("KTMNDU", ""), "dhanyabad": ("DNYBD", ""), "xoro": ("CRO", ""), "xito": ("KTO", "XTO"), "xa": ("KA", "XA"), "fikka": ("PKA", ""), "hunchha": ("HNCA", ""), "bhaeko": ("BKO", ""), "नमस्ते": ("", ""), "को": ("को", ""), "": ("", "")}
@@ -85,7 +85,27 @@ def test_rules(one):
     assert one(rule, "Xa tw, box \"xw!\" new sooooo é#") == 'chha ta, box "chha!" new soo e'
     assert tuple(one(normalize.word_parts, '"hi!,')) == ('"', "hi", "!,")
     assert tuple(one(normalize.word_parts, "!!!")) == ("!!!", "", "")
-    assert normalize._FOLD_FROM.__len__() == normalize._FOLD_TO.__len__()
+
+
+#: A value for each block that the folding table covers, written down by hand.
+FOLDED = {
+    "Latin-1": ("Àéñß«½°", "Aenss<<1/2deg"), "Latin Extended-A": ("āčđęłŋœşž", "acdelngoesz"), "Latin Extended-B": ("ƒǆǊȳ", "fdzNJy"), "Latin Extended Additional": ("ḍḥṃṛṣṭẽỹ", "dhmrstey"),
+    "Greek": ("Ψυχή ξένος", "Psukhe xenos"), "Greek Extended": ("ἀὖ", "au"), "Cyrillic": ("Щёлково Юг", "Shchiolkovo Iug"), "Armenian": ("բան", "ban"), "Hebrew": ("שלמ", "shlm"), "Arabic": ("كتب", "ktb"), "Arabic digits": ("٣٤", "34"),
+    "Devanagari": ("कखगा मि १२।", "kkhgaa mi 12."), "Bengali": ("কাল", "kaal"), "Georgian": ("თბილისი", "tbilisi"), "Hangul": ("한국어", "hangugeo"), "Hiragana": ("ひらがな", "hiragana"), "Katakana": ("カタカナ", "katakana"),
+    "Punctuation": ("“a”—‘b’…", "\"a\"--'b'..."), "Currency": ("€", "EUR"), "Letterlike": ("№ℂ", "NoC"), "Number forms": ("Ⅷ⅓", "VIII1/3"), "Superscripts": ("x²₃", "x23"), "Enclosed": ("①ⓑ", "1b"), "Ligatures": ("ﬁﬃ", "fiffi"), "Fullwidth": ("Ｆｕｌｌ　１！", "Full 1!"), "Mathematical": ("𝐁𝒶𝟗", "Ba9"), "Emoji": ("a😀b☃", "ab"), "Ideographs": ("北京", "北京"),
+}
+
+
+@pytest.mark.parametrize("block", FOLDED)
+def test_folding(one, block):
+    given, want = FOLDED[block]
+    assert one(folding.fold_to_ascii, given) == want
+
+
+def test_folding_of_edges(one):
+    assert one(folding.fold_to_ascii, None) is None and one(folding.fold_to_ascii, "") == ""
+    assert one(folding.fold_to_ascii, "plain \t\n ~") == "plain \t\n ~"
+    assert one(folding.fold_to_ascii, "é" * 50_000) == "e" * 50_000
 
 
 @pytest.mark.parametrize(("given", "lengths"), [("a" * 125, [125]), ("a" * 126, [125, 1]), ("", [0]), ("b" * 60 + " " + "c" * 70, [60, 70])])

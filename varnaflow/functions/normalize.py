@@ -13,13 +13,10 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folding import fold_to_ascii
 from .text import let, squeeze, text, words
 
 INLINE = 20_000
-#: Latin letters with marks, and what they fold to; letters that fold to several follow (fixed values).
-_FOLD_FROM = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľŀłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżžṁṃṅṇṙṛṣṭḍḥḷ’‘“”–—…"
-_FOLD_TO = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnooooooooorrrsssstttuuuuuuuuuuwyyyzzzmmnnrrstdhl''\"\"--."
-_FOLD_MANY = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ĳ": "ij"}
 
 Test = Callable[[Column], Column]
 
@@ -32,17 +29,9 @@ def vocabulary_test(vocabulary: Iterable[str]) -> Test:
     return (lambda w: w.isin(known)) if known else (lambda w: F.lit(False))
 
 
-def fold_accents(c: Column) -> Column:
-    """Latin letters without their marks; characters of other scripts stay as they are."""
-    out = F.translate(c, _FOLD_FROM, _FOLD_TO)
-    for old, new in _FOLD_MANY.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
-
-
 def rule_text(c: Column) -> Column:
-    """Lower case, no accents, single spaces, no letter more than twice in a row, plain punctuation only."""
-    out = squeeze(fold_accents(F.lower(text(c))))
+    """Lower case, ASCII, single spaces, no letter more than twice in a row, plain punctuation only."""
+    out = squeeze(fold_to_ascii(F.lower(text(c))))
     return F.regexp_replace(F.regexp_replace(out, "(.)\\1{2,}", "$1$1"), "[^\\p{L}\\p{N}_\\s.,!?;:'\"-]", "")
 
 

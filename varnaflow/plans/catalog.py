@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunk_text
+from ..functions.folding import fold_to_ascii
 from ..functions.metrics import cer, char_bleu, char_errors, length_score, position_score, window_bounds, word_errors, words_in_place
 from ..functions.normalize import rule_based, rule_text, vocabulary_test
 from ..functions.phonetic import SYMBOLS, phonetic_codes
@@ -568,6 +569,52 @@ def early_stopping_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.early_stop(curve, 40, "n", "doc_id").select("doc_id", "improved", "best", "waited", "stopped")
 
 
+#: Latin letters, and letters of other scripts that stand in for them (``folded_scripts``).
+_SCRIPTS = {
+    "greek": ("abgdezqiklmncoprstufhyw", "αβγδεζθικλμνξοπρστυφχψω"),
+    "cyrillic": ("abvgdejziklmnoprstufhcyqwx", "абвгдежзиклмнопрстуфхцычшщ"),
+    "devanagari": ("kgcjtdnpbmyrlvshaiue", "कगचजतदनपबमयरलवसहअइउए"),
+    "kana": ("aiueokstnhmr", "アイウエオかさタなはマら"),
+    "hangul": ("abcdefghij", "한국어가나다라마바사"),
+    "hebrew": ("bglmnqrstz", "בגלמנקרשתז"),
+    "arabic": ("btjdrszfklmnwy", "بتجدرسزفكلمنوي"),
+    "georgian": ("abgdevztklmn", "აბგდევზტკლმნ"),
+    "wide": ("abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"),
+    "bold": ("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x1D41A, 0x1D434)))),
+    "marked": ("acdeghilnorstuyz", "ạčđệğħįłŋőŕşţůÿž"),
+    "signs": (".,abcd", "…„©½№ﬃ"),
+}
+#: What those letters must become, written out for the other engine (fixed values).
+_IN_ASCII = {
+    "greek": "a:a b:b g:g d:d e:e z:z q:th i:i k:k l:l m:m n:n c:x o:o p:p r:r s:s t:t u:u f:ph h:kh y:ps w:o",
+    "cyrillic": "a:a b:b v:v g:g d:d e:e j:zh z:z i:i k:k l:l m:m n:n o:o p:p r:r s:s t:t u:u f:f h:kh c:ts y:y q:ch w:sh x:shch",
+    "devanagari": "k:k g:g c:c j:j t:t d:d n:n p:p b:b m:m y:y r:r l:l v:v s:s h:h a:a i:i u:u e:e",
+    "kana": "a:a i:i u:u e:e o:o k:ka s:sa t:ta n:na h:ha m:ma r:ra",
+    "hangul": "a:han b:gug c:eo d:ga e:na f:da g:ra h:ma i:ba j:sa",
+    "hebrew": "b:b g:g l:l m:m n:n q:q r:r s:sh t:t z:z",
+    "arabic": "b:b t:t j:j d:d r:r s:s z:z f:f k:k l:l m:m n:n w:w y:y",
+    "georgian": "a:a b:b g:g d:d e:e v:v z:z t:t k:k l:l m:m n:n",
+    "wide": "",
+    "bold": "",
+    "marked": "a:a c:c d:d e:e g:g h:h i:i l:l n:ng o:o r:r s:s t:t u:u y:y z:z",
+    "signs": ".:... ,:,, a:(c) b:1/2 c:No d:ffi",
+}
+
+
+def _in_ascii(script: str) -> str:
+    values = dict(x.split(":", 1) for x in _IN_ASCII[script].split())
+    return f"array_to_string(list_transform(string_split(lower(text), ''), lambda c: coalesce({_map(values or {'a': 'a'})}[c], c)), '')"
+
+
+@_query("SELECT conv_id, turn, script, md5(" + _folded("folded") + ") AS folded FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{s}' AS script, {_in_ascii(s)} AS folded FROM conversations" for s in _IN_ASCII) + ")")
+def folded_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC8: all turns with their letters in eleven scripts and styles, folded back to ASCII."""
+    lower = F.lower("text")
+    texts = F.array(*[F.struct(F.lit(s).alias("script"), F.translate(lower, *pair).alias("t")) for s, pair in _SCRIPTS.items()])
+    each = _turns(spark, sf_dir).select("conv_id", "turn", F.explode(texts).alias("x"))
+    return each.select("conv_id", "turn", "x.script", F.md5(fold_to_ascii(F.col("x.t")).cast("binary")).alias("folded"))
+
+
 # Metrics ---------------------------------------------------------------------
 
 
