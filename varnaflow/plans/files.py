@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
+from ..operators.scans import numbered
 from ..session import new_path, ship
 from ..sources import clients, readers, writers
 from ..streaming import lines as streams
@@ -51,9 +52,9 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id::VARCHAR AS id, md5(text) AS romanized, source AS devanagari FROM documents")
 def checked_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC6 SNK4: the same with a byte-order mark, all columns as strings, required ones checked."""
-    path = new_path(spark, "csv")
-    writers.write_csv(_labelled(spark, sf_dir), path, bom=True)
+    """SRC6 SNK4: the same as one file with a byte-order mark, all columns as strings, required ones checked."""
+    path = f"{new_path(spark, 'csv')}/all.csv"
+    writers.write_csv_file(_labelled(spark, sf_dir), path, ["id"])
     return readers.checked_csv(spark, path).select("id", _md5("romanized").alias("romanized"), "devanagari")
 
 
@@ -131,15 +132,12 @@ def rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("role", "turn").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@_query("SELECT value, count(*) AS n FROM (SELECT 'url' AS value UNION ALL SELECT url FROM pages) GROUP BY 1")
+@_query("SELECT 1 AS n, 'url' AS value UNION ALL SELECT row_number() OVER (ORDER BY page_id, url) + 1, url FROM pages")
 def column_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK7: a column as a text file whose first line is its name."""
-    path = new_path(spark, "column")
-    writers.write_lines(_table(spark, sf_dir, "pages"), path, "url", header="url")
-    first = spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1)).first()[0]
-    if first != "url":
-        raise ValueError(f"the first line is {first}")
-    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+    """SNK7: a column as one text file in order, whose first line is its name."""
+    path = f"{new_path(spark, 'column')}/url.txt"
+    writers.write_one_file(_table(spark, sf_dir, "pages"), path, F.col("url"), ["page_id"], header="url\n")
+    return readers.numbered_lines(spark, path).select("n", "value")
 
 
 @_query(f"SELECT md5(value) AS line, count(*) AS n FROM ({_sql_lines('text', 'benchmark')} UNION ALL {_sql_lines('text', 'conversations')}) WHERE value <> '' GROUP BY 1")
@@ -222,6 +220,63 @@ def paged_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("video_comments").option("videos", ",".join(videos)).option("client", f"{__name__}:paged").option("keys", 2).load()
 
 
+#: The lines of all documents with the document's number before each, made longer so that a file has several splits.
+_LONG_LINES = "SELECT doc_id, i, CASE WHEN v = '' THEN '' ELSE doc_id || ' ' || repeat(md5(v), 40) END AS v FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
+
+
+@_query(f"""WITH l AS ({_LONG_LINES}) SELECT 'all' AS how, row_number() OVER (ORDER BY doc_id, i) AS n, md5(v) AS line FROM l
+  UNION ALL SELECT * FROM (SELECT 'not blank', row_number() OVER (ORDER BY doc_id, i) AS n, md5(v) FROM l WHERE v <> '')
+  UNION ALL SELECT * FROM (SELECT 'first', row_number() OVER (ORDER BY doc_id, i) AS n, md5(v) FROM l WHERE v <> '') WHERE n <= 500""")
+def numbered_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2 SRC3: line numbers of one large file, read split by split; with blanks, without them, and the first of them."""
+    path = f"{new_path(spark, 'numbered')}/lines.txt"
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "v"))
+    longer = F.when(F.col("v") == "", F.lit("")).otherwise(F.concat("doc_id", F.lit(" "), F.repeat(_md5("v"), 40)))
+    writers.write_one_file(lines, path, longer, ["doc_id", "i"])
+    read = lambda how, **options: readers.numbered_lines(spark, path, **options).select(F.lit(how).alias("how"), "n", _md5("value").alias("line"))
+    return read("all", keep_blank=True).unionByName(read("not blank")).unionByName(read("first", first=500))
+
+
+#: Entries of a dictionary with odd characters in strings; each code comes again further down.
+_ENTRIES = """SELECT item_id * 2 + again AS ord, 'c' || item_id % 37 || '"{' AS code, word || chr(92) || '}' AS base_word, [word, word || '"', '{' || item_id, '', upper(word)] AS variants FROM (
+  SELECT item_id, again, md5(text || again) AS word FROM (SELECT item_id, text, unnest([0, 1]) AS again FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations)))"""
+
+
+@_query(f"SELECT code, arg_max(base_word, ord) AS base_word, array_to_string(arg_max(variants, ord), ' ') AS variants, row_number() OVER (ORDER BY min(ord)) AS place FROM ({_ENTRIES}) GROUP BY code")
+def dictionary_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10 SNK5: a dictionary written as one JSON object without line breaks and read back by fragments; later entries win."""
+    read = readers.pvd_entries(spark, _dictionary_file(spark, sf_dir))
+    return numbered(read, "ord", name="place").select("code", "base_word", F.array_join("variants", " ").alias("variants"), "place")
+
+
+def _dictionary_file(spark: SparkSession, sf_dir: str) -> str:
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
+    turns = _table(spark, sf_dir, "conversations").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+    twice = items.unionByName(turns).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("word", F.md5(F.concat("text", "again").cast("binary")))
+    variants = F.array("word", F.concat("word", F.lit('"')), F.concat(F.lit("{"), "item_id"), F.lit(""), F.upper("word"))
+    entries = twice.select((F.col("item_id") * 2 + F.col("again")).alias("ord"), F.concat(F.lit("c"), F.col("item_id") % 37, F.lit('"{')).alias("code"), F.concat("word", F.lit("\\}")).alias("base_word"), variants.alias("variants"))
+    path = f"{new_path(spark, 'dictionary')}/pvd.json"
+    writers.pvd_json(entries, path, ["ord"])
+    return path
+
+
+@_query(f"""WITH e AS (SELECT code, arg_max(base_word, ord) AS base_word, arg_max(variants, ord) AS variants, min(ord) AS ord FROM ({_ENTRIES}) GROUP BY code),
+  w AS (SELECT unnest(list_append(variants, base_word)) AS w, list_append(variants, base_word) AS cluster, ord FROM e)
+  SELECT lower(w) AS word, array_to_string(arg_max(cluster, ord), ' ') AS cluster FROM w GROUP BY 1""")
+def clusters_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11: augmentation clusters read from a JSON object; a word of several entries has the last one's cluster."""
+    found = readers.clusters(readers.pvd_entries(spark, _dictionary_file(spark, sf_dir)))
+    return found.select("word", F.array_join("cluster", " ").alias("cluster"))
+
+
+@_query(f"""WITH e AS (SELECT lower(arg_max(base_word, ord)) AS base, arg_max(variants, ord) AS variants, min(ord) AS ord FROM ({_ENTRIES}) GROUP BY code),
+  p AS (SELECT base, base AS variant, ord, 0 AS i FROM e UNION ALL SELECT base, lower(v), ord, i FROM (SELECT base, ord, unnest(variants) AS v, generate_subscripts(variants, 1) AS i FROM e) WHERE v <> '' AND lower(v) <> base)
+  SELECT variant, arg_max(base, (ord, i)) AS base FROM p GROUP BY variant""")
+def lookup_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10 D5: variant to base of a dictionary file, later entries over earlier ones."""
+    return readers.pvd_lookup(readers.pvd_entries(spark, _dictionary_file(spark, sf_dir)))
+
+
 @_query(f"""SELECT md5(v) AS line, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(v, '[^\\x{{0900}}-\\x{{097F}}{_BLANK}]', '', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS v FROM (
   SELECT text || ' देव १२ ' || turn AS v FROM conversations)) WHERE v <> '' GROUP BY 1""")
 def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ nothing depends on the order of partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_token, strip, text
-from ..operators.scans import numbered
+from ..operators.scans import numbered, prefix_scan
 
 PARALLEL = "romanized string, devanagari string"
 LABELLED = "id bigint, romanized string, devanagari string"
@@ -18,12 +18,12 @@ PVD_JSON = "map<string, struct<base_word: string, variants: array<string>>>"
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """A table of fewer files than the cluster has cores, dealt out; one of many files is left as it lies.
+    """A table whose scan has fewer tasks than the cluster has cores, dealt out; others are left as they lie.
 
     A small table is often one file with one row group, which would be one task.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
 def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -32,17 +32,27 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.where("value <> ''")
 
 
+def _placed(spark: SparkSession, path: str | list[str], separator: str = "\n") -> DataFrame:
+    """(file, block, at, value): records of text files with the offset of the split that they were read in, and their order there."""
+    reader = spark.read if separator == "\n" else spark.read.option("lineSep", separator)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = False, first: int | None = None) -> DataFrame:
-    """(file, n, value): lines with their number from 1; blank ones are dropped before counting unless kept.
+    """(file, n, value): stripped lines with their number from 1 in their file; blank ones are dropped before counting unless kept.
 
-    A file is one row while it is cut, so this is for line-aligned files of
-    evaluation size; ``first`` keeps the first lines of each.
+    Files of any size: each split of a file counts its lines, the counts of the
+    splits before it (one row a split) are summed, and a line's number follows from
+    its place within its split.  ``first`` keeps the first lines of each file.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\n$", ""), "\r?\n").alias("lines"))
-    stripped = F.transform("lines", lambda x: strip(x))
-    kept = stripped if keep_blank else F.filter(stripped, lambda x: x != "")
-    lines = whole.select("file", F.posexplode(kept).alias("n", "value")).withColumn("n", F.col("n") + 1)
-    return lines if first is None else lines.where(F.col("n") <= first)
+    stripped = _placed(spark, path).withColumn("value", strip(F.col("value")))
+    kept = (stripped if keep_blank else stripped.where("value <> ''")).withColumn("at", F.monotonically_increasing_id())
+    splits = kept.groupBy("file", "block").agg(F.min("at").alias("begin"), F.count("*").alias("size"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "begin", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    lines = kept.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    numbered_ = lines.select("file", (F.col("before") + F.col("at") - F.col("begin") + 1).alias("n"), "value")
+    return numbered_ if first is None else numbered_.where(F.col("n") <= first)
 
 
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -81,15 +91,54 @@ def text_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
     return reader.text(folder).select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("value")).where("value <> ''")
 
 
+def json_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, entry): the members of one JSON object whose values are objects, in file order, each as an object of its own.
+
+    The file may be of any size and have no line breaks.  It is read in fragments
+    that end with a brace.  Whether a fragment begins inside a string follows from the
+    quotes before it, how deep it lies from the braces before it, and which member it
+    belongs to from the members that have ended before it: three running sums over
+    the fragments, for which only their counts travel.
+    """
+    fragments = _placed(spark, path, "}").withColumn("at", F.monotonically_increasing_id())
+    plain = F.regexp_replace("value", "\\\\.", "")  # an escape never parts at a brace
+    after_string = F.regexp_replace("plain", '^[^"]*("|$)', "")
+    outside = lambda c: F.regexp_replace(c, '"[^"]*("|$)', "")
+    count = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("long")
+    counted = fragments.withColumn("plain", plain).select(
+        "file", "block", "at", count(F.col("plain"), '"').alias("quotes"), count(outside(F.col("plain")), "{").alias("opened_outside"), count(outside(after_string), "{").alias("opened_inside")
+    )
+    order = ["file", "block", "at"]
+    quoted = prefix_scan(counted, order, exclusive=True, before=("sum", F.col("quotes")))
+    inside = F.coalesce(F.col("before"), F.lit(0)) % 2 == 1
+    closes = ((F.coalesce(F.col("before"), F.lit(0)) + F.col("quotes")) % 2 == 0).cast("long")
+    braced = quoted.select(*order, closes.alias("closes"), (F.when(inside, F.col("opened_inside")).otherwise(F.col("opened_outside")) - closes).alias("change"))
+    deep = prefix_scan(braced, order, depth=("sum", F.col("change")))
+    ends = ((F.col("closes") == 1) & (F.col("depth") == 1)).cast("long")
+    members = prefix_scan(deep.select(*order, ends.alias("ends")), order, exclusive=True, ord=("sum", F.col("ends")))
+    members = members.select(*[F.col(c).alias(f"_{c}") for c in order], F.coalesce("ord", F.lit(0)).alias("ord"), "ends")
+    met = fragments.join(members, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.col("at") == F.col("_at")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "}")
+    entries = met.groupBy("ord").agg(whole.alias("text"), F.max("ends").alias("ends")).where("ends = 1")
+    return entries.select("ord", F.concat(F.regexp_replace("text", "^\\s*[{,]", "{"), F.lit("}}")).alias("entry"))
+
+
 def pvd_entries(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
-    """(ord, code, base_word, variants) of a dictionary JSON, in file order.
+    """(ord, code, base_word, variants) of a dictionary JSON of any size, in file order.
 
-    ``by_line`` reads a dictionary of one entry a line, however large; its entries
-    are in code order.
+    A code that comes again keeps its first place and has its last value.
+    ``by_line`` reads a dictionary of one entry a line; its entries are in code order.
     """
-    whole = spark.read.text(path, wholetext=not by_line).select(F.from_json("value", PVD_JSON).alias("m"))
-    order = F.col("e.key") if by_line else F.col("ord")
-    return whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select(order.alias("ord"), F.col("e.key").alias("code"), F.col("e.value.base_word").alias("base_word"), F.col("e.value.variants").alias("variants"))
+    if by_line:
+        entries = spark.read.text(path).select(F.lit(None).cast("long").alias("ord"), F.col("value").alias("entry"))
+    else:
+        entries = json_entries(spark, path)
+    each = entries.select("ord", F.explode(F.map_entries(F.from_json("entry", PVD_JSON))).alias("e"))
+    rows = each.select((F.col("e.key") if by_line else F.col("ord")).alias("ord"), F.col("e.key").alias("code"), F.col("e.value.base_word").alias("base_word"), F.col("e.value.variants").alias("variants"))
+    if by_line:
+        return rows
+    last = rows.groupBy("code").agg(F.min("ord").alias("ord"), F.max_by(F.struct("base_word", "variants"), "ord").alias("v"))
+    return last.select("ord", "code", "v.base_word", "v.variants")
 
 
 def pvd_lookup(entries: DataFrame) -> DataFrame:
