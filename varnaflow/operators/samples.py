@@ -6,9 +6,14 @@ and every partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .scans import numbered
+
 
 def hash_order(key: str, seed: int = 27) -> Column:
     """A pseudo-random order that other engines can compute too: the MD5 of ``seed:key``."""
@@ -20,8 +25,42 @@ def sample_rows(frame: DataFrame, n: int, key: str, seed: int = 27) -> DataFrame
     return frame.orderBy(hash_order(key, seed), key).limit(n)
 
 
+def permuted(n: Column, size: int, seed: int = 27, rounds: int = 6) -> Column:
+    """The place of row number ``n`` (from 0) in a pseudo-random permutation of ``size`` rows: no sort, no shuffle.
+
+    A Feistel network over the bits of the row numbers, whose halves take turns to be
+    changed by a hash of the other, is a bijection of all numbers of so many bits.
+    What falls outside the table is sent through again until it is inside, which it
+    is each time with a chance of more than a half; this keeps the bijection.
+    """
+    bits = max(2, (size - 1).bit_length())
+    a, b = bits // 2, bits - bits // 2
+
+    def hashed(k: int, v: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), v.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+    def turn(k: int) -> Callable[[Column], Column]:
+        if k % 2 == 0:
+            return lambda h: F.struct(h["l"].bitwiseXOR(hashed(k, h["r"]).bitwiseAND((1 << a) - 1)).alias("l"), h["r"].alias("r"))
+        return lambda h: F.struct(h["l"].alias("l"), h["r"].bitwiseXOR(hashed(k, h["l"]).bitwiseAND((1 << b) - 1)).alias("r"))
+
+    def once(x: Column) -> Column:
+        halves = F.struct(F.shiftright(x, b).alias("l"), x.bitwiseAND((1 << b) - 1).alias("r"))
+        for k in range(rounds):
+            halves = let(halves, turn(k))
+        return let(halves, lambda h: F.shiftleft(h["l"], b).bitwiseOR(h["r"]))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(128)), once(n.cast("long")), lambda x, _: F.when(x >= size, once(x)).otherwise(x))
+    return let(walk, lambda x: F.when(x < size, x).otherwise(F.raise_error(F.lit("the walk didn't end"))))
+
+
 def shuffled(frame: DataFrame, key: str, seed: int = 27) -> DataFrame:
-    return frame.orderBy(hash_order(key, seed), key)
+    """``frame`` with ``place``, from 0, in a full shuffle that depends on the order of ``key`` and the seed alone.
+
+    Rows of equal keys may change places from run to run.
+    """
+    size = frame.count()
+    return numbered(frame, key, name="_n").withColumn("place", permuted(F.col("_n") - 1, max(1, size), seed)).drop("_n")
 
 
 def split_rows(frame: DataFrame, key: str, holdout: int | float, longest: int = 300, columns: tuple[str, ...] = (), seed: int = 27) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.chunks import chunk_text
 from ..functions.folding import fold_to_ascii
 from ..functions.metrics import cer, char_bleu, char_errors, length_score, position_score, window_bounds, word_errors, words_in_place
 from ..functions.normalize import rule_based, rule_text, vocabulary_test
+from ..functions import tables
 from ..functions.phonetic import SYMBOLS, phonetic_codes
 from ..functions.repair import matched_words, repair, replacement_lines
 from ..functions.text import (
@@ -554,7 +555,7 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT doc_id, round(avg(length(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far, max(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest_before FROM documents")
 def running_means_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15: one global sequence over all documents, by a prefix scan."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
     means = aggregates.running_mean(rows, "n", "doc_id")
     both = prefix_scan(means, ["doc_id"], exclusive=True, longest_before=("max", F.col("n")))
     return both.select("doc_id", F.round("mean_so_far", 6).alias("mean_so_far"), "longest_before")
@@ -565,7 +566,7 @@ def running_means_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, improved, best, waited, coalesce(bool_or(waited > 40) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM w""")
 def early_stopping_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN6: patience over one curve that is a whole table."""
-    curve = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    curve = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
     return windows.early_stop(curve, 40, "n", "doc_id").select("doc_id", "improved", "best", "waited", "stopped")
 
 
@@ -615,6 +616,60 @@ def folded_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("conv_id", "turn", "x.script", F.md5(fold_to_ascii(F.col("x.t")).cast("binary")).alias("folded"))
 
 
+def _feistel_sql(x: str, a: int, b: int, rounds: int, seed: str) -> str:
+    """One pass of the permutation over a + b bits: halves take turns to be changed by a hash of the other."""
+    left, right = f"({x} >> {b})", f"({x} & {(1 << b) - 1})"
+    hashed = lambda k, v: f"('0x' || substr(md5('{seed}:{k}:' || ({v})), 1, 8))::BIGINT"
+    made = f"SELECT {left} AS l, {right} AS r"
+    for k in range(rounds):
+        made = f"SELECT xor(l, {hashed(k, 'r')} & {(1 << a) - 1}) AS l, r FROM ({made})" if k % 2 == 0 else f"SELECT l, xor(r, {hashed(k, 'l')} & {(1 << b) - 1}) AS r FROM ({made})"
+    return f"(SELECT (l << {b}) | r FROM ({made}))"
+
+
+def _shuffle_sql() -> str:
+    """The permutation walks until it is inside the table; here each number of bits that a table may need is tried by its size."""
+    bits = range(2, 18)
+    step = "CASE " + " ".join(f"WHEN bits = {n} THEN {_feistel_sql('x', n // 2, n - n // 2, 6, '27')}" for n in bits) + " END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n, (SELECT count(*) FROM documents) AS size FROM documents),
+      s AS (SELECT doc_id, n, size, greatest(2, ceil(log2(size)))::INT AS bits FROM d),
+      w(doc_id, x, size, bits, k) AS (SELECT doc_id, n, size, bits, 0 FROM s UNION ALL SELECT doc_id, {step}, size, bits, k + 1 FROM w WHERE k = 0 OR x >= size)
+      SELECT doc_id, x AS place FROM w WHERE k > 0 AND x < size"""
+
+
+@_query(_shuffle_sql())
+def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP3: the place of each document in a full shuffle, by a keyed permutation of row numbers."""
+    return samples.shuffled(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@_query(f"""WITH {_WORDS}, {_GROUPS}, w AS (SELECT code, base_word, n, unnest(variants) AS v, generate_subscripts(variants, 1) - 1 AS i FROM groups)
+  SELECT code, i // 4 AS chunk, base_word, n, array_to_string(list(v ORDER BY i), ' ') AS variants FROM w GROUP BY code, i // 4, base_word, n""")
+def variant_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG5 JN6: phonetic groups as sorted chunks of at most four variants, whatever a group's size."""
+    found = dictionary.variant_postings(_table(spark, sf_dir, "documents"), "text", _vocabulary(spark), chunk=4)
+    return found.select("code", *_long("chunk"), "base_word", "n", F.array_join("variants", " ").alias("variants"))
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, length(text)::BIGINT AS chars FROM conversations),
+  b AS (SELECT *, min(chars) OVER (PARTITION BY conv_id ORDER BY turn) AS best, coalesce(chars < min(chars) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM c),
+  w AS (SELECT *, r - max(CASE WHEN better THEN r END) OVER (PARTITION BY conv_id ORDER BY turn) AS waited FROM b)
+  SELECT conv_id, turn, chars, best::DOUBLE AS best, waited, coalesce(bool_or(waited > 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM w""")
+def patience_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12: a table function over parts of a table, from SQL alone."""
+    tables.register(ship(spark))
+    return spark.sql(f"SELECT * FROM patience(TABLE(SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS chars FROM parquet.`{sf_dir}/conversations.parquet`) PARTITION BY conv_id ORDER BY (turn), 'chars', 1)")
+
+
+@_query(f"""WITH {_LINES} SELECT doc_id, line_no, count(*) AS chunks, max(length(chunk))::BIGINT AS longest, md5(string_agg(chunk, '|' ORDER BY n)) AS joined FROM (
+  SELECT doc_id, line_no, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS n FROM (SELECT doc_id, line_no, CASE WHEN length(line) <= 125 THEN [line] ELSE string_split(list_reduce(list_prepend('', {_split("line")}), lambda a, w: CASE
+    WHEN a = '' THEN w WHEN length(split_part(a, chr(1), len(string_split(a, chr(1))))) + 1 + length(w) <= 125 THEN a || ' ' || w ELSE a || chr(1) || w END), chr(1)) END AS cs FROM lines)) GROUP BY ALL""")
+def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12 SC15: chunks of every line by a lateral table function."""
+    tables.register(ship(spark))
+    lines = _lines(spark, sf_dir).select("doc_id", *_long("line_no"), "line")
+    return spark.sql("SELECT doc_id, line_no, count(*) AS chunks, CAST(max(length(chunk)) AS BIGINT) AS longest, md5(CAST(array_join(transform(array_sort(collect_list(struct(n, chunk))), x -> x.chunk), '|') AS BINARY)) AS joined FROM {lines}, LATERAL text_chunks(line, 125) GROUP BY doc_id, line_no", lines=lines)
+
+
 # Metrics ---------------------------------------------------------------------
 
 

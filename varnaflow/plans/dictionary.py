@@ -9,23 +9,53 @@ from ..functions.phonetic import phonetic_codes
 from ..functions.text import corpus_text, devanagari_runs, text, words
 from ..operators.aggregates import distinct_words
 from ..operators.filters import not_in
+from ..operators.scans import kept, numbered
 
 
-def variant_groups(lines: DataFrame, column: str, vocabulary: DataFrame, pattern: str | None = None, least: int = 2) -> DataFrame:
-    """(code, base_word, variants, n): unknown words by phonetic code.
+def coded_words(lines: DataFrame, column: str, vocabulary: DataFrame, pattern: str | None = None) -> DataFrame:
+    """(word, n, code): different words outside the vocabulary, with their phonetic code.
 
-    Words are made different before they are coded.  The base is the most frequent
-    word, of equals the least.
+    Words are made different before they are coded.
     """
     found = distinct_words(lines, corpus_text(F.col(column)))
     if pattern:
         found = found.where(F.col("word").rlike(pattern))
     # Only words with a letter have a code; asked of the word, so that codes are computed once.
-    coded = not_in(found, "word", vocabulary).where((F.length("word") == 2) | F.translate(F.lower("word"), "āīūṁṃñṙ", "aiummnr").rlike("[a-z]")).withColumn("code", phonetic_codes(F.col("word"))["primary"])
-    groups = coded.groupBy("code").agg(F.min_by("word", F.struct((-F.col("n")).alias("s"), "word")).alias("base_word"), F.array_sort(F.collect_set("word")).alias("variants"), F.count("*").alias("n"))
+    lettered = (F.length("word") == 2) | F.translate(F.lower("word"), "āīūṁṃñṙ", "aiummnr").rlike("[a-z]")
+    return not_in(found, "word", vocabulary).where(lettered).withColumn("code", phonetic_codes(F.col("word"))["primary"])
+
+
+def _base_word() -> Column:
+    """The most frequent word, of equals the least."""
+    return F.min_by("word", F.struct((-F.col("n")).alias("s"), "word")).alias("base_word")
+
+
+def variant_groups(lines: DataFrame, column: str, vocabulary: DataFrame, pattern: str | None = None, least: int = 2) -> DataFrame:
+    """(code, base_word, variants, n): unknown words by phonetic code, a row for each; for codes of any size see ``variant_postings``."""
+    coded = coded_words(lines, column, vocabulary, pattern)
+    groups = coded.groupBy("code").agg(_base_word(), F.array_sort(F.collect_set("word")).alias("variants"), F.count("*").alias("n"))
     return groups.where(F.col("n") >= least)
 
 
+def postings_of(coded: DataFrame, least: int = 2, chunk: int = 1000) -> DataFrame:
+    """(code, chunk, base_word, n, variants): the words of each code in order, at most ``chunk`` a row.
+
+    ``coded`` has word, n and code.  Words are numbered within their code by a scan
+    that cuts a code over tasks, and no row or task holds a code whole; base words and
+    sizes are partial aggregates.
+    """
+    stored = kept(coded.select("word", "n", "code"), "coded")
+    bases = stored.groupBy("code").agg(_base_word(), F.count("*").alias("total")).where(F.col("total") >= least)
+    placed = numbered(stored.select("word", "code"), "word", keys=["code"], name="i").withColumn("chunk", F.floor((F.col("i") - 1) / chunk))
+    chunks = placed.groupBy("code", "chunk").agg(F.array_sort(F.collect_list("word")).alias("variants"))
+    return chunks.join(bases, "code").select("code", "chunk", "base_word", F.col("total").alias("n"), "variants")
+
+
+def variant_postings(lines: DataFrame, column: str, vocabulary: DataFrame, pattern: str | None = None, least: int = 2, chunk: int = 1000) -> DataFrame:
+    """``variant_groups`` in rows of bounded size."""
+    return postings_of(coded_words(lines, column, vocabulary, pattern), least, chunk)
+
+
 def pvd_of(groups: DataFrame) -> DataFrame:
     """(variant, base) of ``variant_groups``."""
     return groups.select(F.explode("variants").alias("variant"), F.col("base_word").alias("base"))

@@ -161,6 +161,16 @@ def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy(_md5("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+@_query(f"SELECT md5(value) AS line, 1::BIGINT AS n FROM (SELECT DISTINCT value FROM ({_sql_lines('text', 'benchmark')} UNION ALL {_sql_lines('text', 'conversations')}) WHERE value <> '')")
+def streamed_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental dedup of a stream: lines that come in several micro-batches, and again after restarts, once each."""
+    folder, out, mark = (new_path(spark, name) for name in ("arriving", "distinct", "progress"))
+    for table in ("benchmark", "conversations", "benchmark"):
+        _table(spark, sf_dir, table).select(F.col("text").alias("value")).write.mode("append").text(folder)
+        streams.append_distinct(streams.line_stream(spark, folder, files_per_batch=2), out, mark).awaitTermination()
+    return spark.read.parquet(out).groupBy(_md5("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def _first_words(batch: list[str]) -> list[str]:
     return [x[:5] for x in batch]
 

@@ -30,3 +30,25 @@ def append_all(stream: DataFrame, path: str, checkpoint: str, transform: Callabl
     """Write all that is there now, appended to Parquet; a second call goes on with new files only."""
     rows = transform(stream) if transform else stream
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def append_distinct(stream: DataFrame, path: str, checkpoint: str, column: str = "value", buckets: int = 64) -> StreamingQuery:
+    """Write the values of ``column`` that the sink doesn't have yet, each once, over micro-batches and restarts.
+
+    The sink is the only state, so nothing grows in memory: a micro-batch is made
+    distinct and joined with what earlier ones wrote in the buckets that it touches.
+    Each batch has folders of its own and looks at earlier batches only, so one that
+    fails and runs again replaces what it wrote.
+    """
+    schema = f"{column} string, bucket int, batch long"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+        new = rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn("bucket", bucket)
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("bucket", "batch").parquet(path)  # the folder is there from the first batch on
+        seen = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch)
+        fresh = new.join(seen, ["bucket", column], "left_anti").withColumn("batch", F.lit(batch).cast("long"))
+        fresh.select(column, "bucket", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
