@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -306,7 +307,7 @@ def test_token_store(spark, texts, tokenizer, tmp_path):
         start += len(ids)
     file = manifest.first()["file"]
     reader = token_store.ShardReader(file)
-    wanted = int(reader.index["doc_id"][-1])
+    wanted = int(reader.index(len(reader.firsts) - 1)["doc_id"][-1])
     assert reader.find(wanted) == [np.array([*_ids(tokenizer, texts[wanted]), 2], "<u4").tobytes()]
     path = file.removeprefix("file://")
     data = bytearray(open(path, "rb").read())
@@ -317,6 +318,27 @@ def test_token_store(spark, texts, tokenizer, tmp_path):
     assert token_store.read_shards(token_store.write_shards(_docs(spark, []), f"file://{tmp_path}/none", encoding.tokenizer_path())).count() == 0
 
 
+def test_token_shards_are_bounded(spark, tmp_path):
+    """Tiny bounds make many shards; starts stay without gaps, and a reader touches its own frames only."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("alpha beta gamma delta".split()) for _ in range(rnd.randint(0, 60))) for _ in range(400)] + ["long word " * 3000]
+    ids = [i // 2 for i in range(400)] + [None]
+    manifest = token_store.write_shards(_docs(spark, texts, ids), f"file://{tmp_path}/shards", encoding.tokenizer_path(), frame_ids=32, shard_ids=500, shard_docs=12, index_docs=5)
+    shards = manifest.orderBy("shard", "part").collect()
+    assert len(shards) > 33 and max(r["n_docs"] for r in shards) == 12 and sum(r["n_docs"] for r in shards) == len(texts)
+    assert max(r["n_tokens"] for r in shards if r["n_docs"] > 1) < 1000
+    rows = sorted(token_store.read_shards(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda i: (i is not None, i))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+    file = next(r for r in shards if r["n_docs"] == 12)["file"]
+    reader = token_store.ShardReader(file)
+    opened = reader.read_frames
+    wanted = next(i for i, _ in list(token_store.ShardReader(file).documents())[6:] if i is not None)
+    found = reader.find(wanted)
+    assert sorted(zlib.crc32(x) for x in found) and {zlib.crc32(x) for x in found} <= {r["ids_crc32"] for r in rows if r["doc_id"] == wanted}
+    assert opened == 1 and reader.read_frames - opened <= 2 + 2 * len(found) * 3 < reader.n_frames + len(reader.firsts) + 12
+
+
 def test_packing(spark, texts, tokenizer):
     rows = packing.pack(_docs(spark, texts), encoding.tokenizer_path(), capacity=128, group=40).collect()
     total, places, seen = 0, collections.defaultdict(list), collections.defaultdict(list)

@@ -2,16 +2,18 @@
 
 A shard file holds the ids of its documents, in ascending doc_id order, as one
 stream of little-endian unsigned 32-bit integers.  The stream is cut into frames
-of about ``FRAME_IDS`` ids, each compressed alone with its own checksum; one more
-frame holds the index (doc_id, first id, number of ids), and the file ends with
-the seek table of the public zstandard seekable format, written with checksums
-(the low 32 bits of each frame's XXH64).  A reader needs the seek table, the index
-and the frames of the wanted documents, nothing else.
+of about ``FRAME_IDS`` ids, each compressed alone with its own checksum.  Index
+frames follow, of ``INDEX_DOCS`` documents each (doc_id, first id, number of ids), and
+one frame with the first doc_id of each of them; the file ends with the seek table of
+the public zstandard seekable format, written with checksums (the low 32 bits of each
+frame's XXH64).  A reader needs the seek table, the list of index frames, and the index
+frames and frames of the wanted documents, nothing else.
 
 At scale: one range shuffle by doc_id puts documents in order; shards are written
-where they land.  A file's name is new for each attempt and enters the manifest
+where they land, a new one whenever one is full of ids or documents, so neither a
+file nor what its writer holds grows with the corpus.  A file's name is new for each attempt and enters the manifest
 only after it was closed, so a task that runs twice leaves an unlisted file and
-nothing else.  The manifest has one row per shard; starts are summed over it.
+nothing else.  The manifest has one row per file; starts are summed over it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,9 @@ from .common import batches_by_bytes, new_path, stored, texts
 from .encoding import encoder
 
 FRAME_IDS = 1 << 16
+#: A shard is full at so many ids or documents.
+SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 18
+INDEX_DOCS = 4096
 #: Words whose ids a worker keeps.
 MEMO = 1_000_000
 #: Fixed values of the seekable format.
@@ -42,19 +48,21 @@ FOOTER = struct.Struct("<IBI")
 ENTRY = struct.Struct("<III")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("first", "<u8"), ("n", "<u8")])
 
-MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_frames long, n_bytes long"
+MANIFEST = "shard int, part int, file string, n_docs long, n_tokens long, n_frames long, n_bytes long"
 
 
 class ShardWriter:
     """Writes one shard; ``add`` documents in order, then ``close``."""
 
-    def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = 3) -> None:
-        self.sink, self.frame_bytes = sink, 4 * frame_ids
+    def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = 3, index_docs: int = INDEX_DOCS) -> None:
+        self.sink, self.frame_bytes, self.index_docs = sink, 4 * frame_ids, index_docs
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.seek: list[bytes] = []
         self.docs: list[tuple[int, int, int, int]] = []
+        self.index: list[bytes] = []
+        self.firsts: list[tuple[int, int, int, int]] = []
         self.waiting: list[bytes] = []
-        self.waits = self.n_tokens = self.written = 0
+        self.waits = self.n_tokens = self.n_docs = self.written = 0
 
     def _frame(self, data: bytes) -> None:
         out = self.zstd.compress(data)
@@ -69,8 +77,18 @@ class ShardWriter:
                 self._frame(data[i : i + 16 * self.frame_bytes])
             self.waiting, self.waits = [], 0
 
+    def _pack(self) -> None:
+        """Documents as an index frame; frames wait for the end of the file."""
+        if self.docs:
+            self.firsts.append(self.docs[0])
+            self.index.append(np.array(self.docs, INDEX).tobytes())
+            self.docs = []
+
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id or 0, doc_id is None, self.n_tokens, len(ids) // 4))
+        self.n_docs += 1
+        if len(self.docs) == self.index_docs:
+            self._pack()
         self.n_tokens += len(ids) // 4
         self.waiting.append(ids)
         self.waits += len(ids)
@@ -79,7 +97,11 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush()
-        self._frame(np.array(self.docs, INDEX).tobytes())
+        self._pack()
+        self.n_frames = len(self.seek)
+        for data in self.index:
+            self._frame(data)
+        self._frame(np.array(self.firsts, INDEX).tobytes())
         body = b"".join(self.seek) + FOOTER.pack(len(self.seek), 0x80, SEEKABLE_MAGIC)
         self.sink.write(struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body)
         self.written += 8 + len(body)
@@ -90,6 +112,7 @@ class ShardReader:
     """Random access to a shard; only the frames asked for are read and decompressed."""
 
     def __init__(self, path: str) -> None:
+        self.read_frames = 0
         system, name = pafs.FileSystem.from_uri(path)
         self.file = system.open_input_file(name)
         size = self.file.size()
@@ -100,14 +123,15 @@ class ShardReader:
         self.sizes, self.raw, self.sums = table.T
         self.places = np.concatenate([[0], np.cumsum(self.sizes)])
         self.ends = np.concatenate([[0], np.cumsum(self.raw)])
-        self.index = np.frombuffer(self.frame(n - 1), INDEX)
-        self.n_frames = n - 1
+        self.firsts = np.frombuffer(self.frame(n - 1), INDEX)
+        self.n_frames = n - 1 - len(self.firsts)
         self.last: tuple[int, bytes] = (-1, b"")
 
     def _at(self, start: int, n: int) -> bytes:
         return self.file.read_at(int(n), int(start))
 
     def frame(self, k: int) -> bytes:
+        self.read_frames += 1
         data = zstandard.ZstdDecompressor().decompress(self._at(self.places[k], self.sizes[k]), max_output_size=int(self.raw[k]) or 1)
         if len(data) != self.raw[k] or xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != self.sums[k]:
             raise ValueError(f"frame {k} fails its checksum")
@@ -125,45 +149,68 @@ class ShardReader:
             start, k = int(self.ends[k + 1]), k + 1
         return b"".join(out)
 
+    def index(self, k: int) -> np.ndarray:
+        """The documents of the k-th index frame."""
+        return np.frombuffer(self.frame(self.n_frames + k), INDEX)
+
     def documents(self) -> Iterator[tuple[int | None, bytes]]:
-        for doc_id, null, first, n in self.index.tolist():
-            yield (None if null else doc_id), self.ids(first, n)
+        for k in range(len(self.firsts)):
+            for doc_id, null, first, n in self.index(k).tolist():
+                yield (None if null else doc_id), self.ids(first, n)
 
     def find(self, doc_id: int) -> list[bytes]:
-        """The ids of each document with this doc_id."""
-        return [self.ids(int(x["first"]), int(x["n"])) for x in self.index[(self.index["doc_id"] == doc_id) & (self.index["null"] == 0)]]
+        """The ids of each document with this doc_id; reads the index frames that may hold it."""
+        begins = [(not null, i if not null else 0) for i, null in zip(self.firsts["doc_id"].tolist(), self.firsts["null"].tolist(), strict=True)]
+        low, high = bisect_left(begins, (True, doc_id)), bisect_right(begins, (True, doc_id))
+        found = []
+        for k in range(max(0, low - 1), high):
+            index = self.index(k)
+            found += [self.ids(int(x["first"]), int(x["n"])) for x in index[(index["doc_id"] == doc_id) & (index["null"] == 0)]]
+        return found
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame_ids: int = FRAME_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame_ids: int = FRAME_IDS, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS, index_docs: int = INDEX_DOCS) -> DataFrame:
     """Encode all of ``docs`` to shard files in ``path``; returns the stored manifest.
 
     A null text is empty, a null doc_id comes first, rows that repeat a doc_id are
     documents of their own (in order of a hash of their texts), a long text has
-    frames of its own, and an empty table gives an empty manifest.  ``path``
-    is a URI or absolute path that every executor can write through pyarrow.fs.
+    frames of its own, and an empty table gives an empty manifest.  A shard ends with
+    the document that brings it to ``shard_ids`` ids or ``shard_docs`` documents.
+    ``path`` is a URI or absolute path that every executor can write through pyarrow.fs.
     """
     end = struct.pack("<I", end_id)
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, writer, name = TaskContext.get().partitionId(), None, ""
+        shard, part, writer, name = TaskContext.get().partitionId(), 0, None, ""
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            row = (shard, part, name, writer.n_docs, writer.n_tokens, writer.n_frames, writer.written)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], ["shard", "part", "file", "n_docs", "n_tokens", "n_frames", "n_bytes"])
+
         encode = encoder(tokenizer, MEMO).encode_many
         for whole in rows:
             for batch in batches_by_bytes(whole, "text", 4 << 20):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                     if writer is None:
-                        name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
+                        name = f"{path}/shard-{shard:06d}-{part:06d}-{uuid.uuid4().hex}.zst"
                         system, base = pafs.FileSystem.from_uri(path)
                         system.create_dir(base, recursive=True)
-                        writer = ShardWriter(system.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None), frame_ids)
+                        writer = ShardWriter(system.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None), frame_ids, index_docs=index_docs)
                     writer.add(doc_id, ids + end)
+                    if writer.n_tokens >= shard_ids or writer.n_docs >= shard_docs:
+                        yield closed()
+                        part, writer = part + 1, None
         if writer:
-            writer.close()
-            row = (shard, name, len(writer.docs), writer.n_tokens, len(writer.seek) - 1, writer.written)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], ["shard", "file", "n_docs", "n_tokens", "n_frames", "n_bytes"])
+            yield closed()
 
-    ordered = texts(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    wanted = texts(docs)
+    # as many ranges as the table has splits, where those are more than the session's number
+    splits = wanted.rdd.getNumPartitions()
+    number = [splits] if splits > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = wanted.withColumn("tie", F.xxhash64("text")).repartitionByRange(*number, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return stored(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
@@ -182,10 +229,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         out = []
                 yield _rows(out)
 
-    total = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("shard", "file", F.coalesce(total, F.lit(0)).alias("start"))
-    # a task for each shard: their rows are tiny, and left alone would be coalesced into one task
-    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    total = F.sum("n_tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = manifest.select("file", F.coalesce(total, F.lit(0)).alias("start"))
+    # a task for each file: their rows are tiny, and left alone would be coalesced into one task
+    return placed.repartition(max(1, manifest.count()), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
