@@ -39,7 +39,7 @@ from ..functions.text import (
     words,
 )
 from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_spelling, english_to_devanagari, transliterate
-from ..operators import aggregates, filters, joins, samples, sets, windows
+from ..operators import aggregates, filters, joins, samples, sets, vectors, windows
 from ..operators.scans import prefix_scan
 from ..session import ship
 from ..sources.readers import spread, table_lines
@@ -670,6 +670,27 @@ def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT doc_id, line_no, count(*) AS chunks, CAST(max(length(chunk)) AS BIGINT) AS longest, md5(CAST(array_join(transform(array_sort(collect_list(struct(n, chunk))), x -> x.chunk), '|') AS BINARY)) AS joined FROM {lines}, LATERAL text_chunks(line, 125) GROUP BY doc_id, line_no", lines=lines)
 
 
+@_query()
+def word_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOPK1: vectors of hashed subwords trained on all documents, and the five nearest words of every hundredth word by its hash, among all words."""
+    texts = _table(spark, sf_dir, "documents").select(corpus_text(F.col("text")).alias("text"))
+    table = vectors.train(texts.select(words(F.col("text")).alias("words")), epochs=1)
+    found = vectors.word_vectors(aggregates.distinct_words(texts, F.col("text")).select("word"), table)
+    asked = found.where(F.pmod(F.xxhash64("word"), F.lit(100)) == 0)
+    fitted = vectors.centroids(found, 64, id_col="word")
+    near = vectors.nearest_by_lists(found, asked, fitted, 5, 16, "word")
+    return near.select(F.col("query").alias("word"), F.col("id").alias("neighbour"), F.round("cosine", 4).alias("cosine"))
+
+
+@_query()
+def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOPK1: the five nearest vectors of every vector whose id is divisible by 100, by inverted lists over all vectors."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fitted = vectors.centroids(rows, 64, id_col="vec_id", vector_col="embedding")
+    near = vectors.nearest_by_lists(rows, rows.where("vec_id % 100 = 0"), fitted, 5, 40, "vec_id", "embedding")
+    return near.select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), F.round("cosine", 6).alias("cosine"))
+
+
 # Metrics ---------------------------------------------------------------------
 
 
