@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -652,3 +653,75 @@ def test_decontamination_keeps_repeated_rows_with_blocks(spark):
     plain = lambda size: sorted((repr(tuple(r)) for r in decontaminate.decontaminate(docs, items, block_bytes=size).collect()))
     assert len(plain(20)) == 6
     assert plain(20) == plain(1 << 24)
+
+
+NAMED_LICENCES = {
+    "License: MIT": ["MIT"],
+    "MIT License\nCopyright (c) 2020 X": ["MIT"],
+    "Code is MIT licensed.": ["MIT"],
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["GPL-3.0"],
+    "GNU General Public License\nVersion 2, June 1991": ["GPL-2.0"],
+    "Apache License\n Version 2.0, January 2004": ["Apache-2.0"],
+    "License: EUPL-1.2": ["EUPL-1.2"],
+    "Licensed under the EUPL, Version 1.2": ["EUPL-1.2"],
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+    "// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause": ["GPL-2.0 WITH Classpath-exception-2.0", "BSD-3-Clause"],
+    'version = "1"\nlicense = "BSD-3-Clause"\nname = "x"': ["BSD-3-Clause"],
+    "License: GPL-3.0+": ["GPL-3.0-or-later"],
+    "License: GPLv2+": ["GPL-2.0-or-later"],
+    "Dual licensed under MIT and Apache 2.0.": ["MIT", "Apache-2.0"],
+    "This project is licensed under the terms of the MPL 2.0, see LICENSE.": ["MPL-2.0"],
+    "The license is the ISC license.": ["ISC"],
+    "All code is BSD-2-Clause licensed.": ["BSD-2-Clause"],
+    "Pictures are published under the CC BY-NC-ND 4.0 license.": ["CC-BY-NC-ND"],
+    "The license is great.": [], "A driving license: ask the office.": [], "License: see below": [], "SPDX-License-Identifier: MIT foo": [], "He sat under the sun and was licensed to drive.": [], "MIT is a school.": [], "The Vim license plate, 3 June": [],
+}
+
+
+@pytest.mark.parametrize("text", NAMED_LICENCES)
+def test_named_licences(text):
+    assert licences.Rules.of().scan(f"Some words before.\n\n{text}\n\nAnd some after.")[1] == NAMED_LICENCES[text]
+
+
+def test_gaps_in_rules_equal_brute_force():
+    """Every way to place a rule with gaps is tried; the longest rule at the first free place wins, then the earliest places."""
+    rnd = random.Random(12)
+    known = {c: f"sentence {c}" for c in "abcdefg"}
+    for _ in range(300):
+        rules = [(f"L{k}", tuple(rnd.choice("abcd") for _ in range(rnd.randint(1, 4)))) for k in range(rnd.randint(1, 4))]
+        letters = [rnd.choice("abcdefg") for _ in range(rnd.randint(0, 9))]
+        text = "\n\n".join(x for c in letters for x in (f"Sentence {c}.", "Unknown words stand here."))
+        use, free, want = licences.Rules.of(known, rules), list(range(len(letters))), []
+        ordered = sorted(rules, key=lambda r: -len(r[1]))
+        left = []
+        while free:
+            at, done = free[0], None
+            for name, rule in ordered:
+                ways = [w for w in itertools.combinations(free, len(rule)) if w[0] == at and [letters[i] for i in w] == list(rule) and all(b - a <= licences.GAP + 1 for a, b in itertools.pairwise(w))]
+                # places are taken greedily, so the first way in order, if the greedy one is a way at all
+                greedy = [at]
+                for c in rule[1:]:
+                    nxt = next((i for i in free if greedy[-1] < i <= greedy[-1] + licences.GAP + 1 and letters[i] == c), None)
+                    greedy = greedy + [nxt] if nxt is not None else []
+                    if not greedy:
+                        break
+                if letters[at] == rule[0] and greedy:
+                    assert tuple(greedy) in ways and tuple(greedy) == min(ways)
+                    done = (name, greedy)
+                    break
+            if done:
+                want += [done[0]] * (done[0] not in want)
+                free = [i for i in free if i not in done[1]]
+            else:
+                left.append(letters[at])
+                free = free[1:]
+        found, got, unexplained = use.scan(text)
+        assert [k for k, _, _ in found] == letters and (got, unexplained) == (want, left)
+
+
+def test_licence_scan_is_linear():
+    for unit in ("the license is ", "license:", "licensed under the ", "gnu general public license ", "licensed under mit and ", "\nlicense: "):
+        text = unit * (500_000 // len(unit))
+        began = time.perf_counter()
+        licences.Rules.of().scan(text)
+        assert time.perf_counter() - began < 30

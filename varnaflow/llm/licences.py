@@ -4,8 +4,14 @@ A text is cut into sentences; a sentence is normalised (lower case, letters,
 digits and single spaces only) and looked up among known licence sentences, each
 given as a pattern of the whole normalised sentence.  Every document so becomes a
 sequence of sentence identifiers in text order; ordered licence rules are matched
-against it, longest rule first, each identifier explained by one rule only.
-Identifiers that no rule explains are reported as they are, never dropped.
+against it, longest rule first, each identifier explained by one rule only.  Other
+known sentences may stand between those of a rule, ``GAP`` at most.  Identifiers that
+no rule explains are reported as they are, never dropped.
+
+Beside the sentences written out, templates around the names of licences give several
+hundred more: titles, "licensed under", "MIT licensed", ``License:`` lines.  The
+expression of an SPDX tag or a ``License:`` line gives an identifier for each licence
+in it, in order; one with an exception is a licence of its own.
 
 Row-local and linear in the text.  With the sentences given here, only those that
 have one of the words that each of them needs are normalised; with a caller's own,
@@ -116,11 +122,95 @@ RULES = [
         ("MPL-2.0", "Mpl2"), ("CC-BY", "CcBy"), ("CC-BY-SA", "CcBySa"), ("CC-BY-NC", "CcByNc"), ("CC-BY-NC-SA", "CcByNcSa"), ("CC0-1.0", "Cc0"), ("Unlicense", "Unlicense"),
     )),
 ]
+#: Names of licences, in normalised sentences (fixed values)
+_V = r"(?: licen[sc]e)?(?: ?version| ?v)? ?"
+_GNU = {"GPL": r"(?:gnu )?(?:general public licen[sc]e|gpl)", "AGPL": r"(?:gnu )?(?:affero general public licen[sc]e|agpl)", "LGPL": r"(?:gnu )?(?:lesser general public licen[sc]e|library general public licen[sc]e|lgpl)"}
+_CC = {"": "", "-SA": r"[ ]?(?:sa|share ?alike)", "-ND": r"[ ]?(?:nd|no ?derivatives|no ?derivs)", "-NC": r"[ ]?(?:nc|non ?commercial)", "-NC-SA": r"[ ]?(?:nc sa|non ?commercial share ?alike)", "-NC-ND": r"[ ]?(?:nc nd|non ?commercial no ?deriv(?:ative)?s)"}
+NAMES = [
+    *((f"{k}-{v}-or-later", rf"{n}{_V}{v.replace('.', ' ').removesuffix(' 0')}(?: 0)?(?: or(?: at your option)?(?: any)? later(?: version)?| plus)") for k, n in _GNU.items() for v in ("1.0", "2.0", "2.1", "3.0")),
+    *((f"{k}-{v}", rf"{n}{_V}{v.replace('.', ' ').removesuffix(' 0')}(?: 0)?(?: only)?") for k, n in _GNU.items() for v in ("1.0", "2.0", "2.1", "3.0")),
+    *((f"CC-BY{k}", rf"(?:cc by|creative commons attribution){n}(?: international| licen[sc]e)*(?: [1-4] 0)?(?: international| unported)?") for k, n in reversed(_CC.items())),
+    ("CC0-1.0", r"(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?"), ("MIT-0", r"mit 0|mit no attribution"), ("MIT", r"mit expat|mit x11|mit|expat"), ("X11", "x11"), ("ISC", "isc"), ("NCSA", r"(?:university of illinois )?ncsa(?: open source)?"),
+    ("Apache-2.0", rf"apache(?: software)?{_V}2(?: 0)?"), ("Apache-1.1", rf"apache(?: software)?{_V}1 1"),
+    ("0BSD", r"0bsd|zero clause bsd"), ("BSD-2-Clause", r"simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd"), ("BSD-3-Clause", r"new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd"), ("BSD-4-Clause", r"original bsd|bsd 4 clause|4 clause bsd"), ("BSD", "bsd"),
+    ("MPL-2.0", rf"(?:mozilla public licen[sc]e|mpl){_V}2(?: 0)?"), ("MPL-1.1", rf"(?:mozilla public licen[sc]e|mpl){_V}1 1"), ("EPL-2.0", rf"(?:eclipse public licen[sc]e|epl){_V}2(?: 0)?"), ("EPL-1.0", rf"(?:eclipse public licen[sc]e|epl){_V}1(?: 0)?"),
+    ("EUPL-1.2", rf"(?:european union public licen[sc]e|eupl){_V}1 2"), ("EUPL-1.1", rf"(?:european union public licen[sc]e|eupl){_V}1 1"), ("CDDL-1.1", rf"(?:common development and distribution licen[sc]e|cddl){_V}1 1"), ("CDDL-1.0", rf"(?:common development and distribution licen[sc]e|cddl){_V}1(?: 0)?"),
+    ("CPL-1.0", rf"(?:common public licen[sc]e|cpl){_V}1(?: 0)?"), ("AFL-3.0", rf"(?:academic free licen[sc]e|afl){_V}3(?: 0)?"), ("OSL-3.0", rf"(?:open software licen[sc]e|osl){_V}3(?: 0)?"), ("BSL-1.0", rf"boost(?: software)?{_V}1(?: 0)?|boost software|bsl 1 0"), ("BUSL-1.1", rf"(?:business source licen[sc]e|busl){_V}1 1"),
+    ("SSPL-1.0", rf"(?:server side public licen[sc]e|sspl){_V}1(?: 0)?"), ("Elastic-2.0", rf"elastic{_V}2(?: 0)?"), ("OFL-1.1", rf"(?:sil )?(?:open font licen[sc]e|ofl){_V}1 1"), ("ODbL-1.0", rf"(?:open (?:data commons open )?database licen[sc]e|odbl){_V}(?:1(?: 0)?)?"), ("Artistic-2.0", rf"artistic{_V}2(?: 0)?"), ("Artistic-1.0", rf"artistic{_V}1(?: 0)?"),
+    ("CECILL-2.1", rf"cecill{_V}2 1"), ("PHP-3.01", rf"php{_V}3 01"), ("PSF-2.0", rf"(?:python software foundation|psf){_V}(?:2(?: 0)?)?"), ("PostgreSQL", "postgresql"), ("Ruby", "ruby"), ("Vim", "vim"), ("Zlib", r"zlib(?: libpng)?"), ("MS-PL", r"microsoft public|ms pl"), ("MS-RL", r"microsoft reciprocal|ms rl"), ("WTFPL", r"wtfpl|do what the fuck you want to(?: public)?"), ("Unlicense", r"unlicense"), ("JSON", "json"), ("Beerware", r"beer ?ware"),
+]
+#: Sentences around a name, whole and normalised; identifiers are ``Title:MIT`` and so on.
+_NAME = "|".join(f"(?P<n{i}>{p})" for i, (_, p) in enumerate(NAMES))
+_LICENCE = r"(?: licen[sc]e)?"
+TEMPLATES = {
+    "Licensed": re.compile(rf"(?:.* )?(?:(?:dual )?licen[sc]ed|released|distributed|(?:made )?available|published|provided|covered|governed) (?:under|by|with|according to)(?: the)?(?: terms(?: and conditions)? of)?(?: the| a)? (?:{_NAME}){_LICENCE}(?: .*)?"),
+    "Adjective": re.compile(rf"(?:.* )?(?:is|are) (?:{_NAME}){_LICENCE} licen[sc]ed|(?:.* )?licen[sc]e is(?: the)? (?:{re.sub('<n', '<m', _NAME)}){_LICENCE}"),
+    "Title": re.compile(rf"(?:the )?(?:{_NAME})(?<=licen[sc]e)(?: (?:version|v)? ?[0-9 ]*)?|(?:the )?(?:{re.sub('<n', '<m', _NAME)}) licen[sc]e(?: [a-z]{{2,10}})?|(?:the )?(?:{re.sub('<n', '<k', _NAME)})(?: [0-9]{{1,2}})? (?:january|february|march|april|may|june|july|august|september|october|november|december) (?:[0-9]{{1,2}} )?[0-9]{{4}}|(?:the )?(?=.*licen[sc]e)(?:{re.sub('<n', '<j', _NAME)})"),
+}
+_MORE = re.compile(rf"{_LICENCE} (?:and|or)(?: the)? (?:{_NAME})(?![a-z0-9])")
+_WHOLE_NAME = re.compile(rf"(?:the )?(?:{_NAME}){_LICENCE}")
+#: Other known sentences that may stand between those of a rule.
+GAP = 2
+#: Operators of an expression, and an identifier.
+_EXPRESSION = re.compile(r"\(|\)|\b(?:OR|AND|WITH)\b|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_CASE = {name.lower(): name for name, _ in NAMES}
+
+
+def named(plain: str, pattern: re.Pattern) -> list[str]:
+    """The licences that a normalised sentence of this form names: the first, and those that follow it after "and" or "or"."""
+    m = pattern.fullmatch(plain)
+    out = []
+    while m:
+        group, value = next((g, v) for g, v in m.groupdict().items() if v is not None)
+        out.append(NAMES[int(group[1:])][0])
+        m = _MORE.match(plain, m.end(group))
+    return out
+
+
+def expression(text: str) -> list[str]:
+    """The licences of an SPDX expression in order, each with its exception; nothing if it is no expression.
+
+    ``-only`` is left out and a plus is ``-or-later``, as rules name licences.
+    """
+    out: list[str] = []
+    depth, wants = 0, True
+    for part in _EXPRESSION.findall(text):
+        if part == "(":
+            if not wants:
+                return []
+            depth += 1
+        elif part == ")":
+            depth -= 1
+            if wants or depth < 0:
+                return []
+        elif part in ("OR", "AND", "WITH"):
+            if wants:
+                return []
+            wants = True
+            out.append(part)
+        elif not wants:
+            return []
+        else:
+            name = re.sub(r"\+$", "-or-later", part).removesuffix("-only") if not part.lower().endswith("-only") else part[:-5]
+            out.append(_CASE.get(name.lower(), re.sub(r"^(CC-BY(?:-NC)?(?:-SA|-ND)?)-[1-4]\.0$", r"\1", name)))
+            wants = False
+    if wants or depth or not _EXPRESSION.sub("", text).strip(" \t\"'*/#;,.->") == "":
+        return []
+    licences: list[str] = []
+    for i, part in enumerate(out):
+        if part == "WITH" and licences:
+            licences[-1] += f" WITH {out[i + 1]}"
+        elif part not in ("OR", "AND", "WITH") and (not i or out[i - 1] != "WITH"):
+            licences.append(part)
+    return licences
+
+
 #: A sentence without any of these is none of ``SENTENCES``: each of their patterns needs one, whatever stands between words.  Other patterns are tried on every sentence.
 _NEEDED = re.compile("licen|copyright|permission|warrant|redistribution|public[^a-z0-9]+domain|under|endorse|version[^a-z0-9]+[23][^a-z0-9]+of|spdx|free[^a-z0-9]+software|as[^a-z0-9]+is|cc0|c[^a-z0-9]+(?:c[^a-z0-9]+)?[0-9]{4}", re.I)
-_BREAK = re.compile(r"(?<=[.!?;])\s+|(?<!Identifier:)(?<!identifier:)(?<=:)\s+|\n\s*\n|\n(?=[ \t]*(?:[*#/-]+[ \t]*)?(?:Licen[sc]ed|Released|Distributed|Available|Copyright|Permission|Redistribution|This|The|THE SOFTWARE|THIS|You|Unless|See|Neither|SPDX|\(c\)|[0-9]+[.)] ))")
+_BREAK = re.compile(r"(?<=[.!?;])\s+|(?<!Identifier:)(?<!identifier:)(?<![Ll]icense:)(?<![Ll]icence:)(?<!LICENSE:)(?<=:)\s+|\n\s*\n|\n(?=[ \t]*(?:[*#/-]+[ \t]*)?(?:Licen[sc]ed|Released|Distributed|Available|Copyright|Permission|Redistribution|This|The|THE SOFTWARE|THIS|You|Unless|See|Neither|SPDX|\(c\)|[0-9]+[.)] ))")
 #: A tag ends with its line.
-_TAG = re.compile(r"SPDX-License-Identifier:[^\n]*", re.I)
+_TAG = re.compile(r"SPDX-License-Identifier:[^\n]*|(?:(?<=\n)|(?<![\s\S]))[ \t#*/\"'-]*licen[cs]e[\"']?[ \t]*[:=][^\n]*", re.I)
+_VALUE = re.compile(r"^[^:=]*[:=][ \t]*(.*)$", re.S)
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -163,29 +253,70 @@ class Rules:
         return cls(tuple((k, re.compile(p)) for k, p in known.items()), tuple(sorted(rules, key=lambda r: -len(r[1]))), _NEEDED if known is SENTENCES else None)
 
     def identify(self, sentence: str) -> str | None:
+        """The identifier of a sentence, the first of several."""
+        return next(iter(self.identifiers(sentence)), None)
+
+    def identifiers(self, sentence: str) -> list[str]:
+        """A known sentence gives one; a tag gives one for each licence of its expression."""
         plain = normalised(sentence)
-        return next((k for k, p in self.known if p.fullmatch(plain)), None) if plain else None
+        if not plain:
+            return []
+        found = next((k for k, p in self.known if p.fullmatch(plain)), None)
+        if self.needed is None or found not in (None, "SpdxTag"):
+            return [found] if found else []
+        if _TAG.match(sentence.lstrip(" \t#*/\"'-")):
+            value = _VALUE.match(sentence)[1].strip(" \t\r\"'*/#;,.->")
+            later = value.endswith("+")
+            names = named(normalised(value.rstrip("+")) + " or later" * later, _WHOLE_NAME)
+            if not names:  # a tag may hold any identifiers; another line at least one that is known
+                names = [x for x in expression(value) if plain.startswith("spdx") or x.split(" ")[0] in _CASE.values()]
+            licences = names
+            if licences:
+                return [f"Tag:{x}" for x in licences]
+        for kind, pattern in TEMPLATES.items():
+            names = named(plain, pattern)
+            if names:
+                return [f"{kind}:{x}" for x in names]
+        return [found] if found else []
 
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[str], list[str]]:
         """(identifier, start, end) of known sentences, licences in order, and identifiers left unexplained."""
         may = self.needed.search if self.needed else bool
-        found = [(k, s, s + len(x)) for s, x in sentences(text) if may(x) and (k := self.identify(x))] if may(text) else []
+        found = [(k, s, s + len(x)) for s, x in sentences(text) if may(x) for k in self.identifiers(x)] if may(text) else []
         ids = [k for k, _, _ in found]
         licences: list[str] = []
         left: list[str] = []
-        at = 0
-        while at < len(ids):
-            for licence, rule in self.rules:
-                if tuple(ids[at : at + len(rule)]) == rule:
-                    if licence not in licences:
-                        licences.append(licence)
-                    at += len(rule)
-                    break
+        taken = [False] * len(ids)
+        for at, first in enumerate(ids):
+            if taken[at]:
+                continue
+            licence, places = self._rule_at(ids, taken, at)
+            if licence is None:
+                left.append(first)
             else:
-                left.append(ids[at])
-                at += 1
+                for i in places:
+                    taken[i] = True
+                if licence not in licences:
+                    licences.append(licence)
         return found, licences, left
 
+    def _rule_at(self, ids: list[str], taken: list[bool], at: int) -> tuple[str | None, list[int]]:
+        """The longest rule that begins here, and the places that it explains."""
+        for licence, rule in self.rules:
+            if rule[0] != ids[at]:
+                continue
+            places = [at]
+            for wanted in rule[1:]:
+                free = [i for i in range(places[-1] + 1, min(len(ids), places[-1] + 2 + GAP)) if not taken[i]]
+                place = next((i for i in free if ids[i] == wanted), None)
+                if place is None:
+                    break
+                places.append(place)
+            else:
+                return licence, places
+        kind, _, name = ids[at].partition(":")
+        return (name, [at]) if name and (kind == "Tag" or kind in TEMPLATES) and self.needed else (None, [])
+
 
 def scan_licences(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """One row per document: doc_id, licences, sentence_ids, unexplained (arrays, in text order), spans.
