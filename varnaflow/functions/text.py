@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space, as Unicode text handling strips and splits it.
 WHITE = "\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same characters one by one.
+WHITE_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DEVANAGARI = "\\u0900-\\u097F"
 #: Code points that corpus cleaning drops (fixed values); wide on purpose, Devanagari is outside.
@@ -31,12 +33,12 @@ def text(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.btrim(F.regexp_replace(c, f"[{WHITE}]+", " "))
+    return F.btrim(F.regexp_replace(c, f"[{WHITE}]{{2,}}|[{WHITE}&&[^ ]]", " "))  # single spaces stay
 
 
 def words(c: Column) -> Column:
@@ -88,7 +90,7 @@ def ratio_words(c: Column) -> Column:
 def corpus_text(c: Column) -> Column:
     """Dictionary cleaning: no emojis, lower case, no URLs, digits become spaces, no punctuation."""
     out = F.lower(_without(text(c), "[\\x{1F000}-\\x{1FAFF}\\u2600-\\u27BF\\u2B50\\u2B55\\u231A\\u231B\\u23E9-\\u23F3\\ufe0f\\u200d]"))
-    out = F.regexp_replace(out, f"http[^{WHITE}]+|www[^{WHITE}]+|https[^{WHITE}]+", "")
+    out = F.when(out.contains("http") | out.contains("www"), F.regexp_replace(out, f"http[^{WHITE}]+|www[^{WHITE}]+|https[^{WHITE}]+", "")).otherwise(out)
     out = F.regexp_replace(out, "\\p{Nd}+", " ")
     return squeeze(F.translate(out, PUNCTUATION, ""))
 

@@ -75,14 +75,14 @@ def joined_scores(pairs: DataFrame, *keys: str) -> DataFrame:
 def micro_scores(pairs: DataFrame, *keys: str, guard: bool = True) -> DataFrame:
     """Sums of errors over sums of lengths; ``guard`` counts an empty truth as one."""
     p, t = F.col("hyp"), F.col("ref")
-    n, m = F.length(text(t)), F.size(words(t))
-    if guard:
-        n, m = F.greatest(n, F.lit(1)), F.greatest(m, F.lit(1))
-    return pairs.groupBy(*keys).agg(
-        F.try_divide(F.sum(char_errors(p, t)), F.sum(n)).alias("cer"),
-        F.try_divide(F.sum(word_errors(p, t)), F.sum(m)).alias("wer"),
-        F.try_divide(F.sum(words_in_place(p, t)), F.sum(F.size(words(t)))).alias("word_accuracy"),
-        F.avg(char_errors(p, t)).alias("mean_edit_distance"),
+    # one row of whole numbers a pair: each distance is computed once
+    each = pairs.select(*keys, char_errors(p, t).alias("_c"), word_errors(p, t).alias("_w"), words_in_place(p, t).alias("_same"), F.length(text(t)).alias("_n"), F.size(words(t)).alias("_m"))
+    n, m = (F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.col("_m"), F.lit(1))) if guard else (F.col("_n"), F.col("_m"))
+    return each.groupBy(*keys).agg(
+        F.try_divide(F.sum("_c"), F.sum(n)).alias("cer"),
+        F.try_divide(F.sum("_w"), F.sum(m)).alias("wer"),
+        F.try_divide(F.sum("_same"), F.sum("_m")).alias("word_accuracy"),
+        F.avg("_c").alias("mean_edit_distance"),
     )
 
 

@@ -40,7 +40,7 @@ from ..functions.text import (
 )
 from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_spelling, english_to_devanagari, transliterate
 from ..operators import aggregates, filters, joins, samples, sets, vectors, windows
-from ..operators.scans import prefix_scan
+from ..operators.scans import kept, prefix_scan
 from ..session import ship
 from ..sources.readers import spread, table_lines
 from . import dictionary, evaluation, files, normalization, romanized
@@ -70,10 +70,21 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.distinct_words(_table(spark, sf_dir, "documents"), corpus_text(F.col("text")))
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+_built: dict[tuple[str, str], DataFrame] = {}
+
+
+def _new_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.variant_groups(_table(spark, sf_dir, "documents"), "text", _vocabulary(spark))
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant dictionary as other queries use it: built once in an application and stored in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built[key] = kept(_new_groups(spark, sf_dir), "variants")
+    return _built[key]
+
+
 def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -215,7 +226,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 @_query(f"WITH {_WORDS}, {_GROUPS} SELECT code, base_word, array_to_string(variants, ' ') AS variants, n FROM groups")
 def variant_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1 SC6 SC7 AGG3 FLT3 SET4 SC23 AGG5 JN6 D15: unknown words grouped by phonetic code."""
-    return _groups(spark, sf_dir).select("code", "base_word", F.array_join("variants", " ").alias("variants"), "n")
+    return _new_groups(spark, sf_dir).select("code", "base_word", F.array_join("variants", " ").alias("variants"), "n")
 
 
 @_query(f"WITH {_WORDS} SELECT word, n FROM words WHERE NOT list_contains({_VOCAB}, word)")
