@@ -38,7 +38,7 @@ from ..functions.text import (
     roman_devanagari_pair,
     words,
 )
-from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_spelling, english_to_devanagari, transliterate
+from ..functions.translit import CONSONANTS, MARKS, UNITS, VOWELS, english_pairs, english_spelling, english_to_devanagari, transliterate
 from ..operators import aggregates, filters, joins, samples, sets, vectors, windows
 from ..operators.scans import kept, prefix_scan
 from ..session import ship
@@ -702,6 +702,27 @@ def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), F.round("cosine", 6).alias("cosine"))
 
 
+@_query(f"""WITH w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT conv_id, turn, list_filter({_split("lower(text)")}, lambda x: regexp_matches(x, '^[a-z]+$')) AS ws FROM conversations))
+  SELECT conv_id, turn, pos, word, coalesce(MAP {{'school': 'स्कुल'}}[word], deva) AS devanagari FROM (
+    SELECT *, {_deva("sound")} AS deva FROM (SELECT *, {_english_sound("word")} AS sound FROM w))""")
+def english_pairs_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC27: the words of each turn paired with their Devanagari."""
+    found = F.filter(words(F.lower("text")), lambda w: w.rlike("^[a-z]+$"))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(english_pairs(found)).alias("pos", "pair"))
+    return rows.select("conv_id", "turn", *_long("pos"), "pair.word", "pair.devanagari")
+
+
+@_query(f"""WITH w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT conv_id, turn, list_concat({_split("text")}, [turn::VARCHAR, 'Ko', 'lai.', 'kolai', translate(turn::VARCHAR, '0123456789', '०१२३४५६७८९') || 'x']) AS ws FROM conversations))
+  SELECT conv_id, turn, pos, lower(regexp_replace(word, '[^A-Za-z0-9\\x{{0900}}-\\x{{097F}}'']+', '', 'g')) IN ('ma', 'maa', 'le', 'ko', 'lai', 'sanga', 'bata', 'pachi', 'samma', 'bhitra', 'ta', 'nai') AS marker, regexp_matches(word, '^[0-9]+$') AS number, regexp_matches(word, '[०-९]') AS devanagari_digit FROM w""")
+def word_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT11: markers, numbers and Devanagari digits among the words of each turn and some of its number."""
+    number = F.col("turn").cast("string")
+    more = F.array(number, F.lit("Ko"), F.lit("lai."), F.lit("kolai"), F.concat(devanagari_digits(number), F.lit("x")))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.concat(words(F.col("text")), more)).alias("pos", "w"))
+    w = F.col("w")
+    return rows.select("conv_id", "turn", (F.col("pos") + 1).cast("long").alias("pos"), filters.is_marker(w).alias("marker"), filters.is_roman_number(w).alias("number"), filters.has_devanagari_digit(w).alias("devanagari_digit"))
+
+
 # Metrics ---------------------------------------------------------------------
 
 
