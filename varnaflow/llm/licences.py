@@ -8,7 +8,7 @@ against it, longest rule first, each identifier explained by one rule only.  Oth
 known sentences may stand between those of a rule, ``GAP`` at most.  Identifiers that
 no rule explains are reported as they are, never dropped.
 
-Beside the sentences written out, templates around the names of licences give several
+Beside the sentences written out, templates around the names of licences give some two
 hundred more: titles, "licensed under", "MIT licensed", ``License:`` lines.  The
 expression of an SPDX tag or a ``License:`` line gives an identifier for each licence
 in it, in order; one with an exception is a licence of its own.
