@@ -171,25 +171,25 @@ def streamed_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy(_md5("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-def _first_words(batch: list[str]) -> list[str]:
-    return [x[:5] for x in batch]
+def _backwards(batch: list[str]) -> list[str]:
+    return [x[::-1] for x in batch]
 
 
-@_query("SELECT conv_id, turn, substr(text, 1, 5) AS output FROM conversations")
+@_query("SELECT conv_id, turn, reverse(text) AS output FROM conversations")
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC17: an injected model over batches; outputs keep their rows."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return clients.infer(turns, "text", _first_words).select("conv_id", "turn", "output")
+    return clients.infer(turns, "text", _backwards).select("conv_id", "turn", "output")
 
 
 def _numbered(batch: list[str]) -> str:
     return "\n".join(f"{k}. {x[::-1]}" for k, x in enumerate(batch, 1))
 
 
-@_query("SELECT item_id + 1000 AS id, regexp_extract(text, '^[^ \n]*') AS romanized, reverse(regexp_extract(text, '^[^ \n]*')) AS devanagari FROM benchmark")
+@_query("SELECT item_id + 1000 AS id, translate(text, chr(10), ' ') AS romanized, reverse(translate(text, chr(10), ' ')) AS devanagari FROM benchmark")
 def labelled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC19: batches of ten labelled by an injected service with numbered answers."""
-    rows = _table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1).alias("n"), F.regexp_extract("text", "^([^ \n]*)", 1).alias("value"))
+    rows = _table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1).alias("n"), F.translate("text", "\n", " ").alias("value"))
     return clients.label_batches(rows, _numbered, 10, 999)
 
 
