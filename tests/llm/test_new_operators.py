@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varnaflow.llm import conversations, mixing, queries, vector_codes
+from varnaflow.llm import conversations, embeddings, mixing, queries, vector_codes
 
 SF = "/root/testdata/sf0.001"
 
@@ -305,3 +305,32 @@ def test_mix_covers_each_word_once_a_round(spark):
     for r in parts:
         per_slot[r["slot"]] += r["length"]
     assert max(per_slot.values()) == 64 and sum(n < 64 for n in per_slot.values()) <= 2
+
+
+# Forest ----------------------------------------------------------------------
+
+
+def _links_of(x, cosine=0.98, block=512):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(unit[i : i + block] @ unit.T >= cosine).sum(1) - 1 for i in range(0, len(x), block)])
+
+
+def test_forest_with_depth_and_clashing_names(spark):
+    """One label of 6,000 vectors, production parameters: trees have depth, and every link of 0.98 to 0.985 between different vectors is looked for."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((2000, 64))
+    noise -= (noise * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    angle = np.arccos(rng.uniform(0.98, 0.985, (2000, 1)))
+    rows = np.concatenate([x, np.cos(angle) * x[:2000] + np.sin(angle) * noise])
+    names = "vec_id long, embedding array<double>, label int, key string, keys string, size string, block string, rep string, vector string"
+    frame = spark.createDataFrame([(i, v.tolist(), 3, *["?"] * 6) for i, v in enumerate(rows)], names).repartition(4)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(frame).collect()}
+    want = _links_of(rows)
+    assert len(got) == 6000 and all(got[i]["n_links"] <= want[i] for i in got)
+    assert embeddings.Forest.fit(rows[:3000].tolist(), 6000, 6, 256, 0.98, 0.5).keys(rows[:1].tolist())[0] is not None
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * want.sum() > 3900
+    linked = [i for i in range(4000, 6000) if got[i]["n_links"]]
+    assert all(got[i]["component_id"] <= i - 4000 for i in linked)
