@@ -46,6 +46,19 @@ def test_augmented_has_four_rows(spark):
     assert all(r["sentence"].startswith("ma ghar") for r in out if r["id"] == 1)
 
 
+def test_clusters_as_rows_are_not_copied_for_each_word(spark):
+    """A group of 2,000 words gives 2,000 rows of one word, whose variations are those of arrays, and nothing of it is broadcast."""
+    variants = sorted(f"gh{i:04}" for i in range(2000))
+    groups = spark.createDataFrame([("K", "gh0000", variants, 2000)], "code string, base_word string, variants array<string>, n long")
+    rows = spark.createDataFrame([(i, f"Ma GH{i:04} gh{i + 1:04}") for i in range(50)] + [(99, None)], "id int, t string")
+    known, members = dictionary.members_of(groups)
+    assert known.count() == members.count() == 2000 and {f.dataType.typeName() for f in [*known.schema, *members.schema]} <= {"string", "integer"}
+    got = dictionary.augmented_by_members(rows, "t", known, members)
+    want = dictionary.augmented(rows, "t", spark.createDataFrame([(w, variants) for w in variants], "word string, cluster array<string>"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.txt").write_text(" one \n\n two\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text('romanized,devanagari\n"a, b","ए"\n', encoding="utf-8")

@@ -72,18 +72,36 @@ def dice(*parts: Column) -> Column:
 
 
 def augmented(frame: DataFrame, column: str, clusters: DataFrame, variations: int = 3, rate: float = 0.7, key: str = "id") -> DataFrame:
-    """(key, variation, sentence): each sentence and its variations.
+    """(key, variation, sentence): each sentence and its variations; ``clusters`` has (word, cluster), an array for each word.
 
     Variation 0 is the sentence.  In the others each word of a cluster is replaced
     with probability ``rate`` by a word of it; choices are dice of (key, variation,
     place), so they are the same on every run.
     """
+    known = clusters.select("word", F.col("word").alias("cluster"), F.size("cluster").alias("size"))
+    return augmented_by_members(frame, column, known, clusters.select(F.col("word").alias("cluster"), F.posexplode("cluster").alias("place", "member")), variations, rate, key)
+
+
+def members_of(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, cluster, size) and (cluster, place, member) of ``variant_groups``: a row a word in each, where an array for each word would grow with the square of a group."""
+    placed = groups.select(F.col("code").alias("cluster"), F.size("variants").alias("size"), F.posexplode("variants").alias("place", "member"))
+    return placed.select(F.col("member").alias("word"), "cluster", "size"), placed.select("cluster", "place", "member")
+
+
+def augmented_by_members(frame: DataFrame, column: str, known: DataFrame, members: DataFrame, variations: int = 3, rate: float = 0.7, key: str = "id") -> DataFrame:
+    """``augmented`` with clusters as rows: ``known`` has (word, cluster, size), ``members`` (cluster, place, member), places from 0.
+
+    A word finds its cluster, and its dice the one member that it becomes.  Neither side
+    is broadcast: a stored dictionary is many times larger in memory than its files say.
+    """
     parts = frame.select(key, F.posexplode_outer(words(F.col(column))).alias("pos", "token"))
-    found = parts.join(clusters.select(F.col("word").alias("_w"), "cluster"), F.lower("token") == F.col("_w"), "left").drop("_w")
+    found = parts.join(known.select(F.col("word").alias("_w"), "cluster", "size").hint("merge"), F.lower("token") == F.col("_w"), "left").drop("_w")
     each = found.withColumn("variation", F.explode(F.sequence(F.lit(1), F.lit(variations))))
-    pick = F.get("cluster", (dice(F.col(key), F.col("variation"), F.col("pos"), F.lit("pick")) % F.size("cluster")).cast("int"))
-    swap = F.col("cluster").isNotNull() & (F.size("cluster") > 0) & (dice(F.col(key), F.col("variation"), F.col("pos"), F.lit("swap")) < int(rate * 2**32))
-    rows = each.select(key, "variation", "pos", F.when(swap, pick).otherwise(F.col("token")).alias("w"))
+    pick = (dice(F.col(key), F.col("variation"), F.col("pos"), F.lit("pick")) % F.col("size")).cast("int")
+    swap = (F.col("size") > 0) & (dice(F.col(key), F.col("variation"), F.col("pos"), F.lit("swap")) < int(rate * 2**32))
+    chosen = each.select(key, "variation", "pos", "token", F.when(swap, F.col("cluster")).alias("cluster"), F.when(swap, pick).alias("place"))
+    swapped = chosen.where("place is not null").join(members.hint("merge"), ["cluster", "place"], "left").select(key, "variation", "pos", F.col("member").alias("w"))
+    rows = chosen.where("place is null").select(key, "variation", "pos", F.col("token").alias("w")).unionByName(swapped)
     gathered = rows.groupBy(key, "variation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("sentence"))
     first = frame.select(key, F.lit(0).alias("variation"), text(column).alias("sentence"))
     return first.unionByName(gathered)
