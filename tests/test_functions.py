@@ -176,3 +176,15 @@ def test_earlier_matchers():
     assert repair.neighbours_score([], [], 0, 0) == 1.0
     assert repair.offset_match("job", ["job"], ["जोब"], 0)[0] == "जोब"
     assert repair.target_match("job", ["जब"], ["job"], 0)[0] == "जब"
+
+
+def test_bleu_of_long_texts_is_linear(spark):
+    """Texts of 60,000 characters: counted by pairs of places they would take hours."""
+    import time
+
+    a, b = "mero ghar ramro chha " * 3000, "mero ghar ramro chhaina " * 2500
+    row = spark.createDataFrame([(a, b)], "p string, t string")
+    begun = time.time()
+    got = row.select(*[metrics.char_bleu(F.col("p"), F.col("t"), m) for m in (1, 4)]).first()
+    assert time.time() - begun < 30 and 0.5 < got[0] < 1 and got[0] == got[1]
+    assert metrics._matches("aaab", "aab") == [3, 2, 1, 0] and metrics._matches("", "a") == [0, 0, 0, 0]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,24 +51,36 @@ def char_ngrams(c: Column, n: int) -> Column:
     return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def char_bleu(pred: Column, truth: Column, method: int = 1) -> Column:
+def _matches(a: str, b: str) -> list[int]:
+    """For 1 to 4 characters: how many n-grams of ``a`` are in ``b``, each as often as it stands there at most."""
+    out = []
+    for n in range(1, 5):
+        left, right = (Counter(map("".join, zip(*(x[i:] for i in range(n))))) for x in (a, b))
+        out.append((left & right).total())
+    return out
+
+
+def matched_ngrams(pred: Column, truth: Column) -> Column:
+    """array<bigint>: the matches of two texts for n-grams of 1 to 4 characters, by counts, in time linear in their lengths."""
+
+    @F.arrow_udf("array<bigint>")
+    def matches(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_matches(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.list_(pa.int64()))
+
+    return matches(text(pred), text(truth))
+
+
+def char_bleu(pred: Column, truth: Column, method: int = 1, matched: Column | None = None) -> Column:
     """Character BLEU-4 with uniform weights, smoothed where an order has no match.
 
     Method 1 counts 0.1 matches there; method 4 halves, for each such order in
     turn, a count scaled by the prediction's length.  Zero if a text is empty.
+    ``matched`` gives the matches where several scores of a pair share them.
     """
     p, t = text(pred), text(truth)
 
-    def order(n: int) -> Column:
-        def matched(b: Column) -> Column:
-            # the n-th time a text has an n-gram matches the n-th time of the other
-            nth = lambda grams: let(F.array_sort(grams), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g)).cast("string"))))
-            hits = F.size(F.array_intersect(nth(b["m"]), nth(b["t"])))
-            return F.struct(hits.cast("double").alias("m"), F.greatest(F.size(b["m"]), F.lit(1)).cast("double").alias("n"))
-
-        return let(F.struct(char_ngrams(p, n).alias("m"), char_ngrams(t, n).alias("t")), matched)
-
-    orders = [order(n) for n in range(1, 5)]
+    def order(hits: Column, n: int) -> Column:
+        return F.struct(F.get(hits, F.lit(n - 1)).cast("double").alias("m"), F.greatest(F.length(p) - (n - 1), F.lit(1)).cast("double").alias("n"))
 
     def combined(logs: Column) -> Column:
         if method == 1:
@@ -79,7 +93,9 @@ def char_bleu(pred: Column, truth: Column, method: int = 1) -> Column:
         short = F.when(F.length(p) > F.length(t), F.lit(1.0)).otherwise(F.exp(1 - F.length(t) / F.length(p)))
         return F.when(logs[0]["m"] == 0, 0.0).otherwise(F.coalesce(short * F.exp(total / 4), F.lit(0.0)))
 
-    return F.when((p == "") | (t == ""), 0.0).otherwise(let(F.array(*orders), combined))
+    matched = matched_ngrams(p, t) if matched is None else matched
+    orders = let(matched, lambda hits: F.array(*[order(hits, n) for n in range(1, 5)]))
+    return F.when((p == "") | (t == ""), 0.0).otherwise(let(orders, combined))
 
 
 @lru_cache(maxsize=1 << 16)
