@@ -73,3 +73,26 @@ def test_neighbour_queries(spark):
     assert len(got) == len(want) and len(want & set(zip(got["vec_id"], got["near_id"], strict=True))) / len(want) >= 0.9
     words = catalog.word_neighbours(spark, "/root/testdata/sf0.001").toPandas()
     assert len(words) > 50 and words.groupby("word").size().max() == 5 and words["cosine"].between(-1.001, 1.001).all()
+
+
+def test_training_and_search_are_not_word_by_word(spark):
+    """200,000 words and 16 million pairs of vectors: one at a time they took minutes."""
+    import time
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(5)
+    sentences = pa.array([[f"w{i}" for i in rnd.zipf(1.5, 500) % 3000] for _ in range(400)])
+    shape = vectors.Shape()
+    inner, outer = np.full((shape.buckets, shape.dim), 0.01, np.float32), np.zeros((shape.buckets, shape.dim), np.float32)
+    begun = time.process_time()
+    hits = vectors._pass(sentences, inner, outer, shape, 0.05, 1)
+    assert time.process_time() - begun < 8 and np.isfinite(inner).all() and np.isfinite(outer).all() and hits.min() >= 0 and hits[1].sum() > 1_000_000
+    x = rnd.normal(size=(8000, 32))
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id int, vector array<float>").repartition(4).localCheckpoint()
+    begun = time.time()
+    got = vectors.nearest_by_lists(frame, frame.where("id % 4 = 0"), x[:4].astype(np.float32), 5, 4, together=500).collect()
+    assert time.time() - begun < 40 and len(got) == 10_000
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 8000, 400):
+        assert {int(r["id"]) for r in got if r["query"] == str(i)} == set([j for j in np.argsort(-(unit @ unit[i])) if j != i][:5])
