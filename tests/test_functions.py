@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -188,3 +189,26 @@ def test_bleu_of_long_texts_is_linear(spark):
     got = row.select(*[metrics.char_bleu(F.col("p"), F.col("t"), m) for m in (1, 4)]).first()
     assert time.time() - begun < 30 and 0.5 < got[0] < 1 and got[0] == got[1]
     assert metrics._matches("aaab", "aab") == [3, 2, 1, 0] and metrics._matches("", "a") == [0, 0, 0, 0]
+
+
+def test_cleaners_of_ascii_and_other_texts_agree(spark):
+    """ASCII texts take a path of their own: with a letter outside ASCII beside them they are cleaned alike."""
+    parts = ["a.b.c", " x ", "\t\t", "y(z)w", "1.2", "e.", ".f", "\x1c", "\r\n", "it's", "a_b", "(", ")(", "--", "\x0b9", "\x7f", "h.i j.k"]
+    rows = [(f"{a}{b}{c}",) for a in parts for b in parts for c in parts]
+    q = F.concat(F.col("t"), F.lit("\u0915"))
+    drop = lambda c: F.replace(c, F.lit("\u0915"), F.lit(""))
+    cleaners = {"token": text.clean_token, "separators": text.repair_separators, "words": lambda c: F.array_join(text.words(c), "|")}
+    frame = spark.createDataFrame(rows, "t string")
+    for name, f in cleaners.items():
+        # what is appended keeps white space at the end, which is stripped here
+        got = frame.select("t", f(F.col("t")).alias("a"), F.regexp_replace(drop(f(q)), "[ |]$", "").alias("b")).where("a <> b").collect()
+        assert not got, (name, got[:3])
+    old = frame.select("t", text.repair_separators(F.col("t")).alias("a")).collect()
+    for r in old:
+        want = r["t"]
+        for sign in (r"\.", r"\(", r"\)"):
+            want = re.sub(f"([a-zA-Z]){sign}([a-zA-Z])", r"\1 \2", want)
+        want = re.sub(r"[\t-\r\x1c-\x20]+", " ", re.sub("[()]", " ", want)).strip(" ")
+        assert r["a"] == want
+    plan = frame.select(text.clean_token(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in plan  # no search of each character in ASCII texts
