@@ -88,3 +88,19 @@ def test_csv_file_with_mark(spark, tmp_path):
     writers.write_csv_file(spark.createDataFrame(rows, "id int, romanized string, devanagari string"), path, ["id"])
     assert (tmp_path / "t.csv").read_text(encoding="utf-8") == '\ufeffid,romanized,devanagari\n1,"a ""b"", c","x\ny"\n2,,\n3, lead ,z\n'
     assert readers.checked_csv(spark, path).columns == ["id", "romanized", "devanagari"]
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    """Quotes, line breaks and carriage returns inside values, over splits of 1 KB, one value longer than a split."""
+    texts = [f'a "{i}"\nb,{i}\r\n\nc' if i % 3 else f"plain {i}" for i in range(300)] + ["x\n" * 3000, '"', "\n", "", "last"]
+    rows = spark.createDataFrame([(i, t, f"d{i}") for i, t in enumerate(texts)], "id int, romanized string, devanagari string")
+    path = f"{tmp_path}/all.csv"
+    writers.write_csv_file(rows, path, ["id"])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert readers._placed(spark, path, "\n", True).rdd.getNumPartitions() > 10
+        got = {r["id"]: (r["romanized"], r["devanagari"]) for r in readers.checked_csv(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {str(i): (t or None, f"d{i}") for i, t in enumerate(texts)}
