@@ -58,6 +58,13 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.select("code", F.col("words")[0].alias("head"), F.explode(F.slice("words", F.lit(2), F.size("words"))).alias("other"))
 
 
+def first_pairs(coded: DataFrame, code: str = "code", word: str = "word") -> DataFrame:
+    """``block_pairs`` of the different words of each code, without an array of a block: words follow in order behind the first."""
+    behind = Window.partitionBy(code).orderBy(word).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    headed = coded.select(code, F.first(word).over(behind).alias("head"), F.col(word).alias("other"))
+    return headed.where(F.col("head") != F.col("other"))
+
+
 def candidate_places(sources: DataFrame, targets: DataFrame, *ids: str) -> DataFrame:
     """Source places with the target places of the same sentence inside the searched band.
 
