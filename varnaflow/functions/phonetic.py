@@ -49,10 +49,48 @@ def _code(sounds: Column, symbols: dict[str, str]) -> Column:
     return let(different, closed)
 
 
+def _code_by_sounds(word: Column, symbols: dict[str, str]) -> Column:
+    """The code from the list of sounds, as it is defined."""
+    return let(F.regexp_extract_all(spelling(word), F.lit(f"(?s)({'|'.join(DIGRAPHS)}|.)"), 1), lambda s: _code(s, symbols))
+
+
+def _code_by_letters(word: Column, symbols: dict[str, str]) -> Column:
+    """The same for a word that isn't two letters long, by replacing strings: each sound becomes its one-letter symbol at once.
+
+    Runs of a consonant need no step of their own, since equal neighbours count once.
+    """
+    lower = F.lower(word)
+    out = F.regexp_replace(F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.translate(lower, *_FOLD)), "[^a-z]+", "")
+    out = F.replace(F.replace(out, F.lit("xo"), F.lit("cho")), F.lit("xh"), F.lit("ch"))
+    out = F.replace(F.regexp_replace(out, "([aeiou])\\1+", "$1"), F.lit("ae"), F.lit("ai"))
+    for old, new in STEPS[9:-2]:
+        out = F.replace(out, F.lit(old), F.lit(symbols[new]))
+    single = {"f": symbols["PH"], "x": symbols["X"]} | {k: v for k, v in symbols.items() if k.islower() and k not in "fx"}
+    out = F.translate(out, "".join(single), "".join(single.values()))
+
+    def coded(s: Column) -> Column:
+        heard = F.concat(F.upper(F.substring(s, 1, 1)), F.translate(F.substring(s, F.lit(2), F.length(s)), "aeiou", ""))
+        return F.struct(F.substring(F.regexp_replace(heard, "(.)\\1+", "$1"), 1, LENGTH).alias("code"), F.substring(s, -1, 1).alias("last"))
+
+    def closed(x: Column) -> Column:
+        more = x["last"].isin(*"aeiou") & (F.length(x["code"]) < LENGTH) & (F.upper(x["last"]) != F.substring(x["code"], -1, 1))
+        return F.concat(x["code"], F.when(more, F.upper(x["last"])).otherwise(""))
+
+    return let(let(out, coded), closed)
+
+
+def _coded(word: Column, symbols: dict[str, str]) -> Column:
+    return F.when(F.length(word) == 2, _code_by_sounds(word, symbols)).otherwise(_code_by_letters(word, symbols))
+
+
+def primary_code(word: Column) -> Column:
+    """The primary code alone."""
+    return let(text(word), lambda w: _coded(w, SYMBOLS))
+
+
 def phonetic_codes(word: Column) -> Column:
     """struct<primary, alternate>; alternate is empty where it equals primary."""
-    sounds = F.regexp_extract_all(spelling(word), F.lit(f"(?s)({'|'.join(DIGRAPHS)}|.)"), 1)
-    both = let(sounds, lambda s: F.struct(_code(s, SYMBOLS).alias("p"), _code(s, SYMBOLS | {"X": "X"}).alias("a")))
+    both = let(text(word), lambda w: F.struct(_coded(w, SYMBOLS).alias("p"), _coded(w, SYMBOLS | {"X": "X"}).alias("a")))
     return let(both, lambda b: F.struct(b["p"].alias("primary"), F.when(b["p"] == b["a"], "").otherwise(b["a"]).alias("alternate")))
 
 

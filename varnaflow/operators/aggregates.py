@@ -17,6 +17,17 @@ def distinct_words(lines: DataFrame, column: Column) -> DataFrame:
     return lines.select(F.explode(words(column)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def distinct_lower(lines: DataFrame, tokens: Column) -> DataFrame:
+    """(word, n): different words of an array in lower case, which is asked of each different spelling once.
+
+    ``word`` reads ``n``, which is always positive: filters and joins of the different
+    words would otherwise be moved below the aggregation, to every word of every text.
+    """
+    spelled = lines.select(F.explode(tokens).alias("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
+    counted = spelled.groupBy(F.lower("_w").alias("_word")).agg(F.sum("_n").alias("n"))
+    return counted.select(F.when(F.col("n") > 0, F.col("_word")).alias("word"), "n")
+
+
 def line_counts(lines: DataFrame, file: str = "file") -> DataFrame:
     """(file, n): lines of each file, and of all with a null file."""
     return lines.rollup(file).agg(F.count("*").alias("n"))

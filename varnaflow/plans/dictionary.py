@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phonetic import phonetic_codes
-from ..functions.text import corpus_text, devanagari_runs, text, words
-from ..operators.aggregates import distinct_words
+from ..functions.phonetic import primary_code
+from ..functions.text import corpus_words, devanagari_runs, text, words
+from ..operators.aggregates import distinct_lower
 from ..operators.filters import not_in
 from ..operators.scans import kept, numbered
 
@@ -17,12 +17,12 @@ def coded_words(lines: DataFrame, column: str, vocabulary: DataFrame, pattern: s
 
     Words are made different before they are coded.
     """
-    found = distinct_words(lines, corpus_text(F.col(column)))
+    found = distinct_lower(lines, corpus_words(F.col(column)))
     if pattern:
         found = found.where(F.col("word").rlike(pattern))
     # Only words with a letter have a code; asked of the word, so that codes are computed once.
     lettered = (F.length("word") == 2) | F.translate(F.lower("word"), "āīūṁṃñṙ", "aiummnr").rlike("[a-z]")
-    return not_in(found, "word", vocabulary).where(lettered).withColumn("code", phonetic_codes(F.col("word"))["primary"])
+    return not_in(found, "word", vocabulary).where(lettered).withColumn("code", primary_code(F.col("word")))
 
 
 def _base_word() -> Column:
