@@ -14,7 +14,7 @@ from varnaflow.functions.text import corpus_text, corpus_words, words
 from varnaflow.functions.translit import prepared, transliterate, units, written
 from varnaflow.operators.aggregates import distinct_lower
 from varnaflow.operators.joins import block_pairs, first_pairs, phonetic_blocks
-from varnaflow.plans import romanized
+from varnaflow.plans import normalization, romanized
 
 ALPHABETS = ("aaeeiioouuxxchhkgtnmrydspbjfwzqlv", "nghktrisSh~mnAUITDH gya", "abcéāīṁñßİΣςk١२ 3!-'[_\n\t", "aeioucxh")
 
@@ -62,3 +62,12 @@ def test_ratio_words_of_texts_that_are_not_ascii(spark):
     lines = spark.createDataFrame([("The ÉİX of, 12 İn THE Key",)], "value string")
     row = romanized.analysed(lines, vocabulary_test(["the", "of", "key"])).first()
     assert (row["english_words"], row["total_words"]) == (4, 6)
+
+
+def test_ablation_makes_its_arms_once(spark):
+    turns = spark.createDataFrame([(1, "kam kab"), (2, None)], "id int, text string")
+    pvd = spark.createDataFrame([("kab", "kam")], "variant string, base string")
+    out = normalization.ablation(turns, "text", vocabulary_test(["the"]), pvd, [("chunked", 3), ("whole", 0)], None, "id")
+    rows = {(r["id"], r["config"], r["model"]): r["output"] for r in out.collect()}
+    assert len(rows) == 16 and rows[1, "combined", "chunked"] == rows[1, "pvd_only", "whole"] == "कम कम" and rows[2, "raw", "whole"] == ""
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # one for each arm with a dictionary

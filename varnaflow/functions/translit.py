@@ -72,8 +72,35 @@ def written(tokens: Column) -> Column:
     return let(tokens, lambda all_: F.array_join(F.transform(all_, lambda u, i: form(all_, u, i)), ""))
 
 
+#: Units of several letters as they are tried (a place that doesn't begin with two fitting letters is left at once), and a private character for each, by kinds.
+_LONG = [u for u in UNITS if len(u) > 1]
+_LONG_PATTERN = f"(?=[{''.join(sorted({u[0] for u in _LONG}))}][{''.join(sorted({u[1] for u in _LONG}))}])({'|'.join(_LONG)})"
+_PRIVATE = {u: chr(first + i) for first, table in ((0xE100, CONSONANTS), (0xE140, VOWELS), (0xE180, MARKS)) for i, u in enumerate(x for x in table if len(x) > 1)}
+_CONSONANT, _VOWEL = (f"[{''.join(x for x in table if len(x) == 1)}\\u{first:x}-\\u{first + 63:x}]" for first, table in ((0xE100, CONSONANTS), (0xE140, VOWELS)))
+_OPEN, _CLOSE, _JOIN = "\ue1f0", "\ue1f1", "\ue1f2"
+
+
+def _written_at_once(t: Column) -> Column:
+    """``written(units(t))`` of a text without the private characters, by replacing strings: no step for each unit."""
+    one = lambda u: _PRIVATE.get(u, u)
+    out = F.regexp_replace(t, _LONG_PATTERN, f"{_OPEN}$1{_CLOSE}")
+    for unit, char in _PRIVATE.items():
+        out = F.replace(out, F.lit(f"{_OPEN}{unit}{_CLOSE}"), F.lit(char))
+    out = F.regexp_replace(out, f"({_CONSONANT})(?={_CONSONANT})", f"$1{VIRAMA}")
+    out = F.regexp_replace(out, f"({_CONSONANT})(?={_VOWEL})", f"$1{_JOIN}")
+    forms = CONSONANTS | {v: own for v, (own, _) in VOWELS.items()} | MARKS
+    single = {one(u): form for u, form in forms.items() if len(form) == 1}
+    out = F.translate(out, "".join(single), "".join(single.values()))
+    for unit, form in forms.items():
+        if len(form) > 1:
+            out = F.replace(out, F.lit(one(unit)), F.lit(form))
+    for own, sign in dict(VOWELS.values()).items():
+        out = F.replace(out, F.lit(_JOIN + own), F.lit(sign))
+    return out
+
+
 def transliterate(c: Column) -> Column:
-    return written(units(prepared(c)))
+    return let(prepared(c), lambda t: F.when(t.rlike("[\\ue100-\\ue1ff]"), written(units(t))).otherwise(_written_at_once(t)))
 
 
 def english_spelling(word: Column) -> Column:

@@ -61,21 +61,22 @@ def arms(frame: DataFrame, column: str, english: Test, pvd: DataFrame, *ids: str
     return out
 
 
-def chunked_output(frame: DataFrame, column: str, model: Callable[[Column], Column] | None, most: int | None, *ids: str) -> DataFrame:
-    """(ids, output): chunks through the model, joined again by one space; without a limit the text is one chunk."""
+def _output(column: str, model: Callable[[Column], Column] | None, most: int | None) -> Column:
     use = model or transliterate
     chunks = chunk_text(F.col(column), most) if most else F.array(text(column))
-    return frame.select(*ids, F.when(text(column) == "", "").otherwise(F.array_join(F.transform(chunks, use), " ")).alias("output"))
+    return F.when(text(column) == "", "").otherwise(F.array_join(F.transform(chunks, use), " "))
+
+
+def chunked_output(frame: DataFrame, column: str, model: Callable[[Column], Column] | None, most: int | None, *ids: str) -> DataFrame:
+    """(ids, output): chunks through the model, joined again by one space; without a limit the text is one chunk."""
+    return frame.select(*ids, _output(column, model, most).alias("output"))
 
 
 def ablation(frame: DataFrame, column: str, english: Test, pvd: DataFrame, models: list[tuple[str, int]], model: Callable[[Column], Column] | None = None, *ids: str) -> DataFrame:
-    """(ids, config, model, output) for every arm and (name, chunk length or 0) of ``models``."""
+    """(ids, config, model, output) for every arm and (name, chunk length or 0) of ``models``; the arms are made once for all models."""
     rows = with_configs(arms(frame, column, english, pvd, *ids), [(name, most) for name, most in models], "model", "most")
-    outputs = None
-    for most in sorted({m for _, m in models}):
-        part = chunked_output(rows.where(F.col("most") == most), "normalized", model, most or None, *ids, "config", "model")
-        outputs = part if outputs is None else outputs.unionByName(part)
-    return outputs
+    outputs = F.coalesce(*[F.when(F.col("most") == most, _output("normalized", model, most or None)) for most in sorted({m for _, m in models})])
+    return rows.select(*ids, "config", "model", outputs.alias("output"))
 
 
 def serve(frame: DataFrame, column: str, english: Iterable[str], pvd: DataFrame, *ids: str, model: Callable[[Column], Column] | None = None) -> DataFrame:
