@@ -91,6 +91,17 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_components_take_no_step_beyond_stars(spark, monkeypatch):
+    """Links that come as stars are written once; what a step has made stars is not gone through again."""
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, real=graph.stored: written.append(name) or real(df, name))
+    edges = lambda pairs: {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert edges([(1, 2), (1, 3), (9, 7), (3, 1), (5, 5), (None, 4)]) == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+    assert len(written) == 1
+    assert edges([(1, 2), (2, 3), (3, 4), (8, 9), (7, 9)]) == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
+    assert edges([]) == {}
+
+
 def test_licences(spark):
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including the rights to use, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED.'
     rows = [mit, "text.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "See the GNU General Public License for more details.", None, "", "licence to drive"]

@@ -124,7 +124,7 @@ def fit_view(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, steps: int =
     sizes = np.array([len(w) for w in words], np.int64)
     flat, row = np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     seen = np.bincount(flat, minlength=BUCKETS)
-    high = np.bincount(flat[y[row] > 0.5], minlength=BUCKETS)
+    high = np.bincount(flat[(y > 0.5)[row]], minlength=BUCKETS)
     n1, n = max(1.0, y.sum()), len(y)
     n0 = max(1.0, n - n1)
     share = seen / max(1, n)
