@@ -212,3 +212,18 @@ def test_cleaners_of_ascii_and_other_texts_agree(spark):
         assert r["a"] == want
     plan = frame.select(text.clean_token(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "translate" in plan  # no search of each character in ASCII texts
+
+
+def test_folding_takes_letters_of_every_script_at_once(one):
+    """Letters of one character go in one pass, whatever their page; the few others by replacement, very many by character: all as ``folded`` says."""
+    import random
+
+    from varnaflow.functions import folding
+
+    letters = folding._single()[0]
+    assert all(c in letters for c in "каकαアａ\U0001d41a")
+    rnd = random.Random(3)
+    every = [chr(x) for x in range(0xA1, 0x20000) if not 0xD800 <= x < 0xE000 and (x < folding.END)]
+    texts = ["ψ ξ th 漢字 한국 ½ № ﬃ\n😀 x", "漢" * 3, "".join(chr(0xAC00 + i) for i in range(folding.FEW)), *("".join(rnd.choices(every, k=n)) for n in (5, 30, 90, 400))]
+    for t in texts:
+        assert one(folding.fold_to_ascii, t) == "".join(c if c < "\x80" else folding.folded(c) for c in t)

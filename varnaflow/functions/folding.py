@@ -110,21 +110,33 @@ def table() -> str:
 
 @lru_cache(maxsize=1)
 def _single() -> tuple[str, str]:
-    """Letters of the first pages that become one character: most of what European texts need, by one look at each character."""
-    pairs = [(chr(256 * k + i), x) for k, page in enumerate(json.loads(table())[:6]) for i, x in enumerate(page or ()) if len(x) == 1 and x != chr(256 * k + i)]
+    """Letters of all pages that become one character: most of what texts need, by one look at each character."""
+    pairs = [(chr(256 * k + i), x) for k, page in enumerate(json.loads(table())) for i, x in enumerate(page or ()) if len(x) == 1 and x != chr(256 * k + i) and not 0xD800 <= 256 * k + i < 0xE000]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Different characters of a text that are replaced one by one; a text of more is gone through by its characters.
+FEW = 48
+
+
 def fold_to_ascii(c: Column) -> Column:
     """A text in ASCII; null stays null."""
     pages = F.from_json(F.lit(table()), "array<array<string>>")
 
-    def one(char: Column) -> Column:
+    def entry(char: Column) -> Column:
         point = F.ascii(char)
-        entry = F.get(F.get(pages, F.shiftright(point, 8)), point.bitwiseAND(255))
-        return F.when(point < 128, char).otherwise(F.coalesce(entry, char))
+        return F.get(F.get(pages, F.shiftright(point, 8)), point.bitwiseAND(255))
+
+    def each(t: Column) -> Column:
+        one = lambda char: F.when(F.ascii(char) < 128, char).otherwise(F.coalesce(entry(char), char))
+        return F.array_join(F.transform(F.split(t, ""), one), "")
+
+    def replaced(t: Column, chars: Column) -> Column:
+        # entries are ASCII or the character itself, so the order of the replacements doesn't matter
+        return F.aggregate(chars, t, lambda out, char: F.replace(out, char, F.coalesce(entry(char), char)))
 
     def rest(t: Column) -> Column:
-        return F.when(t.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(t, ""), one), "")).otherwise(t)
+        chars = F.array_distinct(F.regexp_extract_all(t, F.lit("([^\\x00-\\x7F])"), F.lit(1)))
+        return F.when(t.rlike("[^\\x00-\\x7F]"), let(chars, lambda found: F.when(F.size(found) <= FEW, replaced(t, found)).otherwise(each(t)))).otherwise(t)
 
     return let(c, lambda t: F.when(t.rlike("[^\\x00-\\x7F]"), let(F.translate(t, *_single()), rest)).otherwise(t))
