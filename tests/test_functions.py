@@ -227,3 +227,23 @@ def test_folding_takes_letters_of_every_script_at_once(one):
     texts = ["ψ ξ th 漢字 한국 ½ № ﬃ\n😀 x", "漢" * 3, "".join(chr(0xAC00 + i) for i in range(folding.FEW)), *("".join(rnd.choices(every, k=n)) for n in (5, 30, 90, 400))]
     for t in texts:
         assert one(folding.fold_to_ascii, t) == "".join(c if c < "\x80" else folding.folded(c) for c in t)
+
+
+def test_ratio_of_codes(monkeypatch):
+    """Codes don't go through the general matcher, and get the same ratio."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(5)
+    pairs = [("".join(rnd.choices("ABCa", k=rnd.randint(0, 14))), "".join(rnd.choices("ABCb", k=rnd.randint(0, 14)))) for _ in range(4000)]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [metrics.ratio(a, b) for a, b in pairs] == want
+    monkeypatch.setattr(metrics, "SequenceMatcher", None)
+    metrics.ratio.cache_clear()
+    assert repair.alike("KTMD", "KTND") == 0.75
+
+
+def test_digit_runs_of_ascii_and_others():
+    assert repair.digit_runs("a12 3\n045") == [(1, "12"), (4, "3"), (6, "045")]
+    assert repair.digit_runs("a12 ३²x") == [(1, "12"), (4, "३²")]
+    assert repair.digit_runs("") == []
