@@ -66,6 +66,15 @@ def test_scores_of_whole_texts(spark, turns):
         assert r["mean_edit_distance"] == pytest.approx(errors[r["role"]] / roles[r["role"]], abs=1e-8)
 
 
+def test_one_score_alone(spark, turns):
+    """A Python function of a column that is read nowhere else, and whose expression has lambdas in lambdas."""
+    pairs = catalog._eval_pairs(spark, turns)
+    whole = {r["role"]: r["cer"] for r in catalog.aggregates.micro_scores(pairs, "role").collect()}
+    assert {r["role"]: r["cer"] for r in catalog.aggregates.micro_scores(pairs, "role").select("role", "cer").collect()} == whole
+    rows = {r["n"]: r for r in pairs.collect()}
+    assert {r["n"]: r["errors"] for r in catalog.character_errors(spark, turns).select("n", "errors").collect()} == {n: _distance(r["hyp"], r["ref"]) for n, r in rows.items()}
+
+
 @pytest.fixture(scope="module")
 def documents(spark, turns):
     text = "caffé caffe kaffé über uber\nराम राम\nthird line\nfourth line. It is\nfifth"

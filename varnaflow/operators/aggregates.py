@@ -76,6 +76,16 @@ def corpus_statistics(analysed: DataFrame, original: Column | None = None, thres
     )
 
 
+def settled(frame: DataFrame, *names: str) -> DataFrame:
+    """``frame`` with the given columns computed before any expression reads them.
+
+    Spark writes a column that is read once into what reads it, and doesn't find a Python
+    function again in which a lambda of a lambda was written so; what ``inline`` gives stays as it is.
+    """
+    rest = [F.col(f"`{c}`") for c in frame.columns if c not in names]
+    return frame.select(*rest, F.inline(F.array(F.struct(*names)))).select(*[F.col(f"`{c}`") for c in frame.columns])
+
+
 def joined_scores(pairs: DataFrame, *keys: str) -> DataFrame:
     """CER and WER of all lines of a key joined by spaces, as one text: for evaluation sets of some thousand lines."""
     whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(c).alias("v")))), lambda x: x["v"]), " ")
@@ -87,7 +97,7 @@ def micro_scores(pairs: DataFrame, *keys: str, guard: bool = True) -> DataFrame:
     """Sums of errors over sums of lengths; ``guard`` counts an empty truth as one."""
     p, t = F.col("hyp"), F.col("ref")
     # one row of whole numbers a pair: each distance is computed once
-    each = pairs.select(*keys, char_errors(p, t).alias("_c"), word_errors(p, t).alias("_w"), words_in_place(p, t).alias("_same"), F.length(text(t)).alias("_n"), F.size(words(t)).alias("_m"))
+    each = settled(pairs, "hyp", "ref").select(*keys, char_errors(p, t).alias("_c"), word_errors(p, t).alias("_w"), words_in_place(p, t).alias("_same"), F.length(text(t)).alias("_n"), F.size(words(t)).alias("_m"))
     n, m = (F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.col("_m"), F.lit(1))) if guard else (F.col("_n"), F.col("_m"))
     return each.groupBy(*keys).agg(
         F.try_divide(F.sum("_c"), F.sum(n)).alias("cer"),
@@ -98,7 +108,7 @@ def micro_scores(pairs: DataFrame, *keys: str, guard: bool = True) -> DataFrame:
 
 
 def mean_bleu(pairs: DataFrame, *keys: str, method: int = 4) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.coalesce(F.avg(char_bleu(F.col("hyp"), F.col("ref"), method)), F.lit(0.0)).alias("bleu"))
+    return settled(pairs, "hyp", "ref").groupBy(*keys).agg(F.coalesce(F.avg(char_bleu(F.col("hyp"), F.col("ref"), method)), F.lit(0.0)).alias("bleu"))
 
 
 def best_by_metric(metrics: DataFrame, name: str, order: str, *keys: str) -> DataFrame:
