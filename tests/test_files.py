@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from varnaflow.plans import files
 from varnaflow.sources import readers, writers
 
 
@@ -104,3 +106,20 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert got == {str(i): (t or None, f"d{i}") for i, t in enumerate(texts)}
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, tmp_path_factory):
+    """Empty texts beside nulls, alone and together, and signs that a reader of CSV may take for its own."""
+    values = ["", None, '"', '""', ",", "\r", "\n", "a\r\nb", "\\", 'a\\"', " ", "\x00", "\ufeff", "\uffff", "\uffffa", "null", "-", "\u2028", "é"]
+    rows = [(i, t, "s") for i, t in enumerate(values)] + [(100 + i, "t", t) for i, t in enumerate(values)] + [(200 + i, t, t) for i, t in enumerate(values)] + [(None, "", ""), (None, None, None)]
+    path = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    md5 = lambda t: t if t is None else hashlib.md5(t.encode()).hexdigest()
+    return path, sorted(((i, md5(t), s) for i, t, s in rows), key=repr)
+
+
+def test_empty_texts_in_one_csv_file(spark, odd_documents):
+    path, want = odd_documents
+    got = files.checked_csv_rows(spark, path).collect()
+    assert sorted(((r["id"] and int(r["id"]), r["romanized"], r["devanagari"]) for r in got), key=repr) == want

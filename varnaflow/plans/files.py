@@ -54,7 +54,7 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checked_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC6 SNK4: the same as one file with a byte-order mark, all columns as strings, required ones checked."""
     path = f"{new_path(spark, 'csv')}/all.csv"
-    writers.write_csv_file(_labelled(spark, sf_dir), path, ["id"])
+    writers.write_csv_file(_labelled(spark, sf_dir), path, ["id"], keep_empty=True)
     return readers.checked_csv(spark, path).select("id", _md5("romanized").alias("romanized"), "devanagari")
 
 

@@ -91,12 +91,17 @@ def write_one_file(frame: DataFrame, path: str, value: Column, order: list[str |
     os.replace(draft, target)
 
 
-def csv_line(*columns: str) -> Column:
-    """A row as a line of CSV: values with commas, quotes or line breaks are quoted."""
+def csv_line(*columns: str, keep_empty: bool = False) -> Column:
+    """A row as a line of CSV: values with commas, quotes or line breaks are quoted (and U+FFFF, which would end a reading).
+
+    ``keep_empty`` quotes empty values too, so that they are told from nulls.
+    """
 
     def field(c: str) -> Column:
         v = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        return F.when(v.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+        quoted = v.rlike('[",\\r\\n\\uffff]')
+        quoted = quoted | (F.col(c).cast("string") == "") if keep_empty else quoted
+        return F.when(quoted, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
     return F.concat_ws(",", *[field(c) for c in columns])
 
@@ -119,9 +124,9 @@ def write_csv(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write_csv_file(frame: DataFrame, path: str, order: list[str | Column], bom: bool = True) -> None:
+def write_csv_file(frame: DataFrame, path: str, order: list[str | Column], bom: bool = True, keep_empty: bool = False) -> None:
     """One CSV file with its header, and a byte-order mark for programs that need it, once."""
-    write_one_file(frame, path, csv_line(*frame.columns), order, header=",".join(frame.columns) + "\n", bom=bom)
+    write_one_file(frame, path, csv_line(*frame.columns, keep_empty=keep_empty), order, header=",".join(frame.columns) + "\n", bom=bom)
 
 
 def append_rows(frame: DataFrame, path: str) -> None:
