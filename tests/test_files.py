@@ -123,3 +123,11 @@ def test_empty_texts_in_one_csv_file(spark, odd_documents):
     path, want = odd_documents
     got = files.checked_csv_rows(spark, path).collect()
     assert sorted(((r["id"] and int(r["id"]), r["romanized"], r["devanagari"]) for r in got), key=repr) == want
+
+
+def test_empty_texts_in_csv_folders(spark, odd_documents, tmp_path):
+    path, want = odd_documents
+    assert sorted(map(tuple, files.csv_rows(spark, path).collect()), key=repr) == want
+    turns = [("", "user"), (None, "user"), ("", ""), ("x", None)]
+    spark.createDataFrame(turns, "text string, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, files.csv_folder_rows(spark, str(tmp_path)).collect()), key=repr) == sorted(((*t, 1) for t in turns), key=repr)
