@@ -35,6 +35,14 @@ def test_shuffled_keeps_rows(spark):
     assert samples.shuffled(rows.limit(0), "k").count() == 0
 
 
+def test_null_keys_come_last_in_a_shuffle(spark):
+    """As an ORDER BY without more has it: a null moves no other row's place."""
+    ids = [5, 3, 9, 1, 7]
+    place = lambda keys: {r["k"]: r["place"] for r in samples.shuffled(spark.createDataFrame([(k,) for k in keys], "k int"), "k").collect()}
+    walk = [r["p"] for r in spark.range(6).select(samples.permuted(F.col("id"), 6).alias("p")).orderBy("id").collect()]
+    assert place([None, *ids]) == dict(zip([1, 3, 5, 7, 9, None], walk, strict=True))
+
+
 def test_postings_of_a_code_of_any_size(spark):
     """A code that holds nearly all words: rows stay small, and together they are the group."""
     words = [(f"w{i:06}", i % 50, "hot") for i in range(20_000)] + [("a", 1, "c"), ("b", 5, "c"), ("b2", 5, "c"), ("single", 1, "s")]

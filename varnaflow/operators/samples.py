@@ -57,10 +57,10 @@ def permuted(n: Column, size: int, seed: int = 27, rounds: int = 6) -> Column:
 def shuffled(frame: DataFrame, key: str, seed: int = 27) -> DataFrame:
     """``frame`` with ``place``, from 0, in a full shuffle that depends on the order of ``key`` and the seed alone.
 
-    Rows of equal keys may change places from run to run.
+    Null keys come last.  Rows of equal keys may change places from run to run.
     """
     size = frame.count()
-    return numbered(frame, key, name="_n").withColumn("place", permuted(F.col("_n") - 1, max(1, size), seed)).drop("_n")
+    return numbered(frame, F.col(key).isNull(), key, name="_n").withColumn("place", permuted(F.col("_n") - 1, max(1, size), seed)).drop("_n")
 
 
 def split_rows(frame: DataFrame, key: str, holdout: int | float, longest: int = 300, columns: tuple[str, ...] = (), seed: int = 27) -> DataFrame:
